@@ -1,0 +1,76 @@
+"""Groups of any size: split by chunk, join by salt, digest in two levels.
+
+One theme may hold a third of all posts.  Nothing here gathers such a group in one row or task:
+its members are hashed into chunks of about ``CHUNK_MEMBERS`` ids, and every step runs per chunk.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+CHUNK_MEMBERS = 100_000
+SALTS = 64
+
+
+def chunks_for(size: Column, chunk_members: int = CHUNK_MEMBERS) -> Column:
+    return F.greatest(F.ceil(size / F.lit(chunk_members)), F.lit(1)).cast("long")
+
+
+def chunk_of(member: Column, chunks: Column) -> Column:
+    return F.pmod(F.xxhash64(member), chunks)
+
+
+def salted_left_join(
+    many: DataFrame, one: DataFrame, key: str, spread_by: str, salts: int = SALTS
+) -> DataFrame:
+    """Left join of a table with hot keys to a table with unique keys.
+
+    Rows of a hot key are spread over ``salts`` tasks by ``spread_by``; the unique side is
+    repeated once per salt, so keep it small (here: only the keys that need it).
+    """
+    salted = many.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
+    repeated = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
+    return salted.join(repeated, [key, "_salt"], "left").drop("_salt")
+
+
+def assign_chunks(
+    members: DataFrame, sizes: DataFrame, key: str, member: str,
+    chunk_members: int = CHUNK_MEMBERS,
+) -> DataFrame:
+    """Add ``chunk`` to ``members``.  ``sizes`` holds one row per key with ``n_posts``."""
+    large = sizes.filter(F.col("n_posts") > chunk_members).select(
+        key, chunks_for(F.col("n_posts"), chunk_members).alias("_chunks")
+    )
+    joined = salted_left_join(members, large, key, member)
+    chunks = F.coalesce("_chunks", F.lit(1).cast("long"))
+    return joined.withColumn("chunk", chunk_of(F.col(member), chunks)).drop("_chunks")
+
+
+def digest_members(chunked: DataFrame, key: str, member: str) -> DataFrame:
+    """One SHA-1 per key over its sorted members: columns ``key, n_chunks, members_digest``.
+
+    A key with one chunk gets the digest of its members joined by ``|``.  A larger one gets the
+    digest of its chunk digests, taken in chunk order.  Both depend on the set of members only.
+    """
+    joined_ids = F.array_join(F.sort_array(F.collect_list(member)), "|")
+    per_chunk = chunked.groupBy(key, "chunk").agg(F.sha1(joined_ids).alias("digest"))
+    in_order = F.sort_array(F.collect_list(F.struct("chunk", "digest")))
+    return (
+        per_chunk.groupBy(key)
+        .agg(F.count("*").alias("n_chunks"), in_order.alias("_parts"))
+        .select(
+            key,
+            "n_chunks",
+            F.when(F.col("n_chunks") == 1, F.col("_parts")[0]["digest"])
+            .otherwise(F.sha1(F.array_join(F.col("_parts.digest"), "|")))
+            .alias("members_digest"),
+        )
+    )
+
+
+def per_chunk_rows(themes: DataFrame) -> DataFrame:
+    """Repeat each theme once per chunk, to meet its membership rows on ``(id, chunk)``."""
+    return themes.withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1))
+    )
