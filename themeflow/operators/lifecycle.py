@@ -73,6 +73,7 @@ def from_post_lists(
     themes = (
         narratives.join(digests, "id", "left")
         .withColumn("n_posts", F.size("post_ids").cast("long"))
+        .withColumn("n_chunks", F.coalesce("n_chunks", F.lit(1)))
         .select(*NARRATIVES.fieldNames())
     )
     return themes, members.select(*MEMBERSHIP.fieldNames())

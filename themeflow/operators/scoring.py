@@ -27,7 +27,8 @@ def velocity_score(posts: Column, total_engagement: Column, hours: int) -> Colum
     per_post = total_engagement / F.nullif(posts, F.lit(0))
     density = F.least(F.lit(1.0), per_post / F.lit(FULL_ENGAGEMENT_PER_POST))
     score = exact_round(frequency * FREQUENCY_SHARE + density * DENSITY_SHARE, 4)
-    return F.coalesce(score, F.lit(0.0))
+    # ``least`` skips nulls, so an empty window needs its own case.
+    return F.when(posts > 0, score).otherwise(F.lit(0.0))
 
 
 def saturation_score(members: Column, authors: Column, all_posts: Column) -> Column:

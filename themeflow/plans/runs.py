@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeflow.constants import MAX_KEYWORDS, MIN_CLUSTER_SIZE
-from themeflow.functions.core import hours_before, instant
+from themeflow.functions.core import hours_before
 from themeflow.operators import cluster, lifecycle, scoring, search, sentiment
 from themeflow.operators.sentiment import DEFAULT_LEXICON, Lexicon
 from themeflow.operators.staging import stage
@@ -58,7 +58,7 @@ class IngestConfig:
 
 
 def ingest_tweets(pages: DataFrame, config: IngestConfig, as_of: Column | datetime) -> DataFrame:
-    found = tweets.normalise(pages.filter(F.col("query").isin(*config.twitter_queries)), instant(as_of))
+    found = tweets.normalise(pages.filter(F.col("query").isin(*config.twitter_queries)), as_of)
     return search.capped_search(
         found, config.twitter_max_results, "arrival",
         thresholds={"likes": config.twitter_min_likes} if config.twitter_min_likes > 0 else None,
@@ -72,7 +72,7 @@ def ingest_forum(submissions: DataFrame, config: IngestConfig, as_of: Column | d
         config.reddit_sort, max_results=config.reddit_max_results,
         min_upvotes=config.reddit_min_upvotes, hours_back=config.hours_back, as_of=as_of,
     )
-    return forum.normalise(found, instant(as_of))
+    return forum.normalise(found, as_of)
 
 
 def ingest_news(articles: DataFrame, config: IngestConfig, as_of: Column | datetime) -> DataFrame:
@@ -80,7 +80,7 @@ def ingest_news(articles: DataFrame, config: IngestConfig, as_of: Column | datet
         F.col("language").isNull() | (F.col("language") == config.news_language)
     )
     return search.news_window(
-        news.normalise(wanted, instant(as_of)), as_of, config.hours_back, config.news_max_results,
+        news.normalise(wanted, as_of), as_of, config.hours_back, config.news_max_results,
         domains=config.news_domains,
     ).drop("query", "position")
 
@@ -88,7 +88,7 @@ def ingest_news(articles: DataFrame, config: IngestConfig, as_of: Column | datet
 def ingest_podcasts(entries: DataFrame, config: IngestConfig, as_of: Column | datetime) -> DataFrame:
     wanted = entries.filter(F.col("feed_url").isin(*config.podcast_feeds))
     episodes = podcast.normalise(
-        search.first_entries(wanted, config.podcast_max_episodes), instant(as_of)
+        search.first_entries(wanted, config.podcast_max_episodes), as_of
     )
     return search.episode_keywords(episodes, config.podcast_keywords).drop("feed_url")
 

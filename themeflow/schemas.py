@@ -4,100 +4,112 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+STRING, LONG, DOUBLE = T.StringType(), T.LongType(), T.DoubleType()
+FLAG, TIME = T.BooleanType(), T.TimestampType()
+STRINGS = T.ArrayType(STRING)
 
-def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
 
+def struct(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
-POSTS = _schema(
-    """
-    id string not null, platform string not null, author_id string not null,
-    author_username string not null, text string not null, created_at timestamp not null,
-    likes bigint, replies bigint, reposts bigint, language string,
-    cashtags array<string>, hashtags array<string>, urls array<string>,
-    collected_at timestamp, processed boolean
-    """
+
+def required(schema: T.StructType, *names: str) -> T.StructType:
+    return T.StructType(
+        [T.StructField(f.name, f.dataType, f.nullable and f.name not in names) for f in schema]
+    )
+
+
+REQUIRED_POST_COLUMNS = ["id", "platform", "author_id", "author_username", "text", "created_at"]
+POSTS = required(
+    struct(
+        id=STRING, platform=STRING, author_id=STRING, author_username=STRING, text=STRING,
+        created_at=TIME, likes=LONG, replies=LONG, reposts=LONG, language=STRING,
+        cashtags=STRINGS, hashtags=STRINGS, urls=STRINGS, collected_at=TIME, processed=FLAG,
+    ),
+    *REQUIRED_POST_COLUMNS,
 )
 POST_COLUMNS = POSTS.fieldNames()
-REQUIRED_POST_COLUMNS = [field.name for field in POSTS if not field.nullable]
 
-TWEETS_EXT = _schema(
-    "post_id string, impressions bigint, quote_tweets bigint, bookmarks bigint, "
-    "engagement_rate double, is_reply boolean, is_retweet boolean"
-)
-REDDIT_EXT = _schema(
-    "post_id string, subreddit string, title string, upvotes bigint, downvotes bigint, "
-    "awards bigint, is_self boolean, permalink string"
-)
-NEWS_EXT = _schema(
-    "post_id string, source_name string, source_id string, title string, description string, "
-    "article_url string, image_url string"
-)
-PODCAST_EXT = _schema(
-    "post_id string, show_name string, episode_title string, episode_url string, "
-    "audio_url string, transcript_source string"
-)
 EXTENSIONS = {
-    "twitter": TWEETS_EXT,
-    "reddit": REDDIT_EXT,
-    "news": NEWS_EXT,
-    "podcast": PODCAST_EXT,
+    "twitter": struct(
+        post_id=STRING, impressions=LONG, quote_tweets=LONG, bookmarks=LONG,
+        engagement_rate=DOUBLE, is_reply=FLAG, is_retweet=FLAG,
+    ),
+    "reddit": struct(
+        post_id=STRING, subreddit=STRING, title=STRING, upvotes=LONG, downvotes=LONG, awards=LONG,
+        is_self=FLAG, permalink=STRING,
+    ),
+    "news": struct(
+        post_id=STRING, source_name=STRING, source_id=STRING, title=STRING, description=STRING,
+        article_url=STRING, image_url=STRING,
+    ),
+    "podcast": struct(
+        post_id=STRING, show_name=STRING, episode_title=STRING, episode_url=STRING,
+        audio_url=STRING, transcript_source=STRING,
+    ),
 }
 
 # Post ids of a theme live in MEMBERSHIP, one row each: a theme may hold any share of all posts,
 # so no row carries the whole list.  ``chunk`` spreads the rows of a large theme.
-NARRATIVES = _schema(
-    """
-    id string, name string, description string, first_seen timestamp, last_seen timestamp,
-    n_posts bigint, n_chunks bigint, members_digest string,
-    cashtags array<string>, keywords array<string>,
-    sentiment_score double, velocity_score double, saturation_score double, overall_score double,
-    is_active boolean, confidence double
-    """
-)
-MEMBERSHIP = _schema("narrative_id string, chunk bigint, post_id string")
-STATE = T.StructType(
-    NARRATIVES.fields + _schema("version bigint, updated_at timestamp").fields
+NARRATIVES = struct(
+    id=STRING, name=STRING, description=STRING, first_seen=TIME, last_seen=TIME, n_posts=LONG,
+    n_chunks=LONG, members_digest=STRING, cashtags=STRINGS, keywords=STRINGS,
+    sentiment_score=DOUBLE, velocity_score=DOUBLE, saturation_score=DOUBLE, overall_score=DOUBLE,
+    is_active=FLAG, confidence=DOUBLE,
 )
-EVENTS = _schema(
-    "narrative_id string, event_type string, previous_version bigint, new_version bigint, "
-    "occurred_at timestamp, details string"
+MEMBERSHIP = struct(narrative_id=STRING, chunk=LONG, post_id=STRING)
+STATE = T.StructType([*NARRATIVES.fields, *struct(version=LONG, updated_at=TIME).fields])
+EVENTS = struct(
+    narrative_id=STRING, event_type=STRING, previous_version=LONG, new_version=LONG,
+    occurred_at=TIME, details=STRING,
 )
 
 # Landed raw payloads.
-TWEET_PAGE = _schema(
-    """
-    query string, page bigint,
-    data array<struct<
-        id: string, text: string, author_id: string, created_at: string, lang: string,
-        in_reply_to_user_id: string,
-        public_metrics: struct<like_count: bigint, retweet_count: bigint, reply_count: bigint,
-            quote_count: bigint, bookmark_count: bigint, impression_count: bigint>,
-        entities: struct<cashtags: array<struct<tag: string>>,
-            hashtags: array<struct<tag: string>>, urls: array<struct<expanded_url: string>>>,
-        referenced_tweets: array<struct<type: string, id: string>>>>,
-    includes struct<users: array<struct<id: string, username: string>>>
-    """
+USERS = T.ArrayType(struct(id=STRING, username=STRING))
+TWEET_PAGE = struct(
+    query=STRING,
+    page=LONG,
+    data=T.ArrayType(
+        struct(
+            id=STRING, text=STRING, author_id=STRING, created_at=STRING, lang=STRING,
+            in_reply_to_user_id=STRING,
+            public_metrics=struct(
+                like_count=LONG, retweet_count=LONG, reply_count=LONG, quote_count=LONG,
+                bookmark_count=LONG, impression_count=LONG,
+            ),
+            entities=struct(
+                cashtags=T.ArrayType(struct(tag=STRING)),
+                hashtags=T.ArrayType(struct(tag=STRING)),
+                urls=T.ArrayType(struct(expanded_url=STRING)),
+            ),
+            referenced_tweets=T.ArrayType(struct(type=STRING, id=STRING)),
+        )
+    ),
+    includes=struct(users=USERS),
 )
-SUBMISSION = _schema(
-    """
-    id string, author string, title string, selftext string, created_utc double, score bigint,
-    num_comments bigint, subreddit string, is_self boolean, url string, downs bigint,
-    total_awards_received bigint, permalink string, rank bigint
-    """
+SUBMISSION = struct(
+    id=STRING, author=STRING, title=STRING, selftext=STRING, created_utc=DOUBLE, score=LONG,
+    num_comments=LONG, subreddit=STRING, is_self=FLAG, url=STRING, downs=LONG,
+    total_awards_received=LONG, permalink=STRING, rank=LONG,
 )
-ARTICLE = _schema(
-    """
-    query string, position bigint, source struct<id: string, name: string>, title string,
-    description string, content string, url string, urlToImage string, publishedAt string,
-    language string
-    """
+ARTICLE = struct(
+    query=STRING, position=LONG, source=struct(id=STRING, name=STRING), title=STRING,
+    description=STRING, content=STRING, url=STRING, urlToImage=STRING, publishedAt=STRING,
+    language=STRING,
 )
-EPISODE = _schema(
-    """
-    feed_url string, show_name string, position bigint, id string, guid string, link string,
-    title string, published string, published_parsed timestamp, updated_parsed timestamp,
-    content array<struct<value: string>>, summary string, description string,
-    links array<struct<href: string, rel: string, type: string>>
-    """
+LINKS = T.ArrayType(struct(href=STRING, rel=STRING, type=STRING))
+EPISODE = struct(
+    feed_url=STRING, show_name=STRING, position=LONG, id=STRING, guid=STRING, link=STRING,
+    title=STRING, published=STRING, published_parsed=TIME, updated_parsed=TIME,
+    content=T.ArrayType(struct(value=STRING)), summary=STRING, description=STRING, links=LINKS,
+)
+
+# One <item> of an RSS file; attributes carry an underscore.
+_TAGS = T.ArrayType(struct(_url=STRING, _type=STRING))
+FEED_ITEM = struct(
+    guid=STRING, link=STRING, title=STRING, pubDate=STRING, description=STRING,
+    **{"itunes:summary": STRING, "content:encoded": STRING},
+    enclosure=_TAGS,
+    **{"podcast:transcript": _TAGS},
+    feed_url=STRING, show_name=STRING,
 )

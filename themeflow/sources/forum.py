@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeflow.constants import FORUM_TEXT_CHARS
-from themeflow.functions.core import or_else
+from themeflow.functions.core import instant, or_else
 from themeflow.functions.dates import parse_epoch_seconds
 from themeflow.functions.text import cashtags, hashtags, urls
 
@@ -21,7 +23,7 @@ def with_created_at(submissions: DataFrame) -> DataFrame:
     return submissions.withColumn("created_at", parse_epoch_seconds("created_utc"))
 
 
-def normalise(submissions: DataFrame, collected_at: Column) -> DataFrame:
+def normalise(submissions: DataFrame, collected_at: Column | datetime) -> DataFrame:
     """One row per submission with all post and forum columns.
 
     Tags come from the whole text, the stored text is cut.  Columns of the input that the search
@@ -48,7 +50,7 @@ def normalise(submissions: DataFrame, collected_at: Column) -> DataFrame:
         tag_set(cashtags("_text")).alias("cashtags"),
         tag_set(hashtags("_text")).alias("hashtags"),
         tag_set(links).alias("urls"),
-        collected_at.alias("collected_at"),
+        instant(collected_at).alias("collected_at"),
         F.lit(False).alias("processed"),
         "subreddit",
         "title",

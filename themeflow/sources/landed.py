@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from themeflow import schemas
 
-_ITEM = T.StructType.fromDDL(
-    """
-    guid string, link string, title string, pubDate string, description string,
-    `itunes:summary` string, `content:encoded` string,
-    enclosure array<struct<_url: string, _type: string>>,
-    `podcast:transcript` array<struct<_url: string, _type: string>>
-    """
-)
-
-
 def read_tweet_pages(spark: SparkSession, path: str) -> DataFrame:
     """Search result pages, one JSON object per line with its ``query`` and ``page``."""
     return spark.read.schema(schemas.TWEET_PAGE).json(path)
@@ -41,14 +30,13 @@ def read_feeds(spark: SparkSession, path: str) -> DataFrame:
 
     Items are split off one by one, so a feed of any length is never held in one row.
     """
-    schema = T.StructType(_ITEM.fields + T.StructType.fromDDL("feed_url string, show_name string").fields)
     items = (
-        spark.read.format("xml").option("rowTag", "item").schema(schema).load(path)
+        spark.read.format("xml").option("rowTag", "item").schema(schemas.FEED_ITEM).load(path)
         .withColumn("_start", F.col("_metadata.file_block_start"))
         .withColumn("_row", F.monotonically_increasing_id())
     )
 
-    def links(tags: str, rel: str) -> F.Column:
+    def links(tags: str, rel: str) -> Column:
         return F.transform(
             F.coalesce(F.col(tags), F.array().cast("array<struct<_url: string, _type: string>>")),
             lambda tag: F.struct(

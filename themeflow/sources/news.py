@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeflow.constants import NEWS_TEXT_CHARS, POST_DIGEST_CHARS
-from themeflow.functions.core import digest_id, or_else
+from themeflow.functions.core import digest_id, instant, or_else
 from themeflow.functions.dates import parse_iso
 from themeflow.functions.text import cashtags, hashtags, join_paragraphs
 from themeflow.sources.forum import tag_set
 
 
-def normalise(articles: DataFrame, collected_at: Column) -> DataFrame:
+def normalise(articles: DataFrame, collected_at: Column | datetime) -> DataFrame:
     """One row per article with all post and news columns, plus ``query`` and ``position``.
 
     Articles without url or a readable date are dropped.  Tags come from the cut text.
@@ -42,7 +44,7 @@ def normalise(articles: DataFrame, collected_at: Column) -> DataFrame:
         tag_set(cashtags("_text")).alias("cashtags"),
         tag_set(hashtags("_text")).alias("hashtags"),
         F.array("url").alias("urls"),
-        collected_at.alias("collected_at"),
+        instant(collected_at).alias("collected_at"),
         F.lit(False).alias("processed"),
         source_name.alias("source_name"),
         F.col("source.id").alias("source_id"),

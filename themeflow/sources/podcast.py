@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeflow.constants import PODCAST_TEXT_CHARS, POST_DIGEST_CHARS
-from themeflow.functions.core import digest_id, or_else, strip
+from themeflow.functions.core import digest_id, instant, or_else, strip
 from themeflow.functions.dates import parse_rfc2822
 from themeflow.functions.text import cashtags, hashtags, markup_to_text
 from themeflow.sources.forum import tag_set
@@ -45,12 +47,12 @@ def transcript_source() -> Column:
     return F.coalesce(link, F.lit(DEFAULT_TRANSCRIPT_SOURCE))
 
 
-def published_at(as_of: Column) -> Column:
+def published_at(as_of: Column | datetime) -> Column:
     """Written date, then the parsed ones of the feed, then ``as_of``."""
-    return F.coalesce(parse_rfc2822("published"), "published_parsed", "updated_parsed", as_of)
+    return F.coalesce(parse_rfc2822("published"), "published_parsed", "updated_parsed", instant(as_of))
 
 
-def normalise(entries: DataFrame, collected_at: Column) -> DataFrame:
+def normalise(entries: DataFrame, collected_at: Column | datetime) -> DataFrame:
     """One row per episode with all post and podcast columns, plus ``feed_url``.
 
     Entries without any identifier or text are dropped.  Tags come from the whole transcript,
@@ -79,7 +81,7 @@ def normalise(entries: DataFrame, collected_at: Column) -> DataFrame:
         tag_set(cashtags("_text")).alias("cashtags"),
         tag_set(hashtags("_text")).alias("hashtags"),
         F.filter(F.array("link", "_audio"), lambda url: url.isNotNull() & (url != "")).alias("urls"),
-        collected_at.alias("collected_at"),
+        instant(collected_at).alias("collected_at"),
         F.lit(False).alias("processed"),
         show.alias("show_name"),
         strip(or_else(F.col("title"), UNTITLED)).alias("episode_title"),

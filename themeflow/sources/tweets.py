@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from themeflow.functions.core import instant
 from themeflow.functions.dates import parse_iso
 
 
@@ -13,7 +16,7 @@ def engagement_rate(engagement: Column, impressions: Column) -> Column:
     return F.when(impressions > 0, engagement / impressions)
 
 
-def normalise(pages: DataFrame, collected_at: Column) -> DataFrame:
+def normalise(pages: DataFrame, collected_at: Column | datetime) -> DataFrame:
     """One row per tweet with all post and tweet columns, plus ``query`` and ``arrival``.
 
     The author is looked up among the users of the same page, so no join is needed.  Tweets
@@ -56,7 +59,7 @@ def normalise(pages: DataFrame, collected_at: Column) -> DataFrame:
         tags("cashtags", "tag").alias("cashtags"),
         tags("hashtags", "tag").alias("hashtags"),
         tags("urls", "expanded_url").alias("urls"),
-        collected_at.alias("collected_at"),
+        instant(collected_at).alias("collected_at"),
         F.lit(False).alias("processed"),
         metric("impression_count").alias("impressions"),
         metric("quote_count").alias("quote_tweets"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from themeflow.operators import store
@@ -12,7 +13,8 @@ from themeflow.operators import store
 def stored_before(spark: SparkSession, path: str, batch_id: int, like: DataFrame) -> DataFrame | None:
     """Ids written by earlier batches; ``None`` before the first one."""
     try:
-        stored = spark.read.schema(like.schema.add("batch_id", "long")).parquet(path)
+        schema = T.StructType([like.schema["id"], T.StructField("batch_id", T.LongType())])
+        stored = spark.read.schema(schema).parquet(path)
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             return None

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from themeflow.operators import lifecycle
@@ -20,7 +21,8 @@ def state_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVENTS.add("batch_id", "long")).parquet(f"{path}/events")
+    schema = T.StructType([*EVENTS.fields, T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(schema).parquet(f"{path}/events")
 
 
 def write_batch(
@@ -33,27 +35,21 @@ def write_batch(
     their own folders.
     """
     spark = batch.sparkSession
-    posts = batch.persist()
-    try:
-        as_of = posts.agg(F.max("created_at")).first()[0]
-        if as_of is None:
-            merged_rows = None
-        else:
-            merged = lifecycle.reconcile(
-                state_before(spark, path, batch_id), narratives_of(posts), F.lit(as_of).cast("timestamp"),
-                stale_hours,
-            )
-            merged.rows.write.mode("overwrite").parquet(f"{path}/merged/batch_id={batch_id}")
-            merged_rows = spark.read.parquet(f"{path}/merged/batch_id={batch_id}")
-        if merged_rows is None:
-            state, log = state_before(spark, path, batch_id), spark.createDataFrame([], EVENTS)
-        else:
-            written = lifecycle.Reconciled(merged_rows)
-            state, log = written.state, written.log
-        state.write.mode("overwrite").parquet(f"{path}/state/batch_id={batch_id}")
-        log.write.mode("overwrite").parquet(f"{path}/events/batch_id={batch_id}")
-    finally:
-        posts.unpersist()
+    as_of = batch.agg(F.max("created_at")).first()[0]
+    before = state_before(spark, path, batch_id)
+    if as_of is None:
+        state, log = before, spark.createDataFrame([], EVENTS)
+    else:
+        merged = lifecycle.reconcile(
+            before, narratives_of(batch), F.lit(as_of).cast("timestamp"), stale_hours
+        )
+        # State and log come from one merge, written once.
+        merged_path = f"{path}/merged/batch_id={batch_id}"
+        merged.rows.write.mode("overwrite").parquet(merged_path)
+        written = lifecycle.Reconciled(spark.read.schema(merged.rows.schema).parquet(merged_path))
+        state, log = written.state, written.log
+    state.write.mode("overwrite").parquet(f"{path}/state/batch_id={batch_id}")
+    log.write.mode("overwrite").parquet(f"{path}/events/batch_id={batch_id}")
 
 
 def lifecycle_stream(
