@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeflow.constants import BLANK
@@ -24,6 +24,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that later filters will test.
+
+    Spark pushes a filter below an ordinary projection and then evaluates the expression for the
+    filter and again for the column.  It does not push filters below an explode.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def exact_round(value: Column, digits: int) -> Column:
     """Round the exact binary value, ties to even.
 
@@ -69,17 +78,15 @@ def post_order() -> Column:
     Spark keeps decimals of any precision in hash-aggregation buffers, but neither strings nor
     structs, so ``min(post_order)`` stays a hash aggregate where ``min(struct(...))`` would sort
     every exploded word.  Digits: 17 for time, 13 for a digest of the id (posts of one instant
-    have no order of their own), 8 left free for a position inside the post.
+    have no order of their own), 8 for a position inside the post.
     """
     micros = F.greatest(F.unix_micros("created_at"), F.lit(0)).cast("decimal(18,0)")
     newest_first = F.lit(10**17).cast("decimal(18,0)") - micros
     tie = F.conv(F.substring(F.sha1("id"), 1, 10), 16, 10).cast("decimal(13,0)")
-    return (
-        newest_first * F.lit(10**13).cast("decimal(14,0)") + tie
-    ).cast("decimal(30,0)")
+    of_post = (newest_first * F.lit(10**13).cast("decimal(14,0)") + tie).cast("decimal(30,0)")
+    return (of_post * F.lit(10**8).cast("decimal(9,0)")).cast("decimal(38,0)")
 
 
 def order_in_post(order: Column, position: Column) -> Column:
     """Position of an item inside a post, comparable across posts."""
-    scaled = order.cast("decimal(30,0)") * F.lit(10**8).cast("decimal(9,0)")
-    return (scaled + position.cast("decimal(8,0)")).cast("decimal(38,0)")
+    return (order + position.cast("decimal(8,0)")).cast("decimal(38,0)")

@@ -88,8 +88,10 @@ def top_keywords(posts: DataFrame, limit: int = MAX_KEYWORDS) -> DataFrame:
         post_order().alias("post_order"),
         keyword_tokens("text").alias("tokens"),
     )
-    rows = tokens.select("key", "post_order", F.posexplode("tokens").alias("position", "item"))
-    return _ranked_items(rows, min(limit, KEYWORD_LIMIT))
+    # The outer form, because the inner one makes Spark filter on ``size(tokens) > 0`` at the
+    # scan, which splits every text a second time.
+    rows = tokens.select("key", "post_order", F.posexplode_outer("tokens").alias("position", "item"))
+    return _ranked_items(rows.filter(F.col("item").isNotNull()), min(limit, KEYWORD_LIMIT))
 
 
 def top_cashtags(assigned: DataFrame, limit: int = MAX_CASHTAGS) -> DataFrame:
@@ -169,17 +171,12 @@ def confidence(posts: Column) -> Column:
     return exact_round(F.least(F.lit(1.0), F.lit(0.45) + F.lit(0.1) * posts), 3)
 
 
-def group_ids(
-    assigned: DataFrame, min_size: int = MIN_CLUSTER_SIZE, chunk_members: int = CHUNK_MEMBERS
-) -> DataFrame:
-    """``key, n_chunks, members_digest, id`` of every group of at least ``min_size`` posts."""
+def group_ids(assigned: DataFrame, chunk_members: int = CHUNK_MEMBERS) -> DataFrame:
+    """``key, n_chunks, members_digest, id`` of every group."""
     sizes = assigned.groupBy("key").agg(F.count("*").alias("n_posts"))
     chunked = assign_chunks(assigned.select("key", "id"), sizes, "key", "id", chunk_members)
-    kept = sizes.filter(F.col("n_posts") >= min_size).select("key")
     theme_id = F.concat(F.lit("nar_"), F.substring("members_digest", 1, THEME_DIGEST_CHARS))
-    return digest_members(chunked, "key", "id").join(kept, "key").select(
-        "key", "n_chunks", "members_digest", theme_id.alias("id")
-    )
+    return digest_members(chunked, "key", "id").withColumn("id", theme_id)
 
 
 def cluster(
@@ -195,7 +192,7 @@ def cluster(
     profiles = group_profiles(assigned, recent).filter(F.col("n_posts") >= min_size)
     keywords = _as_list(top_keywords(posts, max_keywords), "keywords")
     cashtags = _as_list(top_cashtags(assigned), "cashtags")
-    ids = group_ids(assigned, min_size, chunk_members)
+    ids = group_ids(assigned, chunk_members)
     none = F.array().cast("array<string>")
     last_seen = F.col("last_seen")
     return (

@@ -136,7 +136,13 @@ def reconcile(
         for name in NARRATIVES.fieldNames()
         if name not in ("id", "is_active")
     }
-    is_active = F.when(arrived, F.lit(True)).when(stale, F.lit(False)).otherwise(F.col("old.is_active"))
+    # A new theme keeps the flag it comes with; one seen again is active.
+    is_active = (
+        F.when(arrived & ~known, F.col("new.is_active"))
+        .when(arrived, F.lit(True))
+        .when(stale, F.lit(False))
+        .otherwise(F.col("old.is_active"))
+    )
     touched = F.col("event").isNotNull()
     rows = both.withColumn("event", event).select(
         "id",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from themeflow.functions.text import word_count
 from themeflow.operators.sentiment import label
 from themeflow.operators.skew import per_chunk_rows
+from themeflow.operators.staging import stage
 
 TITLES_PER_PART = 1000
 
@@ -39,7 +40,8 @@ def corpus_summary(
     """Text summary of a corpus as ``part, text``; the texts joined in part order are the summary.
 
     ``documents`` has ``title``, ``content`` and a whole-number ``position``.  The title list
-    grows with the corpus, so it is written in parts of consecutive positions.
+    grows with the corpus, so it is written in parts of consecutive positions.  The texts are
+    read once, into the staged parts.
     """
     part = F.floor(F.col(position) / F.lit(titles_per_part))
     rows = documents.select(
@@ -55,27 +57,29 @@ def corpus_summary(
             F.sort_array(F.collect_list(F.struct("_position", "_title")))["_title"], ", "
         ).alias("titles"),
     )
+    per_part = stage(per_part, "summary")
     totals = per_part.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("words").alias("words"),
+        F.coalesce(F.sum("n"), F.lit(0)).cast("string").alias("n"),
+        F.sum("words").cast("string").alias("words"),
         F.min("_part").alias("first"), F.max("_part").alias("last"),
     )
-    empty = F.col("n") == 0
-    head = totals.select(
-        F.coalesce(F.col("first") - 1, F.lit(0)).alias("part"),
-        F.when(empty, F.lit("No narratives provided.")).otherwise(
-            F.concat(F.lit("Narratives ("), F.col("n").cast("string"), F.lit(" items): "))
-        ).alias("text"),
+    empty = F.array(
+        F.struct(F.lit(0).cast("long").alias("part"), F.lit("No narratives provided.").alias("text"))
     )
-    tail = totals.filter(~empty).select(
+    head = F.struct(
+        (F.col("first") - 1).alias("part"),
+        F.concat(F.lit("Narratives ("), "n", F.lit(" items): ")).alias("text"),
+    )
+    tail = F.struct(
         (F.col("last") + 1).alias("part"),
-        F.concat(F.lit(". Total word count: "), F.col("words").cast("string"), F.lit(".")).alias("text"),
+        F.concat(F.lit(". Total word count: "), "words", F.lit(".")).alias("text"),
     )
-    first = per_part.agg(F.min("_part")).scalar()
-    body = per_part.select(
-        F.col("_part").alias("part"),
-        F.concat(F.when(F.col("_part") > first, F.lit(", ")).otherwise(F.lit("")), "titles").alias("text"),
+    frame = totals.select(
+        F.inline(F.when(F.col("first").isNull(), empty).otherwise(F.array(head, tail)))
     )
-    return head.unionByName(body).unionByName(tail)
+    joint = F.when(F.col("_part") > per_part.agg(F.min("_part")).scalar(), F.lit(", ")).otherwise(F.lit(""))
+    body = per_part.select(F.col("_part").alias("part"), F.concat(joint, "titles").alias("text"))
+    return frame.unionByName(body)
 
 
 def ingest_summary(results: DataFrame, stats: DataFrame) -> DataFrame:

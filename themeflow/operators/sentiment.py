@@ -204,7 +204,8 @@ def top_terms(
     """Most frequent words counted as positive and as negative: ``side, rank, token, n``."""
     # Two selects: columns selected next to an explode are evaluated once per exploded row.
     found = posts.select(post_order().alias("post_order"), term_hits("text", lexicon).alias("found"))
-    rows = found.select("post_order", F.inline("found"))
+    # Outer, because the inner form filters on the size at the scan and splits each text twice.
+    rows = found.select("post_order", F.inline_outer("found")).filter(F.col("token").isNotNull())
     counted = rows.groupBy("polarity", "token").agg(
         F.count("*").alias("n"),
         F.min(order_in_post(F.col("post_order"), F.col("position"))).alias("first_met"),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK_MEMBERS = 100_000
+BROADCAST_ROWS = 20_000
 SALTS = 64
 
 
@@ -29,20 +30,32 @@ def salted_left_join(
     Rows of a hot key are spread over ``salts`` tasks by ``spread_by``; the unique side is
     repeated once per salt, so keep it small (here: only the keys that need it).
     """
+    every_salt = F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")
     salted = many.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)))
-    repeated = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
+    repeated = one.withColumn("_salt", F.explode(every_salt))
     return salted.join(repeated, [key, "_salt"], "left").drop("_salt")
 
 
 def assign_chunks(
     members: DataFrame, sizes: DataFrame, key: str, member: str,
-    chunk_members: int = CHUNK_MEMBERS,
+    chunk_members: int = CHUNK_MEMBERS, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Add ``chunk`` to ``members``.  ``sizes`` holds one row per key with ``n_posts``."""
+    """Add ``chunk`` to ``members``.  ``sizes`` holds one row per key with ``n_posts``.
+
+    The keys that need more than one chunk are counted first: with none there is nothing to
+    join, up to ``broadcast_rows`` of them are broadcast, and more are met by a salted join.
+    """
     large = sizes.filter(F.col("n_posts") > chunk_members).select(
         key, chunks_for(F.col("n_posts"), chunk_members).alias("_chunks")
     )
-    joined = salted_left_join(members, large, key, member)
+    counted = large.limit(broadcast_rows + 1).collect()
+    if not counted:
+        return members.withColumn("chunk", F.lit(0).cast("long"))
+    if len(counted) <= broadcast_rows:
+        small = members.sparkSession.createDataFrame(counted, large.schema)
+        joined = members.join(F.broadcast(small), key, "left")
+    else:
+        joined = salted_left_join(members, large, key, member)
     chunks = F.coalesce("_chunks", F.lit(1).cast("long"))
     return joined.withColumn("chunk", chunk_of(F.col(member), chunks)).drop("_chunks")
 

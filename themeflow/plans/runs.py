@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from themeflow.constants import MAX_KEYWORDS, MIN_CLUSTER_SIZE
 from themeflow.functions.core import hours_before
-from themeflow.operators import cluster, lifecycle, scoring, search, sentiment
+from themeflow.operators import cluster, lifecycle, scoring, search, sentiment, store
 from themeflow.operators.sentiment import DEFAULT_LEXICON, Lexicon
 from themeflow.operators.staging import stage
 from themeflow.sources import forum, news, podcast, tables, tweets
@@ -111,6 +111,17 @@ def ingest(landed: dict[str, DataFrame], config: IngestConfig, as_of: Column | d
     return tables.unify(parts) if parts else None
 
 
+def load(
+    incoming: DataFrame, stored: DataFrame | None, arrival: str
+) -> tuple[DataFrame, DataFrame]:
+    """Rows to append to the store and the load report.
+
+    Both read the batch, so it is staged and its texts are normalised once.
+    """
+    batch = stage(incoming, "incoming")
+    return store.new_posts(batch, stored, arrival), store.load_report(batch, stored, arrival)
+
+
 @dataclass(frozen=True)
 class Analysis:
     clusters: DataFrame

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeflow.constants import PODCAST_TEXT_CHARS, POST_DIGEST_CHARS
-from themeflow.functions.core import digest_id, instant, or_else, strip
+from themeflow.functions.core import digest_id, instant, or_else, strip, with_computed
 from themeflow.functions.dates import parse_rfc2822
 from themeflow.functions.text import cashtags, hashtags, markup_to_text
 from themeflow.sources.forum import tag_set
@@ -60,9 +60,10 @@ def normalise(entries: DataFrame, collected_at: Column | datetime) -> DataFrame:
     """
     guid = or_else(F.col("id"), or_else(F.col("guid"), F.nullif(F.col("link"), F.lit(""))))
     show = or_else(F.col("show_name"), "unknown")
+    identified = entries.withColumn("_guid", guid).filter(F.col("_guid").isNotNull())
     parsed = (
-        entries.withColumns({"_guid": guid, "_text": transcript_text()})
-        .filter(F.col("_guid").isNotNull() & (F.col("_text") != ""))
+        with_computed(identified, "_text", transcript_text())
+        .filter(F.col("_text") != "")
         .withColumn("_audio", audio_url())
     )
     seed = F.concat_ws(":", "feed_url", "_guid")
