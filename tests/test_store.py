@@ -35,6 +35,8 @@ def test_look_ups(make_posts):
     assert store.post_by_id(posts, "1").count() == 1
     assert store.post_by_id(posts, "4").count() == 0
     assert store.post_by_id(posts, "x").count() == 0
+    assert store.tweet_by_id(posts, "1").count() == 1
+    assert store.tweet_by_id(posts, "5").count() == 0
     # The unknown platform takes a place of the limit.
     assert [r.id for r in store.unprocessed(posts, 3).collect()] == ["1", "5"]
     assert [r.id for r in store.unprocessed(posts, 10, "twitter").collect()] == ["1", "2"]

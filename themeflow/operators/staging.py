@@ -8,20 +8,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_ROOTS: dict[str, tempfile.TemporaryDirectory] = {}
+
+
 def staging_root(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``.
 
     A local session (tests) without the setting gets its own temporary folder; a cluster session
     must name one, because a machine-local folder dies with its executor.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root:
         return root
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="themeflow-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if context.applicationId not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[context.applicationId] = tempfile.TemporaryDirectory(
+            prefix="themeflow-", ignore_cleanup_errors=True
+        )
+    return _LOCAL_ROOTS[context.applicationId].name
 
 
 def staging_path(spark: SparkSession, name: str) -> str:

@@ -68,6 +68,11 @@ def post_by_id(posts: DataFrame, post_id: str) -> DataFrame:
     return posts.filter((F.col("id") == post_id) & F.col("platform").isin(*PLATFORMS))
 
 
+def tweet_by_id(posts: DataFrame, post_id: str) -> DataFrame:
+    """The tweet of that id; no row for a post of another platform."""
+    return post_by_id(posts, post_id).filter(F.col("platform") == "twitter")
+
+
 def unprocessed(posts: DataFrame, limit: int = 100, platform: str | None = None) -> DataFrame:
     """Newest unprocessed posts.  Unknown platforms use up the limit but are not returned."""
     waiting = posts.filter(~F.col("processed"))

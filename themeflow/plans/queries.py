@@ -16,7 +16,7 @@ from themeflow.constants import POST_DIGEST_CHARS
 from themeflow.functions import dates, text
 from themeflow.functions.core import digest_id, hours_before
 from themeflow.operators import (
-    cluster, lifecycle, reports, scoring, search, sentiment, store,
+    cluster, lifecycle, reports, scoring, search, sentiment, skew, store,
 )
 from themeflow.operators.staging import stage, staging_path
 from themeflow.plans import fixtures, runs
@@ -578,20 +578,19 @@ def sentiment_report(spark, sf_dir):
 # --- lifecycle ----------------------------------------------------------------------------
 
 
-def author_themes(posts: DataFrame) -> DataFrame:
-    """One theme per author, so that ids stay while members change between batches."""
-    profile = posts.groupBy("author_id").agg(
+def author_themes(posts: DataFrame, *slices: str) -> DataFrame:
+    """One theme per author (and slice), so that ids stay while members change between batches."""
+    keyed = posts.withColumn("theme", F.concat_ws("/", *slices, "author_id"))
+    profile = keyed.groupBy("theme", "author_id", *slices).agg(
         F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"),
         F.count("*").alias("n_posts"), F.sum("likes").alias("likes"),
     )
-    # An author posts a bounded number of times per batch; ids are still digested per chunk.
-    pairs = posts.select("author_id", F.col("id").alias("post_id"))
-    sizes = profile.select("author_id", "n_posts")
-    digests = lifecycle.digest_members(
-        lifecycle.assign_chunks(pairs, sizes, "author_id", "post_id"), "author_id", "post_id"
-    )
+    pairs = keyed.select("theme", F.col("id").alias("post_id"))
+    chunked = skew.assign_chunks(pairs, profile.select("theme", "n_posts"), "theme", "post_id")
+    digests = skew.digest_members(chunked, "theme", "post_id")
     score = F.round(F.col("likes") / F.col("n_posts") / 1000, 4)
-    return profile.join(digests, "author_id").select(
+    return profile.join(digests, "theme").select(
+        *slices,
         F.concat(F.lit("nar_"), "author_id").alias("id"),
         F.concat("author_id", F.lit(" momentum")).alias("name"),
         F.concat(F.lit("Posts of "), "author_id").alias("description"),
@@ -607,17 +606,22 @@ def author_themes(posts: DataFrame) -> DataFrame:
 STALE_AFTER = 12
 
 
-def _runs(spark, sf_dir) -> list[tuple[DataFrame, Column]]:
-    """Posts of three equal time slices as ``(themes, clock)``; the second slice runs twice."""
+def _slices(spark, sf_dir) -> DataFrame:
+    """Posts of three equal time slices, without their texts."""
     posts = fixtures.posts(spark, sf_dir).select("id", "author_id", "created_at", "likes")
     micros = F.unix_micros("created_at")
     low, high = posts.agg(F.min(micros)).scalar(), posts.agg(F.max(micros)).scalar()
     part = F.least(F.floor((micros - low) * 3 / (high - low)), F.lit(2))
-    sliced = stage(posts.withColumn("slice", part), "slices")
+    return posts.withColumn("slice", part)
+
+
+def _runs(spark, sf_dir) -> list[tuple[DataFrame, Column]]:
+    """Themes of the time slices with their clocks; the second slice runs twice."""
+    themes = stage(author_themes(_slices(spark, sf_dir), "slice"), "themes")
     batches = []
     for number in (0, 1, 1, 2):
-        batch = sliced.filter(F.col("slice") == number)
-        batches.append((author_themes(batch), fixtures.latest(batch)))
+        batch = themes.filter(F.col("slice") == number)
+        batches.append((batch.drop("slice"), batch.agg(F.max("last_seen")).scalar()))
     return batches
 
 
@@ -743,16 +747,13 @@ def stream_windowed_velocity(spark, sf_dir):
 def stream_lifecycle_events(spark, sf_dir):
     """The lifecycle of three time slices, one slice per batch."""
     path, out = staging_path(spark, "slices"), staging_path(spark, "lifecycle")
-    posts = fixtures.posts(spark, sf_dir).select("id", "author_id", "created_at", "likes")
-    micros = F.unix_micros("created_at")
-    low, high = posts.agg(F.min(micros)).scalar(), posts.agg(F.max(micros)).scalar()
-    part = F.least(F.floor((micros - low) * 3 / (high - low)), F.lit(2))
-    sliced = stage(posts.withColumn("slice", part), "slices")
+    sliced = stage(_slices(spark, sf_dir), "slices")
+    schema = sliced.drop("slice").schema
     log_path = f"{out}-checkpoint"
     for number in range(3):
         # A batch lands, the stream takes it up from its checkpoint, and ends.
         sliced.filter(F.col("slice") == number).drop("slice").write.mode("append").parquet(path)
-        stream = spark.readStream.schema(posts.schema).parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
         _run_to_end(
             stream_lifecycle.lifecycle_stream(stream, out, log_path, author_themes, STALE_AFTER)
         )
