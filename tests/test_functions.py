@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +28,14 @@ def test_tokens(spark):
     ]
 
 
+def test_letters_that_lower_to_latin_ones_split_sentiment_words_only(spark):
+    rows = ["ta\u212aen b\u0130gger"]
+    sentiment = [t.lower() for t in re.findall("[A-Za-z][A-Za-z0-9_]{1,}", rows[0])]
+    keywords = re.findall("[A-Za-z][A-Za-z0-9_]{2,}", rows[0].lower())
+    assert values(spark, rows, text.sentiment_tokens("text")) == [sentiment]
+    assert values(spark, rows, text.keyword_tokens("text")) == [keywords]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_dominant_word_is_the_most_common_then_the_first(spark, seed):
     rng = random.Random(seed)

@@ -28,10 +28,14 @@ from themeflow.operators.sentiment import (
 from themeflow.operators.skew import CHUNK_MEMBERS, assign_chunks, digest_members, per_chunk_rows
 
 
-def group_key() -> Column:
-    """``tag:`` and the set of tags, or ``kw:`` and the dominant keyword of the text."""
+def group_key(words: Column | None = None) -> Column:
+    """``tag:`` and the set of tags, or ``kw:`` and the dominant keyword of the text.
+
+    ``words`` are the keyword tokens of the text where they are at hand already.
+    """
     tags = F.sort_array(F.array_distinct(upper_tags("cashtags")))
-    by_word = F.concat(F.lit("kw:"), F.coalesce(dominant_word(keyword_tokens("text")), F.lit("misc")))
+    words = keyword_tokens("text") if words is None else words
+    by_word = F.concat(F.lit("kw:"), F.coalesce(dominant_word(words), F.lit("misc")))
     return F.when(
         F.size(tags) > 0, F.concat(F.lit("tag:"), F.array_join(tags, "+"))
     ).otherwise(by_word)
@@ -82,11 +86,10 @@ def _ranked_items(rows: DataFrame, limit: int) -> DataFrame:
 
 def top_keywords(posts: DataFrame, limit: int = MAX_KEYWORDS) -> DataFrame:
     """``key, rank, item, n`` from a second pass over the texts."""
-    # Two selects: columns selected next to an explode are evaluated once per exploded row.
-    tokens = posts.select(
-        group_key().alias("key"),
-        post_order().alias("post_order"),
-        keyword_tokens("text").alias("tokens"),
+    split = posts.select("id", "created_at", "cashtags", keyword_tokens("text").alias("tokens"))
+    # Apart from the explode: columns selected next to it are evaluated once per exploded row.
+    tokens = split.select(
+        group_key(F.col("tokens")).alias("key"), post_order().alias("post_order"), "tokens"
     )
     # The outer form, because the inner one makes Spark filter on ``size(tokens) > 0`` at the
     # scan, which splits every text a second time.

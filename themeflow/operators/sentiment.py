@@ -44,14 +44,14 @@ DEFAULT_LEXICON = Lexicon()
 def _polarity(token: Column, previous: Column, lexicon: Lexicon) -> Column:
     """1 positive, -1 negative, 0 neither; a negation right before the word flips it.
 
-    A word in both lists counts as positive.
+    A word in both lists counts as positive.  Most words are in neither, so the first test
+    settles them.
     """
-    plain = (
-        F.when(token.isin(lexicon.positive_words), F.lit(1))
-        .when(token.isin(lexicon.negative_words), F.lit(-1))
-        .otherwise(F.lit(0))
-    )
-    return F.when(previous.isin(*NEGATIONS), -plain).otherwise(plain)
+    words = sorted({*lexicon.positive_words, *lexicon.negative_words})
+    sign = F.when(token.isin(lexicon.positive_words), F.lit(1)).otherwise(F.lit(-1))
+    return F.when(
+        token.isin(words), F.when(previous.isin(*NEGATIONS), -sign).otherwise(sign)
+    ).otherwise(F.lit(0))
 
 
 def sentiment_hits(text: Column | str, lexicon: Lexicon = DEFAULT_LEXICON) -> Column:
