@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from themeflow.operators import cluster, search, sentiment, skew, store
+from themeflow.operators import cluster, ranking, search, sentiment, skew, store
 from themeflow.schemas import MEMBERSHIP
 from tests.test_cluster import random_posts
 
@@ -90,3 +90,16 @@ def test_every_way_of_chunking_agrees(spark, broadcast_rows):
     usual = skew.digest_members(skew.assign_chunks(pairs, sizes, "narrative_id", "post_id", 10), "narrative_id", "post_id")
     assert digests == {r.narrative_id: r.members_digest for r in usual.collect()}
     assert chunked.count() == 328
+
+
+def test_limits_beyond_the_direct_one_cut_each_group_in_parts(spark):
+    rows = spark.range(4000).select("id", F.when(F.col("id") % 4 > 0, "hot").otherwise("cold").alias("g"))
+
+    def firsts(direct_limit):
+        found = ranking.first_per_group(rows, ["g"], [F.desc("id")], 1200, "id", "rank", direct_limit)
+        return found, sorted(tuple(r) for r in found.collect())
+
+    direct, expected = firsts(5000)
+    split, found = firsts(1000)
+    assert found == expected and len(found) == 2200
+    assert re.search(r"Exchange hashpartitioning\(_salt.*, g", plan(split))

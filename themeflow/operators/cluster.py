@@ -13,7 +13,6 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from themeflow.constants import (
     KEYWORD_LIMIT, MAX_CASHTAGS, MAX_KEYWORDS, MIN_CLUSTER_SIZE, THEME_DIGEST_CHARS,
@@ -22,6 +21,7 @@ from themeflow.functions.core import (
     engagement, exact_round, instant, order_in_post, post_order,
 )
 from themeflow.functions.text import dominant_word, keyword_tokens, title_case, upper_tags
+from themeflow.operators.ranking import first_per_group
 from themeflow.operators.sentiment import (
     DEFAULT_LEXICON, Lexicon, score_units, weight_units, with_sentiment,
 )
@@ -76,12 +76,8 @@ def _ranked_items(rows: DataFrame, limit: int) -> DataFrame:
         F.count("*").alias("n"),
         F.min(order_in_post(F.col("post_order"), F.col("position"))).alias("first_met"),
     )
-    ranked = Window.partitionBy("key").orderBy(F.desc("n"), "first_met")
-    return (
-        counted.withColumn("rank", F.row_number().over(ranked))
-        .filter(F.col("rank") <= limit)
-        .select("key", "rank", "item", "n")
-    )
+    ranked = first_per_group(counted, ["key"], [F.desc("n"), "first_met"], limit, "item", "rank")
+    return ranked.select("key", "rank", "item", "n")
 
 
 def top_keywords(posts: DataFrame, limit: int = MAX_KEYWORDS) -> DataFrame:
@@ -261,11 +257,9 @@ Labeler = Callable[[list[str], list[str], list[str]], dict]
 
 def sample_texts(posts: DataFrame, per_key: int = 3) -> DataFrame:
     """A few newest texts per key for a labeler: ``key, samples``."""
-    newest = Window.partitionBy("key").orderBy("post_order")
+    texts = posts.select(group_key().alias("key"), post_order().alias("post_order"), "text")
     return (
-        posts.select(group_key().alias("key"), post_order().alias("post_order"), "text")
-        .withColumn("rank", F.row_number().over(newest))
-        .filter(F.col("rank") <= per_key)
+        first_per_group(texts, ["key"], ["post_order"], per_key, "post_order", "rank")
         .groupBy("key")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "text")))["text"].alias("samples"))
     )

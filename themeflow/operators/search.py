@@ -11,23 +11,16 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from themeflow.functions.core import hours_before, instant
 from themeflow.functions.text import contains_any
+from themeflow.operators.ranking import first_per_group
 
 # --- fixed values: names of the engagement thresholds and of the listing periods ----------
 THRESHOLD_COLUMNS = {"likes": "likes", "retweets": "reposts", "replies": "replies"}
 PERIOD_HOURS = {"hour": 1, "day": 24, "week": 7 * 24, "month": 30 * 24, "year": 365 * 24, "all": None}
 
 
-def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], limit: int) -> DataFrame:
-    ranked = Window.partitionBy(*group).orderBy(*order)
-    return (
-        df.withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= limit).drop("_rank")
-    )
-
-
 def engagement_filter(posts: DataFrame, thresholds: dict[str, int] | None) -> DataFrame:
     """Keep posts that reach every threshold given; unknown names are ignored."""
     for name, least in (thresholds or {}).items():
@@ -46,7 +39,7 @@ def capped_search(
         posts = posts.filter(F.col("created_at") >= instant(start))
     if end is not None:
         posts = posts.filter(F.col("created_at") <= instant(end))
-    return first_per_group(engagement_filter(posts, thresholds), [query], [arrival], max_results)
+    return first_per_group(engagement_filter(posts, thresholds), [query], [arrival], max_results, "id")
 
 
 def listing(
@@ -70,10 +63,7 @@ def listing(
         order = [F.col("rank"), F.col("id")]
     else:
         raise ValueError(f"invalid sort {sort!r}: use hot, new, top or rising")
-    ranked = Window.partitionBy("subreddit").orderBy(*order)
-    return submissions.withColumn("listing_rank", F.row_number().over(ranked)).filter(
-        F.col("listing_rank") <= limit
-    )
+    return first_per_group(submissions, ["subreddit"], order, limit, "id", "listing_rank")
 
 
 def search_subreddits(
@@ -99,7 +89,7 @@ def search_subreddits(
         & (F.col("score") >= min_upvotes)
         & (F.col("num_comments") >= min_comments)
     )
-    return first_per_group(found, ["subreddit"], ["listing_rank"], max_results)
+    return first_per_group(found, ["subreddit"], ["listing_rank"], max_results, "id")
 
 
 def news_window(
@@ -123,12 +113,12 @@ def news_window(
         order = [F.col("position"), F.col("id")]
     else:
         raise ValueError(f"invalid sort {sort_by!r}")
-    return first_per_group(found, ["query"], order, max_results)
+    return first_per_group(found, ["query"], order, max_results, "id")
 
 
 def first_entries(entries: DataFrame, max_episodes: int = 20) -> DataFrame:
     """First entries of each feed, before parsing; at least one."""
-    return first_per_group(entries, ["feed_url"], ["position"], max(max_episodes, 1))
+    return first_per_group(entries, ["feed_url"], ["position"], max(max_episodes, 1), "position")
 
 
 def episode_keywords(episodes: DataFrame, keywords: Sequence[str]) -> DataFrame:

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from themeflow.constants import (
     BEARISH_BELOW, BULLISH_ABOVE, HITS_FOR_FULL_SCORE, MAX_KEYWORDS, NEGATIONS, NEGATIVE_WORDS,
@@ -15,6 +14,7 @@ from themeflow.constants import (
 )
 from themeflow.functions.core import exact_round, let, order_in_post, post_order
 from themeflow.functions.text import sentiment_tokens
+from themeflow.operators.ranking import first_per_group
 
 # Scores have four decimals and weights two, so whole numbers hold both without error and their
 # sums do not depend on the order of addition.
@@ -210,12 +210,8 @@ def top_terms(
         F.count("*").alias("n"),
         F.min(order_in_post(F.col("post_order"), F.col("position"))).alias("first_met"),
     )
-    ranked = Window.partitionBy("polarity").orderBy(F.desc("n"), "first_met")
-    return (
-        counted.withColumn("rank", F.row_number().over(ranked))
-        .filter(F.col("rank") <= limit)
-        .select(
-            F.when(F.col("polarity") == 1, F.lit("positive")).otherwise(F.lit("negative")).alias("side"),
-            "rank", "token", "n",
-        )
+    ranked = first_per_group(
+        counted, ["polarity"], [F.desc("n"), "first_met"], limit, "token", "rank"
     )
+    side = F.when(F.col("polarity") == 1, F.lit("positive")).otherwise(F.lit("negative"))
+    return ranked.select(side.alias("side"), "rank", "token", "n")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from themeflow.constants import FALLBACK_TITLE_CHARS, PLATFORMS
+from themeflow.operators.ranking import first_per_group
 from themeflow.schemas import REQUIRED_POST_COLUMNS
 
 
@@ -24,12 +24,7 @@ def first_of_batch(incoming: DataFrame, arrival: str) -> DataFrame:
     Each task keeps one row per id before the shuffle, so copies of one post never meet in
     numbers, however many there are.
     """
-    earliest = Window.partitionBy("id").orderBy(arrival)
-    return (
-        incoming.withColumn("_rank", F.row_number().over(earliest))
-        .filter(F.col("_rank") == 1)
-        .drop("_rank")
-    )
+    return first_per_group(incoming, ["id"], [arrival], 1, "id")
 
 
 def new_posts(incoming: DataFrame, stored: DataFrame | None, arrival: str) -> DataFrame:

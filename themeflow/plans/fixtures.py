@@ -23,7 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Use every core on a table of fewer splits than cores; larger tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * 4) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
 
 
 def documents_with_events(spark: SparkSession, sf_dir: str) -> DataFrame:
