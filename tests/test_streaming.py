@@ -72,7 +72,7 @@ def test_windows_equal_the_velocity_at_their_end(spark, make_posts):
     posts = make_posts(
         *[{"id": str(i), "cashtags": ["BTC"], "minutes_ago": 61 * i + 1, "likes": 40 * i} for i in range(12)]
     )
-    windows = velocity.windowed_velocity(velocity.keyed(posts), 6, "1 hour")
+    windows = velocity.windowed_velocity(velocity.keyed(posts), 6)
     end = windows.filter(F.col("window_end") == F.lit(NOW)).first()
     narratives = spark.createDataFrame([("n",)], "id string")
     members = posts.select(F.lit("n").alias("narrative_id"), F.lit(0).cast("long").alias("chunk"), F.col("id").alias("post_id"))

@@ -39,7 +39,7 @@ def corpus_summary(
 ) -> DataFrame:
     """Text summary of a corpus as ``part, text``; the texts joined in part order are the summary.
 
-    ``documents`` has ``title``, ``content`` and a whole-number ``position``.  The title list
+    ``documents`` has ``title``, ``content`` and a unique whole-number ``position``.  The title list
     grows with the corpus, so it is written in parts of consecutive positions.  The texts are
     read once, into the staged parts.
     """

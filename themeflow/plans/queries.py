@@ -734,7 +734,7 @@ def stream_windowed_velocity(spark, sf_dir):
     end.write.mode("append").parquet(path)
     schema = stream_velocity.keyed(posts).schema
     stream = spark.readStream.schema(schema).parquet(path)
-    windows = stream_velocity.windowed_velocity(stream, 24, "6 hours")
+    windows = stream_velocity.windowed_velocity(stream, 24, 6)
     _run_to_end(
         windows.writeStream.format("parquet").outputMode("append")
         .option("path", out).option("checkpointLocation", f"{out}-checkpoint")

@@ -22,17 +22,18 @@ def normalise(pages: DataFrame, collected_at: Column | datetime) -> DataFrame:
     The author is looked up among the users of the same page, so no join is needed.  Tweets
     without id, text or a readable date are dropped.
     """
-    users = F.coalesce(
-        F.col("includes.users"), F.array().cast("array<struct<id: string, username: string>>")
-    )
-    tweets = pages.select(
-        "query", "page", users.alias("users"), F.posexplode("data").alias("position", "tweet")
-    )
     author_id = F.coalesce("tweet.author_id", F.lit(""))
-    # Of users listed twice the last one counts.
-    author = F.try_element_at(
-        F.filter("users", lambda user: user["id"] == author_id), F.lit(-1)
-    )
+
+    def with_username(tweet: Column) -> Column:
+        same = F.filter("includes.users", lambda user: user["id"] == tweet["author_id"])
+        # Of users listed twice the last one counts.
+        username = F.try_element_at(same, F.lit(-1))["username"]
+        return F.struct(tweet.alias("tweet"), username.alias("username"))
+
+    # Authors are found before the explode, so that no row carries the users of its page.
+    tweets = pages.select(
+        "query", "page", F.posexplode(F.transform("data", with_username)).alias("position", "found")
+    ).select("query", "page", "position", "found.*")
 
     def metric(name: str) -> Column:
         return F.coalesce(F.col(f"tweet.public_metrics.{name}"), F.lit(0))
@@ -49,7 +50,7 @@ def normalise(pages: DataFrame, collected_at: Column | datetime) -> DataFrame:
         F.col("tweet.id").alias("id"),
         F.lit("twitter").alias("platform"),
         author_id.alias("author_id"),
-        F.coalesce(author["username"], F.lit("unknown")).alias("author_username"),
+        F.coalesce("username", F.lit("unknown")).alias("author_username"),
         F.col("tweet.text").alias("text"),
         parse_iso("tweet.created_at").alias("created_at"),
         metric("like_count").alias("likes"),

@@ -15,18 +15,26 @@ def keyed(posts: DataFrame) -> DataFrame:
 
 
 def windowed_velocity(
-    keyed_posts: DataFrame, hours: int = WINDOW_HOURS, slide: str = "1 hour", delay: str = "1 hour"
+    keyed_posts: DataFrame, hours: int = WINDOW_HOURS, slide_hours: int = 1, delay: str = "1 hour"
 ) -> DataFrame:
     """``key, window_start, window_end, posts, velocity_score`` per sliding window.
 
-    Works on streams and tables.  State holds one row per key and open window; rows later than
-    the watermark are dropped by a stream.
+    Works on streams and tables.  Posts are summed per slide first and only those sums are copied
+    into the windows they belong to, not every post ``hours / slide_hours`` times.  State holds
+    one row per key and open slide or window; a stream drops rows later than the watermark.
     """
     check_window(hours)
-    return (
+    if hours % slide_hours:
+        raise ValueError("the window must be a whole number of slides")
+    per_slide = (
         keyed_posts.withWatermark("created_at", delay)
-        .groupBy(F.window("created_at", f"{hours} hours", slide), "key")
+        .groupBy(F.window("created_at", f"{slide_hours} hours"), "key")
         .agg(F.count("*").alias("posts"), F.sum("engagement").alias("engagement"))
+    )
+    sliding = F.window(F.window_time("window"), f"{hours} hours", f"{slide_hours} hours")
+    return (
+        per_slide.groupBy(sliding, "key")
+        .agg(F.sum("posts").alias("posts"), F.sum("engagement").alias("engagement"))
         .select(
             "key",
             F.col("window.start").alias("window_start"),
