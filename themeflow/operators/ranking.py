@@ -34,4 +34,4 @@ def first_per_group(
         salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)))
         df = cut(salted, ["_salt", *group]).drop(name, "_salt")
     found = cut(df, group)
-    return found if rank else found.drop(name)
+    return found.withColumn(rank, F.col(rank).cast("long")) if rank else found.drop(name)
