@@ -104,9 +104,9 @@ def dominant_word(words: Column) -> Column:
 
 
 def markup_to_text(markup: Column | str) -> Column:
-    """Tags become blanks, blanks collapse, ends are trimmed."""
+    """Tags become blanks, blanks collapse to single spaces, ends are trimmed."""
     spaced = F.regexp_replace(col(markup), MARKUP, " ")
-    return strip(F.regexp_replace(spaced, rf"[{BLANK}]+", " "))
+    return F.trim(F.regexp_replace(spaced, rf"[{BLANK}]+", " "))
 
 
 def join_paragraphs(parts: Column) -> Column:
