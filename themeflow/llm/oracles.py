@@ -40,3 +40,34 @@ SELECT l.doc_id, CAST(len(w) AS BIGINT) AS n_words,
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM lowered l LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+ORACLES["op2_line_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL
+), lined AS (
+  SELECT doc_id, source, i - 1 AS pos, lines[i] AS line,
+         regexp_matches(lines[i], '[^\x20\x09-\x0D]') AS wordy,
+         trim(lines[i], chr(32) || chr(9) || chr(11) || chr(12) || chr(13)) AS norm
+  FROM split, unnest(generate_series(1, len(lines))) AS t(i)
+), spread AS (
+  SELECT norm, min(doc_id) AS first_id FROM lined WHERE wordy
+  GROUP BY norm HAVING count(DISTINCT source) >= 10
+), hits AS (
+  SELECT l.doc_id, l.pos, l.norm, s.first_id FROM lined l JOIN spread s USING (norm) WHERE l.wordy
+), firsts AS (
+  SELECT norm, first_id AS doc_id, min(pos) AS pos FROM hits WHERE doc_id = first_id GROUP BY ALL
+), drops AS (
+  SELECT DISTINCT doc_id, pos FROM hits
+  WHERE NOT EXISTS (SELECT 1 FROM firsts f
+    WHERE f.norm = hits.norm AND f.doc_id = hits.doc_id AND f.pos = hits.pos)
+), kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text
+  FROM lined ANTI JOIN drops USING (doc_id, pos) GROUP BY doc_id
+), gone AS (
+  SELECT doc_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS removed
+  FROM drops GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(coalesce(g.n, 0) AS BIGINT) AS n_removed, coalesce(g.removed, '') AS removed,
+       CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
+FROM documents d LEFT JOIN kept k USING (doc_id) LEFT JOIN gone g USING (doc_id)
+"""

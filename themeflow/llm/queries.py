@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeflow.llm import decontaminate, quality_rules
+from themeflow.llm import decontaminate, line_dedup, quality_rules
 from themeflow.llm.text import table
 
 
@@ -25,6 +25,16 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), removed_col="removed")
+    return found.select(
+        "doc_id",
+        F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed"),
+        "text",
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = quality_rules.judged(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -42,6 +52,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op9_decontaminate": op9_decontaminate,
 }
