@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeflow.llm import decontaminate, line_dedup, quality_rules, simhash
+from themeflow.llm import decontaminate, line_dedup, packing, quality_rules, simhash
 from themeflow.llm.text import table
 
 
@@ -34,6 +34,11 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = packing.pack(table(spark, sf_dir, "documents"))
+    return found
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), removed_col="removed")
     return found.select(
@@ -61,6 +66,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op8_simhash": op8_simhash,
