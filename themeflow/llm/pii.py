@@ -153,11 +153,15 @@ def segment_features(region: Region, i: int, j: int) -> list[str]:
     signs = sorted({t for t in tokens if not t.isalnum() and not t.isspace()})
     left = region.tokens[i - 1] if i else (region.before[-1:] or "^")
     right = region.tokens[j] if j < len(region.tokens) else (region.after or "$")
-    out = [
+    address = "@" in text or "at" in tokens
+    numbers = [
         f"digits={min(digits, 20)}",
         f"groups={min(len(groups), 7)}",
         "shape=" + "-".join(str(min(len(g), 6)) for g in groups[:6]),
         f"letters={min(letters, 3)}",
+    ]
+    out = [
+        *([] if address else numbers),
         "signs=" + "".join(signs)[:6],
         "gap" if any(t.isspace() for t in tokens) else "solid",
         f"first={_class(tokens[0])}",
@@ -165,7 +169,7 @@ def segment_features(region: Region, i: int, j: int) -> list[str]:
         f"left={_class(left)}",
         f"right={_class(right)}",
     ]
-    if "@" in text or "at" in tokens:
+    if address:
         out.append("at" if "at" in tokens else "@")
         tail = tokens[-1]
         out.append(f"tail={'tld' if tail.isalpha() and 2 <= len(tail) <= 4 else _class(tail)}")
@@ -311,6 +315,8 @@ def _variants(kind: int, text: str, dice: random.Random) -> list[str]:
     """``text`` and other common forms of the same entity."""
     digits = _digits(text)
     if kind == 0:
+        if dice.random() < 0.5:  # addresses of a corpus may all have digits; others don't
+            text = re.sub("[0-9]+", "", text).replace(".@", "@")
         local, _, host = text.partition("@")
         return [
             text,
