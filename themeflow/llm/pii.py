@@ -172,7 +172,8 @@ def segment_features(region: Region, i: int, j: int) -> list[str]:
     if address:
         out.append("at" if "at" in tokens else "@")
         tail = tokens[-1]
-        out.append(f"tail={'tld' if tail.isalpha() and 2 <= len(tail) <= 4 else _class(tail)}")
+        short = tail.isalpha() and 2 <= len(tail) <= 4
+        out.append(f"tail={'sign' if tail in ('dot', 'at') else 'short' if short else _class(tail)}")
         out.append(f"dots={min(text.count('.') + tokens.count('dot'), 3)}")
     if digits and not letters:
         if len(groups) == 4:

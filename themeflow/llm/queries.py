@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeflow.llm import decontaminate, line_dedup, packing, pii, quality_qda, quality_rules
+from themeflow.llm import decontaminate, line_dedup, maxent_lm, packing, pii, quality_qda, quality_rules
 from themeflow.llm import repeats, secret_scan, simhash
 from themeflow.llm.text import table
 
@@ -19,6 +19,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     return found.select(
@@ -99,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_pii": op4_pii,
+    "op5_maxent_lm": op5_maxent_lm,
     "op6_secret_scan": op6_secret_scan,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_simhash": op8_simhash,
