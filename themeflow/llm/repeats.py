@@ -34,10 +34,12 @@ GRAM = 20
 #: Longest stretch in windows; longer runs (periodic text) are cut.
 STRETCH = 64
 #: Bytes of text scanned at once, and per bucket of stretches.
-PIECE = 1 << 20
-BUCKET_BYTES = 32 << 20
+PIECE = 1 << 18
+BUCKET_BYTES = 12 << 20
+#: Stretches that a task holds before it folds and sends them.
+FLUSH = 1 << 19
 #: Stretches per task of the suffix arrays; a hash with more than ``CROWD`` is settled by windows.
-TASK_STRETCHES = 20_000
+TASK_STRETCHES = 10_000
 CROWD = 5_000
 NO_ID = (1 << 63) - 1
 
@@ -110,7 +112,8 @@ def _piece(data: bytes, at: int, min_bytes: int, gram: int, longest: int):
         size = np.minimum(longest, whole - inner * longest)
     last = first + size + min_bytes - 1
     content = _mixed((sums[last] - sums[first]) * _POWERS.up[first] + size.astype(np.uint64))
-    return low[first], content, first + at, size
+    # 48 bits: the bucket hash adds 64 more wherever contents are compared.
+    return low[first], content & _U((1 << 48) - 1), first + at, size
 
 
 # Step 1: stretches, packed by bucket.
@@ -202,7 +205,7 @@ def _scan(buckets: int, min_bytes: int, gram: int):
                      "tag": np.full(len(m), tag.as_py()), "s": s, "r": r}
                 )
                 held += len(m)
-                if held >= 1 << 20:
+                if held >= FLUSH:
                     yield batch_of(list(flush(parts, number)))
                     parts, held, number = [], 0, number + 1
         if parts:
@@ -372,7 +375,8 @@ def _fetched(min_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
-            for id_, tag, text, wanted in zip(*(batch.column(k).to_pylist() for k in ("__id", "__tag", "__text", "wanted"))):
+            for values in zip(*(batch.column(k) for k in ("__id", "__tag", "__text", "wanted"))):
+                id_, tag, text, wanted = (v.as_py() for v in values)
                 data = text.encode("utf-8", "surrogatepass")
                 for w in wanted:
                     begin = w["start"]
@@ -524,10 +528,8 @@ def remove_repeats(
             flat, offsets = lists.values, lists.offsets.to_numpy()
             begins = flat.field("start").to_numpy(zero_copy_only=False)
             ends = begins + flat.field("length").to_numpy(zero_copy_only=False)
-            for i, (id_, text) in enumerate(
-                zip(batch.column("__id").to_pylist(), batch.column("__text").to_pylist())
-            ):
-                data = text.encode("utf-8", "surrogatepass")
+            for i, (id_, text) in enumerate(zip(batch.column("__id"), batch.column("__text"))):
+                id_, data = id_.as_py(), text.as_py().encode("utf-8", "surrogatepass")
                 a, b = offsets[i], offsets[i + 1]
                 runs = removed_runs(begins[a:b], ends[a:b])
                 kept, at = [], 0
