@@ -27,7 +27,7 @@ def test_groups_by_tag_set(make_posts):
     assert len(row) == 1
     assert row[0].key == "tag:BTC" and row[0].cashtags == ["BTC"] and row[0].n_posts == 2
     assert row[0].confidence == 0.65
-    assert row[0].id == "nar_" + hashlib.sha1(b"1|2").hexdigest()[:12]
+    assert row[0].id == theme_id(["1", "2"])
     assert row[0].name == "$BTC narrative momentum"
     assert {r.key for r in cluster.group_keys(posts).collect()} == {"tag:BTC", "tag:ETH", "tag:BTC+ETH"}
 
@@ -59,6 +59,12 @@ def test_time_bounds(make_posts):
     assert clusters(posts).first().last_seen == (NOW - timedelta(minutes=30)).replace(tzinfo=None)
 
 
+def theme_id(ids):
+    digests = [hashlib.sha1(i.encode()).hexdigest() for i in ids]
+    sums = [sum(int(d[i : i + 10], 16) for d in digests) for i in range(0, 40, 10)]
+    return "nar_" + hashlib.sha1("|".join(map(str, [len(ids), *sums])).encode()).hexdigest()[:12]
+
+
 def loop_over(posts):
     """Themes by plain loops, newest post first."""
     def words(p):
@@ -73,11 +79,10 @@ def loop_over(posts):
     for key, members in groups.items():
         if len(members) < 2:
             continue
-        ids = sorted(p["id"] for p in members)
         word_counts = Counter(w for p in members for w in words(p))
         tag_counts = Counter(t.upper() for p in members for t in p["cashtags"] if t)
         found[key] = (
-            "nar_" + hashlib.sha1("|".join(ids).encode()).hexdigest()[:12],
+            theme_id([p["id"] for p in members]),
             [w for w, _ in word_counts.most_common(8)],
             [t for t, _ in tag_counts.most_common(5)],
             len({p["author"] for p in members}),
@@ -119,25 +124,50 @@ def test_membership_and_order(make_posts):
     assert order == sorted(order, reverse=True)
 
 
-def test_large_groups_are_digested_in_chunks(make_posts):
+def test_ids_and_documents_do_not_depend_on_layout(spark, make_posts):
     posts = make_posts(*random_posts(3))
     assigned = cluster.assign(posts)
-    whole = {r.key: r for r in cluster.cluster(posts, assigned).collect()}
-    found = cluster.cluster(posts, assigned, chunk_members=10)
-    chunked = {r.key: r for r in found.collect()}
-    assert set(whole) == set(chunked)
-    for key, row in chunked.items():
-        assert row.n_chunks == -(-row.n_posts // 10)
-        # Small groups keep the plain digest.
-        assert (row.id == whole[key].id) == (row.n_chunks == 1)
-    members = cluster.membership(assigned, found, 10)
-    assert members.count() == sum(r.n_posts for r in whole.values())
-    assert members.select("post_id").distinct().count() == members.count()
-    again = {r.key: r.id for r in cluster.cluster(posts.repartition(7), assigned.repartition(3), chunk_members=10).collect()}
-    assert again == {key: row.id for key, row in chunked.items()}
-    documents = reports.narrative_documents(cluster.as_narratives(found), members)
-    per_theme = {r.id: r["count"] for r in documents.groupBy("id").count().collect()}
-    assert per_theme == {row.id: row.n_chunks for row in chunked.values()}
+    found = cluster.cluster(posts, assigned)
+    ids = {r.key: r.id for r in found.collect()}
+    sizes = {r.id: r.n_posts for r in found.collect()}
+    for partitions in (1, 7):
+        again = cluster.cluster(posts.repartition(partitions), assigned.repartition(partitions))
+        assert {r.key: r.id for r in again.collect()} == ids
+    documents = reports.narrative_documents(
+        cluster.as_narratives(found), cluster.membership(assigned, found)
+    )
+    counts = {(r.id, r.kind): r["count"] for r in documents.groupBy("id", "kind").count().collect()}
+    assert counts == {(i, "theme"): 1 for i in sizes} | {(i, "member"): n for i, n in sizes.items()}
+
+
+def test_a_member_changes_the_id(make_posts):
+    posts = [{"id": f"p{i}", "cashtags": ["btc"]} for i in range(5)]
+    first, = clusters(make_posts(*posts)).collect()
+    other, = clusters(make_posts(*posts[:-1], {"id": "q", "cashtags": ["btc"]})).collect()
+    fewer, = clusters(make_posts(*posts[:-1])).collect()
+    assert len({first.id, other.id, fewer.id}) == 3
+
+
+def test_rank(make_posts):
+    posts = make_posts(*random_posts(9, 200))
+    found = clusters(posts)
+    order = [r.id for r in cluster.ranked(found).collect()]
+    rows = sorted(cluster.with_rank(found, 3).collect(), key=lambda r: r["rank"])
+    assert [r["rank"] for r in rows] == list(range(1, len(order) + 1))
+    assert [r.id for r in rows] == order
+
+
+def test_the_labeler_runs_in_several_tasks(make_posts):
+    posts = make_posts(*[{"id": f"p{i}", "cashtags": [f"t{i % 20}"], "text": "some text"} for i in range(60)])
+    found = clusters(posts)
+
+    def labeler(texts, keywords, cashtags):
+        from pyspark import TaskContext
+
+        return {"name": str(TaskContext.get().partitionId()), "description": "d", "keywords": keywords}
+
+    rows = cluster.apply_labeler(found, cluster.sample_texts(posts, 2), labeler, 6).collect()
+    assert len(rows) == 20 and len({r.name for r in rows}) > 1
 
 
 def test_labeler_failures_fall_back(make_posts):
@@ -149,7 +179,7 @@ def test_labeler_failures_fall_back(make_posts):
     def labeler(texts, keywords, cashtags):
         return {"name": f"{cashtags[0]}: {texts[0]}", "description": "d", "keywords": keywords[:1]}
 
-    named = cluster.apply_labeler(clusters(posts), cluster.sample_texts(posts), labeler)
+    named = cluster.apply_labeler(clusters(posts), cluster.sample_texts(posts, 3), labeler, 2)
     rows = {r.key: (r.name, r.description, r.keywords, r.cashtags) for r in named.collect()}
     assert rows["tag:BTC"] == ("BTC: first btc", "d", ["first"], ["BTC"])
     assert rows["kw:etf"][0] == "Etf discussion cluster"

@@ -111,3 +111,32 @@ def test_reading_order(spark, make_posts):
     found = posts.select("id", order_in_post(post_order(), F.lit(7)).alias("o")).orderBy("o").collect()
     assert [row.id for row in found] == ["new", "old", "older"]
     assert all(int(row.o) % 10**8 == 7 for row in found)
+
+
+def test_dates_as_the_standard_parsers_read_them(spark):
+    from datetime import datetime
+
+    iso = {
+        "20260304T120000Z": datetime(2026, 3, 4, 12), "2026-03-04T12Z": datetime(2026, 3, 4, 12),
+        "2026-W10-3": datetime(2026, 3, 4), "2026W103T0630": datetime(2026, 3, 4, 6, 30),
+        "20260304": datetime(2026, 3, 4), "2026-03-04T12:30+01:00": datetime(2026, 3, 4, 11, 30),
+        "2026-W54": None, "2026-13-01": None, "soon": None, "": None,
+    }
+    assert dict(zip(iso, values(spark, list(iso), dates.parse_iso("text")))) == iso
+    mail = {
+        "Thu, 05 Mar 26 15:00:00 GMT": datetime(2026, 3, 5, 15), "5 Mar 1999 01:02:03 +0130": datetime(1999, 3, 4, 23, 32, 3),
+        "Fri, 05 Mar 99 15:00 EST": datetime(1999, 3, 5, 20), "Thu Mar  5 15:00:00 2026": datetime(2026, 3, 5, 15),
+        "Thu Mar 35 15:00:00 2026": None, "later": None,
+    }
+    assert dict(zip(mail, values(spark, list(mail), dates.parse_rfc2822("text")))) == mail
+
+
+def test_order_of_posts_before_the_epoch(spark):
+    rows = spark.sql(
+        "select id, cast(created_at as timestamp) created_at from values "
+        "('a', '1931-01-01'), ('b', '1969-12-31'), ('c', '2026-01-01'), ('d', '9999-12-31'), ('e', '0001-01-01') t(id, created_at)"
+    )
+    order = [r.id for r in rows.orderBy(post_order()).select("id").collect()]
+    assert order == ["d", "c", "b", "a", "e"]
+    far = rows.select(order_in_post(post_order(), F.lit(10**10)).alias("o")).collect()
+    assert all(r.o is not None for r in far)

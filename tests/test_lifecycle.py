@@ -106,14 +106,21 @@ def test_large_member_lists(spark):
     rows = [("n", ids), ("m", ids[::-1]), ("o", ids[:5])]
     narratives = spark.createDataFrame(rows, "id string, post_ids array<string>").select(
         "id", "post_ids", *[F.lit(None).cast(f.dataType).alias(f.name) for f in lifecycle.NARRATIVES
-                            if f.name not in ("id", "n_posts", "n_chunks", "members_digest")]
+                            if f.name not in ("id", "n_posts", "members_digest")]
     )
-    themes, members = lifecycle.from_post_lists(narratives, 10)
-    found = {r.id: (r.n_chunks, r.members_digest) for r in themes.collect()}
-    assert found["n"] == found["m"] and found["n"][0] == 10 and found["o"][0] == 1
+    themes, members = lifecycle.from_post_lists(narratives)
+    found = {r.id: r.members_digest for r in themes.collect()}
+    assert found["n"] == found["m"] != found["o"]
     assert members.count() == 195
 
 
+def test_repeated_ids_fail_in_the_merge(spark):
+    twice = batch(spark, START, ("a", "x", ["p"], 0.1), ("a", "x", ["p"], 0.1))
+    merged = lifecycle.reconcile(lifecycle.empty_state(spark), twice, START)
+    with pytest.raises(Exception, match="occurs more than once"):
+        merged.rows.collect()
+
+
 def test_a_tracking_run(spark, make_posts):
     posts = make_posts(*random_posts(5))
     merged, members, done = runs.track(posts, lifecycle.empty_state(spark), START)

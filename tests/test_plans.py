@@ -5,8 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from themeflow.operators import cluster, ranking, search, sentiment, skew, store
-from themeflow.schemas import MEMBERSHIP
+from themeflow.operators import cluster, ranking, search, sentiment, store
 from tests.test_cluster import random_posts
 
 
@@ -74,22 +73,23 @@ def test_no_cross_joins_and_no_python(posts):
         assert operator not in text
 
 
-def members(spark, sizes):
-    rows = [(key, 0, f"{key}-{i}") for key, n in sizes.items() for i in range(n)]
-    return spark.createDataFrame(rows, MEMBERSHIP).drop("chunk")
+def test_a_small_batch_leaves_the_store_in_place(spark, posts):
+    batch = posts.limit(20).withColumn("arrival", F.monotonically_increasing_id())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(store.known_ids(batch, posts))
+        assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+        assert "SortMergeJoin" in plan(store.known_ids(batch, posts, broadcast_bytes=0))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
 
+def test_the_summary_scans_the_store_once(posts):
+    from themeflow.operators import reports
 
-@pytest.mark.parametrize("broadcast_rows", [0, 1, 10])
-def test_every_way_of_chunking_agrees(spark, broadcast_rows):
-    pairs = members(spark, {"hot": 300, "warm": 25, "cold": 3})
-    sizes = pairs.groupBy("narrative_id").agg(F.count("*").alias("n_posts"))
-    chunked = skew.assign_chunks(pairs, sizes, "narrative_id", "post_id", 10, broadcast_rows)
-    counts = {r.narrative_id: r.n for r in chunked.groupBy("narrative_id").agg(F.count_distinct("chunk").alias("n")).collect()}
-    assert counts["cold"] == 1 and counts["warm"] <= 3 and 25 <= counts["hot"] <= 30
-    digests = {r.narrative_id: r.members_digest for r in skew.digest_members(chunked, "narrative_id", "post_id").collect()}
-    usual = skew.digest_members(skew.assign_chunks(pairs, sizes, "narrative_id", "post_id", 10), "narrative_id", "post_id")
-    assert digests == {r.narrative_id: r.members_digest for r in usual.collect()}
-    assert chunked.count() == 328
+    results = store.load_report(posts.withColumn("arrival", F.lit(1)), None, "arrival")
+    staged = results.sparkSession.createDataFrame(results.collect(), results.schema)
+    assert plan(reports.ingest_summary(staged, store.stats(posts))).count("FileScan") == 1
 
 
 def test_limits_beyond_the_direct_one_cut_each_group_in_parts(spark):

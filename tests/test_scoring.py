@@ -17,7 +17,7 @@ def case(spark, make_posts):
     ])
     narratives = spark.createDataFrame([("narr_1",), ("gone",)], "id string")
     members = spark.createDataFrame(
-        [("narr_1", 0, f"post_{i}") for i in range(5)] + [("gone", 0, "nowhere")], MEMBERSHIP
+        [("narr_1", f"post_{i}") for i in range(5)] + [("gone", "nowhere")], MEMBERSHIP
     )
     return narratives, members, posts
 

@@ -9,9 +9,9 @@ from themeflow.operators.sentiment import Lexicon
 from themeflow.schemas import MEMBERSHIP
 
 TEXTS = {
-    "Strong breakout and rally with huge inflow demand": (1.0, 5, 0, "bullish"),
-    "Major crash risk with panic selling and heavy outflow": (-1.0, 0, 3, "bearish"),
-    "not bullish anymore, this setup looks weak": (-0.6667, 0, 2, "bearish"),
+    "Surge and uptrend bring record gain and growth": (1.0, 5, 0, "bullish"),
+    "Lawsuit and fraud fear over the plunge": (-1.0, 0, 4, "bearish"),
+    "never resilient, only a slump ahead": (-0.6667, 0, 2, "bearish"),
     "higher-for-longer": (0.3333, 1, 0, "bullish"),
     "not a buy": (-0.3333, 0, 1, "bearish"),
     "isn't bullish": (0.3333, 1, 0, "bullish"),
@@ -57,14 +57,14 @@ def themes(spark, **members):
     narratives = spark.createDataFrame(
         [(name, 0.4, 0.2) for name in members], "id string, velocity_score double, saturation_score double"
     )
-    rows = [(name, 0, post_id) for name, ids in members.items() for post_id in ids]
+    rows = [(name, post_id) for name, ids in members.items() for post_id in ids]
     return narratives, spark.createDataFrame(rows, MEMBERSHIP)
 
 
 def test_theme_sentiment_weighs_engagement(spark, make_posts):
     posts = make_posts(
-        {"id": "1", "text": "Bullish breakout and strong demand", "likes": 300, "replies": -50},
-        {"id": "2", "text": "panic crash and sell pressure"},
+        {"id": "1", "text": "Surge with record support and gain", "likes": 300, "replies": -50},
+        {"id": "2", "text": "fraud and lawsuit bring a plunge"},
     )
     narratives, members = themes(spark, a=["1", "2", "missing"], twice=["1", "1", "2"], none=["missing"])
     rows = sentiment.theme_sentiment(narratives, members, posts).collect()

@@ -24,7 +24,11 @@ def test_load_report_counts_incomplete_rows_apart(spark, make_posts):
     stored = make_posts({"id": "3"})
     fresh, report = runs.load(broken, stored, "arrival")
     assert [r.id for r in fresh.collect()] == ["1"]
-    assert {tuple(r) for r in report.collect()} == {("twitter", 1, 1, 1), ("news", 0, 1, 0)}
+    assert {tuple(r) for r in report.drop("errors", "success", "started_at", "completed_at").collect()} == {("twitter", 1, 1, 1), ("news", 0, 1, 0)}
+    errors = {r.source: (r.errors, r.success) for r in report.collect()}
+    assert errors == {"twitter": (["1 rows without text"], True), "news": ([], True)}
+    wide = store.load_report(broken, stored, "arrival", configured=("twitter", "podcast"))
+    assert {(r.source, r.posts_stored, r.rejected) for r in wide.collect()} == {("twitter", 1, 1), ("podcast", 0, 0)}
 
 
 def test_look_ups(make_posts):

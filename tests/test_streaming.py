@@ -75,6 +75,20 @@ def test_windows_equal_the_velocity_at_their_end(spark, make_posts):
     windows = velocity.windowed_velocity(velocity.keyed(posts), 6)
     end = windows.filter(F.col("window_end") == F.lit(NOW)).first()
     narratives = spark.createDataFrame([("n",)], "id string")
-    members = posts.select(F.lit("n").alias("narrative_id"), F.lit(0).cast("long").alias("chunk"), F.col("id").alias("post_id"))
+    members = posts.select(F.lit("n").alias("narrative_id"), F.col("id").alias("post_id"))
     batch = scoring.velocity(narratives, members, posts, NOW, 6).first()
     assert (end.posts, end.velocity_score) == (6, batch.velocity_score)
+
+
+def test_window_edges(spark, make_posts):
+    """A window holds its start and not its end; the velocity at a clock the other way round."""
+    posts = make_posts({"id": "a", "cashtags": ["BTC"], "minutes_ago": 0}, {"id": "b", "cashtags": ["BTC"], "minutes_ago": 360})
+    windows = velocity.windowed_velocity(velocity.keyed(posts), 6)
+    ending = windows.filter(F.col("window_end") == F.lit(NOW)).first()
+    starting = windows.filter(F.col("window_start") == F.lit(NOW)).first()
+    assert (ending.posts, starting.posts) == (1, 1)
+    members = posts.select(F.lit("n").alias("narrative_id"), F.col("id").alias("post_id"))
+    one = scoring.velocity(spark.createDataFrame([("n",)], "id string"), members, posts, NOW, 6).first()
+    assert one.velocity_score == scoring.velocity(
+        spark.createDataFrame([("n",)], "id string"), members.filter("post_id = 'a'"), posts, NOW, 6
+    ).first().velocity_score

@@ -77,16 +77,15 @@ def post_order() -> Column:
 
     Spark keeps decimals of any precision in hash-aggregation buffers, but neither strings nor
     structs, so ``min(post_order)`` stays a hash aggregate where ``min(struct(...))`` would sort
-    every exploded word.  Digits: 17 for time, 13 for a digest of the id (posts of one instant
-    have no order of their own), 8 for a position inside the post.
+    every exploded word.  Digits: 18 for time (years 1 to 9999), 11 for a digest of the id (posts of
+    one instant have no order of their own), 9 for a position inside the post.
     """
-    micros = F.greatest(F.unix_micros("created_at"), F.lit(0)).cast("decimal(18,0)")
-    newest_first = F.lit(10**17).cast("decimal(18,0)") - micros
-    tie = F.conv(F.substring(F.sha1("id"), 1, 10), 16, 10).cast("decimal(13,0)")
-    of_post = (newest_first * F.lit(10**13).cast("decimal(14,0)") + tie).cast("decimal(30,0)")
-    return (of_post * F.lit(10**8).cast("decimal(9,0)")).cast("decimal(38,0)")
+    newest_first = F.lit(26 * 10**16).cast("decimal(18,0)") - F.unix_micros("created_at").cast("decimal(18,0)")
+    tie = F.conv(F.substring(F.sha1("id"), 1, 9), 16, 10).cast("decimal(11,0)")
+    of_post = (newest_first.cast("decimal(18,0)") * F.lit(10**11).cast("decimal(12,0)") + tie).cast("decimal(29,0)")
+    return (of_post * F.lit(10**9).cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
 def order_in_post(order: Column, position: Column) -> Column:
-    """Position of an item inside a post, comparable across posts."""
-    return (order + position.cast("decimal(8,0)")).cast("decimal(38,0)")
+    """Position of an item inside a post, comparable across posts; equal from the 10**9th item on."""
+    return (order + F.least(position, F.lit(10**9 - 1)).cast("decimal(9,0)")).cast("decimal(38,0)")

@@ -1,8 +1,7 @@
 """Grouping of posts into themes by ticker tags or dominant keyword.
 
-``assign`` reads each text once and leaves one narrow row per post.  Everything about a theme is
-then a partial aggregate by group key, except its id, which depends on the ids of all members and
-is digested per chunk (see ``skew``).
+``assign`` reads each text once and leaves one narrow row per post.  Everything about a theme, its
+id included, is then a partial aggregate by group key.
 """
 
 from __future__ import annotations
@@ -13,6 +12,7 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from themeflow.constants import (
     KEYWORD_LIMIT, MAX_CASHTAGS, MAX_KEYWORDS, MIN_CLUSTER_SIZE, THEME_DIGEST_CHARS,
@@ -25,7 +25,11 @@ from themeflow.operators.ranking import first_per_group
 from themeflow.operators.sentiment import (
     DEFAULT_LEXICON, Lexicon, score_units, weight_units, with_sentiment,
 )
-from themeflow.operators.skew import CHUNK_MEMBERS, assign_chunks, digest_members, per_chunk_rows
+from themeflow.operators.members import LIMBS, limb_sums, members_digest
+from themeflow.operators.staging import stage
+
+#: Keys of kept groups are broadcast up to this many bytes.
+BROADCAST_BYTES = 16 << 20
 
 
 def group_key(words: Column | None = None) -> Column:
@@ -76,17 +80,24 @@ def _ranked_items(rows: DataFrame, limit: int) -> DataFrame:
         F.count("*").alias("n"),
         F.min(order_in_post(F.col("post_order"), F.col("position"))).alias("first_met"),
     )
-    ranked = first_per_group(counted, ["key"], [F.desc("n"), "first_met"], limit, "item", "rank")
+    ranked = first_per_group(counted, ["key"], [F.desc("n"), "first_met", "item"], limit, "item", "rank")
     return ranked.select("key", "rank", "item", "n")
 
 
-def top_keywords(posts: DataFrame, limit: int = MAX_KEYWORDS) -> DataFrame:
-    """``key, rank, item, n`` from a second pass over the texts."""
+def top_keywords(
+    posts: DataFrame, limit: int = MAX_KEYWORDS, kept: DataFrame | None = None
+) -> DataFrame:
+    """``key, rank, item, n`` from a second pass over the texts.
+
+    With ``kept`` (a small table of keys, broadcast) words of other groups are never counted.
+    """
     split = posts.select("id", "created_at", "cashtags", keyword_tokens("text").alias("tokens"))
     # Apart from the explode: columns selected next to it are evaluated once per exploded row.
     tokens = split.select(
         group_key(F.col("tokens")).alias("key"), post_order().alias("post_order"), "tokens"
     )
+    if kept is not None:
+        tokens = tokens.join(F.broadcast(kept), "key", "left_semi")
     # The outer form, because the inner one makes Spark filter on ``size(tokens) > 0`` at the
     # scan, which splits every text a second time.
     rows = tokens.select("key", "post_order", F.posexplode_outer("tokens").alias("position", "item"))
@@ -125,6 +136,7 @@ def group_profiles(assigned: DataFrame, recent: Column | None = None) -> DataFra
             F.sum("weight").alias("weights"),
             F.count_if("recent").alias("recent_posts"),
             F.sum(F.when(F.col("recent"), F.col("engagement"))).alias("recent_engagement"),
+            *limb_sums("id"),
         )
     )
     return by_platform.groupBy("key").agg(
@@ -137,6 +149,7 @@ def group_profiles(assigned: DataFrame, recent: Column | None = None) -> DataFra
         F.sum("recent_posts").alias("recent_posts"),
         F.sum("recent_engagement").alias("recent_engagement"),
         F.array_sort(F.collect_set("platform")).alias("platforms"),
+        *[F.sum(name).alias(name) for name in LIMBS],
     )
 
 
@@ -170,33 +183,44 @@ def confidence(posts: Column) -> Column:
     return exact_round(F.least(F.lit(1.0), F.lit(0.45) + F.lit(0.1) * posts), 3)
 
 
-def group_ids(assigned: DataFrame, chunk_members: int = CHUNK_MEMBERS) -> DataFrame:
-    """``key, n_chunks, members_digest, id`` of every group."""
-    sizes = assigned.groupBy("key").agg(F.count("*").alias("n_posts"))
-    chunked = assign_chunks(assigned.select("key", "id"), sizes, "key", "id", chunk_members)
-    theme_id = F.concat(F.lit("nar_"), F.substring("members_digest", 1, THEME_DIGEST_CHARS))
-    return digest_members(chunked, "key", "id").withColumn("id", theme_id)
+def theme_id(digest: Column) -> Column:
+    return F.concat(F.lit("nar_"), F.substring(digest, 1, THEME_DIGEST_CHARS))
+
+
+def _small_keys(profiles: DataFrame) -> DataFrame | None:
+    """The keys of staged profiles where they are few enough to broadcast."""
+    size = profiles.agg(F.coalesce(F.sum(F.octet_length("key") + 32), F.lit(0))).first()[0]
+    return profiles.select("key") if size <= BROADCAST_BYTES else None
 
 
 def cluster(
     posts: DataFrame, assigned: DataFrame, min_size: int = MIN_CLUSTER_SIZE,
     max_keywords: int = MAX_KEYWORDS, now: Column | datetime | None = None,
-    recent: Column | None = None, chunk_members: int = CHUNK_MEMBERS,
+    recent: Column | None = None,
 ) -> DataFrame:
     """Themes of ``posts``, one row per group key, with the sums that scoring needs.
 
     ``assigned`` is ``assign(posts)``, staged or not.  ``recent`` marks the rows of ``assigned``
-    inside the velocity window.
+    inside the velocity window.  Profiles of groups that are large enough are staged first; words,
+    tags and authors are then counted for those groups only, unless their keys are too many to
+    broadcast.
     """
-    profiles = group_profiles(assigned, recent).filter(F.col("n_posts") >= min_size)
-    keywords = _as_list(top_keywords(posts, max_keywords), "keywords")
-    cashtags = _as_list(top_cashtags(assigned), "cashtags")
-    ids = group_ids(assigned, chunk_members)
+    profiles = stage(
+        group_profiles(assigned, recent)
+        .filter(F.col("n_posts") >= min_size)
+        .withColumn("members_digest", members_digest(F.col("n_posts")))
+        .withColumn("id", theme_id(F.col("members_digest")))
+        .drop(*LIMBS),
+        "profiles",
+    )
+    kept = _small_keys(profiles)
+    narrow = assigned if kept is None else assigned.join(F.broadcast(kept), "key", "left_semi")
+    keywords = _as_list(top_keywords(posts, max_keywords, kept), "keywords")
+    cashtags = _as_list(top_cashtags(narrow), "cashtags")
     none = F.array().cast("array<string>")
     last_seen = F.col("last_seen")
     return (
-        profiles.join(ids, "key")
-        .join(group_authors(assigned), "key")
+        profiles.join(group_authors(narrow), "key")
         .join(keywords, "key", "left")
         .join(cashtags, "key", "left")
         .withColumns(
@@ -224,39 +248,60 @@ def as_narratives(clusters: DataFrame) -> DataFrame:
     absent = [F.lit(0.0).alias(name) for name in scores if name not in clusters.columns]
     filled = clusters.select("*", *absent)
     return filled.select(
-        "id", "name", "description", "first_seen", "last_seen", "n_posts", "n_chunks",
+        "id", "name", "description", "first_seen", "last_seen", "n_posts",
         "members_digest", "cashtags", "keywords", *scores, F.lit(True).alias("is_active"),
         "confidence",
     )
 
 
-def membership(
-    assigned: DataFrame, clusters: DataFrame, chunk_members: int = CHUNK_MEMBERS
-) -> DataFrame:
-    """Long form of the member lists: ``narrative_id, chunk, post_id``.
+def membership(assigned: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Long form of the member lists: ``narrative_id, post_id``.
 
-    Both sides meet on ``(key, chunk)``, so a large theme is spread over its chunks.
+    An inner join of narrow rows on the key; adaptive execution splits a hot key.
     """
-    sizes = clusters.select("key", "n_posts")
-    chunked = assign_chunks(assigned.select("key", "id"), sizes, "key", "id", chunk_members)
-    themes = per_chunk_rows(clusters.select("key", "n_chunks", F.col("id").alias("narrative_id")))
+    themes = clusters.select("key", F.col("id").alias("narrative_id"))
     return (
-        chunked.withColumnRenamed("id", "post_id")
-        .join(themes, ["key", "chunk"])
-        .select("narrative_id", "chunk", "post_id")
+        assigned.select("key", F.col("id").alias("post_id"))
+        .join(themes, "key")
+        .select("narrative_id", "post_id")
     )
 
 
 def ranked(clusters: DataFrame) -> DataFrame:
     """Themes in report order: confidence, size, then the group met first."""
-    return clusters.orderBy(F.desc("confidence"), F.desc("n_posts"), "first_post")
+    return clusters.orderBy(F.desc("confidence"), F.desc("n_posts"), "first_post", "key")
+
+
+def with_rank(clusters: DataFrame, parts: int = 32) -> DataFrame:
+    """``clusters`` with ``rank`` (from 1) in report order.
+
+    The order is dealt into ranges; each range is numbered by itself and the sizes of the ranges
+    before it (``parts`` numbers) are added, so no task sees all themes.
+    """
+    order = [F.desc("confidence"), F.desc("n_posts"), F.asc("first_post"), F.asc("key")]
+    dealt = stage(
+        clusters.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()),
+        "ranges",
+    )
+    sizes = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}
+    before, total = [], 0
+    for part in range(max(sizes, default=0) + 1):
+        before.append(total)
+        total += sizes.get(part, 0)
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    offset = F.get(F.array(*[F.lit(n).cast("long") for n in before]), F.col("_part"))
+    return dealt.withColumn("rank", offset + inside).drop("_part")
 
 
 Labeler = Callable[[list[str], list[str], list[str]], dict]
 
 
-def sample_texts(posts: DataFrame, per_key: int = 3) -> DataFrame:
-    """A few newest texts per key for a labeler: ``key, samples``."""
+def sample_texts(posts: DataFrame, per_key: int) -> DataFrame:
+    """The ``per_key`` newest texts per key for a labeler: ``key, samples``.
+
+    How many a labeler may see is for the caller to say, because it changes the labels; all the
+    texts of a theme fit no call once themes are large.
+    """
     texts = posts.select(group_key().alias("key"), post_order().alias("post_order"), "text")
     return (
         first_per_group(texts, ["key"], ["post_order"], per_key, "post_order", "rank")
@@ -265,11 +310,13 @@ def sample_texts(posts: DataFrame, per_key: int = 3) -> DataFrame:
     )
 
 
-def apply_labeler(clusters: DataFrame, samples: DataFrame, labeler: Labeler) -> DataFrame:
-    """Let ``labeler(texts, keywords, cashtags)`` rename themes.
+def apply_labeler(
+    clusters: DataFrame, samples: DataFrame, labeler: Labeler, parallelism: int
+) -> DataFrame:
+    """Let ``labeler(texts, keywords, cashtags)`` rename themes, ``parallelism`` calls at a time.
 
     It returns a dict with ``name``, ``description`` and ``keywords``.  A theme whose call fails
-    keeps its own wording.  Tags are never replaced.
+    keeps its own wording.  Tags are never replaced.  ``clusters`` is read twice: stage it.
     """
     schema = "key string, _name string, _description string, _keywords array<string>"
 
@@ -284,9 +331,9 @@ def apply_labeler(clusters: DataFrame, samples: DataFrame, labeler: Labeler) ->
                     continue
             yield pd.DataFrame(rows, columns=["key", "_name", "_description", "_keywords"])
 
-    drafts = (
-        clusters.select("key", "keywords", "cashtags").join(samples, "key").mapInPandas(label, schema)
-    )
+    # An explicit count is kept: small shuffles are merged into one task otherwise.
+    asked = clusters.select("key", "keywords", "cashtags").join(samples, "key")
+    drafts = asked.repartition(parallelism, "key").mapInPandas(label, schema)
     return (
         clusters.join(drafts, "key", "left")
         .withColumns(

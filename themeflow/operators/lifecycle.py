@@ -11,10 +11,11 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from themeflow.constants import METRIC_TOLERANCE
 from themeflow.functions.core import hours_before, instant
-from themeflow.operators.skew import CHUNK_MEMBERS, assign_chunks, digest_members
+from themeflow.operators.members import digests
 from themeflow.schemas import MEMBERSHIP, NARRATIVES, STATE
 
 STALE_HOURS = 48
@@ -60,23 +61,16 @@ def empty_state(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], STATE)
 
 
-def from_post_lists(
-    narratives: DataFrame, chunk_members: int = CHUNK_MEMBERS
-) -> tuple[DataFrame, DataFrame]:
+def from_post_lists(narratives: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split narratives that carry a ``post_ids`` array into themes and membership."""
     pairs = narratives.select(F.col("id").alias("narrative_id"), F.explode("post_ids").alias("post_id"))
-    sizes = pairs.groupBy("narrative_id").agg(F.count("*").alias("n_posts"))
-    members = assign_chunks(pairs, sizes, "narrative_id", "post_id", chunk_members)
-    digests = digest_members(members.distinct(), "narrative_id", "post_id").withColumnRenamed(
-        "narrative_id", "id"
-    )
+    found = digests(pairs.distinct(), "narrative_id", "post_id").withColumnRenamed("narrative_id", "id")
     themes = (
-        narratives.join(digests, "id", "left")
+        narratives.join(found, "id", "left")
         .withColumn("n_posts", F.size("post_ids").cast("long"))
-        .withColumn("n_chunks", F.coalesce("n_chunks", F.lit(1)))
         .select(*NARRATIVES.fieldNames())
     )
-    return themes, members.select(*MEMBERSHIP.fieldNames())
+    return themes, pairs.select(*MEMBERSHIP.fieldNames())
 
 
 def _as_set(tags: Column) -> Column:
@@ -107,10 +101,10 @@ def reconcile(
 ) -> Reconciled:
     """Merge one batch of themes into the state with one full outer join on the id.
 
-    Ids must be unique on both sides (see ``assert_unique``).
+    An id that occurs twice in the batch fails the job (see ``unique``).
     """
     old = state.select("id", F.struct(*STATE.fieldNames()).alias("old"))
-    new = batch.select("id", F.struct(*NARRATIVES.fieldNames()).alias("new"))
+    new = unique(batch).select("id", F.struct(*NARRATIVES.fieldNames()).alias("new"))
     both = old.join(new, "id", "full_outer")
     known, arrived = F.col("old").isNotNull(), F.col("new").isNotNull()
     stale = (
@@ -170,8 +164,20 @@ def active_themes(state: DataFrame) -> DataFrame:
     return state.filter("is_active").orderBy(F.desc("overall_score"), F.desc("confidence"))
 
 
+def unique(narratives: DataFrame) -> DataFrame:
+    """``narratives``, whose rows fail when their id occurs more than once.
+
+    Lazy: copies are counted in the partitioning that the merge needs anyway.
+    """
+    copies = F.count("*").over(Window.partitionBy("id"))
+    message = F.concat(F.lit("narrative "), F.col("id"), F.lit(" occurs more than once in the batch"))
+    return narratives.withColumn("_copies", copies).withColumn(
+        "id", F.when(F.col("_copies") == 1, F.col("id")).otherwise(F.raise_error(message).cast("string"))
+    ).drop("_copies")
+
+
 def assert_unique(narratives: DataFrame) -> None:
-    """Fail when an id occurs twice in one batch."""
+    """Fail at once when an id occurs twice in one batch."""
     repeated = narratives.groupBy("id").count().filter("count > 1").limit(1).collect()
     if repeated:
         raise ValueError(f"narrative {repeated[0]['id']} occurs more than once in the batch")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from themeflow.functions.text import word_count
 from themeflow.operators.sentiment import label
-from themeflow.operators.skew import per_chunk_rows
 from themeflow.operators.staging import stage
 
 TITLES_PER_PART = 1000
@@ -88,7 +87,8 @@ def ingest_summary(results: DataFrame, stats: DataFrame) -> DataFrame:
     ``results`` has ``source, started_at, completed_at, posts_stored, duplicates_skipped, errors,
     success``; ``stats`` is the one row of ``store.stats``.
     """
-    counts = ("total_posts", "twitter", "reddit", "news", "podcast", "unprocessed")
+    names = ("total_posts", "twitter", "reddit", "news", "podcast", "unprocessed")
+    counts = stats.select(F.struct(*names)).scalar()  # one subquery, so one scan of the store
     seconds = (F.unix_micros("completed_at") - F.unix_micros("started_at")) / F.lit(1_000_000)
     return results.select(
         "source",
@@ -98,29 +98,31 @@ def ingest_summary(results: DataFrame, stats: DataFrame) -> DataFrame:
         "duplicates_skipped",
         F.size("errors").cast("long").alias("error_count"),
         F.slice("errors", 1, 3).alias("first_errors"),
-        *[stats.select(name).scalar().alias(name) for name in counts],
-    )
+        counts.alias("_counts"),
+    ).select("*", *[F.col("_counts")[name].alias(name) for name in names]).drop("_counts")
 
 
 def narrative_documents(narratives: DataFrame, membership: DataFrame) -> DataFrame:
-    """JSON documents ``id, part, parts, document``.
+    """JSON documents ``id, kind, post_id, document``, the same form for every size.
 
-    A theme of one chunk is one document.  A larger one is written as one document per chunk
-    with that chunk's post ids, so a document never outgrows a row.
+    A theme is one ``theme`` document with the number of its posts; each member is one ``member``
+    document, so no document grows with a theme.
     """
-    ids = membership.groupBy("narrative_id", "chunk").agg(
-        F.sort_array(F.collect_list("post_id")).alias("post_ids")
-    )
-    themes = per_chunk_rows(narratives)
     fields = [
-        "id", "name", "description", "first_seen", "last_seen", "post_ids", "cashtags", "keywords",
+        "id", "name", "description", "first_seen", "last_seen", "n_posts", "cashtags", "keywords",
         "sentiment_score", "velocity_score", "saturation_score", "overall_score", "is_active",
         "confidence",
     ]
-    joined = themes.join(ids.withColumnRenamed("narrative_id", "id"), ["id", "chunk"])
-    return joined.select(
+    themes = narratives.select(
         "id",
-        F.col("chunk").alias("part"),
-        F.col("n_chunks").alias("parts"),
+        F.lit("theme").alias("kind"),
+        F.lit(None).cast("string").alias("post_id"),
         F.to_json(F.struct(*fields)).alias("document"),
     )
+    members = membership.select(
+        F.col("narrative_id").alias("id"),
+        F.lit("member").alias("kind"),
+        "post_id",
+        F.to_json(F.struct("narrative_id", "post_id")).alias("document"),
+    )
+    return themes.unionByName(members)

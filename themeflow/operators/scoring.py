@@ -12,6 +12,7 @@ from themeflow.constants import (
     FULL_POSTS_PER_HOUR, FULL_SHARE_OF_VOICE, VOICE_SHARE,
 )
 from themeflow.functions.core import engagement, exact_round, hours_before
+from themeflow.operators.sentiment import overall_score, weighted_score
 
 WINDOW_HOURS = 24
 
@@ -129,3 +130,62 @@ def update_scores(
         )
         .drop("members", "authors", "n", "total")
     )
+
+
+def score_members(
+    narratives: DataFrame, membership: DataFrame, facts: DataFrame,
+    as_of: Column | datetime, hours: int = WINDOW_HOURS,
+) -> DataFrame:
+    """Narratives with all four scores from one join of members and ``facts``.
+
+    ``facts`` is what ``cluster.assign`` leaves of each post (staged): no text is read again.
+    Repeated ids of a theme count each time in the sentiment and once elsewhere; ids without a
+    post count towards the share of voice only.
+    """
+    check_window(hours)
+    recent = F.col("created_at") > hours_before(as_of, hours)
+    narrow = facts.select(
+        F.col("id").alias("post_id"), "author_id", "engagement", "units", "weight", recent.alias("recent")
+    )
+    pairs = (
+        membership.select("narrative_id", "post_id")
+        .repartition("post_id")
+        .groupBy("narrative_id", "post_id")
+        .agg(F.count("*").alias("copies"))
+    )
+    by_author = (
+        pairs.join(narrow, "post_id", "left")
+        .groupBy("narrative_id", "author_id")
+        .agg(
+            F.sum("copies").alias("members"),
+            F.count_if("recent").alias("n"),
+            F.sum(F.when(F.col("recent"), F.col("engagement"))).alias("total"),
+            F.sum(F.col("units") * F.col("weight") * F.col("copies")).alias("weighted"),
+            F.sum(F.col("weight") * F.col("copies")).alias("weights"),
+        )
+    )
+    sums = by_author.groupBy(F.col("narrative_id").alias("id")).agg(
+        F.count("author_id").alias("authors"),
+        *[F.sum(name).alias(name) for name in ("members", "n", "total", "weighted", "weights")],
+    )
+    zero = F.lit(0)
+    velocity_ = velocity_score(F.coalesce("n", zero), F.col("total"), hours)
+    saturation_ = saturation_score(
+        F.coalesce("members", zero), F.coalesce("authors", zero), facts.agg(F.count("*")).scalar()
+    )
+    return (
+        narratives.drop("sentiment_score", "velocity_score", "saturation_score", "overall_score")
+        .join(sums, "id", "left")
+        .withColumns(
+            {
+                "sentiment_score": weighted_score(F.col("weighted"), F.col("weights")),
+                "velocity_score": velocity_,
+                "saturation_score": saturation_,
+            }
+        )
+        .withColumn(
+            "overall_score",
+            overall_score(F.col("sentiment_score"), F.col("velocity_score"), F.col("saturation_score")),
+        )
+        .drop("authors", "members", "n", "total", "weighted", "weights")
+    )

@@ -211,7 +211,7 @@ def top_terms(
         F.min(order_in_post(F.col("post_order"), F.col("position"))).alias("first_met"),
     )
     ranked = first_per_group(
-        counted, ["polarity"], [F.desc("n"), "first_met"], limit, "token", "rank"
+        counted, ["polarity"], [F.desc("n"), "first_met", "token"], limit, "token", "rank"
     )
     side = F.when(F.col("polarity") == 1, F.lit("positive")).otherwise(F.lit("negative"))
     return ranked.select(side.alias("side"), "rank", "token", "n")

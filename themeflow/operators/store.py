@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,26 +29,69 @@ def first_of_batch(incoming: DataFrame, arrival: str) -> DataFrame:
     return first_per_group(incoming, ["id"], [arrival], 1, "id")
 
 
-def new_posts(incoming: DataFrame, stored: DataFrame | None, arrival: str) -> DataFrame:
+#: The ids of a batch are broadcast to the store up to this many bytes.
+BROADCAST_BYTES = 64 << 20
+
+
+def known_ids(
+    incoming: DataFrame, stored: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Ids of ``incoming`` that are stored already: as many as the batch has at most.
+
+    The ids of a small batch go to the store, which stays where it is; a batch of more than
+    ``broadcast_bytes`` of ids meets the stored ids in a shuffle (bucket the id table by id for
+    those).
+    """
+    ids = incoming.select("id").filter(F.col("id").isNotNull())
+    size = ids.agg(F.coalesce(F.sum(F.octet_length("id") + 32), F.lit(0))).first()[0]
+    distinct = ids.distinct()
+    asked = F.broadcast(distinct) if size <= broadcast_bytes else distinct
+    return stored.select("id").join(asked, "id", "left_semi")
+
+
+def new_posts(
+    incoming: DataFrame, stored: DataFrame | None, arrival: str, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """Rows a first-write-wins store would insert, ids being unique across platforms."""
     firsts = first_of_batch(incoming.filter(is_complete()), arrival)
     if stored is None:
         return firsts
-    # Already partitioned by id: only the stored ids move for this join.
-    return firsts.join(stored.select("id"), "id", "left_anti")
+    return firsts.join(known_ids(incoming, stored, broadcast_bytes), "id", "left_anti")
 
 
 def load_report(
-    incoming: DataFrame, stored: DataFrame | None, arrival: str, source: str = "platform"
+    incoming: DataFrame, stored: DataFrame | None, arrival: str, source: str = "platform",
+    configured: Sequence[str] = (),
 ) -> DataFrame:
-    """``source, posts_stored, duplicates_skipped, rejected`` of one load.
+    """``source, posts_stored, duplicates_skipped, rejected`` of one load, and how it went.
 
+    ``errors`` names each required column that rows lacked, with the number of rows; ``success`` is
+    false where every row was rejected; ``started_at`` and ``completed_at`` are the first and last
+    time of the source's posts.  A configured source that delivered nothing has a row of zeros.
     Duplicates are what is neither stored nor rejected, so only counts are needed, never a
     ranking of all copies of an id.
     """
+    missing = {name: F.count_if(F.col(name).isNull()) for name in REQUIRED_POST_COLUMNS}
+    messages = [
+        F.when(n > 0, F.concat(n.cast("string"), F.lit(f" rows without {name}")))
+        for name, n in missing.items()
+    ]
     arrived = incoming.groupBy(source).agg(
-        F.count("*").alias("arrived"), F.count_if(~is_complete()).alias("rejected")
+        F.count("*").alias("arrived"),
+        F.count_if(~is_complete()).alias("rejected"),
+        F.array_compact(F.array(*messages)).alias("errors"),
+        F.min("created_at").alias("started_at"),
+        F.max("created_at").alias("completed_at"),
     )
+    if configured:
+        names = incoming.sparkSession.createDataFrame([(x,) for x in configured], f"`{source}` string")
+        arrived = arrived.join(F.broadcast(names), source, "right").withColumns(
+            {
+                "arrived": F.coalesce("arrived", F.lit(0).cast("long")),
+                "rejected": F.coalesce("rejected", F.lit(0).cast("long")),
+                "errors": F.coalesce("errors", F.array().cast("array<string>")),
+            }
+        )
     narrow = incoming.select(*{*REQUIRED_POST_COLUMNS, arrival, source})
     inserted = new_posts(narrow, stored, arrival).groupBy(source).agg(F.count("*").alias("n"))
     stored_count = F.coalesce("n", F.lit(0))
@@ -55,6 +100,10 @@ def load_report(
         stored_count.alias("posts_stored"),
         (F.col("arrived") - F.col("rejected") - stored_count).alias("duplicates_skipped"),
         "rejected",
+        "errors",
+        ((F.col("rejected") == 0) | (F.col("rejected") < F.col("arrived"))).alias("success"),
+        "started_at",
+        "completed_at",
     )
 
 

@@ -67,7 +67,7 @@ keyed AS (
     SELECT p.*, CASE WHEN len(cashtags) > 0
         THEN 'tag:' || array_to_string(list_sort(list_distinct(cashtags)), '+')
         ELSE 'kw:' || coalesce(b.token, 'misc') END AS key,
-        substr(sha1(p.id), 1, 10) AS tie
+        substr(sha1(p.id), 1, 9) AS tie
     FROM posts p LEFT JOIN best b USING (id)
 )"""
 
@@ -77,7 +77,7 @@ word_counts AS (
     FROM keyed JOIN tokens USING (id) GROUP BY ALL
 ),
 ranked_words AS (
-    SELECT key, row_number() OVER (PARTITION BY key ORDER BY n DESC, first) AS rank, item, n FROM word_counts
+    SELECT key, row_number() OVER (PARTITION BY key ORDER BY n DESC, first, item) AS rank, item, n FROM word_counts
     QUALIFY rank <= 8
 )"""
 
@@ -89,15 +89,20 @@ tag_counts AS (
     SELECT key, item, count(*) AS n, min((-epoch_us(created_at), tie, pos)) AS first FROM tags GROUP BY ALL
 ),
 ranked_tags AS (
-    SELECT key, row_number() OVER (PARTITION BY key ORDER BY n DESC, first) AS rank, item, n FROM tag_counts
+    SELECT key, row_number() OVER (PARTITION BY key ORDER BY n DESC, first, item) AS rank, item, n FROM tag_counts
     QUALIFY rank <= 5
 )"""
 
+# The SHA-1 of the number of members and of the sums of their digests, in four parts.
+DIGEST = "sha1(concat_ws('|', count(*), {}))".format(
+    ", ".join(f"sum(CAST('0x' || substr(sha1(id), {1 + 10 * i}, 10) AS BIGINT))" for i in range(4))
+)
+
 CLUSTERS = f"""{KEYS},{RANKED_WORDS},{RANKED_TAGS},
 sized AS (
     SELECT key, count(*) AS n_posts, min(created_at) AS first_seen,
         (SELECT max(created_at) FROM posts) AS last_seen,
-        'nar_' || substr(sha1(string_agg(id, '|' ORDER BY id)), 1, 12) AS id,
+        'nar_' || substr({DIGEST}, 1, 12) AS id,
         string_agg(DISTINCT platform, ',' ORDER BY platform) AS platforms
     FROM keyed GROUP BY key HAVING count(*) >= 2
 ),
@@ -476,25 +481,31 @@ ORACLES: dict[str, str] = {
         SELECT conv_id, turn, len(kept) AS keywords, words, w AS dominant FROM split LEFT JOIN best USING (conv_id, turn)""",
     "sentiment_label": f"WITH {POSTS},{PROSE} SELECT {LABEL} AS label, count(*) AS n FROM scored GROUP BY 1",
     "date_parse": f"""SELECT event_id, {iso('ts')} AS from_iso, {iso("date_trunc('second', ts)")} AS from_seconds,
-        {iso("date_trunc('second', ts) - INTERVAL 90 MINUTE")} AS from_mail, true AS junk_is_null FROM events""",
+        {iso("date_trunc('second', ts) - INTERVAL 90 MINUTE")} AS from_mail,
+        {iso("date_trunc('second', ts)")} AS from_short_year, {iso("date_trunc('second', ts)")} AS from_asctime,
+        {iso("date_trunc('second', ts)")} AS from_basic, {iso("date_trunc('hour', ts)")} AS from_week, true AS junk_is_null FROM events""",
     "word_count": f"WITH {POSTS} SELECT id, len(regexp_extract_all(text, '[^{BLANK}]+', 0)) AS words FROM posts",
     "json_roundtrip": f"""WITH {POSTS} SELECT id, CAST(to_json(cashtags) AS VARCHAR) AS encoded, len(cashtags) AS n,
         array_to_string(cashtags, '+') AS decoded FROM posts""",
     "keyword_any": f"""WITH {POSTS} SELECT id, contains(lower(text), 'ing the') OR contains(lower(text), 'nicht') AS found FROM posts""",
     "dedup_first": f"WITH {LOAD} SELECT id, platform, sha1(text) AS text_sha1, arrival FROM fresh",
     "ingest_report": f"WITH {REPORT} SELECT source, posts_stored, duplicates_skipped, rejected FROM report",
-    "ingest_summary": f"""WITH {REPORT}
-        SELECT source, true AS success, round((epoch_us(completed_at) - epoch_us(started_at)) / 1000000, 1) AS duration_seconds,
-            posts_stored, duplicates_skipped, CASE WHEN source = 'news' THEN 4 ELSE 0 END::BIGINT AS error_count,
-            CASE WHEN source = 'news' THEN 'Query ''a'' failed: timeout; Query ''b'' failed: timeout; Query ''c'' failed: timeout'
-                ELSE '' END AS first_errors,
+    "ingest_summary": f"""WITH {REPORT},
+        broken AS (SELECT platform, count(*) AS n, min(created_at) AS low, max(created_at) AS high
+            FROM posts WHERE doc_id % 11 = 0 GROUP BY 1),
+        names(source) AS (VALUES ('twitter'), ('reddit'), ('news'), ('podcast'), ('letters'))
+        SELECT source, true AS success,
+            round((epoch_us(greatest(completed_at, high)) - epoch_us(least(started_at, low))) / 1000000, 1) AS duration_seconds,
+            coalesce(posts_stored, 0) AS posts_stored, coalesce(duplicates_skipped, 0) AS duplicates_skipped,
+            CASE WHEN b.n > 0 THEN 1 ELSE 0 END::BIGINT AS error_count,
+            coalesce(CAST(b.n AS VARCHAR) || ' rows without author_id', '') AS first_errors,
             (SELECT count(*) FROM posts) AS total_posts,
             (SELECT count(*) FROM posts WHERE platform = 'twitter') AS twitter,
             (SELECT count(*) FROM posts WHERE platform = 'reddit') AS reddit,
             (SELECT count(*) FROM posts WHERE platform = 'news') AS news,
             (SELECT count(*) FROM posts WHERE platform = 'podcast') AS podcast,
             (SELECT count(*) FROM posts WHERE NOT processed) AS unprocessed
-        FROM report""",
+        FROM names LEFT JOIN report USING (source) LEFT JOIN broken b ON b.platform = source""",
     "post_by_id": f"""WITH {POSTS} SELECT id, platform, author_id, sha1(text) AS text_sha1,
         {iso('created_at')} AS created_at, likes FROM posts WHERE id = 'doc_7'""",
     "unprocessed_topk": f"""WITH {POSTS}, newest AS (
@@ -544,20 +555,29 @@ ORACLES: dict[str, str] = {
         CASE WHEN len(cashtags) > 0 THEN upper(keywords[1]) ELSE description END AS description,
         array_to_string(CASE WHEN len(cashtags) > 0 THEN keywords[1:2] ELSE keywords END, ',') AS keywords,
         array_to_string(cashtags, ',') AS cashtags FROM labels""",
-    "clusters_json": f"""WITH {LABELS} SELECT l.id, 0::BIGINT AS part, 1::BIGINT AS parts, l.name,
-        CAST(to_json(list(m.post_id ORDER BY m.post_id)) AS VARCHAR) AS post_ids
-        FROM labels l JOIN members m ON m.narrative_id = l.id GROUP BY l.id, l.name""",
+    "clusters_json": f"""WITH {LABELS} SELECT id, 'theme' AS kind, NULL AS post_id, name, n_posts FROM labels
+        UNION ALL SELECT narrative_id, 'member', post_id, NULL, NULL FROM members""",
+    "cluster_rank": f"""WITH {CLUSTERS},
+        met AS (SELECT key, min((-epoch_us(created_at), tie)) AS first_post FROM keyed GROUP BY 1)
+        SELECT id, n_posts, confidence, row_number() OVER (ORDER BY confidence DESC, n_posts DESC, first_post, key) AS rank
+        FROM clusters JOIN met USING (key)""",
+    "unprocessed_after_marks": f"""WITH {POSTS} SELECT id, platform FROM posts WHERE NOT processed AND platform <> 'news'""",
+    "track_run": f"""WITH {CLUSTERS.replace("FROM posts p LEFT JOIN best", "FROM (SELECT * FROM posts WHERE NOT processed) p LEFT JOIN best")}
+        SELECT id AS narrative_id, 'created' AS event, 1::BIGINT AS version, n_posts AS members,
+            0::BIGINT AS left_unprocessed FROM clusters""",
+    "store_roundtrip": f"""WITH {POSTS} SELECT id, platform, sha1(text) AS text_sha1, {iso('created_at')} AS created_at, likes,
+        CASE WHEN platform = 'reddit' THEN source END AS subreddit FROM posts""",
     "sentiment_hits": f"WITH {POSTS},{PROSE} SELECT id, positive_hits, negative_hits FROM hit_counts",
     "post_sentiment": f"WITH {POSTS},{PROSE} SELECT id, score, {LABEL} AS label FROM scored",
     "custom_lexicon": f"""WITH {POSTS},{sentiment(('the', 'que', 'der'), NEGATIVE_WORDS)}
         SELECT id, positive_hits, negative_hits, score FROM scored""",
     "top_terms": f"""WITH {POSTS},{PROSE},
         term_counts AS (
-            SELECT sign, token, count(*) AS n, min((-epoch_us(created_at), substr(sha1(id), 1, 10), pos)) AS first
+            SELECT sign, token, count(*) AS n, min((-epoch_us(created_at), substr(sha1(id), 1, 9), pos)) AS first
             FROM hit_signs JOIN posts USING (id) WHERE sign <> 0 GROUP BY sign, token
         )
         SELECT CASE sign WHEN 1 THEN 'positive' ELSE 'negative' END AS side,
-            row_number() OVER (PARTITION BY sign ORDER BY n DESC, first) AS rank, token, n
+            row_number() OVER (PARTITION BY sign ORDER BY n DESC, first, token) AS rank, token, n
         FROM term_counts QUALIFY rank <= 8""",
     "narrative_sentiment": f"""WITH {CLUSTERS},{PROSE},{THEME_SENTIMENT}
         SELECT narrative_id, score, {LABEL} AS label, sample_size FROM theme_sentiment""",
@@ -586,12 +606,12 @@ ORACLES: dict[str, str] = {
             {iso('updated_at')} AS updated_at, overall_score, confidence, 'etf,flows' AS keywords
         FROM versions4 WHERE is_active""",
     "material_change": f"""WITH {THEMES}, full_themes AS (SELECT *, round(sentiment_score * 0.4, 4) AS overall_score FROM themes)
-        SELECT o.id, {_CHANGED} AS changed FROM full_themes o JOIN full_themes n ON o.id = n.id
-        WHERE o.slice = 0 AND n.slice = 1""",
+        SELECT n.slice AS slice, o.id, {_CHANGED} AS changed FROM full_themes o JOIN full_themes n ON o.id = n.id
+        WHERE o.slice = n.slice - 1""",
     "stale_narratives": f"""WITH {THEMES}
-        SELECT id, 1::BIGINT AS version, {iso('last_seen')} AS last_seen FROM themes
-        WHERE slice = 0 AND id NOT IN (SELECT id FROM themes WHERE slice = 1)
-            AND last_seen < (SELECT clock FROM clocks WHERE slice = 1) - INTERVAL 12 HOUR""",
+        SELECT slice + 1 AS slice, id, 1::BIGINT AS version, {iso('last_seen')} AS last_seen FROM themes t
+        WHERE slice < 2 AND NOT EXISTS (SELECT 1 FROM themes n WHERE n.slice = t.slice + 1 AND n.id = t.id)
+            AND last_seen < (SELECT clock FROM clocks c WHERE c.slice = t.slice + 1) - INTERVAL 12 HOUR""",
     "corpus_summary": f"""WITH parts AS (
             SELECT doc_id // 100 AS part, string_agg(source, ', ' ORDER BY doc_id) AS titles, count(*) AS n,
                 sum(len(regexp_extract_all(text, '[^{BLANK}]+', 0))) AS words

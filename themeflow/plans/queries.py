@@ -16,7 +16,7 @@ from themeflow.constants import POST_DIGEST_CHARS
 from themeflow.functions import dates, text
 from themeflow.functions.core import digest_id, hours_before
 from themeflow.operators import (
-    cluster, lifecycle, reports, scoring, search, sentiment, skew, store,
+    cluster, lifecycle, reports, members, scoring, search, sentiment, store,
 )
 from themeflow.operators.staging import stage, staging_path
 from themeflow.plans import fixtures, runs
@@ -281,6 +281,13 @@ def date_parse(spark, sf_dir):
         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("iso_text"),
         F.unix_seconds("ts").alias("seconds"),
         F.date_format("ts", "EEE, d MMM yyyy HH:mm:ss '+0130'").alias("mail"),
+        F.date_format("ts", "EEE, d MMM yy HH:mm:ss 'GMT'").alias("short_year"),
+        F.date_format("ts", "EEE MMM d HH:mm:ss yyyy").alias("asctime"),
+        F.date_format("ts", "yyyyMMdd'T'HHmmss'Z'").alias("basic"),
+        F.concat(
+            F.extract(F.lit("YEAROFWEEK"), "ts"), F.lit("-W"), F.lpad(F.extract(F.lit("WEEK"), "ts"), 2, "0"),
+            F.lit("-"), F.extract(F.lit("DAYOFWEEK_ISO"), "ts"), F.date_format("ts", "'T'HH'Z'"),
+        ).alias("week"),
         F.col("event_type").alias("junk"),
     )
     parsed = written.select(
@@ -288,9 +295,15 @@ def date_parse(spark, sf_dir):
         dates.parse_iso("iso_text").alias("from_iso"),
         dates.parse_epoch_seconds("seconds").alias("from_seconds"),
         dates.parse_rfc2822("mail").alias("from_mail"),
+        dates.parse_rfc2822("short_year").alias("from_short_year"),
+        dates.parse_rfc2822("asctime").alias("from_asctime"),
+        dates.parse_iso("basic").alias("from_basic"),
+        dates.parse_iso("week").alias("from_week"),
         F.coalesce(dates.parse_iso("junk"), dates.parse_rfc2822("junk")).isNull().alias("junk_is_null"),
     )
-    return parsed.select("event_id", iso("from_iso"), iso("from_seconds"), iso("from_mail"), "junk_is_null")
+    return parsed.select(
+        "event_id", *[iso(c) for c in parsed.columns if c.startswith("from_")], "junk_is_null"
+    )
 
 
 @query
@@ -338,21 +351,25 @@ def dedup_first(spark, sf_dir):
 @query
 def ingest_report(spark, sf_dir):
     incoming, stored = _load(spark, sf_dir)
-    return store.load_report(incoming, stored, "arrival")
+    report = store.load_report(incoming, stored, "arrival")
+    return report.select("source", "posts_stored", "duplicates_skipped", "rejected")
+
+
+def _with_broken(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """``_load`` with rows that came without an author."""
+    incoming, stored = _load(spark, sf_dir)
+    broken = fixtures.posts(spark, sf_dir, "doc_id").filter("doc_id % 11 = 0").withColumns(
+        {"author_id": F.lit(None).cast("string"), "arrival": F.col("doc_id") + 2 * 10**12}
+    )
+    return incoming.unionByName(broken.select(*incoming.columns)), stored
 
 
 @query
 def ingest_summary(spark, sf_dir):
-    incoming, stored = _load(spark, sf_dir)
-    loaded = store.load_report(incoming, stored, "arrival")
-    times = incoming.groupBy(F.col("platform").alias("source")).agg(
-        F.min("created_at").alias("started_at"), F.max("created_at").alias("completed_at")
-    )
-    errors = F.when(
-        F.col("source") == "news",
-        F.array(*[F.lit(f"Query '{name}' failed: timeout") for name in "abcd"]),
-    ).otherwise(F.array().cast("array<string>"))
-    results = loaded.join(times, "source").withColumns({"errors": errors, "success": F.lit(True)})
+    incoming, stored = _with_broken(spark, sf_dir)
+    results = store.load_report(
+        incoming, stored, "arrival", configured=("twitter", "reddit", "news", "podcast", "letters")
+    )
     summary = reports.ingest_summary(results, store.stats(fixtures.posts(spark, sf_dir)))
     return summary.withColumn("first_errors", listed("first_errors", "; "))
 
@@ -381,6 +398,33 @@ def count_marked(spark, sf_dir):
     return store.count_marked(posts, posts.filter(F.col("platform") == "news"))
 
 
+@query
+def unprocessed_after_marks(spark, sf_dir):
+    """Marks are an append-only log of ids; the store isn't rewritten."""
+    posts = fixtures.posts(spark, sf_dir)
+    log = staging_path(spark, "marks")
+    posts.filter(F.col("platform") == "news").select("id").write.parquet(log)
+    waiting = store.without_processed(posts.filter(~F.col("processed")), spark.read.parquet(log))
+    return waiting.select("id", "platform")
+
+
+@query
+def store_roundtrip(spark, sf_dir):
+    """Base and extension tables written, read again and joined."""
+    posts = fixtures.posts(spark, sf_dir, "source")
+    base, extension = staging_path(spark, "posts"), staging_path(spark, "forum-columns")
+    forum_rows = posts.filter("platform = 'reddit'").select(
+        F.col("id").alias("post_id"), F.col("source").alias("subreddit"), F.lit("").alias("title"),
+        F.col("likes").alias("upvotes"), F.lit(0).cast("long").alias("downvotes"),
+        F.lit(0).cast("long").alias("awards"), F.lit(False).alias("is_self"), F.lit("/r/x").alias("permalink"),
+    )
+    tables.write_posts(posts.drop("source"), base)
+    tables.write_table(forum_rows, extension, "overwrite")
+    stored = spark.read.parquet(base)
+    wide = store.with_extensions(stored, {"reddit": spark.read.parquet(extension)})
+    return wide.select("id", "platform", text_digest(), iso("created_at"), "likes", "subreddit")
+
+
 @query
 def store_stats(spark, sf_dir):
     return store.stats(fixtures.posts(spark, sf_dir))
@@ -479,7 +523,8 @@ def shout(texts: list[str], keywords: list[str], cashtags: list[str]) -> dict:
 @query
 def labeler_hook(spark, sf_dir):
     posts, _, found = _clusters(spark, sf_dir)
-    named = cluster.apply_labeler(found, cluster.sample_texts(posts), shout)
+    found = stage(found, "clusters")
+    named = cluster.apply_labeler(found, cluster.sample_texts(posts, 3), shout, 8)
     return named.select("id", "name", "description", listed("keywords"), listed("cashtags"))
 
 
@@ -490,8 +535,16 @@ def clusters_json(spark, sf_dir):
     documents = reports.narrative_documents(
         cluster.as_narratives(found), cluster.membership(assigned, found)
     )
-    return documents.select("id", "part", "parts", F.get_json_object("document", "$.name").alias("name"),
-                            F.get_json_object("document", "$.post_ids").alias("post_ids"))
+    return documents.select(
+        "id", "kind", F.get_json_object("document", "$.post_id").alias("post_id"),
+        F.get_json_object("document", "$.name").alias("name"),
+        F.get_json_object("document", "$.n_posts").cast("long").alias("n_posts"),
+    )
+
+
+@query
+def cluster_rank(spark, sf_dir):
+    return cluster.with_rank(_clusters(spark, sf_dir)[2]).select("id", "n_posts", "confidence", "rank")
 
 
 # --- sentiment ----------------------------------------------------------------------------
@@ -560,10 +613,27 @@ def narrative_scores(spark, sf_dir):
 
 @query
 def narrative_overall(spark, sf_dir):
-    posts, members, themes = _themes(spark, sf_dir)
-    scored = scoring.update_scores(themes, members, posts, fixtures.latest(posts))
-    return sentiment.apply_sentiment(scored, members, posts, PROSE_LEXICON).select(
-        "id", "sentiment_score", "overall_score"
+    """All scores from one join of members with the narrow facts of their posts."""
+    posts, assigned, found = _clusters(spark, sf_dir)
+    found = stage(found, "clusters")
+    scored = scoring.score_members(
+        cluster.as_narratives(found), cluster.membership(assigned, found), assigned, fixtures.latest(posts)
+    )
+    return scored.select("id", "sentiment_score", "overall_score")
+
+
+@query
+def track_run(spark, sf_dir):
+    """Unprocessed posts to themes to state; then what is still unprocessed after the marks."""
+    posts = fixtures.posts(spark, sf_dir)
+    waiting = posts.filter(~F.col("processed"))
+    merged, members, done = runs.track(waiting, lifecycle.empty_state(spark), fixtures.latest(posts))
+    log = staging_path(spark, "marks")
+    done.write.parquet(log)
+    left = store.without_processed(waiting, spark.read.parquet(log)).agg(F.count("*")).scalar()
+    sizes = members.groupBy(F.col("narrative_id").alias("id")).agg(F.count("*").alias("members"))
+    return merged.rows.join(sizes, "id").select(
+        F.col("id").alias("narrative_id"), "event", "version", "members", left.alias("left_unprocessed")
     )
 
 
@@ -583,18 +653,16 @@ def author_themes(posts: DataFrame, *slices: str) -> DataFrame:
     keyed = posts.withColumn("theme", F.concat_ws("/", *slices, "author_id"))
     profile = keyed.groupBy("theme", "author_id", *slices).agg(
         F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"),
-        F.count("*").alias("n_posts"), F.sum("likes").alias("likes"),
+        F.count("*").alias("n_posts"), F.sum("likes").alias("likes"), *members.limb_sums("id"),
     )
-    pairs = keyed.select("theme", F.col("id").alias("post_id"))
-    chunked = skew.assign_chunks(pairs, profile.select("theme", "n_posts"), "theme", "post_id")
-    digests = skew.digest_members(chunked, "theme", "post_id")
     score = F.round(F.col("likes") / F.col("n_posts") / 1000, 4)
-    return profile.join(digests, "theme").select(
+    return profile.select(
         *slices,
         F.concat(F.lit("nar_"), "author_id").alias("id"),
         F.concat("author_id", F.lit(" momentum")).alias("name"),
         F.concat(F.lit("Posts of "), "author_id").alias("description"),
-        "first_seen", "last_seen", "n_posts", "n_chunks", "members_digest",
+        "first_seen", "last_seen", "n_posts",
+        members.members_digest(F.col("n_posts")).alias("members_digest"),
         F.array("author_id").alias("cashtags"),
         F.array(F.lit("flows"), F.lit("etf")).alias("keywords"),
         score.alias("sentiment_score"), F.lit(0.0).alias("velocity_score"),
@@ -671,19 +739,25 @@ def active_narratives(spark, sf_dir):
 
 @query
 def material_change(spark, sf_dir):
-    """Themes of the first slice against those of the second."""
-    batches = _runs(spark, sf_dir)
-    old = batches[0][0].select("id", F.struct("*").alias("old"))
-    new = batches[1][0].select("id", F.struct("*").alias("new"))
-    return old.join(new, "id").select("id", lifecycle.materially_changed().alias("changed"))
+    """Themes of each slice against those of the slice before."""
+    themes = stage(author_themes(_slices(spark, sf_dir), "slice"), "themes")
+    new = themes.select("slice", "id", F.struct("*").alias("new"))
+    old = themes.select((F.col("slice") + 1).alias("slice"), "id", F.struct("*").alias("old"))
+    return old.join(new, ["slice", "id"]).select(
+        "slice", "id", lifecycle.materially_changed().alias("changed")
+    )
 
 
 @query
 def stale_narratives(spark, sf_dir):
-    (first, clock), (second, later) = _runs(spark, sf_dir)[:2]
-    state = lifecycle.reconcile(lifecycle.empty_state(spark), first, clock, STALE_AFTER).state
-    stale = lifecycle.stale_themes(state, second, later, STALE_AFTER)
-    return stale.select("id", "version", iso("last_seen"))
+    """For each slice but the last, its themes that the next one leaves stale."""
+    batches = [b for i, b in enumerate(_runs(spark, sf_dir)) if i != 2]
+    found = []
+    for number, ((first, clock), (second, later)) in enumerate(zip(batches, batches[1:]), 1):
+        state = lifecycle.reconcile(lifecycle.empty_state(spark), first, clock, STALE_AFTER).state
+        stale = lifecycle.stale_themes(state, second, later, STALE_AFTER)
+        found.append(stale.select(F.lit(number).cast("long").alias("slice"), "id", "version", iso("last_seen")))
+    return tables.unify(found)
 
 
 # --- reports ------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ only ``None`` means "take the configured value".
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -126,7 +126,6 @@ def load(
 class Analysis:
     clusters: DataFrame
     assigned: DataFrame
-    chunk_members: int = field(default=cluster.CHUNK_MEMBERS)
 
     @property
     def narratives(self) -> DataFrame:
@@ -134,14 +133,13 @@ class Analysis:
 
     @property
     def membership(self) -> DataFrame:
-        return cluster.membership(self.assigned, self.clusters, self.chunk_members)
+        return cluster.membership(self.assigned, self.clusters)
 
 
 def analyse(
     posts: DataFrame, as_of: Column | datetime, lexicon: Lexicon = DEFAULT_LEXICON,
     min_size: int = MIN_CLUSTER_SIZE, max_keywords: int = MAX_KEYWORDS,
     hours: int = scoring.WINDOW_HOURS, staged: bool = True,
-    chunk_members: int = cluster.CHUNK_MEMBERS,
 ) -> Analysis:
     """Cluster posts and fill all scores.
 
@@ -154,9 +152,7 @@ def analyse(
     if staged:
         assigned = stage(assigned, "assigned")
     recent = F.col("created_at") > hours_before(as_of, hours)
-    found = cluster.cluster(
-        posts, assigned, min_size, max_keywords, as_of, recent, chunk_members
-    )
+    found = cluster.cluster(posts, assigned, min_size, max_keywords, as_of, recent)
     all_posts = assigned.agg(F.count("*")).scalar()
     score = sentiment.weighted_score(F.col("weighted"), F.col("weights"))
     velocity = scoring.velocity_score(F.col("recent_posts"), F.col("recent_engagement"), hours)
@@ -169,7 +165,7 @@ def analyse(
             F.col("sentiment_score"), F.col("velocity_score"), F.col("saturation_score")
         ),
     )
-    return Analysis(scored, assigned, chunk_members)
+    return Analysis(scored, assigned)
 
 
 def track(

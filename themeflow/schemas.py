@@ -50,14 +50,14 @@ EXTENSIONS = {
 }
 
 # Post ids of a theme live in MEMBERSHIP, one row each: a theme may hold any share of all posts,
-# so no row carries the whole list.  ``chunk`` spreads the rows of a large theme.
+# so no row carries the whole list.
 NARRATIVES = struct(
     id=STRING, name=STRING, description=STRING, first_seen=TIME, last_seen=TIME, n_posts=LONG,
-    n_chunks=LONG, members_digest=STRING, cashtags=STRINGS, keywords=STRINGS,
+    members_digest=STRING, cashtags=STRINGS, keywords=STRINGS,
     sentiment_score=DOUBLE, velocity_score=DOUBLE, saturation_score=DOUBLE, overall_score=DOUBLE,
     is_active=FLAG, confidence=DOUBLE,
 )
-MEMBERSHIP = struct(narrative_id=STRING, chunk=LONG, post_id=STRING)
+MEMBERSHIP = struct(narrative_id=STRING, post_id=STRING)
 STATE = T.StructType([*NARRATIVES.fields, *struct(version=LONG, updated_at=TIME).fields])
 EVENTS = struct(
     narrative_id=STRING, event_type=STRING, previous_version=LONG, new_version=LONG,

@@ -32,10 +32,16 @@ def write_table(df: DataFrame, path: str, mode: str = "append", partition_by: It
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
-def write_posts(posts: DataFrame, path: str, mode: str = "append") -> None:
-    """Partitioned by platform and day, so both prune the scan."""
+def write_posts(posts: DataFrame, path: str, mode: str = "append", files_per_day: int = 4) -> None:
+    """Partitioned by platform and day, so both prune the scan.
+
+    Rows are brought together first: each platform and day has ``files_per_day`` files at most,
+    not one for each task of the source.
+    """
     dated = posts.withColumn("created_date", F.to_date("created_at"))
-    write_table(dated, path, mode, ("platform", "created_date"))
+    salt = F.pmod(F.xxhash64("id"), F.lit(files_per_day))
+    together = dated.withColumn("_salt", salt).repartition("platform", "created_date", "_salt")
+    write_table(together.drop("_salt"), path, mode, ("platform", "created_date"))
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

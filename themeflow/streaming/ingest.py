@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,8 +16,8 @@ def stored_before(spark: SparkSession, path: str, batch_id: int, like: DataFrame
     try:
         schema = T.StructType([like.schema["id"], T.StructField("batch_id", T.LongType())])
         stored = spark.read.schema(schema).parquet(path)
-    except Exception as error:
-        if "PATH_NOT_FOUND" in str(error):
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
     return stored.filter(F.col("batch_id") < batch_id).select("id")

@@ -13,11 +13,21 @@ from themeflow.operators import lifecycle
 from themeflow.schemas import EVENTS, STATE
 
 
+MERGED = T.StructType(
+    [*STATE.fields, T.StructField("event", T.StringType()), T.StructField("previous_version", T.LongType()),
+     T.StructField("new_version", T.LongType())]
+)
+
+
+def _merged_path(path: str, batch_id: int) -> str:
+    return f"{path}/merged/batch_id={batch_id}"
+
+
 def state_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
-    """Snapshot written by the batch before; empty for the first batch."""
+    """State after the batch before; empty for the first batch."""
     if batch_id == 0:
         return lifecycle.empty_state(spark)
-    return spark.read.schema(STATE).parquet(f"{path}/state/batch_id={batch_id - 1}")
+    return spark.read.schema(MERGED).parquet(_merged_path(path, batch_id - 1)).select(*STATE.fieldNames())
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -25,31 +35,38 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/events")
 
 
+def _drop_version(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def write_batch(
     batch: DataFrame, batch_id: int, path: str,
     narratives_of: Callable[[DataFrame], DataFrame], stale_hours: int,
 ) -> None:
-    """Merge one batch into the last snapshot.
+    """Merge one batch into the last version of the state.
 
-    The clock is the newest post of the batch.  Snapshot and events of a repeated batch replace
-    their own folders.
+    The clock is the newest post of the batch.  The merge is written once; state and events are read
+    from it.  Files of a repeated batch replace their own folders.  Versions before the last two
+    are removed: a repeated batch needs the one before it.
     """
     spark = batch.sparkSession
-    as_of = batch.agg(F.max("created_at")).first()[0]
+    micros = batch.agg(F.max(F.unix_micros("created_at"))).first()[0]
     before = state_before(spark, path, batch_id)
-    if as_of is None:
-        state, log = before, spark.createDataFrame([], EVENTS)
-    else:
-        merged = lifecycle.reconcile(
-            before, narratives_of(batch), F.lit(as_of).cast("timestamp"), stale_hours
+    if micros is None:
+        rows = before.select(
+            "*", F.lit(None).cast("string").alias("event"), F.col("version").alias("previous_version"),
+            F.col("version").alias("new_version"),
         )
-        # State and log come from one merge, written once.
-        merged_path = f"{path}/merged/batch_id={batch_id}"
-        merged.rows.write.mode("overwrite").parquet(merged_path)
-        written = lifecycle.Reconciled(spark.read.schema(merged.rows.schema).parquet(merged_path))
-        state, log = written.state, written.log
-    state.write.mode("overwrite").parquet(f"{path}/state/batch_id={batch_id}")
-    log.write.mode("overwrite").parquet(f"{path}/events/batch_id={batch_id}")
+    else:
+        rows = lifecycle.reconcile(
+            before, narratives_of(batch), F.timestamp_micros(F.lit(micros)), stale_hours
+        ).rows
+    rows.select(*MERGED.fieldNames()).write.mode("overwrite").parquet(_merged_path(path, batch_id))
+    written = lifecycle.Reconciled(spark.read.schema(MERGED).parquet(_merged_path(path, batch_id)))
+    written.log.write.mode("overwrite").parquet(f"{path}/events/batch_id={batch_id}")
+    if batch_id >= 2:
+        _drop_version(spark, _merged_path(path, batch_id - 2))
 
 
 def lifecycle_stream(

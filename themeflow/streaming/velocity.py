@@ -22,6 +22,8 @@ def windowed_velocity(
     Works on streams and tables.  Posts are summed per slide first and only those sums are copied
     into the windows they belong to, not every post ``hours / slide_hours`` times.  State holds
     one row per key and open slide or window; a stream drops rows later than the watermark.
+    A window holds its start and not its end, where the velocity of a theme at a clock holds the
+    end and not the start; at the edges the two differ by one instant.
     """
     check_window(hours)
     if hours % slide_hours:
