@@ -93,9 +93,10 @@ def test_lines(spark):
                 met.add(x.strip())
                 kept.append(x)
             want[i] = None if t is None else "\n".join(kept)
-        found = line_dedup.dedup_lines(docs, min_sites=6, keep_first=keep_first)
-        assert found.columns == docs.columns
-        assert {r.doc_id: r.text for r in found.collect()} == want
+        for limit in (0, line_dedup.BROADCAST_BYTES):
+            found = line_dedup.dedup_lines(docs, min_sites=6, keep_first=keep_first, broadcast_bytes=limit)
+            assert found.columns == docs.columns
+            assert {r.doc_id: r.text for r in found.collect()} == want
     assert spread and len(spread) < len(seen)
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 

@@ -25,6 +25,18 @@ ERRORS = 6.0
 _BLANKS = " \t\x0b\x0c\r"
 
 
+#: Tables of lines are broadcast up to this many bytes; above, adaptive joins meet them by hash.
+BROADCAST_BYTES = 32 << 20
+
+
+def _shared(lines: DataFrame, broadcast_bytes: int) -> DataFrame:
+    """``lines`` (staged rows of two numbers), marked for broadcast where they are few.
+
+    A line that every document holds then stays spread over the tasks that read it.
+    """
+    return F.broadcast(lines) if lines.count() * 24 <= broadcast_bytes else lines
+
+
 def text_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
@@ -62,6 +74,7 @@ def spread_lines(
     min_sites: int = MIN_SITES,
     sketch_bits: int = SKETCH_BITS,
     errors: float = ERRORS,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Lines on ``min_sites`` sites or more: ``line`` and ``first_id``, their smallest document id.
 
@@ -81,7 +94,7 @@ def spread_lines(
     high = _high(min_sites, sketch_bits, errors)
     near = estimated.filter(F.col("sites") < high).select("line")
     exact = (
-        seen.join(near, "line", "left_semi")
+        seen.join(_shared(near, broadcast_bytes), "line", "left_semi")
         .filter(F.col("site").isNotNull())
         .groupBy("line", "site")
         .agg(F.lit(1).alias("one"))
@@ -130,6 +143,7 @@ def dedup_lines(
     sketch_bits: int = SKETCH_BITS,
     errors: float = ERRORS,
     removed_col: str | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``docs`` without boilerplate lines; with ``removed_col``, the positions of removed lines.
 
@@ -140,8 +154,8 @@ def dedup_lines(
     line has no other.
     """
     seen = stage(occurrences(docs, id_col, text_col, site_col), "lines")
-    spread = spread_lines(seen, min_sites, sketch_bits, errors)
-    hits = seen.join(spread, "line")
+    spread = spread_lines(seen, min_sites, sketch_bits, errors, broadcast_bytes)
+    hits = seen.join(_shared(spread, broadcast_bytes), "line")
     if keep_first:
         mine = F.col("__id") == F.col("first_id")
         first = (
