@@ -118,6 +118,7 @@ def learn(
                 _bin(F.col(f), cuts[f]).alias(f)
                 for f in features
             ],
+            F.struct(*features).alias("raw"),
         ),
         "binned-statistics",
     )
@@ -130,7 +131,7 @@ def learn(
         rule, good, bad = _pruned(train.filter(left & F.col("prune")), rule)
         if good < min_support or good < min_precision * (good + bad):
             break
-        learned.rules.append(rule)
+        learned.rules.append(_with_margin(train.filter(left), rule))
         learned.support.append((good, bad))
         left = left & ~_all([_binned(c) for c in rule])
     return learned
@@ -218,6 +219,25 @@ def _pruned(
     return best
 
 
+def _with_margin(rows: DataFrame, rule: tuple[Condition, ...]) -> tuple[Condition, ...]:
+    """Thresholds halfway between their cut and the nearest bad document that the rule rejects.
+
+    What lies in the gap below the bad documents is accepted: a rule doesn't reach further than
+    the labels do.
+    """
+    holds = _all([_binned(c) for c in rule]) & (F.col("bad") == 1)
+    nearest = rows.filter(holds).agg(
+        *[
+            (F.min if c.above else F.max)(F.col("raw")[c.feature]).alias(f"c{i}")
+            for i, c in enumerate(rule)
+        ]
+    ).first()
+    return tuple(
+        Condition(c.feature, c.above, (c.threshold + nearest[f"c{i}"]) / 2, c.bin)
+        for i, c in enumerate(rule)
+    )
+
+
 def base_failed() -> Column:
     """Fewer than 50 words, or more than half of them in repeated 3-word windows."""
     n = F.col("n_words")
