@@ -118,10 +118,10 @@ def test_podcast(spark, tmp_path):
     }
 
 
-FEED = """<?xml version="1.0"?><rss version="2.0"><channel><title>Field Notes</title>
+FEED = """<?xml version="1.0"?><rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>Field Notes</title>
 <item><guid>g1</guid><title>One</title><link>https://e/1</link><pubDate>Thu, 05 Mar 2026 15:00:00 GMT</pubDate>
 <description>&lt;p&gt;$WHT talk&lt;/p&gt;</description><enclosure url="https://e/1.mp3" type="audio/mpeg"/></item>
-<item><guid>g2</guid><title>Two</title><description>more</description></item>
+<item><guid>g2</guid><title>Two</title><description>more</description><dc:date>2026-03-04T12:00:00Z</dc:date></item>
 </channel></rss>"""
 
 
@@ -135,7 +135,26 @@ def test_feed_files(spark, tmp_path):
     assert [(r.episode_title, r.text, r.audio_url, r.show_name) for r in rows] == [
         ("One", "$WHT talk", "https://e/1.mp3", "Field Notes")
     ]
-    assert podcast.normalise(entries, NOW).count() == 2
+    dated = {r.episode_title: r.created_at for r in podcast.normalise(entries, NOW).collect()}
+    assert dated == {"One": datetime(2026, 3, 5, 15), "Two": datetime(2026, 3, 4, 12)}
+
+
+ATOM = """<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><title>Field Notes</title>
+<entry><id>a1</id><title>Rivers</title><link href="https://e/a1"/><link rel="enclosure" type="audio/mpeg" href="https://e/a1.mp3"/>
+<published>2026-03-04T12:00:00Z</published><summary>Low $WTR levels</summary></entry>
+<entry><id>a2</id><title>Locks</title><link href="https://e/a2"/><updated>2026-03-03</updated><content>closed</content></entry>
+</feed>"""
+
+
+def test_atom_files(spark, tmp_path):
+    folder = tmp_path / "feeds" / "feed_url=https%3A%2F%2Fe%2Fatom" / "show_name=Field Notes"
+    folder.mkdir(parents=True)
+    (folder / "feed.xml").write_text(ATOM)
+    found = podcast.normalise(landed.read_atom(spark, str(tmp_path / "feeds")), NOW).orderBy("episode_title").collect()
+    assert [(r.episode_title, r.text, r.audio_url, r.episode_url, r.created_at) for r in found] == [
+        ("Locks", "closed", None, "https://e/a2", datetime(2026, 3, 3)),
+        ("Rivers", "Low $WTR levels", "https://e/a1.mp3", "https://e/a1", datetime(2026, 3, 4, 12)),
+    ]
 
 
 def test_a_run_uses_the_sources_that_are_configured(spark, tmp_path):

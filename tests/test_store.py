@@ -93,3 +93,12 @@ def test_tables_round_trip(spark, make_posts, tmp_path):
     assert sorted(back.select(*schemas.POST_COLUMNS).collect()) == sorted(posts.collect())
     plan = back.filter("platform = 'news'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(platform" in plan
+
+
+def test_staged_folders_can_be_removed(spark):
+    from themeflow.operators import staging
+
+    staging.remove_staged(spark)
+    table = staging.stage(spark.range(3), "numbers")
+    assert table.count() == 3
+    assert staging.remove_staged(spark) == 1 and staging.remove_staged(spark) == 0

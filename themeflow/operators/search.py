@@ -94,19 +94,18 @@ def search_subreddits(
 
 def news_window(
     articles: DataFrame, as_of: Column | datetime, hours_back: int = 24, max_results: int = 100,
-    sort_by: str = "publishedAt", domains: Sequence[str] = (), language: str | None = None,
+    sort_by: str = "publishedAt", domains: Sequence[str] = (),
 ) -> DataFrame:
     """Normalised articles of the last hours, newest first, capped per query.
 
-    Hosts must match a domain exactly.  Language is tested only where articles carry one.
+    Hosts must match a domain exactly.  Filter landed articles by language before they are normalised;
+    posts carry none.
     ``relevancy`` and ``popularity`` are rankings of the news service and use its landed
     ``position``.
     """
     found = articles.filter(F.col("created_at") >= hours_before(as_of, hours_back))
     if domains:
         found = found.filter(F.try_parse_url("article_url", F.lit("HOST")).isin(*domains))
-    if language is not None and "language" in articles.columns:
-        found = found.filter(F.col("language").isNull() | (F.col("language") == language))
     if sort_by == "publishedAt":
         order = [F.desc("created_at"), F.col("id")]
     elif sort_by in ("relevancy", "popularity"):

@@ -39,6 +39,28 @@ class Lexicon:
 
 
 DEFAULT_LEXICON = Lexicon()
+#: A lexicon is part of every task's plan, so a table of words has a limit.
+MAX_LEXICON_WORDS = 50_000
+
+
+def lexicon_of(words: DataFrame, max_words: int = MAX_LEXICON_WORDS) -> Lexicon:
+    """Lexicon from a table ``word, polarity`` (1 or -1); fails above ``max_words`` words.
+
+    A word of both polarities is in both lists, and so counts as positive.
+    """
+    rows = (
+        words.select(F.lower("word").alias("word"), F.signum("polarity").alias("sign"))
+        .filter(F.col("word").isNotNull() & F.col("sign").isin(1, -1))
+        .distinct()
+        .limit(max_words + 1)
+        .collect()
+    )
+    if len(rows) > max_words:
+        raise ValueError(f"a lexicon of more than {max_words} words")
+    return Lexicon(
+        tuple(sorted(r["word"] for r in rows if r["sign"] > 0)),
+        tuple(sorted(r["word"] for r in rows if r["sign"] < 0)),
+    )
 
 
 def _polarity(token: Column, previous: Column, lexicon: Lexicon) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _LOCAL_ROOTS: dict[str, tempfile.TemporaryDirectory] = {}
+_STAGED: dict[str, list[str]] = {}
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -31,7 +32,22 @@ def staging_root(spark: SparkSession) -> str:
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
-    return f"{staging_root(spark)}/themeflow/{name}-{uuid.uuid4().hex}"
+    path = f"{staging_root(spark)}/themeflow/{name}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_staged(spark: SparkSession) -> int:
+    """Delete what this application has staged, and say how many folders went.
+
+    Call it at the end of a run, when every result that reads staged tables has been written.
+    """
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    removed = 0
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        removed += target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return removed
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -438,7 +438,11 @@ ORACLES: dict[str, str] = {
             NULL, length(text) FROM news
         UNION ALL SELECT id, 'podcast', show_name, {iso('created_at')}, 0, 0, 0, NULL, NULL, show_name, NULL,
             length(substr(full_text, 1, 8000)) FROM pods""",
-    "ingest_run": f"""WITH {SUBMISSIONS},{PODCAST},
+    "news_domains": f"""WITH {NEWS}
+        SELECT id, {iso('created_at')} AS created_at, host AS source_name FROM news
+        WHERE created_at >= (SELECT max(created_at) FROM news) - INTERVAL 24 HOUR AND length(host) % 2 = 0
+        QUALIFY row_number() OVER (PARTITION BY lang ORDER BY created_at DESC, id) <= 10""",
+    "ingest_run": f"""WITH {SUBMISSIONS},{PODCAST},{TWEETS},{NEWS},
         clock AS (SELECT max(ts) AS t FROM events JOIN documents ON event_id = doc_id),
         listed AS (
             SELECT *, row_number() OVER (PARTITION BY subreddit
@@ -453,7 +457,13 @@ ORACLES: dict[str, str] = {
             SELECT doc_id FROM raw_pods QUALIFY row_number() OVER (PARTITION BY feed_url ORDER BY doc_id) <= 4
         )
         SELECT 'reddit' AS platform, 'reddit_' || doc_id AS id, author AS author_id, score AS likes FROM forum_posts
-        UNION ALL SELECT 'podcast', id, show_name, 0 FROM pods JOIN firsts USING (doc_id)""",
+        UNION ALL SELECT 'podcast', id, show_name, 0 FROM pods JOIN firsts USING (doc_id)
+        UNION ALL SELECT 'twitter', CAST(doc_id AS VARCHAR), CASE WHEN anonymous THEN '' ELSE 'u' || user_id END, likes
+            FROM tweets WHERE likes >= 10 AND ts >= (SELECT t FROM clock) - INTERVAL 24 HOUR
+        UNION ALL SELECT 'news', id, author_id, 0 FROM (
+            SELECT id, coalesce(source_id, host) AS author_id, lang, created_at FROM news
+            WHERE created_at >= (SELECT t FROM clock) - INTERVAL 24 HOUR
+            QUALIFY row_number() OVER (PARTITION BY lang ORDER BY created_at DESC, id) <= 10)""",
     "cashtags": f"""WITH {POSTS} SELECT id, array_to_string(regexp_extract_all(tagged, '{CASHTAG}', 1), ',') AS tags FROM posts""",
     "hashtags": f"""WITH {POSTS} SELECT id, array_to_string(regexp_extract_all(tagged, '{HASHTAG}', 1), ',') AS tags FROM posts""",
     "urls": f"""WITH {POSTS} SELECT id, array_to_string(regexp_extract_all(tagged, 'https?://[^{BLANK})]+', 0), ',') AS links FROM posts""",
@@ -571,6 +581,13 @@ ORACLES: dict[str, str] = {
     "post_sentiment": f"WITH {POSTS},{PROSE} SELECT id, score, {LABEL} AS label FROM scored",
     "custom_lexicon": f"""WITH {POSTS},{sentiment(('the', 'que', 'der'), NEGATIVE_WORDS)}
         SELECT id, positive_hits, negative_hits, score FROM scored""",
+    "lexicon_table": f"""WITH {POSTS},
+        first_words AS (
+            SELECT regexp_extract(text, '([A-Za-z]{{3,}})', 1) AS word, lang = 'en' AS up, count(*) AS n FROM documents GROUP BY 1, 2
+        ),
+        lexicon AS (SELECT DISTINCT lower(word) AS word, up FROM first_words WHERE word <> '' AND n > 1),{
+        sentiment(('+',), ('-',)).replace("'+'", "SELECT word FROM lexicon WHERE up").replace("'-'", "SELECT word FROM lexicon WHERE NOT up")}
+        SELECT id, positive_hits, negative_hits, score FROM scored""",
     "top_terms": f"""WITH {POSTS},{PROSE},
         term_counts AS (
             SELECT sign, token, count(*) AS n, min((-epoch_us(created_at), substr(sha1(id), 1, 9), pos)) AS first

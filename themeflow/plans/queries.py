@@ -167,7 +167,7 @@ def feed_search(spark, sf_dir):
 
 @query
 def posts_unified(spark, sf_dir):
-    """All four sources through one configured run, each with its own filters and caps."""
+    """All four sources in the one post schema, without filters and caps."""
     landed = {
         "twitter": fixtures.tweet_pages(spark, sf_dir),
         "reddit": fixtures.submissions(spark, sf_dir),
@@ -186,27 +186,48 @@ def posts_unified(spark, sf_dir):
     )
 
 
+def _listed_sources(df: DataFrame, name: str) -> list[str]:
+    """What to ask for: the names that the data has, as many as it has sources."""
+    return sorted(r[0] for r in df.select(name).distinct().collect() if r[0])
+
+
 @query
 def ingest_run(spark, sf_dir):
-    """A configured run over landed forum and podcast files."""
-    feeds = fixtures.table(spark, sf_dir, "documents")
-    config = runs.IngestConfig(
-        reddit_subreddits=[f"src{i}" for i in range(20)], reddit_sort="new", reddit_max_results=6,
-        reddit_min_upvotes=0, podcast_feeds=[f"https://feeds.example.com/src{i}" for i in range(20)],
-        podcast_max_episodes=4, hours_back=24,
-    )
+    """A configured run of all four sources, each with its own filters and caps."""
     landed = {
+        "twitter": fixtures.tweet_pages(spark, sf_dir),
         "reddit": fixtures.submissions(spark, sf_dir),
+        "news": fixtures.articles(spark, sf_dir),
         "podcast": fixtures.episodes(spark, sf_dir),
     }
+    documents = fixtures.table(spark, sf_dir, "documents")
+    config = runs.IngestConfig(
+        twitter_queries=["q"], twitter_max_results=10**9, twitter_min_likes=10,
+        reddit_subreddits=_listed_sources(documents, "source"), reddit_sort="new", reddit_max_results=6,
+        reddit_min_upvotes=0, news_queries=_listed_sources(landed["news"], "query"), news_max_results=10,
+        podcast_feeds=_listed_sources(landed["podcast"], "feed_url"), podcast_max_episodes=4, hours_back=24,
+    )
     as_of = fixtures.latest(
-        fixtures.table(spark, sf_dir, "events").join(feeds, F.col("event_id") == F.col("doc_id")).select(
-            F.col("ts").cast("timestamp").alias("created_at")
-        )
+        fixtures.table(spark, sf_dir, "events")
+        .join(documents, F.col("event_id") == F.col("doc_id"))
+        .select(F.col("ts").cast("timestamp").alias("created_at"))
     )
     return runs.ingest(landed, config, as_of).select("platform", "id", "author_id", "likes")
 
 
+@query
+def news_domains(spark, sf_dir):
+    """Articles of chosen hosts only."""
+    articles = fixtures.articles(spark, sf_dir)
+    hosts = _listed_sources(articles, "source.name")
+    config = runs.IngestConfig(
+        news_queries=_listed_sources(articles, "query"), news_max_results=10,
+        news_domains=[h for h in hosts if len(h) % 2 == 0], hours_back=24,
+    )
+    found = news.normalise(articles, CLOCK)
+    return runs.ingest_news(articles, config, fixtures.latest(found)).select("id", iso("created_at"), "source_name")
+
+
 # --- scalar functions ---------------------------------------------------------------------
 
 
@@ -570,6 +591,19 @@ def custom_lexicon(spark, sf_dir):
     return scored.select("id", "positive_hits", "negative_hits", "score")
 
 
+@query
+def lexicon_table(spark, sf_dir):
+    """A lexicon from a table: first words of the documents, by their language."""
+    documents = fixtures.table(spark, sf_dir, "documents")
+    words = documents.select(
+        F.regexp_extract("text", r"([A-Za-z]{3,})", 1).alias("word"),
+        F.when(F.col("lang") == "en", F.lit(1)).otherwise(F.lit(-1)).alias("polarity"),
+    ).filter(F.col("word") != "")
+    lexicon = sentiment.lexicon_of(words.groupBy("word", "polarity").count().filter("count > 1"))
+    scored = sentiment.score_posts(fixtures.posts(spark, sf_dir), lexicon)
+    return scored.select("id", "positive_hits", "negative_hits", "score")
+
+
 @query
 def top_terms(spark, sf_dir):
     return sentiment.top_terms(fixtures.posts(spark, sf_dir), 8, PROSE_LEXICON)

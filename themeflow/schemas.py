@@ -108,8 +108,14 @@ EPISODE = struct(
 _TAGS = T.ArrayType(struct(_url=STRING, _type=STRING))
 FEED_ITEM = struct(
     guid=STRING, link=STRING, title=STRING, pubDate=STRING, description=STRING,
-    **{"itunes:summary": STRING, "content:encoded": STRING},
+    **{"itunes:summary": STRING, "content:encoded": STRING, "dc:date": STRING},
     enclosure=_TAGS,
     **{"podcast:transcript": _TAGS},
     feed_url=STRING, show_name=STRING,
 )
+
+# One <entry> of an Atom file.
+ATOM_ENTRY = struct(
+    id=STRING, title=STRING, published=STRING, updated=STRING, summary=STRING, content=STRING,
+    link=T.ArrayType(struct(_href=STRING, _rel=STRING, _type=STRING)), feed_url=STRING, show_name=STRING,
+)

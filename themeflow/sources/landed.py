@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from themeflow import schemas
+from themeflow.functions.dates import parse_iso
+
 
 def read_tweet_pages(spark: SparkSession, path: str) -> DataFrame:
     """Search result pages, one JSON object per line with its ``query`` and ``page``."""
@@ -60,10 +62,45 @@ def read_feeds(spark: SparkSession, path: str) -> DataFrame:
         "link",
         "title",
         F.col("pubDate").alias("published"),
-        F.lit(None).cast("timestamp").alias("published_parsed"),
+        parse_iso("`dc:date`").alias("published_parsed"),
         F.lit(None).cast("timestamp").alias("updated_parsed"),
         content.alias("content"),
         F.coalesce("`itunes:summary`", "description").alias("summary"),
         "description",
         F.concat(page, links("enclosure", "enclosure"), links("`podcast:transcript`", "transcript")).alias("links"),
     )
+
+
+def read_atom(spark: SparkSession, path: str) -> DataFrame:
+    """Atom files landed under ``feed_url=<url>/show_name=<title>/``, one row per entry."""
+    entries = (
+        spark.read.format("xml").option("rowTag", "entry").schema(schemas.ATOM_ENTRY).load(path)
+        .withColumn("_start", F.col("_metadata.file_block_start"))
+        .withColumn("_row", F.monotonically_increasing_id())
+    )
+    none = F.array().cast("array<struct<href: string, rel: string, type: string>>")
+    links = F.transform(
+        "link",
+        lambda x: F.struct(
+            x["_href"].alias("href"), F.coalesce(x["_rel"], F.lit("alternate")).alias("rel"), x["_type"].alias("type")
+        ),
+    )
+    links = F.coalesce(links, none)
+    page = F.get(F.filter(links, lambda x: x["rel"] == "alternate"), F.lit(0))["href"]
+    content = F.filter(F.array(F.struct(F.col("content").alias("value"))), lambda x: x["value"].isNotNull())
+    return entries.select(
+        "feed_url",
+        "show_name",
+        F.struct("_start", "_row").alias("position"),
+        "id",
+        F.lit(None).cast("string").alias("guid"),
+        page.alias("link"),
+        "title",
+        F.lit(None).cast("string").alias("published"),
+        parse_iso("published").alias("published_parsed"),
+        parse_iso("updated").alias("updated_parsed"),
+        content.alias("content"),
+        "summary",
+        F.lit(None).cast("string").alias("description"),
+        links.alias("links"),
+    )
