@@ -191,6 +191,10 @@ def test_near_copies(spark):
     assert kept.columns == docs.columns
     five = joined([plain_print(t, 5) for t in texts], 4)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(five))
+    # Texts without an id that are no copies of one another all stay.
+    nameless = docs.filter(F.col("doc_id").isin(7, 8, 9)).withColumn("doc_id", F.lit(None).cast("long"))
+    assert simhash.drop_near_copies(docs.unionByName(nameless)).count() == len(set(five))
+    assert simhash.drop_near_copies(nameless).count() == len({five[i] for i in (7, 8, 9)})
     assert simhash.drop_near_copies(docs.limit(0)).count() == 0
 
 

@@ -179,9 +179,9 @@ def near_copies(
     blocks: int = 5,
     crowd: int = CROWD,
 ) -> DataFrame:
-    """``__id``, ``__hash`` (of the text), ``fingerprint`` and ``component`` of each row of ``docs``.
+    """``__id``, ``__hash`` (of the text), ``fingerprint``, ``root`` and ``component`` of each row.
 
-    ``component`` is the smallest document id that links of at most ``distance`` bits reach.  A
+    ``root`` names the group by its smallest fingerprint; ``component`` is the smallest document id that links of at most ``distance`` bits reach.  A
     null or empty text has fingerprint 0 and links like any other.  A null id names no component:
     a group of null ids only has a null component.  Repeated rows link to each other.
     """
@@ -205,7 +205,7 @@ def near_copies(
         roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left"
     ).withColumn("root", F.coalesce("root", "fingerprint"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    found = rooted.join(least, "root").select("fingerprint", "component")
+    found = rooted.join(least, "root").select("fingerprint", "root", "component")
     return prints.join(found, "fingerprint")
 
 
@@ -229,20 +229,13 @@ def drop_near_copies(
     """
     found = stage(
         near_copies(docs, id_col, text_col, shingle, distance, blocks, crowd).select(
-            "__id", "__hash", "component"
+            "__id", "__hash", "root"
         ),
         "near-copies",
     )
-    keepers = found.groupBy("component").agg(
-        F.min(
-            F.when(F.col("__id") == F.col("component"), F.struct("__hash", "__id"))
-        ).alias("named"),
-        F.min("__hash").alias("unnamed"),
-    )
-    chosen = keepers.select(
-        F.col("component").alias("__id"),
-        F.when(F.col("component").isNull(), F.col("unnamed")).otherwise(F.col("named.__hash")).alias("__hash"),
-        F.lit(True).alias("__keep"),
+    first = F.min(F.struct(F.col("__id").isNull().alias("unnamed"), "__id", "__hash")).alias("first")
+    chosen = found.groupBy("root").agg(first).select(
+        "first.__id", "first.__hash", F.lit(True).alias("__keep")
     )
     kept = with_results(docs, chosen, id_col, text_col).filter("__keep").drop("__keep")
     repeated = found.groupBy("__id", "__hash").count().filter("count > 1").limit(1).count()
