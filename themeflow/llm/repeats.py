@@ -42,6 +42,10 @@ FLUSH = 1 << 19
 TASK_STRETCHES = 10_000
 CROWD = 5_000
 NO_ID = (1 << 63) - 1
+#: Bits of a packed span for its length; strings within a stretch are far shorter.
+LENGTH_BITS = 20
+#: Rows of the batches that tasks give back.
+ROWS_OUT = 512
 
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -372,6 +376,12 @@ def _repeats_of(table: pa.Table, min_bytes: int) -> pa.Table:
 def _fetched(min_bytes: int):
     """The bytes of the stretches asked for of each document."""
 
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+    names = ["m", "id", "tag", "start", "size", "bytes"]
+
+    def made(rows: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
@@ -385,11 +395,11 @@ def _fetched(min_bytes: int):
                         (w["m"], id_, tag, begin, w["size"], data[begin : begin + w["size"] + min_bytes - 1]),
                     ):
                         column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(rows, kinds)],
-                names=["m", "id", "tag", "start", "size", "bytes"],
-            )
+                if len(rows[0]) >= 8 * ROWS_OUT:
+                    yield made(rows)
+                    rows = [[], [], [], [], [], []]
+            if rows[0]:
+                yield made(rows)
 
     return run
 
@@ -509,11 +519,13 @@ def remove_repeats(
     A row of null id comes after all others; rows of one id never remove from each other.
     """
     rows = _keyed(docs, id_col, text_col)
+    # One number a span: a document's list of structs would take five times the room.
+    packed = F.shiftleft("start", LENGTH_BITS).bitwiseOR(F.col("length").cast("long"))
     spans = (
         repeats(docs, id_col, text_col, min_bytes, gram, crowd)
         .filter(F.col("first_id").isNull() | (F.col("id") > F.col("first_id")))
         .groupBy("id", "tag")
-        .agg(F.collect_list(F.struct("start", "length")).alias("spans"))
+        .agg(F.collect_list(packed).alias("spans"))
     )
     joined = rows.join(
         spans, (rows["__id"] == spans["id"]) & (rows["__tag"] == spans["tag"]), "left"
@@ -521,17 +533,23 @@ def remove_repeats(
     kind = docs.schema[id_col].dataType.simpleString()
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
+    def made(out: list[list]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(out, kinds)],
+            names=["id", "n_bytes", "n_removed", "n_spans", "kept"],
+        )
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             lists = batch.column("spans")
-            flat, offsets = lists.values, lists.offsets.to_numpy()
-            begins = flat.field("start").to_numpy(zero_copy_only=False)
-            ends = begins + flat.field("length").to_numpy(zero_copy_only=False)
+            flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             for i, (id_, text) in enumerate(zip(batch.column("__id"), batch.column("__text"))):
                 id_, data = id_.as_py(), text.as_py().encode("utf-8", "surrogatepass")
-                a, b = offsets[i], offsets[i + 1]
-                runs = removed_runs(begins[a:b], ends[a:b])
+                own = flat[offsets[i] : offsets[i + 1]]
+                begins = own >> LENGTH_BITS
+                runs = removed_runs(begins, begins + (own & ((1 << LENGTH_BITS) - 1)))
                 kept, at = [], 0
                 for begin, end in runs:
                     kept.append(data[at:begin])
@@ -540,11 +558,11 @@ def remove_repeats(
                 rest = b"".join(kept)
                 for column, value in zip(out, (id_, len(data), len(data) - len(rest), len(runs), rest)):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(out, kinds)],
-                names=["id", "n_bytes", "n_removed", "n_spans", "kept"],
-            )
+                if len(out[0]) >= ROWS_OUT:
+                    yield made(out)
+                    out = [[], [], [], [], []]
+            if out[0]:
+                yield made(out)
 
     real = joined.mapInArrow(cut, schema)
     empty = docs.filter(F.col(text_col).isNull()).select(
