@@ -213,6 +213,23 @@ def hex_print(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
 
+def keep_first(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with one row of each ``root`` of ``found`` (``__id``, ``__hash``, ``root``); same columns.
+
+    It is the row of the smallest id; of several with this id, the one with the smallest text hash.
+    Ids that are null come after all others.
+    """
+    first = F.min(F.struct(F.col("__id").isNull().alias("unnamed"), "__id", "__hash")).alias("first")
+    chosen = found.groupBy("root").agg(first).select(
+        "first.__id", "first.__hash", F.lit(True).alias("__keep")
+    )
+    kept = with_results(docs, chosen, id_col, text_col).filter("__keep").drop("__keep")
+    repeated = found.groupBy("__id", "__hash").count().filter("count > 1").limit(1).count()
+    if repeated:
+        kept = kept.withColumn("__h", F.xxhash64(F.col(text_col))).dropDuplicates([id_col, "__h"]).drop("__h")
+    return kept.select(*docs.columns)
+
+
 def drop_near_copies(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -233,12 +250,4 @@ def drop_near_copies(
         ),
         "near-copies",
     )
-    first = F.min(F.struct(F.col("__id").isNull().alias("unnamed"), "__id", "__hash")).alias("first")
-    chosen = found.groupBy("root").agg(first).select(
-        "first.__id", "first.__hash", F.lit(True).alias("__keep")
-    )
-    kept = with_results(docs, chosen, id_col, text_col).filter("__keep").drop("__keep")
-    repeated = found.groupBy("__id", "__hash").count().filter("count > 1").limit(1).count()
-    if repeated:
-        kept = kept.withColumn("__h", F.xxhash64(F.col(text_col))).dropDuplicates([id_col, "__h"]).drop("__h")
-    return kept.select(*docs.columns)
+    return keep_first(docs, found, id_col, text_col)
