@@ -260,3 +260,9 @@ def test_the_distribution_adds_up():
     assert np.exp(logs).sum() == pytest.approx(1.0)
     inside = vocab.class_tokens()
     assert inside[0] == 4 and inside[2] == 10 and inside[3] == 6 and inside[1] == 5
+
+
+def test_features_see_each_of_the_three_words_before():
+    """One feature of five is the third word before alone: it stays when the two nearer ones change."""
+    rows = [maxent_lm.feature_rows(np.array(w), np.array([3]))[:, 0].tolist() for w in ([7, 8, 9, 5], [7, 18, 19, 5])]
+    assert len(rows[0]) == 5 and sum(a == b for a, b in zip(*rows)) == 1
