@@ -266,3 +266,13 @@ def test_features_see_each_of_the_three_words_before():
     """One feature of five is the third word before alone: it stays when the two nearer ones change."""
     rows = [maxent_lm.feature_rows(np.array(w), np.array([3]))[:, 0].tolist() for w in ([7, 8, 9, 5], [7, 18, 19, 5])]
     assert len(rows[0]) == 5 and sum(a == b for a, b in zip(*rows)) == 1
+
+
+@pytest.mark.parametrize("letters", ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789",
+                                     "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+def test_random_keys_are_no_identifiers(letters):
+    dice = random.Random(6)
+    keys = ["".join(dice.choices(letters, k=dice.randrange(26, 41))) for _ in range(500)]
+    assert sum(bool(secret_scan.random_runs(k, secret_scan.VOCABULARY)) for k in keys) >= 490
+    for t in ["get_user_by_id_or_name", "MAX_RETRY_COUNT_DEFAULT_VALUE", "src/main/java/org/apache/spark"]:
+        assert secret_scan.random_runs(t, secret_scan.VOCABULARY) == []

@@ -24,6 +24,8 @@ KINDS = ("assign", "access", "hex", "random")
 #: Runs of fewer characters aren't tested; below this many characters per token a run is random.
 MIN_RUN = 20
 RATIO = 2.1
+#: Pieces of letters with at least so many characters per token are words.
+WORD_RATIO = 2.5
 
 _ASSIGN = re.compile(
     r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
@@ -60,17 +62,21 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("secrets", pat_str=_PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
-def known_form(run: str) -> bool:
-    """A digest, a UUID, a number, or words joined by case, underscores, hyphens or slashes."""
+def known_form(run: str, vocabulary: str = VOCABULARY) -> bool:
+    """A digest, a UUID, a number, or words of the vocabulary joined by case or punctuation.
+
+    Words are told by the method itself: long pieces of letters with many characters per token.
+    """
     if _UUID.fullmatch(run) or (_DIGEST.fullmatch(run) and len(run) in _DIGEST_SIZES):
         return True
-    if not any(c.isalpha() for c in run) or not any(c.isdigit() for c in run):
-        mixed = run.lower() != run and run.upper() != run
-        if not (mixed and not re.search(r"[_/-]", run)):
-            return True
-    parts = _PART.findall(run)
-    words = [p for p in parts if p.isalpha() and len(p) >= 3]
-    return sum(map(len, words)) >= 0.7 * len(run)
+    if not any(c.isalpha() for c in run):
+        return True
+    words = [p for p in _PART.findall(run) if p.isalpha() and len(p) >= 3]
+    size = sum(map(len, words))
+    if size < 0.6 * sum(c.isalnum() for c in run):
+        return False
+    encode = encoding(vocabulary).encode_ordinary
+    return size >= WORD_RATIO * sum(len(encode(p)) for p in words)
 
 
 def random_runs(text: str, vocabulary: str, ratio: float = RATIO) -> list[tuple[int, int]]:
@@ -79,7 +85,7 @@ def random_runs(text: str, vocabulary: str, ratio: float = RATIO) -> list[tuple[
     for m in _RUN.finditer(text):
         run = m.group()
         core = run.strip("=-_/+")
-        if len(core) < MIN_RUN or known_form(core):
+        if len(core) < MIN_RUN or known_form(core, vocabulary):
             continue
         if len(core) < ratio * len(encoding(vocabulary).encode_ordinary(core)):
             begin = m.start() + run.index(core)
