@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeflow.llm import decontaminate, line_dedup, maxent_lm, packing, pii, quality_qda, quality_rules
-from themeflow.llm import repeats, secret_scan, simhash
+from themeflow.llm import decontaminate, language, line_dedup, manifest, maxent_lm, packing, pii, quality_qda
+from themeflow.llm import quality_rules, repeats, secret_scan, simhash, spelling
 from themeflow.llm.text import table
 
 
@@ -98,6 +98,24 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.group_spellings(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = language.predict(table(spark, sf_dir, "documents"))
+    return found
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = manifest.verified(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"),
+        "folded_root", "verified",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_line_dedup": op2_line_dedup,
@@ -109,4 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_decontaminate": op9_decontaminate,
     "op10_repeats": op10_repeats,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_language_id": op12_language_id,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
