@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from themeflow import schemas
@@ -60,12 +63,73 @@ def test_lifecycle_equals_the_replayed_batches(spark, make_posts, tmp_path):
         expected |= {tuple(r) for r in merged.log.collect()}
         posts.write.mode("append").parquet(landing)
         stream = spark.readStream.schema(schemas.POSTS).parquet(landing)
-        run_to_end(stream_lifecycle.lifecycle_stream(stream, out, log, themes_of))
+        run_to_end(stream_lifecycle.theme_stream(stream, out, f"{log}-themes", themes_of))
+        themes = stream_lifecycle.read_theme_stream(spark, out)
+        run_to_end(stream_lifecycle.lifecycle_stream(themes, out, f"{log}-events"))
     found = stream_lifecycle.read_events(spark, out).drop("batch_id")
     assert {tuple(r) for r in found.collect()} == expected
     assert {r.event_type for r in found.collect()} == {"created", "deactivated", "reactivated"}
-    last = stream_lifecycle.state_before(spark, out, 3)
-    assert sorted(last.select("id", "version").collect()) == sorted(state.select("id", "version").collect())
+    last = stream_lifecycle.read_state(spark, out)
+    assert sorted(last.collect()) == sorted(state.select(*last.columns).collect())
+
+
+def random_batches(make_posts, seed, n):
+    """Batches of posts of few tags, some hours apart, some of one instant or older than the one before."""
+    dice, batches, minutes = random.Random(seed), [], 40_000
+    for number in range(n):
+        minutes -= dice.choice([0, 60, 600, 3000])
+        rows = [
+            {"id": f"{number % 3}-{k}", "cashtags": [dice.choice("ABCDE")], "minutes_ago": minutes + dice.choice([0, 0, 30, 4000]),
+             "likes": dice.choice([0, 0, 9])}
+            for k in range(dice.randrange(1, 4))
+        ]
+        batches.append(make_posts(*rows))
+    return batches
+
+
+def by_tag(posts):
+    """Themes whose id stays while their members change."""
+    found = themes_of(posts)
+    return found.withColumn("id", F.element_at("cashtags", 1))
+
+
+@pytest.mark.parametrize("seed", [2])
+def test_random_lifecycles_equal_the_replay(spark, make_posts, tmp_path, seed):
+    landing, out, log = (str(tmp_path / name) for name in ("landing", "out", "log"))
+    state, expected, clock, written = lifecycle.empty_state(spark), [], None, 0
+    for posts in random_batches(make_posts, seed, 6):
+        newest = posts.agg(F.max(F.unix_micros("created_at"))).first()[0]
+        clock = newest if clock is None else max(newest, clock + 1000)
+        batch = by_tag(posts)
+        merged = lifecycle.reconcile(state, batch, F.timestamp_micros(F.lit(clock)), 48)
+        rows = spark.createDataFrame(merged.rows.collect(), merged.rows.schema)
+        state = lifecycle.Reconciled(rows).state
+        expected += [tuple(r) for r in lifecycle.Reconciled(rows).log.collect()]
+        written += rows.filter("event is not null").count()
+        posts.write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(schemas.POSTS).parquet(landing)
+        run_to_end(stream_lifecycle.theme_stream(stream, out, f"{log}-themes", by_tag))
+        run_to_end(stream_lifecycle.lifecycle_stream(stream_lifecycle.read_theme_stream(spark, out), out, f"{log}-events"))
+    found = stream_lifecycle.read_events(spark, out).drop("batch_id").collect()
+    assert sorted(map(tuple, found)) == sorted(expected)
+    last = stream_lifecycle.read_state(spark, out)
+    assert sorted(last.collect()) == sorted(state.select(*last.columns).collect())
+    # Only touched themes are written.
+    assert stream_lifecycle.read_touched(spark, out).count() == written
+
+
+def test_a_batch_of_themes_written_again_changes_nothing(spark, make_posts, tmp_path):
+    landing, out, log = (str(tmp_path / name) for name in ("landing", "out", "log"))
+    posts = make_posts({"id": "1", "cashtags": ["A"], "minutes_ago": 9})
+    posts.write.parquet(landing)
+    for again in (False, True):
+        if again:
+            stream_lifecycle.write_themes(posts, 0, out, by_tag)
+        else:
+            stream = spark.readStream.schema(schemas.POSTS).parquet(landing)
+            run_to_end(stream_lifecycle.theme_stream(stream, out, f"{log}-themes", by_tag))
+        run_to_end(stream_lifecycle.lifecycle_stream(stream_lifecycle.read_theme_stream(spark, out), out, f"{log}-events"))
+    assert [r.event_type for r in stream_lifecycle.read_events(spark, out).collect()] == ["created"]
 
 
 def test_windows_equal_the_velocity_at_their_end(spark, make_posts):

@@ -42,19 +42,21 @@ class Reconciled:
     @property
     def log(self) -> DataFrame:
         """Events to append; ``unchanged`` is not logged."""
-        details = F.when(F.col("event") == "deactivated", F.lit("{}")).otherwise(
-            F.to_json(F.struct("name"))
-        )
-        return self.rows.filter(
-            F.col("event").isNotNull() & (F.col("event") != "unchanged")
-        ).select(
-            F.col("id").alias("narrative_id"),
-            F.col("event").alias("event_type"),
-            "previous_version",
-            "new_version",
-            F.col("updated_at").alias("occurred_at"),
-            details.alias("details"),
-        )
+        return event_log(self.rows)
+
+
+def event_log(rows: DataFrame, *extra: str) -> DataFrame:
+    """The events that merged ``rows`` stand for; ``unchanged`` is not logged."""
+    details = F.when(F.col("event") == "deactivated", F.lit("{}")).otherwise(F.to_json(F.struct("name")))
+    return rows.filter(F.col("event").isNotNull() & (F.col("event") != "unchanged")).select(
+        F.col("id").alias("narrative_id"),
+        F.col("event").alias("event_type"),
+        "previous_version",
+        "new_version",
+        F.col("updated_at").alias("occurred_at"),
+        details.alias("details"),
+        *extra,
+    )
 
 
 def empty_state(spark: SparkSession) -> DataFrame:

@@ -857,14 +857,13 @@ def stream_lifecycle_events(spark, sf_dir):
     path, out = staging_path(spark, "slices"), staging_path(spark, "lifecycle")
     sliced = stage(_slices(spark, sf_dir), "slices")
     schema = sliced.drop("slice").schema
-    log_path = f"{out}-checkpoint"
     for number in range(3):
-        # A batch lands, the stream takes it up from its checkpoint, and ends.
+        # A batch lands, both streams take it up from their checkpoints, and end.
         sliced.filter(F.col("slice") == number).drop("slice").write.mode("append").parquet(path)
-        stream = spark.readStream.schema(schema).parquet(path)
-        _run_to_end(
-            stream_lifecycle.lifecycle_stream(stream, out, log_path, author_themes, STALE_AFTER)
-        )
+        posts = spark.readStream.schema(schema).parquet(path)
+        _run_to_end(stream_lifecycle.theme_stream(posts, out, f"{out}-themes", author_themes))
+        themes = stream_lifecycle.read_theme_stream(spark, out)
+        _run_to_end(stream_lifecycle.lifecycle_stream(themes, out, f"{out}-events", STALE_AFTER))
     events = stream_lifecycle.read_events(spark, out)
     return events.select(
         "narrative_id", "event_type", "previous_version", "new_version", iso("occurred_at")
