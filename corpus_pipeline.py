@@ -1,6 +1,6 @@
 """From raw documents to padded training batches, five stages.
 
-Quality rules, line dedup, near-dedup by verified shingle similarity, benchmark decontamination, packing.  Each stage is
+Quality rules, line dedup, SimHash near-dedup, benchmark decontamination, packing.  Each stage is
 written as Parquet in the shared folder and read again by the next one.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from themeflow.llm import decontaminate, line_dedup, minhash, packing, quality_rules
+from themeflow.llm import decontaminate, line_dedup, packing, quality_rules, simhash
 from themeflow.llm.text import table
 from themeflow.operators.staging import stage
 
@@ -28,8 +28,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies."""
-    return minhash.drop_similar(docs)
+    """One document, that of the smallest id, of each group whose 3-word fingerprints link at 2 or fewer bits."""
+    return simhash.drop_near_copies(docs, shingle=3, distance=2, blocks=5)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality),
     ("line dedup", lines),
-    ("near-copies", copies),
+    ("simhash near-dedup", copies),
     ("decontamination", benchmark),
     ("packing", batches),
 ]
