@@ -234,9 +234,9 @@ def drop_near_copies(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    shingle: int = 5,
-    distance: int = 4,
-    blocks: int = 8,
+    shingle: int = 3,
+    distance: int = 2,
+    blocks: int = 5,
     crowd: int = CROWD,
 ) -> DataFrame:
     """``docs`` with one row of each group of near copies: that of the smallest id; same columns.
