@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from themeflow import schemas
 from themeflow.operators import cluster, lifecycle, scoring
+from themeflow.operators.id_index import IdIndex
 from themeflow.streaming import ingest, velocity
 from themeflow.streaming import lifecycle as stream_lifecycle
 from tests.conftest import NOW
@@ -29,7 +30,7 @@ def test_ingest_equals_the_batch_over_all_files(spark, make_posts, tmp_path):
     rows = {(r.id, r.text) for r in spark.read.schema(first.schema).parquet(out).collect()}
     assert rows == {("1", "a"), ("2", ""), ("3", "")}
     # A batch that is run again replaces its own rows.
-    ingest.write_batch(second, 1, out, "arrival")
+    ingest.write_batch(second, 1, out, "arrival", IdIndex(f"{out}-ids"))
     assert {(r.id, r.text) for r in spark.read.schema(first.schema).parquet(out).collect()} == rows
 
 

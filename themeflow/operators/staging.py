@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 _LOCAL_ROOTS: dict[str, tempfile.TemporaryDirectory] = {}
 _STAGED: dict[str, list[str]] = {}
+_SCOPE = threading.local()
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -34,15 +38,12 @@ def staging_root(spark: SparkSession) -> str:
 def staging_path(spark: SparkSession, name: str) -> str:
     path = f"{staging_root(spark)}/themeflow/{name}-{uuid.uuid4().hex}"
     _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    for scope in getattr(_SCOPE, "open", []):
+        scope.append(path)
     return path
 
 
-def remove_staged(spark: SparkSession) -> int:
-    """Delete what this application has staged, and say how many folders went.
-
-    Call it at the end of a run, when every result that reads staged tables has been written.
-    """
-    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+def _remove(spark: SparkSession, paths: list[str]) -> int:
     removed = 0
     for path in paths:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -50,6 +51,28 @@ def remove_staged(spark: SparkSession) -> int:
     return removed
 
 
+@contextmanager
+def staged_within(spark: SparkSession) -> Iterator[None]:
+    """Delete what this thread stages inside the block when it ends: for each batch of a stream that never does."""
+    scope: list[str] = []
+    _SCOPE.open = [*getattr(_SCOPE, "open", []), scope]
+    try:
+        yield
+    finally:
+        _SCOPE.open = [x for x in _SCOPE.open if x is not scope]
+        staged = _STAGED.get(spark.sparkContext.applicationId, [])
+        staged[:] = [p for p in staged if p not in scope]
+        _remove(spark, scope)
+
+
+def remove_staged(spark: SparkSession) -> int:
+    """Delete what this application has staged, and say how many folders went.
+
+    Call it at the end of a run, when every result that reads staged tables has been written.
+    """
+    return _remove(spark, _STAGED.pop(spark.sparkContext.applicationId, []))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

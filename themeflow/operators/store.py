@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeflow.constants import FALLBACK_TITLE_CHARS, PLATFORMS
+from themeflow.operators.id_index import IdIndex
 from themeflow.operators.ranking import first_per_group
+from themeflow.operators.staging import stage
 from themeflow.schemas import REQUIRED_POST_COLUMNS
 
 
@@ -34,29 +36,34 @@ BROADCAST_BYTES = 64 << 20
 
 
 def known_ids(
-    incoming: DataFrame, stored: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
+    incoming: DataFrame, stored: DataFrame | IdIndex, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Ids of ``incoming`` that are stored already: as many as the batch has at most.
 
-    The ids of a small batch go to the store, which stays where it is; a batch of more than
-    ``broadcast_bytes`` of ids meets the stored ids in a shuffle (bucket the id table by id for
-    those).
+    The batch is read once, for its distinct ids.  An index reads the buckets that may hold one of
+    them.  Of a plain table, the ids of a small batch go to the store, which stays where it is; a batch of more than
+    ``broadcast_bytes`` of ids meets the stored ids in a shuffle.
     """
-    ids = incoming.select("id").filter(F.col("id").isNotNull())
+    ids = stage(incoming.select("id").filter(F.col("id").isNotNull()).distinct(), "batch-ids")
+    if isinstance(stored, IdIndex):
+        return stored.known(ids)
     size = ids.agg(F.coalesce(F.sum(F.octet_length("id") + 32), F.lit(0))).first()[0]
-    distinct = ids.distinct()
-    asked = F.broadcast(distinct) if size <= broadcast_bytes else distinct
-    return stored.select("id").join(asked, "id", "left_semi")
+    return stored.select("id").join(F.broadcast(ids) if size <= broadcast_bytes else ids, "id", "left_semi")
 
 
 def new_posts(
-    incoming: DataFrame, stored: DataFrame | None, arrival: str, broadcast_bytes: int = BROADCAST_BYTES
+    incoming: DataFrame, stored: DataFrame | IdIndex | None, arrival: str, broadcast_bytes: int = BROADCAST_BYTES,
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """Rows a first-write-wins store would insert, ids being unique across platforms."""
+    """Rows a first-write-wins store would insert, ids being unique across platforms.
+
+    ``known`` are the ids that ``known_ids`` found, where the caller has them already.
+    """
     firsts = first_of_batch(incoming.filter(is_complete()), arrival)
     if stored is None:
         return firsts
-    return firsts.join(known_ids(incoming, stored, broadcast_bytes), "id", "left_anti")
+    known = known_ids(incoming, stored, broadcast_bytes) if known is None else known
+    return firsts.join(known, "id", "left_anti")
 
 
 def load_report(

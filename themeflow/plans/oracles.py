@@ -499,6 +499,7 @@ ORACLES: dict[str, str] = {
         array_to_string(cashtags, '+') AS decoded FROM posts""",
     "keyword_any": f"""WITH {POSTS} SELECT id, contains(lower(text), 'ing the') OR contains(lower(text), 'nicht') AS found FROM posts""",
     "dedup_first": f"WITH {LOAD} SELECT id, platform, sha1(text) AS text_sha1, arrival FROM fresh",
+    "dedup_indexed": f"WITH {LOAD} SELECT id, platform, sha1(text) AS text_sha1, arrival FROM fresh",
     "ingest_report": f"WITH {REPORT} SELECT source, posts_stored, duplicates_skipped, rejected FROM report",
     "ingest_summary": f"""WITH {REPORT},
         broken AS (SELECT platform, count(*) AS n, min(created_at) AS low, max(created_at) AS high

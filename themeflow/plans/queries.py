@@ -18,6 +18,7 @@ from themeflow.functions.core import digest_id, hours_before
 from themeflow.operators import (
     cluster, lifecycle, reports, members, scoring, search, sentiment, store,
 )
+from themeflow.operators.id_index import IdIndex
 from themeflow.operators.staging import stage, staging_path
 from themeflow.plans import fixtures, runs
 from themeflow.plans.fixtures import PROSE_LEXICON
@@ -369,6 +370,17 @@ def dedup_first(spark, sf_dir):
     return fresh.select("id", "platform", text_digest(), "arrival")
 
 
+@query
+def dedup_indexed(spark, sf_dir):
+    """As ``dedup_first``; what is stored is known from the id index that two loads have left."""
+    incoming, stored = _load(spark, sf_dir)
+    ids = IdIndex(staging_path(spark, "ids"), ids_per_bucket=200)
+    for segment in (0, 1):
+        ids.add(stored.filter(F.col("doc_id") % 2 == segment), segment)
+    fresh = store.new_posts(incoming, ids, "arrival")
+    return fresh.select("id", "platform", text_digest(), "arrival")
+
+
 @query
 def ingest_report(spark, sf_dir):
     incoming, stored = _load(spark, sf_dir)

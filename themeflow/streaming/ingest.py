@@ -2,42 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
 from themeflow.operators import store
+from themeflow.operators.id_index import IdIndex
+from themeflow.operators.staging import stage, staged_within
 
 
-def stored_before(spark: SparkSession, path: str, batch_id: int, like: DataFrame) -> DataFrame | None:
-    """Ids written by earlier batches; ``None`` before the first one."""
-    try:
-        schema = T.StructType([like.schema["id"], T.StructField("batch_id", T.LongType())])
-        stored = spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    return stored.filter(F.col("batch_id") < batch_id).select("id")
+def write_batch(batch: DataFrame, batch_id: int, path: str, arrival: str, index: IdIndex) -> None:
+    """Append what is new to the store and its ids to the index.
 
-
-def write_batch(batch: DataFrame, batch_id: int, path: str, arrival: str) -> None:
-    """Append what is new.
-
-    A batch that is run again after a failure replaces its own folder and does not look at it,
+    Only buckets of the index that may hold an id of the batch are read, never the store.  A batch
+    that is run again after a failure replaces its own folder and segment and does not look at them,
     so the outcome is the same.
     """
-    known = stored_before(batch.sparkSession, path, batch_id, batch)
-    fresh = store.new_posts(batch, known, arrival)
-    fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-
-def ingest_stream(posts: DataFrame, path: str, arrival: str, checkpoint: str) -> DataStreamWriter:
-    """Exact de-duplication against everything stored; memory of it lives in the table."""
+    with staged_within(batch.sparkSession):
+        batch = stage(batch, "stream-batch")
+        known = index.known(batch, before=batch_id)
+        fresh = stage(store.new_posts(batch, index, arrival, known=known), "stream-fresh")
+        index.add(fresh, batch_id)
+        fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def ingest_stream(
+    posts: DataFrame, path: str, arrival: str, checkpoint: str, index: IdIndex | None = None
+) -> DataStreamWriter:
+    """Exact de-duplication against everything stored; memory of it is the index (by default beside the store)."""
+    ids = index or IdIndex(f"{path}-ids")
     return posts.writeStream.foreachBatch(
-        lambda batch, batch_id: write_batch(batch, batch_id, path, arrival)
+        lambda batch, batch_id: write_batch(batch, batch_id, path, arrival, ids)
     ).option("checkpointLocation", checkpoint)
 
 
