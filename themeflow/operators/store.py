@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeflow.constants import FALLBACK_TITLE_CHARS, PLATFORMS
+from themeflow.functions.core import instant
 from themeflow.operators.id_index import IdIndex
 from themeflow.operators.ranking import first_per_group
 from themeflow.operators.staging import stage
@@ -67,14 +69,15 @@ def new_posts(
 
 
 def load_report(
-    incoming: DataFrame, stored: DataFrame | None, arrival: str, source: str = "platform",
-    configured: Sequence[str] = (),
+    incoming: DataFrame, stored: DataFrame | IdIndex | None, arrival: str, source: str = "platform",
+    configured: Sequence[str] = (), known: DataFrame | None = None,
+    started_at: Column | datetime | None = None, completed_at: Column | datetime | None = None,
 ) -> DataFrame:
     """``source, posts_stored, duplicates_skipped, rejected`` of one load, and how it went.
 
     ``errors`` names each required column that rows lacked, with the number of rows; ``success`` is
-    false where every row was rejected; ``started_at`` and ``completed_at`` are the first and last
-    time of the source's posts.  A configured source that delivered nothing has a row of zeros.
+    false where every row was rejected; ``started_at`` and ``completed_at`` are the run's times as the
+    caller gives them.  A configured source that delivered nothing has a row of zeros.
     Duplicates are what is neither stored nor rejected, so only counts are needed, never a
     ranking of all copies of an id.
     """
@@ -87,8 +90,6 @@ def load_report(
         F.count("*").alias("arrived"),
         F.count_if(~is_complete()).alias("rejected"),
         F.array_compact(F.array(*messages)).alias("errors"),
-        F.min("created_at").alias("started_at"),
-        F.max("created_at").alias("completed_at"),
     )
     if configured:
         names = incoming.sparkSession.createDataFrame([(x,) for x in configured], f"`{source}` string")
@@ -100,7 +101,7 @@ def load_report(
             }
         )
     narrow = incoming.select(*{*REQUIRED_POST_COLUMNS, arrival, source})
-    inserted = new_posts(narrow, stored, arrival).groupBy(source).agg(F.count("*").alias("n"))
+    inserted = new_posts(narrow, stored, arrival, known=known).groupBy(source).agg(F.count("*").alias("n"))
     stored_count = F.coalesce("n", F.lit(0))
     return arrived.join(inserted, source, "left").select(
         F.col(source).alias("source"),
@@ -109,8 +110,8 @@ def load_report(
         "rejected",
         "errors",
         ((F.col("rejected") == 0) | (F.col("rejected") < F.col("arrived"))).alias("success"),
-        "started_at",
-        "completed_at",
+        instant(started_at).alias("started_at"),
+        instant(completed_at).alias("completed_at"),
     )
 
 

@@ -6,12 +6,13 @@ Arrays come out joined and times as text, so that results compare across engines
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from themeflow import schemas
 from themeflow.constants import POST_DIGEST_CHARS
 from themeflow.functions import dates, text
 from themeflow.functions.core import digest_id, hours_before
@@ -216,6 +217,50 @@ def ingest_run(spark, sf_dir):
     return runs.ingest(landed, config, as_of).select("platform", "id", "author_id", "likes")
 
 
+def _unreadable(spark, sf_dir, schema) -> DataFrame:
+    """Landed lines that hold no payload."""
+    lines = fixtures.table(spark, sf_dir, "documents").filter("doc_id % 50 = 0").select(F.lit("{broken").alias("line"))
+    return lines.select(F.from_json("line", schema).alias("row")).select("row.*")
+
+
+@query
+def ingest_run_report(spark, sf_dir):
+    """A run over payloads of which some are broken, into a store that has some of the tweets."""
+    number = lambda tweet: tweet["id"].cast("long")
+    undated = F.transform("data", lambda t: t.withField(
+        "created_at", F.when(number(t) % 13 == 0, F.lit("soon")).otherwise(t["created_at"])))
+    doc, place = F.col("id").cast("long"), F.col("position")
+    landed = {
+        "twitter": fixtures.tweet_pages(spark, sf_dir).withColumn("data", undated),
+        "reddit": fixtures.submissions(spark, sf_dir).withColumn("created_utc", F.when(doc % 17 > 0, F.col("created_utc"))),
+        "news": fixtures.articles(spark, sf_dir).withColumn(
+            "publishedAt", F.when(place % 11 == 0, F.lit("never")).otherwise(F.col("publishedAt"))),
+        "podcast": fixtures.episodes(spark, sf_dir).withColumns(
+            {c: F.when(place % 19 > 0, F.col(c)) for c in ("id", "link")}),
+    }
+    payloads = {"twitter": schemas.TWEET_PAGE, "reddit": schemas.SUBMISSION, "news": schemas.ARTICLE, "podcast": schemas.EPISODE}
+    landed = {k: v.unionByName(_unreadable(spark, sf_dir, payloads[k])) for k, v in landed.items()}
+    documents = fixtures.table(spark, sf_dir, "documents")
+    everything = 10**9
+    config = runs.IngestConfig(
+        twitter_queries=["q"], twitter_max_results=everything, twitter_min_likes=0,
+        reddit_subreddits=_listed_sources(documents, "source"), reddit_sort="new", reddit_max_results=everything // 2,
+        reddit_min_upvotes=-10, news_queries=_listed_sources(landed["news"], "query"), news_max_results=everything,
+        podcast_feeds=_listed_sources(landed["podcast"], "feed_url"), podcast_max_episodes=everything, hours_back=10**5,
+    )
+    stored = documents.filter("doc_id % 5 = 0").select(F.col("doc_id").cast("string").alias("id"))
+    path, ticks = staging_path(spark, "run-posts"), iter([CLOCK, CLOCK + timedelta(seconds=90)])
+    report = runs.run_ingest(
+        landed, config, CLOCK, stored, lambda posts: tables.write_posts(tables.base_posts(posts), path),
+        clock=lambda: next(ticks),
+    )
+    written = spark.read.parquet(path).groupBy("platform").agg(F.count("*").alias("written"))
+    return report.join(written, F.col("source") == F.col("platform"), "left").select(
+        "source", "posts_stored", "written", "duplicates_skipped", "rejected", listed("errors", "; "), "success",
+        iso("started_at"), iso("completed_at"), "landed", "unreadable", "dropped",
+    )
+
+
 @query
 def news_domains(spark, sf_dir):
     """Articles of chosen hosts only."""
@@ -384,8 +429,12 @@ def dedup_indexed(spark, sf_dir):
 @query
 def ingest_report(spark, sf_dir):
     incoming, stored = _load(spark, sf_dir)
-    report = store.load_report(incoming, stored, "arrival")
-    return report.select("source", "posts_stored", "duplicates_skipped", "rejected")
+    ticks = iter([CLOCK, CLOCK + timedelta(seconds=90)])
+    _, report = runs.load(incoming, stored, "arrival", clock=lambda: next(ticks))
+    return report.select(
+        "source", "posts_stored", "duplicates_skipped", "rejected", listed("errors", "; "), "success",
+        iso("started_at"), iso("completed_at"),
+    )
 
 
 def _with_broken(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -401,7 +450,8 @@ def _with_broken(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 def ingest_summary(spark, sf_dir):
     incoming, stored = _with_broken(spark, sf_dir)
     results = store.load_report(
-        incoming, stored, "arrival", configured=("twitter", "reddit", "news", "podcast", "letters")
+        incoming, stored, "arrival", configured=("twitter", "reddit", "news", "podcast", "letters"),
+        started_at=CLOCK, completed_at=CLOCK + timedelta(milliseconds=90_250),
     )
     summary = reports.ingest_summary(results, store.stats(fixtures.posts(spark, sf_dir)))
     return summary.withColumn("first_errors", listed("first_errors", "; "))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 from themeflow.constants import MAX_KEYWORDS, MIN_CLUSTER_SIZE
 from themeflow.functions.core import hours_before
 from themeflow.operators import cluster, lifecycle, scoring, search, sentiment, store
+from themeflow.operators.id_index import IdIndex
+from themeflow.operators.observed import Watch
 from themeflow.operators.sentiment import DEFAULT_LEXICON, Lexicon
 from themeflow.operators.staging import stage
+from themeflow.schemas import REQUIRED_POST_COLUMNS
 from themeflow.sources import forum, news, podcast, tables, tweets
 
 
@@ -57,8 +60,10 @@ class IngestConfig:
         return [name for name, on in wanted.items() if on]
 
 
-def ingest_tweets(pages: DataFrame, config: IngestConfig, as_of: Column | datetime) -> DataFrame:
-    found = tweets.normalise(pages.filter(F.col("query").isin(*config.twitter_queries)), as_of)
+def ingest_tweets(
+    pages: DataFrame, config: IngestConfig, as_of: Column | datetime, watch: Watch | None = None
+) -> DataFrame:
+    found = tweets.normalise(pages.filter(F.col("query").isin(*config.twitter_queries)), as_of, watch)
     return search.capped_search(
         found, config.twitter_max_results, "arrival",
         thresholds={"likes": config.twitter_min_likes} if config.twitter_min_likes > 0 else None,
@@ -66,34 +71,46 @@ def ingest_tweets(pages: DataFrame, config: IngestConfig, as_of: Column | dateti
     ).drop("query", "arrival")
 
 
-def ingest_forum(submissions: DataFrame, config: IngestConfig, as_of: Column | datetime) -> DataFrame:
+def ingest_forum(
+    submissions: DataFrame, config: IngestConfig, as_of: Column | datetime, watch: Watch | None = None
+) -> DataFrame:
+    dated = forum.with_created_at(submissions)
+    if watch is not None:
+        # Without an id a row is rejected by the store; without a date it is outside any window.
+        wanted = F.col("subreddit").isin(*config.reddit_subreddits)
+        missing = {"id": wanted & F.col("id").isNull(), "date": wanted & F.col("id").isNotNull() & F.col("created_at").isNull()}
+        dated = watch.seen(dated, "reddit", missing)
     found = search.search_subreddits(
-        forum.with_created_at(submissions), config.reddit_subreddits, config.reddit_keywords,
+        dated, config.reddit_subreddits, config.reddit_keywords,
         config.reddit_sort, max_results=config.reddit_max_results,
         min_upvotes=config.reddit_min_upvotes, hours_back=config.hours_back, as_of=as_of,
     )
     return forum.normalise(found, as_of)
 
 
-def ingest_news(articles: DataFrame, config: IngestConfig, as_of: Column | datetime) -> DataFrame:
+def ingest_news(
+    articles: DataFrame, config: IngestConfig, as_of: Column | datetime, watch: Watch | None = None
+) -> DataFrame:
     wanted = articles.filter(F.col("query").isin(*config.news_queries)).filter(
         F.col("language").isNull() | (F.col("language") == config.news_language)
     )
     return search.news_window(
-        news.normalise(wanted, as_of), as_of, config.hours_back, config.news_max_results,
+        news.normalise(wanted, as_of, watch), as_of, config.hours_back, config.news_max_results,
         domains=config.news_domains,
     ).drop("query", "position")
 
 
-def ingest_podcasts(entries: DataFrame, config: IngestConfig, as_of: Column | datetime) -> DataFrame:
+def ingest_podcasts(
+    entries: DataFrame, config: IngestConfig, as_of: Column | datetime, watch: Watch | None = None
+) -> DataFrame:
     wanted = entries.filter(F.col("feed_url").isin(*config.podcast_feeds))
     episodes = podcast.normalise(
-        search.first_entries(wanted, config.podcast_max_episodes), as_of
+        search.first_entries(wanted, config.podcast_max_episodes), as_of, watch
     )
     return search.episode_keywords(episodes, config.podcast_keywords).drop("feed_url")
 
 
-INGESTERS: dict[str, Callable[[DataFrame, IngestConfig, Column | datetime], DataFrame]] = {
+INGESTERS: dict[str, Callable[[DataFrame, IngestConfig, Column | datetime, Watch | None], DataFrame]] = {
     "twitter": ingest_tweets,
     "reddit": ingest_forum,
     "news": ingest_news,
@@ -101,25 +118,112 @@ INGESTERS: dict[str, Callable[[DataFrame, IngestConfig, Column | datetime], Data
 }
 
 
-def ingest(landed: dict[str, DataFrame], config: IngestConfig, as_of: Column | datetime) -> DataFrame | None:
-    """Posts of all enabled sources in one job graph; ``None`` when no source is configured."""
+#: A landed line of which all these are null was no readable payload.
+PAYLOAD = {
+    "twitter": ("query", "data"),
+    "reddit": ("id", "created_utc", "subreddit"),
+    "news": ("query", "url", "publishedAt"),
+    "podcast": ("feed_url", "id", "link", "title"),
+}
+
+
+def _watched(rows: DataFrame, name: str, watch: Watch | None) -> DataFrame:
+    if watch is None:
+        return rows
+    unreadable = F.lit(True)
+    for column in PAYLOAD[name]:
+        unreadable = unreadable & F.col(column).isNull()
+    return watch.seen(rows, f"{name}-landed", {"unreadable": unreadable})
+
+
+def ingest(
+    landed: dict[str, DataFrame], config: IngestConfig, as_of: Column | datetime, watch: Watch | None = None
+) -> DataFrame | None:
+    """Posts of all enabled sources in one job graph; ``None`` when no source is configured.
+
+    A watch counts the landed lines of each source, those without a readable payload, and what its
+    normaliser drops.
+    """
     parts = [
-        INGESTERS[name](landed[name], config, as_of)
+        INGESTERS[name](_watched(landed[name], name, watch), config, as_of, watch)
         for name in config.enabled_sources()
         if name in landed
     ]
     return tables.unify(parts) if parts else None
 
 
+def utc_now() -> datetime:
+    return datetime.now(timezone.utc)
+
+
 def load(
-    incoming: DataFrame, stored: DataFrame | None, arrival: str
+    incoming: DataFrame, stored: DataFrame | IdIndex | None, arrival: str, clock: Callable[[], datetime] = utc_now
 ) -> tuple[DataFrame, DataFrame]:
     """Rows to append to the store and the load report.
 
-    Both read the batch, so it is staged and its texts are normalised once.
+    Both read the batch and the ids that are known of it, so both are staged: texts are normalised
+    once and the store is asked once.  The report's times are those of the run by ``clock``.
     """
+    started = clock()
     batch = stage(incoming, "incoming")
-    return store.new_posts(batch, stored, arrival), store.load_report(batch, stored, arrival)
+    known = None if stored is None else stage(store.known_ids(batch, stored), "known-ids")
+    fresh = store.new_posts(batch, stored, arrival, known=known)
+    report = store.load_report(batch, stored, arrival, known=known, started_at=started, completed_at=clock())
+    return fresh, report
+
+
+def run_ingest(
+    landed: dict[str, DataFrame], config: IngestConfig, as_of: Column | datetime,
+    stored: DataFrame | IdIndex | None, write: Callable[[DataFrame], None],
+    clock: Callable[[], datetime] = utc_now,
+) -> DataFrame:
+    """Ingest, store and report: one row for each enabled source of ``config``.
+
+    ``write`` appends the new posts it is given to the store.  Nothing is scanned for the report: its
+    counts are collected by the jobs that stage the batch and find the new posts.  Columns are those of ``store.load_report`` and, before the batch, ``landed`` lines,
+    ``unreadable`` ones among them and records ``dropped`` by the normaliser; these three may be too
+    high where a stage had to be run again.
+    """
+    spark = next(iter(landed.values())).sparkSession
+    started, watch = clock(), Watch()
+    sources = [name for name in config.enabled_sources() if name in landed]
+    posts = ingest(landed, config, as_of, watch)
+    if posts is not None:
+        numbered = posts.withColumn("arrival", F.monotonically_increasing_id())
+        complete = store.is_complete()
+        counted = {}
+        for name in sources:
+            mine = F.col("platform") == name
+            counted |= {f"{name}:arrived": mine, f"{name}:rejected": mine & ~complete}
+            counted |= {f"{name}:{c}": mine & F.col(c).isNull() for c in REQUIRED_POST_COLUMNS}
+        batch = stage(watch.seen(numbered, "batch", counted), "incoming")
+        # Ids are ranked and counted without the texts; the rows that win are written.
+        firsts = store.new_posts(batch.select(*REQUIRED_POST_COLUMNS, "arrival"), stored, "arrival")
+        of_source = {name: F.col("platform") == name for name in sources}
+        firsts = stage(watch.seen(firsts.select("arrival", "platform"), "stored", of_source), "first-posts")
+        write(batch.join(firsts, "arrival", "left_semi").drop("arrival"))
+    completed = clock()
+    rows = []
+    for name in sources:
+        before, dropped = watch.counts(f"{name}-landed"), watch.counts(name)
+        seen = {c: watch.counts("batch")[f"{name}:{c}"] for c in ("arrived", "rejected", *REQUIRED_POST_COLUMNS)}
+        kept = watch.counts("stored")[name]
+        errors = [f"{before['unreadable']} unreadable lines"] if before["unreadable"] else []
+        errors += [f"{n} records without {why}" for why, n in dropped.items() if why != "rows" and n]
+        errors += [f"{seen[c]} rows without {c}" for c in REQUIRED_POST_COLUMNS if seen[c]]
+        lost = sum(n for why, n in dropped.items() if why != "rows")
+        rows.append(
+            (name, kept, seen["arrived"] - seen["rejected"] - kept, seen["rejected"], errors,
+             seen["rejected"] == 0 or seen["rejected"] < seen["arrived"], started, completed,
+             before["rows"], before["unreadable"], lost)
+        )
+    return spark.createDataFrame(rows, RUN_REPORT)
+
+
+RUN_REPORT = (
+    "source string, posts_stored long, duplicates_skipped long, rejected long, errors array<string>, success boolean, "
+    "started_at timestamp, completed_at timestamp, landed long, unreadable long, dropped long"
+)
 
 
 @dataclass(frozen=True)

@@ -11,23 +11,22 @@ from themeflow.constants import NEWS_TEXT_CHARS, POST_DIGEST_CHARS
 from themeflow.functions.core import digest_id, instant, or_else
 from themeflow.functions.dates import parse_iso
 from themeflow.functions.text import cashtags, hashtags, join_paragraphs
+from themeflow.operators.observed import Watch, keep
 from themeflow.sources.forum import tag_set
 
 
-def normalise(articles: DataFrame, collected_at: Column | datetime) -> DataFrame:
+def normalise(articles: DataFrame, collected_at: Column | datetime, watch: Watch | None = None) -> DataFrame:
     """One row per article with all post and news columns, plus ``query`` and ``position``.
 
-    Articles without url or a readable date are dropped.  Tags come from the cut text.
+    Articles without url or a readable date are dropped; a watch counts them as ``news``.  Tags come
+    from the cut text.
     """
     title = F.coalesce("title", F.lit(""))
     text = F.substring(join_paragraphs(F.array(title, "description", "content")), 1, NEWS_TEXT_CHARS)
     source_name = or_else(F.col("source.name"), "unknown")
-    readable = (
-        articles.filter(F.col("url") != "")
-        .withColumn("created_at", parse_iso("publishedAt"))
-        .filter(F.col("created_at").isNotNull())
-        .withColumn("_text", text)
-    )
+    dated = articles.withColumn("created_at", parse_iso("publishedAt"))
+    reasons = {"url": F.col("url") == "", "date": F.col("created_at").isNull()}
+    readable = keep(dated, reasons, watch, "news").withColumn("_text", text)
     return readable.select(
         "query",
         "position",

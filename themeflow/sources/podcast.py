@@ -11,6 +11,7 @@ from themeflow.constants import PODCAST_TEXT_CHARS, POST_DIGEST_CHARS
 from themeflow.functions.core import digest_id, instant, or_else, strip, with_computed
 from themeflow.functions.dates import parse_rfc2822
 from themeflow.functions.text import cashtags, hashtags, markup_to_text
+from themeflow.operators.observed import Watch, keep
 from themeflow.sources.forum import tag_set
 
 # --- fixed values: what stands for an absent title or transcript link ---------------------
@@ -52,20 +53,17 @@ def published_at(as_of: Column | datetime) -> Column:
     return F.coalesce(parse_rfc2822("published"), "published_parsed", "updated_parsed", instant(as_of))
 
 
-def normalise(entries: DataFrame, collected_at: Column | datetime) -> DataFrame:
+def normalise(entries: DataFrame, collected_at: Column | datetime, watch: Watch | None = None) -> DataFrame:
     """One row per episode with all post and podcast columns, plus ``feed_url``.
 
-    Entries without any identifier or text are dropped.  Tags come from the whole transcript,
+    Entries without any identifier or text are dropped; a watch counts them as ``podcast``.  Tags come from the whole transcript,
     the stored text is cut.
     """
     guid = or_else(F.col("id"), or_else(F.col("guid"), F.nullif(F.col("link"), F.lit(""))))
     show = or_else(F.col("show_name"), "unknown")
-    identified = entries.withColumn("_guid", guid).filter(F.col("_guid").isNotNull())
-    parsed = (
-        with_computed(identified, "_text", transcript_text())
-        .filter(F.col("_text") != "")
-        .withColumn("_audio", audio_url())
-    )
+    identified = with_computed(entries.withColumn("_guid", guid), "_text", transcript_text())
+    reasons = {"identifier": F.col("_guid").isNull(), "text": F.col("_text") == ""}
+    parsed = keep(identified, reasons, watch, "podcast").withColumn("_audio", audio_url())
     seed = F.concat_ws(":", "feed_url", "_guid")
     return parsed.select(
         "feed_url",

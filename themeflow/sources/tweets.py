@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from themeflow.functions.core import instant
 from themeflow.functions.dates import parse_iso
+from themeflow.operators.observed import Watch, keep
 
 
 def engagement_rate(engagement: Column, impressions: Column) -> Column:
@@ -16,11 +17,11 @@ def engagement_rate(engagement: Column, impressions: Column) -> Column:
     return F.when(impressions > 0, engagement / impressions)
 
 
-def normalise(pages: DataFrame, collected_at: Column | datetime) -> DataFrame:
+def normalise(pages: DataFrame, collected_at: Column | datetime, watch: Watch | None = None) -> DataFrame:
     """One row per tweet with all post and tweet columns, plus ``query`` and ``arrival``.
 
     The author is looked up among the users of the same page, so no join is needed.  Tweets
-    without id, text or a readable date are dropped.
+    without id, text or a readable date are dropped; a watch counts them as ``twitter``.
     """
     author_id = F.coalesce("tweet.author_id", F.lit(""))
 
@@ -44,7 +45,7 @@ def normalise(pages: DataFrame, collected_at: Column | datetime) -> DataFrame:
         )
 
     counted = metric("like_count") + metric("retweet_count") + metric("reply_count") + metric("quote_count")
-    return tweets.select(
+    found = tweets.select(
         "query",
         F.struct("page", "position").alias("arrival"),
         F.col("tweet.id").alias("id"),
@@ -70,4 +71,6 @@ def normalise(pages: DataFrame, collected_at: Column | datetime) -> DataFrame:
         F.coalesce(
             F.get("tweet.referenced_tweets", F.lit(0))["type"] == "retweeted", F.lit(False)
         ).alias("is_retweet"),
-    ).filter(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("created_at").isNotNull())
+    )
+    reasons = {"id": F.col("id").isNull(), "text": F.col("text").isNull(), "date": F.col("created_at").isNull()}
+    return keep(found, reasons, watch, "twitter")
