@@ -2,6 +2,7 @@ import hashlib
 import json
 from datetime import datetime
 
+from themeflow.operators import search
 from themeflow.plans import runs
 from themeflow.sources import forum, landed, news, podcast, tables, tweets
 from tests.conftest import NOW
@@ -126,7 +127,7 @@ FEED = """<?xml version="1.0"?><rss version="2.0" xmlns:dc="http://purl.org/dc/e
 
 
 def test_feed_files(spark, tmp_path):
-    folder = tmp_path / "feeds" / "feed_url=https%3A%2F%2Fe%2Frss" / "show_name=Field Notes"
+    folder = tmp_path / "feeds" / "feed_url=https%3A%2F%2Fe%2Frss"
     folder.mkdir(parents=True)
     (folder / "feed.xml").write_text(FEED)
     entries = landed.read_feeds(spark, str(tmp_path / "feeds"))
@@ -139,6 +140,28 @@ def test_feed_files(spark, tmp_path):
     assert dated == {"One": datetime(2026, 3, 5, 15), "Two": datetime(2026, 3, 4, 12)}
 
 
+def test_titles_and_order_of_feed_files(spark, tmp_path):
+    """Titles of items and images are none of the channel; a feed without one has none; files follow their paths."""
+    root = tmp_path / "feeds"
+    item = "<item><guid>{0}</guid><title>{0}</title><description>text</description></item>"
+    files = {
+        "a/2.xml": "<rss><channel>" + item.format("a3") + "<image><title>Logo</title></image><title> Late &amp; short </title></channel></rss>",
+        "a/1.xml": "<rss><channel><title>Early</title>" + item.format("a1") + item.format("a2") + "</channel></rss>",
+        "b/1.xml": "<rss><channel>" + item.format("b1") + "</channel></rss>",
+    }
+    for name, text in files.items():
+        target = root / f"feed_url={name}"
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(text)
+    entries = landed.read_feeds(spark, str(root))
+    found = podcast.normalise(entries, NOW).collect()
+    assert {(r.feed_url, r.episode_title, r.show_name) for r in found} == {
+        ("a", "a1", "Early"), ("a", "a2", "Early"), ("a", "a3", "Late & short"), ("b", "b1", "unknown"),
+    }
+    first = search.first_entries(entries, 2)
+    assert sorted(r.title for r in first.collect()) == ["a1", "a2", "b1"]
+
+
 ATOM = """<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><title>Field Notes</title>
 <entry><id>a1</id><title>Rivers</title><link href="https://e/a1"/><link rel="enclosure" type="audio/mpeg" href="https://e/a1.mp3"/>
 <published>2026-03-04T12:00:00Z</published><summary>Low $WTR levels</summary></entry>
@@ -147,10 +170,11 @@ ATOM = """<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><title>
 
 
 def test_atom_files(spark, tmp_path):
-    folder = tmp_path / "feeds" / "feed_url=https%3A%2F%2Fe%2Fatom" / "show_name=Field Notes"
+    folder = tmp_path / "feeds" / "feed_url=https%3A%2F%2Fe%2Fatom"
     folder.mkdir(parents=True)
     (folder / "feed.xml").write_text(ATOM)
     found = podcast.normalise(landed.read_atom(spark, str(tmp_path / "feeds")), NOW).orderBy("episode_title").collect()
+    assert {r.show_name for r in found} == {"Field Notes"}
     assert [(r.episode_title, r.text, r.audio_url, r.episode_url, r.created_at) for r in found] == [
         ("Locks", "closed", None, "https://e/a2", datetime(2026, 3, 3)),
         ("Rivers", "Low $WTR levels", "https://e/a1.mp3", "https://e/a1", datetime(2026, 3, 4, 12)),

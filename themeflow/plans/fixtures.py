@@ -218,3 +218,78 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "view", F.array(sound, script)).otherwise(F.array(script)).alias("links"),
     )
     return _through_json(raw, schemas.EPISODE)
+
+
+#: Documents per landed file of a feed.
+FEED_PAGE = 500
+
+
+def _escaped(value: Column) -> Column:
+    """Text of an XML element; signs that XML can't hold become blanks."""
+    value = F.regexp_replace(value, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\uFFFE\uFFFF]", " ")
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        value = F.replace(value, F.lit(sign), F.lit(name))
+    return value
+
+
+def _element(name: str, value: Column) -> Column:
+    """``<name>value</name>``, nothing for null."""
+    return F.coalesce(F.concat(F.lit(f"<{name}>"), _escaped(value), F.lit(f"</{name}>")), F.lit(""))
+
+
+def _link(rel: str, kind: str, value: Column, tag: str, attribute: str) -> Column:
+    rel_text = f' rel="{rel}"' if rel else ""
+    return F.coalesce(
+        F.concat(F.lit(f"<{tag}{rel_text} type=\"{kind}\" {attribute}=\""), _escaped(value), F.lit('"/>')), F.lit("")
+    )
+
+
+def land_feeds(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """Feeds as XML files: even documents as RSS under ``path``/rss, odd ones as Atom under ``path``/atom.
+
+    Each line of a file is one element; a feed of many documents has several files.
+    """
+    kind, doc = F.col("event_type"), F.col("doc_id")
+    rows = documents_with_events(spark, sf_dir)
+    day, instant = F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    page = F.when(kind != "error", F.concat(F.lit("https://pod.example.com/"), doc))
+    sound = F.when(kind == "view", F.concat(F.lit("https://cdn.example.com/"), doc, F.lit(".mp3")))
+    script = F.concat(F.lit("https://cdn.example.com/"), doc, F.lit(".vtt"))
+    name = F.when(kind == "view", F.concat(F.lit("guid-"), doc))
+    title = F.when(kind != "click", F.concat(F.lit(" Episode "), doc, F.lit(" ")))
+    html = F.concat(F.lit("<p>"), tagged_text(), F.lit("</p>"))
+    rss = F.concat(
+        F.lit("<item>"), _element("guid", name), _element("title", title), _element("link", page),
+        _element("pubDate", F.when(kind == "view", F.concat(day, F.lit(" GMT"))).when(kind == "click", F.concat(day, F.lit(" +0200")))),
+        _element("dc:date", F.when(kind == "purchase", instant)), _element("content:encoded", html),
+        _element("description", tagged_text()), _link("", "audio/mpeg", sound, "enclosure", "url"),
+        _link("", "text/vtt", script, "podcast:transcript", "url"), F.lit("</item>"),
+    )
+    atom = F.concat(
+        F.lit("<entry>"), _element("id", name), _element("title", title), _link("alternate", "text/html", page, "link", "href"),
+        _link("enclosure", "audio/mpeg", sound, "link", "href"), _link("transcript", "text/vtt", script, "link", "href"),
+        _element("published", F.when(kind == "view", instant)), _element("updated", F.when(kind == "click", instant)),
+        _element("content", html), F.lit("</entry>"),
+    )
+    show = F.concat(F.lit("Show & "), "source")
+    spaces = "".join(f' xmlns:{x}="https://example.com/{x}"' for x in ("dc", "content", "podcast"))
+    forms = {
+        "rss": (0, rss, f"<rss{spaces}><channel><link>https://example.com</link>", "</channel></rss>"),
+        "atom": (1, atom, "<feed>", "</feed>"),
+    }
+    for form, (parity, entry, head, tail) in forms.items():
+        feed = F.concat(F.lit("https://feeds.example.com/"), "source", F.lit(f"/{form}"))
+        mine = rows.filter(doc % 2 == parity).select(
+            F.coalesce(feed, F.lit("none")).alias("feed_url"), F.floor(doc / FEED_PAGE).alias("page"), "doc_id",
+            show.alias("show"), entry.alias("line"),
+        )
+        ends = mine.groupBy("feed_url", "page").agg(F.min("show").alias("show"))
+        first = F.concat(F.lit(head), _element("title", F.col("show")))
+        lines = (
+            mine.select("feed_url", "page", F.lit(1).alias("part"), "doc_id", "line")
+            .unionByName(ends.select("feed_url", "page", F.lit(0).alias("part"), F.lit(None).cast("long").alias("doc_id"), first.alias("line")))
+            .unionByName(ends.select("feed_url", "page", F.lit(2).alias("part"), F.lit(None).cast("long").alias("doc_id"), F.lit(tail).alias("line")))
+            .withColumn("page", F.coalesce(F.lpad(F.col("page").cast("string"), 12, "0"), F.lit("none")))
+        )
+        ordered = lines.repartition("feed_url", "page").sortWithinPartitions("feed_url", "page", "part", "doc_id")
+        ordered.select("feed_url", "page", "line").write.partitionBy("feed_url", "page").text(f"{path}/{form}")

@@ -261,6 +261,25 @@ pods AS (
 )"""
 
 
+#: The same episodes as landed XML: even ones in RSS feeds, odd ones in Atom feeds, each with one title per feed.
+FEEDS = f"""{PODCAST},
+raw_feeds AS (
+    SELECT doc_id, doc_id % 2 = 0 AS rss, kind, tagged, link, guid, audio_url, episode_title,
+        'https://feeds.example.com/' || source || CASE WHEN rss THEN '/rss' ELSE '/atom' END AS feed_url,
+        'Show & ' || source AS show_name,
+        CASE WHEN rss THEN created_at WHEN kind IN ('view', 'click') THEN date_trunc('second', ts)
+            ELSE TIMESTAMP '2024-02-01 00:00:00' END AS created_at
+    FROM raw_pods
+),
+feeds AS (
+    SELECT *, 'podcast_' || substr(sha1(feed_url || ':' || guid), 1, 16) AS id,
+        {plain("'<p>' || tagged || '</p>'")} AS from_content, {plain('tagged')} AS from_description,
+        CASE WHEN NOT rss OR from_content = from_description THEN from_content
+            ELSE from_content || chr(10) || chr(10) || from_description END AS full_text
+    FROM raw_feeds WHERE guid IS NOT NULL
+)"""
+
+
 def tag_list(text: str, pattern: str, separator: str = ",") -> str:
     return f"array_to_string(list_sort(list_distinct(regexp_extract_all({text}, '{pattern}', 1))), '{separator}')"
 
@@ -417,6 +436,18 @@ ORACLES: dict[str, str] = {
             concat_ws(' ', link, audio_url) AS urls, show_name, episode_title, link AS episode_url, audio_url,
             'https://cdn.example.com/' || doc_id || '.vtt' AS transcript_source
         FROM pods""",
+    "feed_xml": f"""WITH {FEEDS}
+        SELECT feed_url, id, show_name AS author_id, sha1(substr(full_text, 1, 8000)) AS text_sha1,
+            length(substr(full_text, 1, 8000)) AS chars, {iso('created_at')} AS created_at,
+            {tag_list('full_text', CASHTAG)} AS cashtags, {tag_list('full_text', HASHTAG)} AS hashtags,
+            concat_ws(' ', link, audio_url) AS urls, show_name, episode_title, link AS episode_url, audio_url,
+            'https://cdn.example.com/' || doc_id || '.vtt' AS transcript_source
+        FROM feeds""",
+    "feed_xml_first": f"""WITH {FEEDS},
+        firsts AS (SELECT doc_id FROM raw_feeds QUALIFY row_number() OVER (PARTITION BY feed_url ORDER BY doc_id) <= 5)
+        SELECT feed_url, id, show_name, episode_title FROM feeds JOIN firsts USING (doc_id)
+        WHERE contains(lower(episode_title || chr(10) || substr(full_text, 1, 8000)), '$en')
+            OR contains(lower(episode_title || chr(10) || substr(full_text, 1, 8000)), '$fr')""",
     "html_text": f"SELECT page_id, {plain('html')} AS text FROM pages",
     "podcast_dates": f"""WITH {PODCAST} SELECT doc_id AS position, {iso('created_at')} AS created_at FROM raw_pods""",
     "feed_search": f"""WITH {PODCAST},

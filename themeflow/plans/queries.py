@@ -23,7 +23,7 @@ from themeflow.operators.id_index import IdIndex
 from themeflow.operators.staging import stage, staging_path
 from themeflow.plans import fixtures, runs
 from themeflow.plans.fixtures import PROSE_LEXICON
-from themeflow.sources import forum, news, podcast, tables, tweets
+from themeflow.sources import forum, landed, news, podcast, tables, tweets
 from themeflow.streaming import ingest as stream_ingest
 from themeflow.streaming import lifecycle as stream_lifecycle
 from themeflow.streaming import velocity as stream_velocity
@@ -146,6 +146,31 @@ def norm_podcast(spark, sf_dir):
     )
 
 
+def _feed_entries(spark, sf_dir) -> DataFrame:
+    """Entries of landed RSS and Atom files."""
+    path = staging_path(spark, "feeds")
+    fixtures.land_feeds(spark, sf_dir, path)
+    return landed.read_feeds(spark, f"{path}/rss").unionByName(landed.read_atom(spark, f"{path}/atom"))
+
+
+@query
+def feed_xml(spark, sf_dir):
+    found = podcast.normalise(_feed_entries(spark, sf_dir), CLOCK)
+    return found.select(
+        "feed_url", "id", "author_id", text_digest(), F.length("text").cast("long").alias("chars"),
+        iso("created_at"), listed("cashtags"), listed("hashtags"), listed("urls", " "),
+        "show_name", "episode_title", "episode_url", "audio_url", "transcript_source",
+    )
+
+
+@query
+def feed_xml_first(spark, sf_dir):
+    """The first entries of each feed in the order of its files, then those with a keyword."""
+    entries = search.first_entries(_feed_entries(spark, sf_dir), 5)
+    found = search.episode_keywords(podcast.normalise(entries, CLOCK), ["$EN", "$FR"])
+    return found.select("feed_url", "id", "show_name", "episode_title")
+
+
 @query
 def html_text(spark, sf_dir):
     pages = fixtures.spread(fixtures.table(spark, sf_dir, "pages"))

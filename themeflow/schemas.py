@@ -111,11 +111,14 @@ FEED_ITEM = struct(
     **{"itunes:summary": STRING, "content:encoded": STRING, "dc:date": STRING},
     enclosure=_TAGS,
     **{"podcast:transcript": _TAGS},
-    feed_url=STRING, show_name=STRING,
+    feed_url=STRING,
 )
 
+# What is kept of the element around them, <channel> or <feed>.
+FEED_HEADER = struct(title=STRING)
+
 # One <entry> of an Atom file.
 ATOM_ENTRY = struct(
     id=STRING, title=STRING, published=STRING, updated=STRING, summary=STRING, content=STRING,
-    link=T.ArrayType(struct(_href=STRING, _rel=STRING, _type=STRING)), feed_url=STRING, show_name=STRING,
+    link=T.ArrayType(struct(_href=STRING, _rel=STRING, _type=STRING)), feed_url=STRING,
 )

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from themeflow import schemas
 from themeflow.functions.dates import parse_iso
+from themeflow.operators.staging import stage
 
 
 def read_tweet_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -27,16 +29,38 @@ def read_episodes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.EPISODE).json(path)
 
 
-def read_feeds(spark: SparkSession, path: str) -> DataFrame:
-    """RSS files landed under ``feed_url=<url>/show_name=<title>/``, one row per item.
+def _read_xml(spark: SparkSession, path: str, row_tag: str, schema: T.StructType) -> DataFrame:
+    """One row per element ``row_tag`` with its file and its ``position`` in the feed's files.
 
-    Items are split off one by one, so a feed of any length is never held in one row.
+    Rows of one file come in order within a split; splits are ordered by their start, files of one
+    feed by their path.
     """
-    items = (
-        spark.read.format("xml").option("rowTag", "item").schema(schemas.FEED_ITEM).load(path)
-        .withColumn("_start", F.col("_metadata.file_block_start"))
-        .withColumn("_row", F.monotonically_increasing_id())
+    rows = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"),
     )
+    return rows.select(*schema.fieldNames(), place.alias("position"))
+
+
+def _with_show(entries: DataFrame, spark: SparkSession, path: str, row_tag: str) -> DataFrame:
+    """``entries`` with ``show_name``, the title of the ``row_tag`` element of their file.
+
+    The same files are read by another row tag for the headers: one short row per file, staged, so
+    that Spark knows how little is joined.  A file of several headers takes the first by name.
+    """
+    headers = _read_xml(spark, path, row_tag, schemas.FEED_HEADER)
+    titles = headers.groupBy(F.col("position.file").alias("_file")).agg(F.min("title").alias("show_name"))
+    return entries.join(stage(titles, "feed-titles"), F.col("position.file") == F.col("_file"), "left").drop("_file")
+
+
+def read_feeds(spark: SparkSession, path: str) -> DataFrame:
+    """RSS files landed under ``feed_url=<url>/``, one row per item; the channel's title is the show.
+
+    Items are split off one by one, so their texts are never held in one row.  A feed may come as
+    several files, in the order of their paths.
+    """
+    items = _with_show(_read_xml(spark, path, "item", schemas.FEED_ITEM), spark, path, "channel")
 
     def links(tags: str, rel: str) -> Column:
         return F.transform(
@@ -55,8 +79,7 @@ def read_feeds(spark: SparkSession, path: str) -> DataFrame:
     return items.select(
         "feed_url",
         "show_name",
-        # Rows of one file come in order within a split; splits are ordered by their start.
-        F.struct("_start", "_row").alias("position"),
+        "position",
         F.col("guid").alias("id"),
         "guid",
         "link",
@@ -72,12 +95,8 @@ def read_feeds(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_atom(spark: SparkSession, path: str) -> DataFrame:
-    """Atom files landed under ``feed_url=<url>/show_name=<title>/``, one row per entry."""
-    entries = (
-        spark.read.format("xml").option("rowTag", "entry").schema(schemas.ATOM_ENTRY).load(path)
-        .withColumn("_start", F.col("_metadata.file_block_start"))
-        .withColumn("_row", F.monotonically_increasing_id())
-    )
+    """Atom files landed under ``feed_url=<url>/``, one row per entry; the feed's title is the show."""
+    entries = _with_show(_read_xml(spark, path, "entry", schemas.ATOM_ENTRY), spark, path, "feed")
     none = F.array().cast("array<struct<href: string, rel: string, type: string>>")
     links = F.transform(
         "link",
@@ -91,7 +110,7 @@ def read_atom(spark: SparkSession, path: str) -> DataFrame:
     return entries.select(
         "feed_url",
         "show_name",
-        F.struct("_start", "_row").alias("position"),
+        "position",
         "id",
         F.lit(None).cast("string").alias("guid"),
         page.alias("link"),
