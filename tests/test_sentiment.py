@@ -4,7 +4,7 @@ import re
 import pytest
 
 from themeflow.constants import NEGATIONS
-from themeflow.operators import sentiment
+from themeflow.operators import cluster, sentiment
 from themeflow.operators.sentiment import Lexicon
 from themeflow.schemas import MEMBERSHIP
 
@@ -47,6 +47,42 @@ def test_hits_match_a_loop(spark, make_posts, seed):
     assert {int(r.id): (r.positive_hits, r.negative_hits) for r in rows} == dict(enumerate(map(loop, texts)))
 
 
+def big_table(spark):
+    """Sixty thousand words, among them those of the texts; a few of both signs."""
+    rows = spark.range(60_000).selectExpr("concat('word', id) AS word", "if(id % 3 = 0, 1, -1) AS polarity")
+    own = [("UP", 1), ("both", 1), ("down", -7), ("both", -1), (None, 1), ("flat", 0)]
+    return rows.unionByName(spark.createDataFrame(own, "word string, polarity int"))
+
+
+@pytest.mark.parametrize("limit", [0, sentiment.BROADCAST_BYTES])
+def test_a_table_of_any_size(spark, make_posts, limit):
+    """A table broadcast or shuffled gives what the same words give as lists."""
+    rng = random.Random(9)
+    words = ["up", "Up", "down", "flat", "not", "no", "x", "dont", "both", "word3", "word4", "Word59999", "word60000"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(40))) for _ in range(60)] + ["", "not"]
+    posts = make_posts(*[{"id": str(i), "text": text, "likes": i, "cashtags": ["A"]} for i, text in enumerate(texts)])
+    table = sentiment.lexicon_table(big_table(spark), limit)
+    assert table.words.count() == 60_003 and table.small == bool(limit)
+    lists = Lexicon(("up", "both", "word3", "word59999"), ("down", "word4"))
+    lists = Lexicon(lists.positive[:3], (*lists.negative, "word59999"))
+    assert sorted(sentiment.score_posts(posts, table).collect()) == sorted(sentiment.score_posts(posts, lists).collect())
+    assert sorted(sentiment.top_terms(posts, 5, table).collect()) == sorted(sentiment.top_terms(posts, 5, lists).collect())
+    one, other = (sorted(cluster.assign(posts, x).collect()) for x in (table, lists))
+    assert one == other
+    narratives, members = themes(spark, a=["1", "2", "2", "missing"])
+    found = [sentiment.theme_sentiment(narratives, members, posts, x).collect() for x in (table, lists)]
+    assert found[0] == found[1]
+
+
+def test_a_side_without_words_has_the_default_ones(spark, make_posts):
+    posts = make_posts({"id": "1", "text": "zip rally zip crash"})
+    row = sentiment.score_posts(posts, sentiment.lexicon_table(spark.createDataFrame([("zip", 1)], "word string, polarity int"))).first()
+    assert (row.positive_hits, row.negative_hits) == (2, 1)
+    none = sentiment.lexicon_table(spark.createDataFrame([], "word string, polarity int"))
+    row = sentiment.score_posts(posts, none).first()
+    assert (row.positive_hits, row.negative_hits) == (1, 1)
+
+
 def test_an_empty_list_means_the_default(spark, make_posts):
     posts = make_posts({"id": "1", "text": "zip rally zip crash"})
     row = sentiment.score_posts(posts, Lexicon(positive=("zip",), negative=())).first()

@@ -23,7 +23,7 @@ from themeflow.functions.core import (
 from themeflow.functions.text import dominant_word, keyword_tokens, title_case, upper_tags
 from themeflow.operators.ranking import first_per_group
 from themeflow.operators.sentiment import (
-    DEFAULT_LEXICON, Lexicon, score_units, weight_units, with_sentiment,
+    DEFAULT_LEXICON, Lexicon, LexiconTable, score_units, scored, weight_units,
 )
 from themeflow.operators.members import LIMBS, limb_sums, members_digest
 from themeflow.operators.staging import stage
@@ -49,24 +49,27 @@ def group_keys(posts: DataFrame) -> DataFrame:
     return posts.select("id", group_key().alias("key"))
 
 
-def assign(posts: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
+def assign(posts: DataFrame, lexicon: Lexicon | LexiconTable = DEFAULT_LEXICON) -> DataFrame:
     """One narrow row per post with its group key, score and weights; the text stays behind.
 
     Several aggregates read this table, so ``stage`` it first when texts are large.
     """
-    scored = with_sentiment(posts, lexicon)
-    return scored.select(
-        "id",
+    found = scored(
+        posts,
+        lexicon,
         group_key().alias("key"),
         "platform",
         "author_id",
         "created_at",
         engagement().alias("engagement"),
         weight_units().alias("weight"),
-        score_units(F.col("score")).alias("units"),
         upper_tags("cashtags").alias("tags"),
         post_order().alias("post_order"),
     )
+    return found.select(
+        "id", "key", "platform", "author_id", "created_at", "engagement", "weight",
+        score_units(F.col("score")).alias("units"), "tags", "post_order",
+    )
 
 
 def _ranked_items(rows: DataFrame, limit: int) -> DataFrame:

@@ -15,6 +15,7 @@ from themeflow.constants import (
 from themeflow.functions.core import exact_round, let, order_in_post, post_order
 from themeflow.functions.text import sentiment_tokens
 from themeflow.operators.ranking import first_per_group
+from themeflow.operators.staging import stage
 
 # Scores have four decimals and weights two, so whole numbers hold both without error and their
 # sums do not depend on the order of addition.
@@ -39,28 +40,37 @@ class Lexicon:
 
 
 DEFAULT_LEXICON = Lexicon()
-#: A lexicon is part of every task's plan, so a table of words has a limit.
-MAX_LEXICON_WORDS = 50_000
+#: A lexicon table is broadcast up to this many bytes; above, words meet it in a shuffle.
+BROADCAST_BYTES = 32 << 20
 
 
-def lexicon_of(words: DataFrame, max_words: int = MAX_LEXICON_WORDS) -> Lexicon:
-    """Lexicon from a table ``word, polarity`` (1 or -1); fails above ``max_words`` words.
+@dataclass(frozen=True)
+class LexiconTable:
+    """Word lists of any size: ``words`` has ``token`` and ``sign`` (1 or -1), one row per word."""
+
+    words: DataFrame
+    small: bool
+
+    def signs(self) -> DataFrame:
+        return F.broadcast(self.words) if self.small else self.words
+
+
+def lexicon_table(words: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> LexiconTable:
+    """Lexicon from a table ``word, polarity`` (1 or -1, others are no entries).
 
-    A word of both polarities is in both lists, and so counts as positive.
+    A word of both polarities counts as positive.  A polarity without any word has the default words,
+    as an empty list has.
     """
-    rows = (
-        words.select(F.lower("word").alias("word"), F.signum("polarity").alias("sign"))
-        .filter(F.col("word").isNotNull() & F.col("sign").isin(1, -1))
-        .distinct()
-        .limit(max_words + 1)
-        .collect()
-    )
-    if len(rows) > max_words:
-        raise ValueError(f"a lexicon of more than {max_words} words")
-    return Lexicon(
-        tuple(sorted(r["word"] for r in rows if r["sign"] > 0)),
-        tuple(sorted(r["word"] for r in rows if r["sign"] < 0)),
-    )
+    spark = words.sparkSession
+    signs = words.select(F.lower("word").alias("token"), F.signum("polarity").cast("int").alias("sign"))
+    signs = stage(signs.filter(F.col("token").isNotNull() & F.col("sign").isin(1, -1)).distinct(), "lexicon-entries")
+    has = signs.agg(F.count_if(F.col("sign") > 0).alias("up"), F.count_if(F.col("sign") < 0).alias("down")).first()
+    filling = [(w, 1) for w in POSITIVE_WORDS if not has["up"]] + [(w, -1) for w in NEGATIVE_WORDS if not has["down"]]
+    if filling:
+        signs = signs.unionByName(spark.createDataFrame(filling, "token string, sign int"))
+    table = stage(signs.groupBy("token").agg(F.max("sign").alias("sign")), "lexicon")
+    size = table.agg(F.coalesce(F.sum(F.octet_length("token") + 24), F.lit(0))).first()[0]
+    return LexiconTable(table, size <= broadcast_bytes)
 
 
 def _polarity(token: Column, previous: Column, lexicon: Lexicon) -> Column:
@@ -122,9 +132,57 @@ def label(score: Column) -> Column:
     )
 
 
+def _token_rows(posts: DataFrame, *columns: Column | str) -> DataFrame:
+    """``columns`` of each post with each ``token``, its ``position`` and whether a negation stands before it."""
+
+    def placed(tokens: Column) -> Column:
+        return F.transform(
+            tokens,
+            lambda token, i: F.struct(
+                token.alias("token"),
+                i.alias("position"),
+                F.coalesce(F.get(tokens, i - 1).isin(*NEGATIONS), F.lit(False)).alias("negated"),
+            ),
+        )
+
+    # Two selects: columns selected next to an explode are evaluated once per exploded row.  Outer,
+    # because the inner form filters on the size at the scan and splits each text twice.
+    found = posts.select(*columns, let(sentiment_tokens("text"), placed).alias("found"))
+    rows = found.select(*found.columns[:-1], F.inline_outer("found"))
+    return rows.filter(F.col("token").isNotNull())
+
+
+def table_hits(posts: DataFrame, lexicon: LexiconTable) -> DataFrame:
+    """``id, positive_hits, negative_hits`` of the posts with a hit; ids are unique.
+
+    Each word with the one before it meets the table, and hits are summed by post.  Words of a small
+    table are broadcast, so no word is shuffled; of a large one, adaptive execution splits the
+    most frequent words.
+    """
+    met = _token_rows(posts, "id").select("id", "token", "negated").join(lexicon.signs(), "token")
+    polarity = F.when(F.col("negated"), -F.col("sign")).otherwise(F.col("sign"))
+    return met.groupBy("id").agg(
+        F.count_if(polarity == 1).alias("positive_hits"), F.count_if(polarity == -1).alias("negative_hits")
+    )
+
+
+def with_hits(rows: DataFrame, hits: DataFrame) -> DataFrame:
+    """``rows`` (with a unique ``id``) and their hits; none where ``hits`` has no row."""
+    none = F.lit(0).cast("long")
+    return rows.join(hits, "id", "left").withColumns(
+        {name: F.coalesce(name, none) for name in ("positive_hits", "negative_hits")}
+    )
+
+
+def with_scores(rows: DataFrame) -> DataFrame:
+    """Add ``score`` and ``label`` to rows with hits."""
+    scored = rows.withColumn("score", hits_score(F.col("positive_hits"), F.col("negative_hits")))
+    return scored.withColumn("label", label(F.col("score")))
+
+
 def with_sentiment(posts: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
     """Add ``score, positive_hits, negative_hits, label`` to posts."""
-    return (
+    return with_scores(
         posts.withColumn("_hits", sentiment_hits("text", lexicon))
         .withColumns(
             {
@@ -133,13 +191,19 @@ def with_sentiment(posts: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> Data
             }
         )
         .drop("_hits")
-        .withColumn("score", hits_score(F.col("positive_hits"), F.col("negative_hits")))
-        .withColumn("label", label(F.col("score")))
     )
 
 
-def score_posts(posts: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
-    return with_sentiment(posts.select("id", "text"), lexicon).drop("text")
+def scored(posts: DataFrame, lexicon: Lexicon | LexiconTable, *columns: Column | str) -> DataFrame:
+    """``columns`` of posts with their hits, score and label; texts stay where they are."""
+    if isinstance(lexicon, LexiconTable):
+        return with_scores(with_hits(posts.select("id", *columns), table_hits(posts, lexicon)))
+    found = with_sentiment(posts, lexicon)
+    return found.select("id", *columns, "positive_hits", "negative_hits", "score", "label")
+
+
+def score_posts(posts: DataFrame, lexicon: Lexicon | LexiconTable = DEFAULT_LEXICON) -> DataFrame:
+    return scored(posts, lexicon).select("id", "positive_hits", "negative_hits", "score", "label")
 
 
 def engagement_weight() -> Column:
@@ -165,20 +229,18 @@ def weighted_score(weighted: Column, weights: Column) -> Column:
 
 def theme_sentiment(
     narratives: DataFrame, membership: DataFrame, posts: DataFrame,
-    lexicon: Lexicon = DEFAULT_LEXICON,
+    lexicon: Lexicon | LexiconTable = DEFAULT_LEXICON,
 ) -> DataFrame:
     """``narrative_id, score, label, sample_size`` for any membership.
 
     Ids without a post are skipped, repeated ids count each time.  Both sides of the join are
     spread by post id; the sums are combined before they are shuffled by theme.
     """
-    scored = with_sentiment(posts.select("id", "text", "likes", "replies", "reposts"), lexicon).select(
-        F.col("id").alias("post_id"),
-        weight_units().alias("weight"),
-        score_units(F.col("score")).alias("units"),
+    units = scored(posts, lexicon, weight_units().alias("weight")).select(
+        F.col("id").alias("post_id"), "weight", score_units(F.col("score")).alias("units")
     )
     sums = (
-        membership.join(scored, "post_id")
+        membership.join(units, "post_id")
         .groupBy("narrative_id")
         .agg(
             F.sum(F.col("units") * F.col("weight")).alias("weighted"),
@@ -203,7 +265,7 @@ def overall_score(sentiment: Column, velocity: Column, saturation: Column) -> Co
 
 def apply_sentiment(
     narratives: DataFrame, membership: DataFrame, posts: DataFrame,
-    lexicon: Lexicon = DEFAULT_LEXICON,
+    lexicon: Lexicon | LexiconTable = DEFAULT_LEXICON,
 ) -> DataFrame:
     """Fill ``sentiment_score`` and ``overall_score``."""
     sentiment = theme_sentiment(narratives, membership, posts, lexicon).select(
@@ -221,17 +283,22 @@ def apply_sentiment(
 
 
 def top_terms(
-    posts: DataFrame, limit: int = MAX_KEYWORDS, lexicon: Lexicon = DEFAULT_LEXICON
+    posts: DataFrame, limit: int = MAX_KEYWORDS, lexicon: Lexicon | LexiconTable = DEFAULT_LEXICON
 ) -> DataFrame:
     """Most frequent words counted as positive and as negative: ``side, rank, token, n``."""
-    # Two selects: columns selected next to an explode are evaluated once per exploded row.
-    found = posts.select(post_order().alias("post_order"), term_hits("text", lexicon).alias("found"))
-    # Outer, because the inner form filters on the size at the scan and splits each text twice.
-    rows = found.select("post_order", F.inline_outer("found")).filter(F.col("token").isNotNull())
-    counted = rows.groupBy("polarity", "token").agg(
-        F.count("*").alias("n"),
-        F.min(order_in_post(F.col("post_order"), F.col("position"))).alias("first_met"),
-    )
+    first_met = F.min(order_in_post(F.col("post_order"), F.col("position"))).alias("first_met")
+    if isinstance(lexicon, LexiconTable):
+        # Words are counted before they meet the table: one row per word, however frequent.
+        words = _token_rows(posts, post_order().alias("post_order")).groupBy("token", "negated")
+        met = words.agg(F.count("*").alias("n"), first_met).join(lexicon.signs(), "token")
+        polarity = F.when(F.col("negated"), -F.col("sign")).otherwise(F.col("sign"))
+        counted = met.select(polarity.alias("polarity"), "token", "n", "first_met")
+    else:
+        # Two selects: columns selected next to an explode are evaluated once per exploded row.
+        found = posts.select(post_order().alias("post_order"), term_hits("text", lexicon).alias("found"))
+        # Outer, because the inner form filters on the size at the scan and splits each text twice.
+        rows = found.select("post_order", F.inline_outer("found")).filter(F.col("token").isNotNull())
+        counted = rows.groupBy("polarity", "token").agg(F.count("*").alias("n"), first_met)
     ranked = first_per_group(
         counted, ["polarity"], [F.desc("n"), "first_met", "token"], limit, "token", "rank"
     )

@@ -711,3 +711,6 @@ ORACLES: dict[str, str] = {
             {iso('clock')} AS occurred_at
         FROM logged WHERE event IS NOT NULL AND event <> 'unchanged'""",
 }
+
+# The same words as a table give the same terms.
+ORACLES["lexicon_table_terms"] = ORACLES["top_terms"]

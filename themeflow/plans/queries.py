@@ -686,11 +686,19 @@ def lexicon_table(spark, sf_dir):
         F.regexp_extract("text", r"([A-Za-z]{3,})", 1).alias("word"),
         F.when(F.col("lang") == "en", F.lit(1)).otherwise(F.lit(-1)).alias("polarity"),
     ).filter(F.col("word") != "")
-    lexicon = sentiment.lexicon_of(words.groupBy("word", "polarity").count().filter("count > 1"))
+    lexicon = sentiment.lexicon_table(words.groupBy("word", "polarity").count().filter("count > 1"))
     scored = sentiment.score_posts(fixtures.posts(spark, sf_dir), lexicon)
     return scored.select("id", "positive_hits", "negative_hits", "score")
 
 
+@query
+def lexicon_table_terms(spark, sf_dir):
+    """The most frequent hits of the default words, given as a table."""
+    words = [(w, 1) for w in PROSE_LEXICON.positive] + [(w, -1) for w in PROSE_LEXICON.negative]
+    lexicon = sentiment.lexicon_table(spark.createDataFrame(words, "word string, polarity int"))
+    return sentiment.top_terms(fixtures.posts(spark, sf_dir), 8, lexicon)
+
+
 @query
 def top_terms(spark, sf_dir):
     return sentiment.top_terms(fixtures.posts(spark, sf_dir), 8, PROSE_LEXICON)

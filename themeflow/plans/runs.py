@@ -18,7 +18,7 @@ from themeflow.functions.core import hours_before
 from themeflow.operators import cluster, lifecycle, scoring, search, sentiment, store
 from themeflow.operators.id_index import IdIndex
 from themeflow.operators.observed import Watch
-from themeflow.operators.sentiment import DEFAULT_LEXICON, Lexicon
+from themeflow.operators.sentiment import DEFAULT_LEXICON, Lexicon, LexiconTable
 from themeflow.operators.staging import stage
 from themeflow.schemas import REQUIRED_POST_COLUMNS
 from themeflow.sources import forum, news, podcast, tables, tweets
@@ -241,7 +241,7 @@ class Analysis:
 
 
 def analyse(
-    posts: DataFrame, as_of: Column | datetime, lexicon: Lexicon = DEFAULT_LEXICON,
+    posts: DataFrame, as_of: Column | datetime, lexicon: Lexicon | LexiconTable = DEFAULT_LEXICON,
     min_size: int = MIN_CLUSTER_SIZE, max_keywords: int = MAX_KEYWORDS,
     hours: int = scoring.WINDOW_HOURS, staged: bool = True,
 ) -> Analysis:
