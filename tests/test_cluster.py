@@ -18,34 +18,34 @@ def clusters(posts, **kwargs):
 
 def test_groups_by_tag_set(make_posts):
     posts = make_posts(
-        {"id": "1", "text": "$BTC breakout", "cashtags": ["BTC"]},
-        {"id": "2", "text": "buying $BTC", "cashtags": ["btc", ""]},
-        {"id": "3", "text": "$ETH growth", "cashtags": ["ETH"]},
-        {"id": "4", "text": "pair", "cashtags": ["ETH", "BTC"]},
+        {"id": "oats", "text": "rain again", "cashtags": ["WHT"]},
+        {"id": "rye", "text": "two silos left", "cashtags": ["wht", ""]},
+        {"id": "hops", "text": "mills closed", "cashtags": ["CRN"]},
+        {"id": "malt", "text": "spread", "cashtags": ["CRN", "WHT"]},
     )
     row = clusters(posts).collect()
     assert len(row) == 1
-    assert row[0].key == "tag:BTC" and row[0].cashtags == ["BTC"] and row[0].n_posts == 2
+    assert row[0].key == "tag:WHT" and row[0].cashtags == ["WHT"] and row[0].n_posts == 2
     assert row[0].confidence == 0.65
-    assert row[0].id == theme_id(["1", "2"])
-    assert row[0].name == "$BTC narrative momentum"
-    assert {r.key for r in cluster.group_keys(posts).collect()} == {"tag:BTC", "tag:ETH", "tag:BTC+ETH"}
+    assert row[0].id == theme_id(["oats", "rye"])
+    assert row[0].name == "$WHT narrative momentum"
+    assert {r.key for r in cluster.group_keys(posts).collect()} == {"tag:WHT", "tag:CRN", "tag:CRN+WHT"}
 
 
 def test_groups_by_keyword_and_names_the_theme(make_posts):
     posts = make_posts(
-        {"id": "a", "text": "ETF approval momentum is building"},
-        {"id": "b", "text": "ETF inflows are up", "platform": "news", "minutes_ago": 1},
-        {"id": "c", "text": "Macro volatility"},
-        {"id": "d", "text": "a 1"},
-        {"id": "e", "text": "", "minutes_ago": 3},
+        {"id": "k", "text": "Barley yields climb sharply"},
+        {"id": "l", "text": "Barley harvest delayed", "platform": "news", "minutes_ago": 1},
+        {"id": "m", "text": "Quiet ferries"},
+        {"id": "n", "text": "7 b"},
+        {"id": "o", "text": "", "minutes_ago": 3},
     )
     rows = {r.key: r for r in clusters(posts).collect()}
-    assert set(rows) == {"kw:etf", "kw:misc"}
-    etf = rows["kw:etf"]
-    assert etf.name == "Etf discussion cluster"
-    assert etf.description == "Cluster of 2 posts across news, twitter focused on etf, approval, momentum, building."
-    assert etf.keywords == ["etf", "approval", "momentum", "building", "inflows", "are"]
+    assert set(rows) == {"kw:barley", "kw:misc"}
+    barley = rows["kw:barley"]
+    assert barley.name == "Barley discussion cluster"
+    assert barley.description == "Cluster of 2 posts across news, twitter focused on barley, yields, climb, sharply."
+    assert barley.keywords == ["barley", "yields", "climb", "sharply", "harvest", "delayed"]
     assert rows["kw:misc"].name == "Market discussion cluster"
     assert rows["kw:misc"].description.endswith("focused on broad market chatter.")
 
@@ -183,3 +183,56 @@ def test_labeler_failures_fall_back(make_posts):
     rows = {r.key: (r.name, r.description, r.keywords, r.cashtags) for r in named.collect()}
     assert rows["tag:BTC"] == ("BTC: first btc", "d", ["first"], ["BTC"])
     assert rows["kw:etf"][0] == "Etf discussion cluster"
+
+
+def test_a_labeler_sees_every_text_of_a_large_theme(make_posts):
+    """A theme with a third of all posts and more is labelled by several tasks, a few texts per call."""
+    posts = make_posts(
+        *[{"id": f"hot{i}", "cashtags": ["HOT"], "text": f"hot text{i}", "minutes_ago": i} for i in range(120)],
+        *[{"id": f"p{i}", "cashtags": [f"t{i % 5}"], "text": f"small text{i}"} for i in range(60)],
+    )
+    found = clusters(posts)
+
+    def labeler(texts, keywords, cashtags):
+        from pyspark import TaskContext
+
+        assert len(texts) <= 8
+        numbers = [int(t.split("text")[1]) for t in texts]
+        if cashtags == ["HOT"]:
+            assert numbers == sorted(numbers)  # newest first
+        return {"name": str(TaskContext.get().partitionId()), "description": " ".join(texts), "keywords": cashtags}
+
+    def merger(drafts, keywords, cashtags):
+        assert 2 <= len(drafts) <= 3
+        tasks = sorted({t for d in drafts for t in d["name"].split()})
+        return {"name": " ".join(tasks), "description": " ".join(d["description"] for d in drafts), "keywords": drafts[0]["keywords"]}
+
+    rows = {r.key: r for r in cluster.label_all_texts(found, posts, labeler, merger, 6, 8, 3).collect()}
+    assert len(rows) == found.count() == 6
+    hot = rows["tag:HOT"]
+    assert sorted(hot.description.split()) == sorted(x for i in range(120) for x in ("hot", f"text{i}"))
+    assert len(hot.name.split()) > 1 and hot.keywords == ["HOT"]
+    assert sum(r.description.count("text") for r in rows.values()) == 180
+
+
+def test_drafts_are_read_by_the_labeler_itself(make_posts):
+    posts = make_posts(*[{"id": str(i), "cashtags": ["A"], "text": f"one{i}"} for i in range(30)])
+
+    def labeler(texts, keywords, cashtags):
+        return {"name": "n", "description": str(sum(1 if t.startswith("one") else int(t.split(". ")[1]) for t in texts)), "keywords": []}
+
+    row = cluster.label_all_texts(clusters(posts), posts, labeler, texts_per_call=4, drafts_per_call=2).first()
+    assert (row.name, row.description) == ("n", "30")
+
+
+def test_themes_whose_calls_fail_keep_their_wording(make_posts):
+    posts = make_posts(*[{"id": str(i), "cashtags": ["A"], "text": "etf"} for i in range(4)], *[{"id": f"x{i}", "text": "etf"} for i in range(4)])
+    found = clusters(posts)
+
+    def labeler(texts, keywords, cashtags):
+        return {"name": cashtags[0], "description": "d", "keywords": keywords}
+
+    names = {r.key: r.name for r in cluster.label_all_texts(found, posts, labeler).collect()}
+    assert names == {"tag:A": "A", "kw:etf": "Etf discussion cluster"}
+    with pytest.raises(ValueError):
+        cluster.label_all_texts(found, posts, labeler, drafts_per_call=1)

@@ -12,6 +12,7 @@ from datetime import datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from themeflow.constants import (
@@ -348,3 +349,113 @@ def apply_labeler(
         )
         .drop("_name", "_description", "_keywords")
     )
+
+
+#: Drafts of one theme: what a labeler made of some of its texts, and of how many.
+_DRAFT = T.StructType(
+    [T.StructField("key", T.StringType()), T.StructField("chunk", T.LongType()), T.StructField("name", T.StringType()),
+     T.StructField("description", T.StringType()), T.StructField("keywords", T.ArrayType(T.StringType())),
+     T.StructField("texts", T.LongType())]
+)
+Merger = Callable[[list[dict], list[str], list[str]], dict]
+
+
+def by_description(labeler: Labeler) -> Merger:
+    """Merge drafts by giving their names and descriptions to the labeler as texts."""
+    return lambda drafts, keywords, cashtags: labeler(
+        [f"{d['name']}. {d['description']}" for d in drafts], keywords, cashtags
+    )
+
+
+def _calls(rows: list, size: int) -> Iterator[list]:
+    """``rows`` in lists of ``size`` at most."""
+    return (rows[i : i + size] for i in range(0, len(rows), size))
+
+
+def label_all_texts(
+    clusters: DataFrame, posts: DataFrame, labeler: Labeler, merger: Merger | None = None,
+    parallelism: int = 64, texts_per_call: int = 100, drafts_per_call: int = 20,
+) -> DataFrame:
+    """Let a labeler see every text of each theme, a bounded number of them per call, ``parallelism`` calls at a time.
+
+    The texts of a theme are dealt into chunks by the hash of their post, as many as its size asks for,
+    so a theme with a third of all posts is labelled by many tasks.  ``labeler(texts, keywords, cashtags)``
+    makes a draft of at most ``texts_per_call`` texts, newest first.  ``merger(drafts, keywords, cashtags)`` makes one
+    of at most ``drafts_per_call`` drafts (``name``, ``description``, ``keywords``, ``texts``: how many
+    texts they stand for), level by level, until a theme has one; by default the labeler reads the
+    drafts' descriptions.  A call that fails leaves its texts out; a theme without any draft keeps its own
+    wording.  Tags are never replaced.  ``clusters`` is read several times: stage it.
+    """
+    if texts_per_call < 1 or drafts_per_call < 2:
+        raise ValueError("a call takes a text at least, a merge two drafts")
+    merger = merger or by_description(labeler)
+    chunks = F.ceil(F.col("n_posts") / texts_per_call)
+    themes = clusters.select("key", "keywords", "cashtags", chunks.alias("chunks"))
+    texts = posts.select(group_key().alias("key"), "id", post_order().alias("post_order"), "text").join(themes, "key")
+    # The theme's words travel once per chunk, not with each text.
+    dealt = texts.select("key", F.pmod(F.xxhash64("id"), "chunks").alias("chunk"), "post_order", "text")
+    words = themes.select(
+        F.col("key").alias("theme"), "keywords", "cashtags",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("part"),
+    )
+
+    def draft(key: tuple, rows: pd.DataFrame, theme: pd.DataFrame) -> pd.DataFrame:
+        made = []
+        if len(rows) and len(theme):
+            keywords, cashtags = list(theme["keywords"][0]), list(theme["cashtags"][0])
+            for some in _calls(rows.sort_values("post_order", kind="stable")["text"].tolist(), texts_per_call):
+                try:
+                    found = labeler(some, keywords, cashtags)
+                    made.append((key[0], key[1], found["name"], found["description"], list(found["keywords"]), len(some)))
+                except Exception:
+                    continue
+        return pd.DataFrame(made, columns=_DRAFT.names)
+
+    def merge(key: tuple, rows: pd.DataFrame, theme: pd.DataFrame) -> pd.DataFrame:
+        made = []
+        if len(rows) and len(theme):
+            keywords, cashtags = list(theme["keywords"][0]), list(theme["cashtags"][0])
+            drafts = rows.sort_values(["chunk", "name", "description"], kind="stable")[_DRAFT.names[2:]].to_dict("records")
+            for some in _calls(drafts, drafts_per_call):
+                texts = sum(d["texts"] for d in some)
+                if len(some) == 1:
+                    made.append((key[0], key[1], *(some[0][c] for c in _DRAFT.names[2:])))
+                    continue
+                try:
+                    found = merger([d | {"keywords": list(d["keywords"])} for d in some], keywords, cashtags)
+                    made.append((key[0], key[1], found["name"], found["description"], list(found["keywords"]), texts))
+                except Exception:
+                    continue
+        return pd.DataFrame(made, columns=_DRAFT.names)
+
+    def cogrouped(rows: DataFrame, theme: DataFrame, make) -> DataFrame:
+        # An explicit count is kept: small shuffles are merged into one task otherwise.
+        left = rows.repartition(parallelism, "key", "chunk").groupBy("key", "chunk")
+        right = theme.repartition(parallelism, "theme", "part").groupBy("theme", "part")
+        return stage(left.cogroup(right).applyInPandas(make, _DRAFT), "drafts")
+
+    drafts = cogrouped(dealt, words, draft)
+    while not drafts.groupBy("key").count().filter("count > 1").isEmpty():
+        # At least two drafts meet wherever a theme has several, so the levels are few.
+        sizes = drafts.groupBy("key").agg(F.count("*").alias("n")).select(
+            "key", F.ceil(F.col("n") / drafts_per_call).alias("groups")
+        )
+        place = F.pmod(F.xxhash64("chunk", "name", "description"), "groups")
+        grouped = drafts.join(sizes, "key").withColumn("chunk", place).drop("groups")
+        of_group = grouped.select(F.col("key").alias("theme"), F.col("chunk").alias("part")).distinct()
+        named = themes.select(F.col("key").alias("theme"), "keywords", "cashtags")
+        drafts = cogrouped(grouped, of_group.join(named, "theme"), merge)
+    last = drafts.select(
+        "key", F.col("name").alias("_name"), F.col("description").alias("_description"), F.col("keywords").alias("_keywords")
+    )
+    return (
+        clusters.join(last, "key", "left")
+        .withColumns(
+            {
+                "name": F.coalesce("_name", "name"),
+                "description": F.coalesce("_description", "description"),
+                "keywords": F.coalesce("_keywords", "keywords"),
+            }
+        )
+        .drop("_name", "_description", "_keywords")
+    )

@@ -619,6 +619,13 @@ ORACLES: dict[str, str] = {
         CASE WHEN len(cashtags) > 0 THEN upper(keywords[1]) ELSE description END AS description,
         array_to_string(CASE WHEN len(cashtags) > 0 THEN keywords[1:2] ELSE keywords END, ',') AS keywords,
         array_to_string(cashtags, ',') AS cashtags FROM labels""",
+    "labeler_all_texts": f"""WITH {LABELS},
+        seen AS (SELECT narrative_id AS id, count(*) AS texts, sum(length(text)) AS chars
+            FROM members JOIN posts ON posts.id = post_id GROUP BY 1)
+        SELECT id, CASE WHEN len(keywords) > 0 THEN keywords[1] || ': ' || texts || ' posts' ELSE name END AS name,
+            CASE WHEN len(keywords) > 0 THEN CAST(chars AS VARCHAR) ELSE description END AS description,
+            array_to_string(keywords[1:1], ',') AS keywords, array_to_string(cashtags, ',') AS cashtags
+        FROM labels JOIN seen USING (id)""",
     "clusters_json": f"""WITH {LABELS} SELECT id, 'theme' AS kind, NULL AS post_id, name, n_posts FROM labels
         UNION ALL SELECT narrative_id, 'member', post_id, NULL, NULL FROM members""",
     "cluster_rank": f"""WITH {CLUSTERS},

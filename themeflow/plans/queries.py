@@ -636,6 +636,24 @@ def labeler_hook(spark, sf_dir):
     return named.select("id", "name", "description", listed("keywords"), listed("cashtags"))
 
 
+def tally(texts: list[str], keywords: list[str], cashtags: list[str]) -> dict:
+    """A labeler that counts what it sees; it fails on themes without keywords."""
+    return {"name": f"{keywords[0]}: {len(texts)} posts", "description": str(sum(map(len, texts))), "keywords": keywords[:1]}
+
+
+def tally_of_drafts(drafts: list[dict], keywords: list[str], cashtags: list[str]) -> dict:
+    texts, chars = sum(d["texts"] for d in drafts), sum(int(d["description"]) for d in drafts)
+    return {"name": f"{keywords[0]}: {texts} posts", "description": str(chars), "keywords": drafts[0]["keywords"]}
+
+
+@query
+def labeler_all_texts(spark, sf_dir):
+    """Every text of each theme reaches the labeler, a few per call, and the drafts are merged."""
+    posts, _, found = _clusters(spark, sf_dir)
+    named = cluster.label_all_texts(stage(found, "clusters"), posts, tally, tally_of_drafts, 8, 10, 4)
+    return named.select("id", "name", "description", listed("keywords"), listed("cashtags"))
+
+
 @query
 def clusters_json(spark, sf_dir):
     _, assigned, found = _clusters(spark, sf_dir)
