@@ -1,5 +1,6 @@
 import pytest
 
+from themeflow.functions.core import distinct_up_to
 from themeflow.operators import cluster, scoring, sentiment
 from themeflow.operators.staging import stage
 from themeflow.plans import runs
@@ -64,3 +65,14 @@ def test_aggregates_by_key_equal_the_joins(make_posts):
     joined = sentiment.apply_sentiment(scored, members, posts)
     names = ("id", "sentiment_score", "velocity_score", "saturation_score", "overall_score")
     assert sorted(joined.select(*names).collect()) == sorted(clusters.select(*names).collect())
+
+
+def test_distinct_values_saturate(spark):
+    rows = [(k, f"a{i % k}") for k in (1, 2, 49, 50, 51, 63, 64, 128, 129, 300, 5000) for i in range(2 * k)]
+    rows += [(0, None), (7, ""), (7, None), (7, "b")]
+    df = spark.createDataFrame(rows, "k int, author string").repartition(5)
+    found = {r.k: r.n for r in df.groupBy("k").agg(distinct_up_to("author", 50).alias("n")).collect()}
+    assert found == {k: min(k, 50) for k in (0, 1, 2, 49, 50, 51, 63, 64, 128, 129, 300, 5000)} | {7: 2}
+    for most in (1, 3, 1000):
+        found = {r.k: r.n for r in df.groupBy("k").agg(distinct_up_to("author", most).alias("n")).collect()}
+        assert found[5000] == most and found[2] == min(2, most) and found[300] == min(300, most)

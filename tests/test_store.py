@@ -102,3 +102,46 @@ def test_staged_folders_can_be_removed(spark):
     table = staging.stage(spark.range(3), "numbers")
     assert table.count() == 3
     assert staging.remove_staged(spark) == 1 and staging.remove_staged(spark) == 0
+
+
+def posts_by_day(make_posts, path):
+    """Two posts a day on four days, a busy one, and a platform that only old days have."""
+    rows = [{"id": f"d{day}-{i}", "minutes_ago": 1440 * day + i, "processed": day == 0 and i == 1} for day in range(4) for i in range(2)]
+    rows += [{"id": "old", "platform": "news", "minutes_ago": 1440 * 9}]
+    rows += [{"id": f"busy{i}", "text": "x" * 3000 + str(i), "minutes_ago": 1440 * 5} for i in range(3000)]
+    tables.write_posts(make_posts(*rows), path)
+
+
+def test_a_busy_day_is_written_by_many_tasks(spark, make_posts, tmp_path):
+    path, settings = str(tmp_path / "posts"), "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(settings, "64k")
+    try:
+        posts_by_day(make_posts, path)
+    finally:
+        spark.conf.unset(settings)
+    files = {}
+    for name in spark.read.parquet(path).inputFiles():
+        day = name.split("created_date=")[1].split("/")[0]
+        files[day] = files.get(day, 0) + 1
+    assert files["2026-03-05"] > 3 and all(n == 1 for day, n in files.items() if day != "2026-03-05")
+
+
+def test_newest_unprocessed_posts_read_the_newest_days(spark, make_posts, tmp_path):
+    path = str(tmp_path / "posts")
+    posts_by_day(make_posts, path)
+    stored = spark.read.schema(schemas.POSTS).parquet(path)
+    days = tables.stored_days(spark, path)
+    assert len(days) == 6 and days == sorted(days, reverse=True)
+    for limit, platform in ((1, None), (4, None), (9, None), (4000, None), (5, "news"), (3, "podcast")):
+        found = store.unprocessed_newest(stored, days, limit, platform)
+        expected = store.unprocessed(stored, limit, platform)
+        assert [r.id for r in found.collect()] == [r.id for r in expected.collect()]
+    few = store.unprocessed_newest(stored, days, 3)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    read = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert "2026-03-10" in read or "20522" in read
+    assert "2026-03-05" not in read and "2026-03-01" not in read
+    marks = spark.createDataFrame([("d0-0",), ("d1-0",)], "id string")
+    assert [r.id for r in store.unprocessed_newest(stored, days, 2, marks=marks).collect()] == ["d1-1", "d2-0"]
+    assert store.unprocessed_newest(stored, [], 5).count() == 0
+    assert tables.stored_days(spark, str(tmp_path / "nothing")) == []

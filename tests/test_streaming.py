@@ -1,4 +1,5 @@
 import random
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,14 +147,36 @@ def test_windows_equal_the_velocity_at_their_end(spark, make_posts):
 
 
 def test_window_edges(spark, make_posts):
-    """A window holds its start and not its end; the velocity at a clock the other way round."""
+    """A window holds its end and not its start, as the velocity at a clock does."""
     posts = make_posts({"id": "a", "cashtags": ["BTC"], "minutes_ago": 0}, {"id": "b", "cashtags": ["BTC"], "minutes_ago": 360})
     windows = velocity.windowed_velocity(velocity.keyed(posts), 6)
-    ending = windows.filter(F.col("window_end") == F.lit(NOW)).first()
-    starting = windows.filter(F.col("window_start") == F.lit(NOW)).first()
-    assert (ending.posts, starting.posts) == (1, 1)
+    themes = spark.createDataFrame([("n",)], "id string")
     members = posts.select(F.lit("n").alias("narrative_id"), F.col("id").alias("post_id"))
-    one = scoring.velocity(spark.createDataFrame([("n",)], "id string"), members, posts, NOW, 6).first()
-    assert one.velocity_score == scoring.velocity(
-        spark.createDataFrame([("n",)], "id string"), members.filter("post_id = 'a'"), posts, NOW, 6
-    ).first().velocity_score
+    for clock in (NOW, NOW - timedelta(hours=6), NOW - timedelta(hours=3)):
+        seen = posts.filter(F.col("created_at") <= F.lit(clock))
+        window = windows.filter(F.col("window_end") == F.lit(clock)).first()
+        at_clock = scoring.velocity(themes, members, seen, clock, 6).first()
+        assert (window.posts, window.velocity_score) == (1, at_clock.velocity_score)
+
+
+def test_late_rows(spark, make_posts, tmp_path):
+    """A row within the delay is counted, an older one is not."""
+    landing, out, log = (str(tmp_path / name) for name in ("landing", "out", "log"))
+    batches = [
+        make_posts({"id": "a", "cashtags": ["X"], "minutes_ago": 600}),
+        make_posts({"id": "late", "cashtags": ["X"], "minutes_ago": 650}, {"id": "b", "cashtags": ["X"], "minutes_ago": 590}),
+        make_posts({"id": "too late", "cashtags": ["X"], "minutes_ago": 900}),
+        make_posts({"id": "end", "cashtags": ["Y"], "minutes_ago": -9000}),
+    ]
+    dropped = 0
+    for posts in batches:
+        posts.write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(schemas.POSTS).parquet(landing)
+        found = velocity.windowed_velocity(velocity.keyed(stream), 6, 6, "1 hour")
+        query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start()
+        query.awaitTermination()
+        dropped += sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators)
+    rows = spark.read.schema(found.schema).parquet(out).filter("key = 'tag:X'").collect()
+    assert sum(r.posts for r in rows) == 3 and dropped >= 1
+
+

@@ -72,6 +72,19 @@ def engagement() -> Column:
     return F.col("likes") + F.col("replies") + F.col("reposts")
 
 
+def distinct_up_to(value: Column | str, most: int) -> Column:
+    """Aggregate: the number of distinct values, or ``most`` where there are more; nulls don't count.
+
+    A theta sketch keeps all hashes while they are few, so up to its size, which is over ``most``, its
+    estimate is the exact number; beyond, it can't fall below its size.  So a task passes on a bounded
+    number of hashes per group, however many values it has met.  Values get a prefix because
+    sketches leave out empty strings.
+    """
+    entries_log2 = max(4, most.bit_length() + 1)
+    found = F.theta_sketch_estimate(F.theta_sketch_agg(F.concat(F.lit("+"), col(value)), F.lit(entries_log2)))
+    return F.least(F.coalesce(found, F.lit(0)), F.lit(most)).cast("long")
+
+
 def post_order() -> Column:
     """Position of a post in reading order (newest first) as one fixed-width number.
 

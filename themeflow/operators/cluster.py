@@ -16,10 +16,10 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from themeflow.constants import (
-    KEYWORD_LIMIT, MAX_CASHTAGS, MAX_KEYWORDS, MIN_CLUSTER_SIZE, THEME_DIGEST_CHARS,
+    FULL_AUTHORS, KEYWORD_LIMIT, MAX_CASHTAGS, MAX_KEYWORDS, MIN_CLUSTER_SIZE, THEME_DIGEST_CHARS,
 )
 from themeflow.functions.core import (
-    engagement, exact_round, instant, order_in_post, post_order,
+    distinct_up_to, engagement, exact_round, instant, order_in_post, post_order,
 )
 from themeflow.functions.text import dominant_word, keyword_tokens, title_case, upper_tags
 from themeflow.operators.ranking import first_per_group
@@ -158,8 +158,8 @@ def group_profiles(assigned: DataFrame, recent: Column | None = None) -> DataFra
 
 
 def group_authors(assigned: DataFrame) -> DataFrame:
-    """Distinct authors per key, counted by ``(key, author)`` first."""
-    return assigned.select("key", "author_id").distinct().groupBy("key").agg(F.count("*").alias("authors"))
+    """Distinct authors per key up to the number that scores use; no author is shuffled."""
+    return assigned.groupBy("key").agg(distinct_up_to("author_id", int(FULL_AUTHORS)).alias("authors"))
 
 
 def theme_name(cashtags: Column, keywords: Column) -> Column:

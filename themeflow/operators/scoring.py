@@ -11,7 +11,7 @@ from themeflow.constants import (
     AUTHOR_SHARE, DENSITY_SHARE, FREQUENCY_SHARE, FULL_AUTHORS, FULL_ENGAGEMENT_PER_POST,
     FULL_POSTS_PER_HOUR, FULL_SHARE_OF_VOICE, VOICE_SHARE,
 )
-from themeflow.functions.core import engagement, exact_round, hours_before
+from themeflow.functions.core import distinct_up_to, engagement, exact_round, hours_before
 from themeflow.operators.sentiment import overall_score, weighted_score
 
 WINDOW_HOURS = 24
@@ -77,7 +77,7 @@ def saturation(narratives: DataFrame, membership: DataFrame, posts: DataFrame) -
     authors = (
         _members_with_posts(membership, posts.select("id", "author_id"))
         .groupBy("narrative_id")
-        .agg(F.count_distinct("author_id").alias("authors"))
+        .agg(distinct_up_to("author_id", int(FULL_AUTHORS)).alias("authors"))
     )
     all_posts = posts.agg(F.count("*")).scalar()
     return (

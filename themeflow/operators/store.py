@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,6 +134,30 @@ def unprocessed(posts: DataFrame, limit: int = 100, platform: str | None = None)
     return newest.filter(F.col("platform").isin(*PLATFORMS))
 
 
+def unprocessed_newest(
+    posts: DataFrame, days: Sequence[date], limit: int = 100, platform: str | None = None,
+    marks: DataFrame | None = None, day_col: str = "created_date", first_days: int = 1,
+) -> DataFrame:
+    """As ``unprocessed``, of a store in folders by day: days are read from the newest until the limit is filled.
+
+    ``days`` are those of the store, newest first (``tables.stored_days``).  Twice as many are read in
+    each round, and none older than needed; ``marks`` is a log of processed ids to leave out.
+    """
+    waiting = posts.filter(~F.col("processed"))
+    if platform is not None:
+        waiting = waiting.filter(F.col("platform") == platform)
+    if marks is not None:
+        waiting = without_processed(waiting, marks)
+    at, found, chosen, step = 0, 0, [], first_days
+    while at < len(days) and found < limit:
+        some = list(days[at : at + step])
+        # As many rows as are missing settle it.
+        found += waiting.filter(F.col(day_col).isin(some)).select("id").limit(limit - found).count()
+        chosen, at, step = chosen + some, at + step, 2 * step
+    newest = waiting.filter(F.col(day_col).isin(chosen)).orderBy(F.desc("created_at"), "id").limit(limit)
+    return newest.filter(F.col("platform").isin(*PLATFORMS)).drop(day_col)
+
+
 def mark_processed(posts: DataFrame, ids: DataFrame) -> DataFrame:
     """Posts with ``processed`` set for the given ids (column ``id``)."""
     marks = ids.select("id").distinct().withColumn("_marked", F.lit(True))

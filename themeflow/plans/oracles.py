@@ -703,7 +703,7 @@ ORACLES: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY id ORDER BY arrival) = 1""",
     "stream_windowed_velocity": f"""WITH {KEYS},
         windows AS (
-            SELECT key, to_timestamp(((epoch_us(created_at) // 21600000000) - k) * 21600)::TIMESTAMP AS start,
+            SELECT key, to_timestamp((((epoch_us(created_at) - 1) // 21600000000) - k) * 21600)::TIMESTAMP AS start,
                 likes + replies + reposts AS engagement
             FROM keyed, range(4) r(k)
         )
@@ -721,3 +721,4 @@ ORACLES: dict[str, str] = {
 
 # The same words as a table give the same terms.
 ORACLES["lexicon_table_terms"] = ORACLES["top_terms"]
+ORACLES["unprocessed_newest"] = ORACLES["unprocessed_topk"]

@@ -494,6 +494,16 @@ def unprocessed_topk(spark, sf_dir):
     return newest.select("id", "platform", iso("created_at"))
 
 
+@query
+def unprocessed_newest(spark, sf_dir):
+    """The newest unprocessed posts of a written store, of which older days aren't read."""
+    path = staging_path(spark, "posts-by-day")
+    tables.write_posts(fixtures.posts(spark, sf_dir), path)
+    stored = spark.read.parquet(path)
+    newest = store.unprocessed_newest(stored, tables.stored_days(spark, path), 100)
+    return newest.select("id", "platform", iso("created_at"))
+
+
 @query
 def mark_processed(spark, sf_dir):
     posts = fixtures.posts(spark, sf_dir)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,16 +33,30 @@ def write_table(df: DataFrame, path: str, mode: str = "append", partition_by: It
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 
-def write_posts(posts: DataFrame, path: str, mode: str = "append", files_per_day: int = 4) -> None:
+def write_posts(posts: DataFrame, path: str, mode: str = "append") -> None:
     """Partitioned by platform and day, so both prune the scan.
 
-    Rows are brought together first: each platform and day has ``files_per_day`` files at most,
-    not one for each task of the source.
+    Rows of a platform and day are brought together first, then split by size: adaptive execution
+    deals a busy day to as many tasks as it has advised partitions
+    (``spark.sql.adaptive.advisoryPartitionSizeInBytes``), a small one has one file.
     """
     dated = posts.withColumn("created_date", F.to_date("created_at"))
-    salt = F.pmod(F.xxhash64("id"), F.lit(files_per_day))
-    together = dated.withColumn("_salt", salt).repartition("platform", "created_date", "_salt")
-    write_table(together.drop("_salt"), path, mode, ("platform", "created_date"))
+    together = dated.hint("rebalance", F.col("platform"), F.col("created_date"))
+    write_table(together, path, mode, ("platform", "created_date"))
+
+
+def stored_days(spark: SparkSession, path: str) -> list[date]:
+    """Days that ``write_posts`` has written, newest first, from the names of the folders alone."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    days = set()
+    for platform in files.listStatus(root):
+        if platform.isDirectory():
+            names = (x.getPath().getName() for x in files.listStatus(platform.getPath()))
+            days |= {name.removeprefix("created_date=") for name in names if name.startswith("created_date=")}
+    return sorted((date.fromisoformat(x) for x in days if x[:1].isdigit()), reverse=True)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -22,14 +22,18 @@ def windowed_velocity(
     Works on streams and tables.  Posts are summed per slide first and only those sums are copied
     into the windows they belong to, not every post ``hours / slide_hours`` times.  State holds
     one row per key and open slide or window; a stream drops rows later than the watermark.
-    A window holds its start and not its end, where the velocity of a theme at a clock holds the
-    end and not the start; at the edges the two differ by one instant.
+    A window holds its end and not its start, as the velocity of a theme at a clock does: event times
+    are one microsecond earlier here, the smallest step they have.  Late rows: one that is at most
+    ``delay`` older than the newest row of the batches before is counted, in windows that are still
+    open; an older one is dropped, and the stream's progress counts it
+    (``numRowsDroppedByWatermark``).
     """
     check_window(hours)
     if hours % slide_hours:
         raise ValueError("the window must be a whole number of slides")
+    shifted = keyed_posts.withColumn("created_at", F.col("created_at") - F.expr("INTERVAL 1 MICROSECOND"))
     per_slide = (
-        keyed_posts.withWatermark("created_at", delay)
+        shifted.withWatermark("created_at", delay)
         .groupBy(F.window("created_at", f"{slide_hours} hours"), "key")
         .agg(F.count("*").alias("posts"), F.sum("engagement").alias("engagement"))
     )
