@@ -722,3 +722,7 @@ ORACLES: dict[str, str] = {
 # The same words as a table give the same terms.
 ORACLES["lexicon_table_terms"] = ORACLES["top_terms"]
 ORACLES["unprocessed_newest"] = ORACLES["unprocessed_topk"]
+ORACLES["stream_bounded_dedup"] = f"WITH {POSTS} SELECT id, platform, {iso('created_at')} AS created_at FROM posts"
+ORACLES["news_by_position"] = f"""WITH {NEWS}
+    SELECT lang AS query, id, page_id AS position FROM news
+    QUALIFY row_number() OVER (PARTITION BY lang ORDER BY page_id, id) <= 7"""

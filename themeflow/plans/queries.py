@@ -136,6 +136,14 @@ def news_window(spark, sf_dir):
     return recent.select("query", "id", iso("created_at"))
 
 
+@query
+def news_by_position(spark, sf_dir):
+    """The service's own ranking instead of the newest first."""
+    found = news.normalise(fixtures.articles(spark, sf_dir), CLOCK)
+    recent = search.news_window(found, fixtures.latest(found), hours_back=24 * 365, max_results=7, sort_by="relevancy")
+    return recent.select("query", "id", "position")
+
+
 @query
 def norm_podcast(spark, sf_dir):
     found = podcast.normalise(fixtures.episodes(spark, sf_dir), CLOCK)
@@ -951,6 +959,21 @@ def stream_ingest_first_write(spark, sf_dir):
     return stored.select("id", "platform", text_digest(), "arrival")
 
 
+@query
+def stream_bounded_dedup(spark, sf_dir):
+    """Copies that come while their first is within the watermark's delay; here all do, so one row per id stays."""
+    out = staging_path(spark, "bounded")
+    path = staging_path(spark, "landed")
+    posts = fixtures.with_copies(fixtures.posts(spark, sf_dir, "doc_id"))
+    posts.select("id", "platform", "created_at").repartition(4).write.parquet(path)
+    stream = spark.readStream.schema("id string, platform string, created_at timestamp").option("maxFilesPerTrigger", 2).parquet(path)
+    kept = stream_ingest.deduplicated_within(stream, "400 days")
+    _run_to_end(
+        kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint")
+    )
+    return spark.read.schema(kept.schema).parquet(out).select("id", "platform", iso("created_at"))
+
+
 @query
 def stream_windowed_velocity(spark, sf_dir):
     """A stream of keyed posts; a last row of three days later moves the watermark past all windows."""
