@@ -326,6 +326,44 @@ def test_maximal_repeats(seed):
     assert found == want
 
 
+def test_columns_called_as_internal_ones_stay(spark):
+    """Reserved names, also of the id and the text, don't disturb an operator."""
+    names = ("__drop", "__hash", "__text_hash", "__found", "__spans", "__hits", "__keep", "__h", "__result_id", "col", "__DROP2")
+    lines = "\n".join(f"line {i} of many words" for i in range(12))
+    docs = documents(spark, [lines, "one two three\n" + lines, None, *prose(4, 6)], **{n: n for n in names})
+    docs = docs.withColumnsRenamed({"doc_id": "__id", "text": "__text"})
+    bench = spark.createDataFrame([("i", " ".join(prose(4, 1)[0].split()[:12]))], "item_id string, text string")
+    lined = line_dedup.dedup_lines(docs, "__id", "__text", min_sites=2)
+    cleaned = decontaminate.remove_contamination(docs, bench, text_col="__text", id_col="__id")
+    marked = decontaminate.decontaminate(docs, bench, "__id", "__text")
+    kept = simhash.drop_near_copies(docs, "__id", "__text")
+    for found in (lined, cleaned, kept, marked.select(*docs.columns)):
+        assert found.columns == docs.columns
+        rows = found.collect()
+        assert len(rows) >= 8 and all(r[n] == n for r in rows for n in names)
+    assert sum(r.n_hit > 0 for r in marked.collect()) == 1
+    assert {r["__id"]: r["__text"] for r in lined.collect()}[1] == "one two three"
+
+
+@pytest.mark.parametrize("limit", [-1, 32 << 20])
+def test_few_results_are_broadcast_to_their_texts(spark, limit, tmp_path):
+    docs = documents(spark, prose(6, 30))
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    bench = spark.createDataFrame([("i", " ".join(prose(6, 1)[0].split()[3:15]))], "item_id string, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for found in (
+            decontaminate.decontaminate(docs, bench, broadcast_bytes=limit),
+            line_dedup.dedup_lines(docs, min_sites=2, broadcast_bytes=limit),
+        ):
+            text = found._jdf.queryExecution().executedPlan().toString()
+            assert ("Exchange hashpartitioning" in text) == (limit < 0)
+            assert found.count() == 30
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 # --- queries and pipeline
 
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")

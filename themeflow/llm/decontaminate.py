@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themeflow.llm.text import let, lower_ascii, row_key, with_results
+from themeflow.llm.text import Shield, let, lower_ascii, row_key, with_results
 from themeflow.operators.staging import stage
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -218,8 +218,11 @@ def decontaminate(
     of ``docs``.  A null or empty text has no words; a null item id names no item, but its windows
     still hit.  Other columns stay; columns called as the added ones are replaced.
     """
-    found = _found(docs, bench, id_col, text_col, item_col, bench_text_col, n, broadcast_bytes)
-    return found.withColumns({name: F.col("__found")[name] for name in ADDED}).drop("__found")
+    shield = Shield(docs)
+    found = _found(
+        shield.docs, bench, shield.name(id_col), shield.name(text_col), item_col, bench_text_col, n, broadcast_bytes
+    )
+    return shield.back(found.withColumns({name: F.col("__found")[name] for name in ADDED}).drop("__found"))
 
 
 ADDED = ("n_words", "n_hit", "hit_spans", "items")
@@ -246,7 +249,7 @@ def _found(
         spans, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]
     )
     return (
-        with_results(docs, hits, id_col, text_col)
+        with_results(docs, hits, id_col, text_col, F.octet_length(F.to_json(F.struct("__hits"))) + 64, broadcast_bytes)
         .withColumn("__real", real)
         .withColumn("__spans", covered(F.col("__real")))
         .withColumn(
@@ -267,7 +270,7 @@ def _found(
 
 
 def remove_contamination(
-    docs: DataFrame, bench: DataFrame, mode: str = "spans", text_col: str = "text", **settings
+    docs: DataFrame, bench: DataFrame, mode: str = "spans", text_col: str = "text", id_col: str = "doc_id", **settings
 ) -> DataFrame:
     """``docs`` without what it shares with the test items; same columns.
 
@@ -276,11 +279,13 @@ def remove_contamination(
     """
     if mode not in ("spans", "documents"):
         raise ValueError(f"unknown mode {mode!r}")
-    found = _found(docs, bench, text_col=text_col, **settings)
+    shield = Shield(docs)
+    docs, text_col = shield.docs, shield.name(text_col)
+    found = _found(docs, bench, text_col=text_col, id_col=shield.name(id_col), **settings)
     n_words, n_hit = F.col("__found")["n_words"], F.col("__found")["n_hit"]
     if mode == "documents":
-        return found.filter(n_hit == 0).select(*docs.columns)
-    return (
+        return shield.back(found.filter(n_hit == 0).select(*docs.columns))
+    return shield.back(
         found.filter((n_hit == 0) | (n_hit < n_words))
         .withColumn(
             text_col,

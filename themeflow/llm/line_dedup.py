@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from themeflow.llm.text import NOT_SPACE, let, with_results
+from themeflow.llm.text import NOT_SPACE, Shield, let, with_results
 from themeflow.operators.staging import stage
 
 #: A line on so many sites is boilerplate.
@@ -153,6 +153,8 @@ def dedup_lines(
     A null text stays null.  Rows of null id keep none, and null ids are no first ones unless a
     line has no other.
     """
+    shield = Shield(docs)
+    docs, id_col, text_col, site_col = shield.docs, *map(shield.name, (id_col, text_col, site_col))
     seen = stage(occurrences(docs, id_col, text_col, site_col), "lines")
     spread = spread_lines(seen, min_sites, sketch_bits, errors, broadcast_bytes)
     hits = seen.join(_shared(spread, broadcast_bytes), "line")
@@ -172,7 +174,7 @@ def dedup_lines(
             | (F.col("pos") != F.col("kept.pos"))
         )
     drops = hits.groupBy("__id", "__hash").agg(F.collect_set("pos").alias("__drop"))
-    joined = with_results(docs, drops, id_col, text_col)
+    joined = with_results(docs, drops, id_col, text_col, F.size("__drop") * 4 + 64, broadcast_bytes)
     removed = F.coalesce(F.array_sort("__drop"), F.array().cast("array<int>"))
     out = joined.withColumn(
         text_col,
@@ -181,4 +183,4 @@ def dedup_lines(
         ),
     )
     extra = [removed.alias(removed_col)] if removed_col else []
-    return out.select(*[c for c in docs.columns if c != removed_col], *extra)
+    return shield.back(out.select(*[c for c in docs.columns if c != removed_col], *extra))

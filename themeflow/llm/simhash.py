@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from themeflow.llm.components import components
-from themeflow.llm.text import with_results
+from themeflow.llm.text import Shield, with_results
 from themeflow.operators.staging import stage
 
 SEED = 42
@@ -244,10 +244,12 @@ def drop_near_copies(
     Of several rows with this id, the one with the smallest text hash stays; ids that are null
     come after all others.
     """
+    shield = Shield(docs)
+    docs, id_col, text_col = shield.docs, shield.name(id_col), shield.name(text_col)
     found = stage(
         near_copies(docs, id_col, text_col, shingle, distance, blocks, crowd).select(
             "__id", "__hash", "root"
         ),
         "near-copies",
     )
-    return keep_first(docs, found, id_col, text_col)
+    return shield.back(keep_first(docs, found, id_col, text_col))

@@ -8,6 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from themeflow.operators.staging import stage
+
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 
@@ -51,8 +53,23 @@ def row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def with_results(docs: DataFrame, results: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Left join of ``results`` (unique ``__id``, ``__hash``) to the rows they belong to."""
+#: Results are broadcast to their rows up to this many bytes; above, rows and results meet in a shuffle.
+RESULT_BYTES = 32 << 20
+
+
+def with_results(
+    docs: DataFrame, results: DataFrame, id_col: str, text_col: str, size: Column | None = None,
+    broadcast_bytes: int = RESULT_BYTES,
+) -> DataFrame:
+    """Left join of ``results`` (unique ``__id``, ``__hash``) to the rows they belong to.
+
+    With ``size``, the bytes of a row of ``results``, they are staged and measured: few of them are
+    broadcast, so that no text moves.
+    """
+    if size is not None:
+        results = stage(results, "row-results")
+        if results.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= broadcast_bytes:
+            results = F.broadcast(results)
     keyed = docs.withColumn("__text_hash", F.xxhash64(F.col(text_col)))
     renamed = results.withColumnsRenamed({"__id": "__result_id", "__hash": "__result_hash"})
     return keyed.join(
@@ -61,3 +78,21 @@ def with_results(docs: DataFrame, results: DataFrame, id_col: str, text_col: str
         & (F.col("__text_hash") == F.col("__result_hash")),
         "left",
     ).drop("__text_hash", "__result_id", "__result_hash")
+
+
+class Shield:
+    """Moves columns of a table that are called as an operator's own (``__...``) out of its way."""
+
+    def __init__(self, docs: DataFrame) -> None:
+        names = {c.lower() for c in docs.columns}
+        prefix = "col"
+        while any(n.startswith(prefix) for n in names):
+            prefix += "x"
+        self._moved = {c: f"{prefix}{i}" for i, c in enumerate(docs.columns) if c.startswith("__")}
+        self.docs = docs.withColumnsRenamed(self._moved)
+
+    def name(self, column: str) -> str:
+        return self._moved.get(column, column)
+
+    def back(self, found: DataFrame) -> DataFrame:
+        return found.withColumnsRenamed({v: k for k, v in self._moved.items()})
