@@ -296,6 +296,49 @@ def test_removed_bytes(spark, monkeypatch, crowd, pieces):
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("flush", [repeats.FLUSH, 40])
+def test_groups_have_all_their_occurrences(spark, monkeypatch, flush):
+    """Every repeated window has a named group with exactly the window's places, in exact copies too."""
+    monkeypatch.setattr(repeats, "FLUSH", flush)
+    dice = random.Random(11)
+    parts = [bytes(dice.choices(b"abcdefgh ", k=dice.randrange(40, 140))).decode() for _ in range(8)]
+    alone = lambda: bytes(dice.choices(b"abcdefgh ", k=90)).decode()
+    texts = ["".join(dice.choices(parts, k=dice.randrange(1, 4))) + alone() for _ in range(14)]
+    texts += [texts[0], texts[0], texts[3], alone(), alone(), parts[0] + parts[0]]
+    docs = documents(spark, texts).repartition(3)
+    rows = repeats.repeats(docs).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.repeat, r.length), set()).add((r.id, r.start))
+    places, by_string = {}, {}
+    for i, t in enumerate(texts):
+        for at in range(len(t) - 49):
+            places.setdefault(t[at : at + 50], set()).add((i, at))
+    for (name, n), found in groups.items():
+        strings = {texts[i][at : at + n] for i, at in found}
+        assert len(strings) == 1 and n >= 50
+        string = strings.pop()
+        everywhere = {(i, at) for i, t in enumerate(texts) for at in range(len(t) - n + 1) if t.startswith(string, at)}
+        assert found == everywhere
+        by_string[string] = found
+    assert len(rows) == sum(map(len, groups.values()))
+    assert all(r.first_id == min(i for i, _ in groups[r.repeat, r.length]) for r in rows)
+    for window, found in places.items():
+        if len({i for i, _ in found}) > 1:
+            shifted = [{(i, at + s.index(window)) for i, at in where} for s, where in by_string.items() if window in s]
+            assert found in shifted
+
+
+def test_text_ids_are_ordered_as_texts(spark):
+    passage = prose(21, 1, 60, 61)[0]
+    docs = spark.createDataFrame(
+        [("b", passage + " x"), ("a10", passage), ("a9", "short"), (None, passage), ("a10", None)], "doc_id string, text string"
+    )
+    found = sorted(((r.doc_id or "~", r.n_bytes, r.n_removed) for r in repeats.remove_repeats(docs).collect()))
+    n = len(passage)
+    assert found == [("a10", 0, 0), ("a10", n, 0), ("a9", 5, 0), ("b", n + 2, n), ("~", n, n)]
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_maximal_repeats(seed):
     """Interval tree against all substrings of small strings."""

@@ -5,12 +5,13 @@ A suffix array of the whole corpus fits no machine, so it is cut by content.  Ev
 neighbouring windows with one such hash, its *stretch*, goes to the bucket of that hash.  Equal
 windows have equal hashes wherever they stand, so all that could repeat a window is in its bucket.
 
-1. Stretches travel as hashes.  Equal stretches fold into one with its occurrences.
-2. Stretches that share their bucket's hash with different ones fetch their bytes.  Their suffixes
-   are sorted, and a stack scan over the common prefixes of neighbours walks the interval tree.
-   An interval whose occurrences have different bytes to the left is a maximal repeat, and goes out
-   with all its occurrences.
-3. A hash with more stretches than fit a task is settled by its windows instead, with a partial
+1. Stretches travel as hashes.  Equal ones form a class; one of each class that something could
+   repeat represents it, all its occurrences are kept in a long table.
+2. The representatives fetch their bytes.  Their suffixes are sorted by bucket hash, and a stack scan
+   over the common prefixes of neighbours walks the interval tree.  An interval whose occurrences have
+   different bytes to the left is a maximal repeat; so is the whole string of a class of several
+   occurrences.  Each interval is expanded to all occurrences of its classes by the long table.
+3. A hash with more classes than fit a task is settled by its windows instead, with a partial
    aggregate of the smallest document per window.
 
 Memory of a task is bounded by the bucket size; the number of buckets grows with the bytes.
@@ -26,7 +27,9 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from themeflow.llm.manifest import ranked
 from themeflow.operators.staging import stage
 
 MIN_BYTES = 50
@@ -37,8 +40,8 @@ STRETCH = 64
 PIECE = 1 << 18
 BUCKET_BYTES = 12 << 20
 #: Stretches that a task holds before it folds and sends them.
-FLUSH = 1 << 19
-#: Stretches per task of the suffix arrays; a hash with more than ``CROWD`` is settled by windows.
+FLUSH = 1 << 18
+#: Classes per task of the suffix arrays; a hash with more than ``CROWD`` is settled by windows.
 TASK_STRETCHES = 10_000
 CROWD = 5_000
 NO_ID = (1 << 63) - 1
@@ -122,7 +125,8 @@ def _piece(data: bytes, at: int, min_bytes: int, gram: int, longest: int):
 
 # Step 1: stretches, packed by bucket.
 
-_ENTRY = [("m", "<u8"), ("c", "<u8"), ("id", "<i8"), ("tag", "<i4"), ("s", "<i8"), ("r", "u1")]
+#: Hashes, place and size of a stretch, and whether equal ones of its batch left before it.
+_ENTRY = [("m", "<u8"), ("c", "<u8"), ("id", "<i8"), ("tag", "<i4"), ("s", "<i8"), ("r", "u1"), ("d", "u1")]
 
 
 def _packed(columns: dict[str, np.ndarray]) -> bytes:
@@ -154,21 +158,26 @@ def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
 
 
 def _folded(e: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Entries sorted by (m, c, id), and which have an equal stretch in a smaller document."""
+    """Entries sorted by (m, c, id), and which have an equal stretch in a smaller document.
+
+    The mark ``d`` passes to all entries of a class of which one has it or has a later equal one.
+    """
     order = np.lexsort((e["id"], e["c"], e["m"]))
     e = {k: v[order] for k, v in e.items()}
     if not len(order):
         return e, np.zeros(0, bool)
     new = np.concatenate([[True], (e["m"][1:] != e["m"][:-1]) | (e["c"][1:] != e["c"][:-1])])
-    least = e["id"][np.flatnonzero(new)][np.cumsum(new) - 1]
-    return e, e["id"] > least
+    at, group = np.flatnonzero(new), np.cumsum(new) - 1
+    again = e["id"] > e["id"][at][group]
+    e["d"] = np.maximum.reduceat(np.maximum(e["d"], again), at)[group].astype(np.uint8)
+    return e, again
 
 
-def _scan(buckets: int, min_bytes: int, gram: int):
+def _scan(buckets: int, min_bytes: int, gram: int, held_most: int):
     """Rows (bucket, settled, blob) of a partition's documents.
 
-    In each batch the stretches that a smaller document of the batch holds too are settled at once;
-    so a passage of a third of all documents costs its bucket one entry per batch.
+    The stretches that a smaller document of the batch holds too leave at once as occurrences of their
+    class; so a passage of a third of all documents costs its bucket one entry per batch.
     """
 
     def flush(parts: list, number: int) -> Iterator[tuple[int, bool, bytes]]:
@@ -206,10 +215,10 @@ def _scan(buckets: int, min_bytes: int, gram: int):
                     continue
                 parts.append(
                     {"m": m, "c": c, "id": np.full(len(m), id_.as_py()),
-                     "tag": np.full(len(m), tag.as_py()), "s": s, "r": r}
+                     "tag": np.full(len(m), tag.as_py()), "s": s, "r": r, "d": np.zeros(len(m), np.uint8)}
                 )
                 held += len(m)
-                if held >= FLUSH:
+                if held >= held_most:
                     yield batch_of(list(flush(parts, number)))
                     parts, held, number = [], 0, number + 1
         if parts:
@@ -218,34 +227,39 @@ def _scan(buckets: int, min_bytes: int, gram: int):
     return run
 
 
-_FOUND = "id long, tag int, start long, size int, m long"
+#: ``role``: 2 for the representative of a class with later occurrences, 1 for that of one without, else 0.
+_FOUND = "m long, c long, id long, tag int, start long, size int, role int"
 
 
 def _fold_bucket(table: pa.Table) -> pa.Table:
-    """Settled stretches (``m`` null), and those to be compared with others of their hash."""
+    """Occurrences of the classes of a bucket that another document could repeat, one of each class marked.
+
+    A hash matters if its stretches stand in two documents; those that left early are known by their mark.
+    """
     blobs = list(zip(table.column("settled").to_pylist(), table.column("blob").to_pylist()))
     done = _joined([_unpacked(b) for settled, b in blobs if settled])
-    e, again = _folded(_joined([_unpacked(b) for settled, b in blobs if not settled]))
-    unsure = np.zeros(len(again), bool)
-    if len(again):
+    e, _ = _folded(_joined([_unpacked(b) for settled, b in blobs if not settled]))
+    role = np.zeros(len(e["m"]), np.int32)
+    if len(role):
         new_m = np.concatenate([[True], e["m"][1:] != e["m"][:-1]])
         new_c = new_m | np.concatenate([[True], e["c"][1:] != e["c"][:-1]])
-        group = np.cumsum(new_m) - 1
-        at = np.flatnonzero(new_m)
-        several = np.bincount(group, weights=new_c) > 1
+        at, group = np.flatnonzero(new_m), np.cumsum(new_m) - 1
         spread = np.minimum.reduceat(e["id"], at) < np.maximum.reduceat(e["id"], at)
-        unsure = (several & spread)[group] & ~again
-    whole = np.concatenate([done["id"], e["id"][again], e["id"][unsure]])
-    hashes = np.concatenate([np.zeros(len(done["id"]) + again.sum(), np.uint64), e["m"][unsure]])
-    mask = np.arange(len(whole)) < len(done["id"]) + again.sum()
-    pick = lambda k: np.concatenate([done[k], e[k][again], e[k][unsure]])
+        matters = (spread | (np.maximum.reduceat(e["d"], at) > 0))[group]
+        class_at, klass = np.flatnonzero(new_c), np.cumsum(new_c) - 1
+        several = (np.diff(np.append(class_at, len(role))) > 1) | (e["d"][class_at] > 0)
+        role = np.where(new_c, 1 + several[klass], 0)[matters].astype(np.int32)
+        e = {k: v[matters] for k, v in e.items()}
+    pick = lambda k: np.concatenate([done[k], e[k]])
     return pa.table(
         {
-            "id": pa.array(whole, pa.int64()),
+            "m": pa.array(pick("m").view(np.int64), pa.int64()),
+            "c": pa.array(pick("c").view(np.int64), pa.int64()),
+            "id": pa.array(pick("id"), pa.int64()),
             "tag": pa.array(pick("tag"), pa.int32()),
             "start": pa.array(pick("s"), pa.int64()),
             "size": pa.array(pick("r").astype(np.int32), pa.int32()),
-            "m": pa.array(hashes.view(np.int64), pa.int64(), mask=mask),
+            "role": pa.array(np.concatenate([np.zeros(len(done["m"]), np.int32), role]), pa.int32()),
         }
     )
 
@@ -336,37 +350,33 @@ def maximal_intervals(common: np.ndarray, left: np.ndarray, least: int) -> list[
 
 
 def _repeats_of(table: pa.Table, min_bytes: int) -> pa.Table:
-    """Maximal repeats among the stretches of a task, one row per occurrence."""
-    m = table.column("m").to_numpy()
-    order = np.argsort(m, kind="stable")
-    table = table.take(pa.array(order))
-    ids, tags = table.column("id").to_numpy(), table.column("tag").to_numpy()
-    starts, sizes = table.column("start").to_numpy(), table.column("size").to_numpy().astype(np.int64)
+    """Maximal repeats among the representatives of a task, one row per class and place in it."""
+    table = table.take(pa.array(np.argsort(table.column("m").to_numpy(), kind="stable")))
+    m, c, ids = (table.column(k).to_numpy() for k in ("m", "c", "id"))
+    sizes, several = table.column("size").to_numpy().astype(np.int64), table.column("role").to_numpy() == 2
     texts = table.column("bytes").to_pylist()
     length = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
-    item, offset, common, left = suffix_order(
-        m[order], data, np.cumsum(length) - length, sizes, length
-    )
+    item, offset, common, left = suffix_order(m, data, np.cumsum(length) - length, sizes, length)
     found = maximal_intervals(common, left, min_bytes)
+    # The whole string of a class of several occurrences, unless a longer class begins with it: then an
+    # interval of this length is there already.
+    after = np.append(common[1:], 0)
+    alone = (offset == 0) & several[item] & (np.maximum(common, after) < length[item])
+    found += [(i, i + 1, int(length[item[i]])) for i in np.flatnonzero(alone).tolist()]
     spans = np.array(found, np.int64).reshape(-1, 3)
     counts = spans[:, 1] - spans[:, 0]
-    rows = np.repeat(spans[:, 0], counts) + (
-        np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    )
-    group = np.repeat(np.arange(len(spans)), counts)
-    who = ids[item[rows]]
-    least = np.minimum.reduceat(who, np.cumsum(counts) - counts) if len(spans) else np.zeros(0, np.int64)
-    texts_at = [
-        xxhash.xxh64_intdigest(texts[item[a]][offset[a] : offset[a] + n]) for a, _, n in found
-    ]
-    names = np.array(texts_at, np.uint64).view(np.int64) if found else np.zeros(0, np.int64)
+    starts = np.cumsum(counts) - counts
+    rows = np.repeat(spans[:, 0], counts) + (np.arange(counts.sum()) - np.repeat(starts, counts))
+    group, who = np.repeat(np.arange(len(spans)), counts), item[rows]
+    least = np.minimum.reduceat(ids[who], starts) if len(spans) else np.zeros(0, np.int64)
+    names = [xxhash.xxh64_intdigest(texts[item[a]][offset[a] : offset[a] + n]) for a, _, n in found]
     return pa.table(
         {
-            "repeat": pa.array(names[group], pa.int64()),
-            "id": pa.array(who, pa.int64()),
-            "tag": pa.array(tags[item[rows]], pa.int32()),
-            "start": pa.array(starts[item[rows]] + offset[rows], pa.int64()),
+            "repeat": pa.array(np.array(names, np.uint64).view(np.int64)[group], pa.int64()),
+            "m": pa.array(m[who], pa.int64()),
+            "c": pa.array(c[who], pa.int64()),
+            "offset": pa.array(offset[rows].astype(np.int32), pa.int32()),
             "length": pa.array(spans[:, 2][group].astype(np.int32), pa.int32()),
             "first_id": pa.array(least[group], pa.int64()),
         }
@@ -374,10 +384,10 @@ def _repeats_of(table: pa.Table, min_bytes: int) -> pa.Table:
 
 
 def _fetched(min_bytes: int):
-    """The bytes of the stretches asked for of each document."""
+    """The bytes of the representatives asked for of each document."""
 
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-    names = ["m", "id", "tag", "start", "size", "bytes"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    names = ["m", "c", "id", "size", "role", "bytes"]
 
     def made(rows: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
@@ -385,15 +395,12 @@ def _fetched(min_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
-            for values in zip(*(batch.column(k) for k in ("__id", "__tag", "__text", "wanted"))):
-                id_, tag, text, wanted = (v.as_py() for v in values)
+            for values in zip(*(batch.column(k) for k in ("__id", "__text", "wanted"))):
+                id_, text, wanted = (v.as_py() for v in values)
                 data = text.encode("utf-8", "surrogatepass")
                 for w in wanted:
-                    begin = w["start"]
-                    for column, value in zip(
-                        rows,
-                        (w["m"], id_, tag, begin, w["size"], data[begin : begin + w["size"] + min_bytes - 1]),
-                    ):
+                    piece = data[w["start"] : w["start"] + w["size"] + min_bytes - 1]
+                    for column, value in zip(rows, (w["m"], w["c"], id_, w["size"], w["role"], piece)):
                         column.append(value)
                 if len(rows[0]) >= 8 * ROWS_OUT:
                     yield made(rows)
@@ -404,8 +411,8 @@ def _fetched(min_bytes: int):
     return run
 
 
-_BYTES = "m long, id long, tag int, start long, size int, bytes binary"
-_REPEATS = "repeat long, id long, tag int, start long, length int, first_id long"
+_BYTES = "m long, c long, id long, size int, role int, bytes binary"
+_INTERVALS = "repeat long, m long, c long, offset int, length int, first_id long"
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -425,70 +432,60 @@ def repeats(
     gram: int = GRAM,
     crowd: int = CROWD,
 ) -> DataFrame:
-    """Occurrences of repeated strings of ``min_bytes`` bytes or more: columns of ``_REPEATS``.
-
-    A row is one occurrence (document, first byte, length) of a string that also stands in the
-    smaller document ``first_id``; occurrences in the smallest document itself have ``first_id``
-    equal to ``id``.  ``repeat`` names the string.  Equal stretches that need no comparison come
-    without a name or first document (null), one row per later occurrence.  Strings are maximal
-    within their stretch; a longer repeat is a chain of overlapping ones, and their union over a
-    document is exactly the bytes of windows that a smaller document has too.
+    """``repeat, id, tag, start, length, first_id``: occurrences of repeated strings of ``min_bytes`` bytes or more.
+
+    ``repeat`` names the string, ``first_id`` is the smallest document it stands in, and every occurrence
+    is a row, those in the smallest document too.  Strings are maximal within their stretch; a longer repeat is a chain of overlapping
+    ones, and their union over a document is exactly the bytes of windows that a smaller document
+    has too.  A hash with more than ``crowd`` classes gives its windows instead of maximal strings.
     """
     rows = _keyed(docs, id_col, text_col)
     total = rows.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET_BYTES))
     packed = rows.mapInArrow(
-        _scan(buckets, min_bytes, gram), "bucket int, settled boolean, blob binary"
+        _scan(buckets, min_bytes, gram, FLUSH), "bucket int, settled boolean, blob binary"
     )
     found = stage(packed.groupBy("bucket").applyInArrow(_fold_bucket, _FOUND), "stretches")
-    unsure = found.filter(F.col("m").isNotNull())
-    by_hash = unsure.groupBy("m").agg(F.count("*").alias("n"))
+    chosen = stage(_with_bytes(rows, found.filter(F.col("role") > 0), min_bytes), "stretch-bytes")
+    by_hash = chosen.groupBy("m").agg(F.count("*").alias("n"))
     crowded = stage(by_hash.filter(F.col("n") > crowd).select("m"), "crowded-hashes")
-    few = unsure.join(crowded, "m", "left_anti")
-    tasks = max(1, -(-few.count() // TASK_STRETCHES))
-    compared = _with_bytes(rows, few, min_bytes)
-    trees = (
-        compared.withColumn("task", F.pmod(F.xxhash64("m"), F.lit(tasks)))
+    few = chosen.join(crowded, "m", "left_anti")
+    tasks = max(1, -(-chosen.count() // TASK_STRETCHES))
+    intervals = (
+        few.withColumn("task", F.pmod(F.xxhash64("m"), F.lit(tasks)))
         .groupBy("task")
-        .applyInArrow(lambda t: _repeats_of(t, min_bytes), _REPEATS)
+        .applyInArrow(lambda t: _repeats_of(t, min_bytes), _INTERVALS)
     )
-    parts = trees
-    if crowded.limit(1).count():
-        parts = parts.unionByName(
-            _by_window(_with_bytes(rows, unsure.join(crowded, "m", "left_semi"), min_bytes), min_bytes)
-        )
-    equal = found.filter(F.col("m").isNull()).select(
-        F.lit(None).cast("long").alias("repeat"),
-        "id",
-        "tag",
-        "start",
-        (F.col("size") + min_bytes - 1).cast("int").alias("length"),
-        F.lit(None).cast("long").alias("first_id"),
+    if not crowded.isEmpty():
+        intervals = intervals.unionByName(_by_window(chosen.join(crowded, "m", "left_semi"), min_bytes))
+    # A class stands in several intervals and has many occurrences; adaptive execution splits a hot one.
+    return found.select("m", "c", "id", "tag", "start").join(intervals, ["m", "c"]).select(
+        "repeat", "id", "tag", (F.col("start") + F.col("offset")).alias("start"), "length", "first_id"
     )
-    return parts.unionByName(equal)
 
 
 def _with_bytes(rows: DataFrame, wanted: DataFrame, min_bytes: int) -> DataFrame:
     lists = wanted.groupBy("id", "tag").agg(
-        F.collect_list(F.struct("m", "start", "size")).alias("wanted")
+        F.collect_list(F.struct("m", "c", "start", "size", "role")).alias("wanted")
     )
     joined = rows.join(lists, (rows["__id"] == lists["id"]) & (rows["__tag"] == lists["tag"]))
-    return joined.select("__id", "__tag", "__text", "wanted").mapInArrow(_fetched(min_bytes), _BYTES)
-
-
-def _by_window(compared: DataFrame, min_bytes: int) -> DataFrame:
-    """Windows of crowded stretches that a smaller document has too."""
-    windows = compared.select(
-        "id", "tag", "start", "bytes", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("i")
-    ).select(
-        "id",
-        "tag",
-        (F.col("start") + F.col("i")).alias("start"),
-        F.substring(F.col("bytes"), F.col("i") + 1, F.lit(min_bytes)).alias("w"),
-    ).select("id", "tag", "start", F.xxhash64("w").alias("w1"), F.xxhash64(F.lit(1), "w").alias("w2"))
-    least = windows.groupBy("w1", "w2").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
-    return windows.join(least.filter("first_id < last_id"), ["w1", "w2"]).select(
-        F.col("w1").alias("repeat"), "id", "tag", "start", F.lit(min_bytes).alias("length"), "first_id"
+    return joined.select("__id", "__text", "wanted").mapInArrow(_fetched(min_bytes), _BYTES)
+
+
+def _by_window(chosen: DataFrame, min_bytes: int) -> DataFrame:
+    """Windows of crowded classes that two of them, or two occurrences of one, have."""
+    windows = chosen.select(
+        "m", "c", "id", "role", "bytes", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("offset")
+    ).withColumn("w", F.substring(F.col("bytes"), F.col("offset") + 1, F.lit(min_bytes)))
+    windows = windows.select(
+        "m", "c", "id", "role", "offset", F.xxhash64("w").alias("w1"), F.xxhash64(F.lit(1), "w").alias("w2")
+    )
+    met = windows.groupBy("w1", "w2").agg(
+        F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max("role").alias("most")
+    )
+    shared = met.filter((F.col("first_id") < F.col("last_id")) | (F.col("most") == 2)).select("w1", "w2", "first_id")
+    return windows.join(shared, ["w1", "w2"]).select(
+        F.col("w1").alias("repeat"), "m", "c", "offset", F.lit(min_bytes).alias("length"), "first_id"
     )
 
 
@@ -516,14 +513,22 @@ def remove_repeats(
 
     Removed is every byte of a string of ``min_bytes`` bytes that also starts in a document with a
     smaller id.  Kept bytes may not be whole characters, so they are binary.  A null text is empty.
-    A row of null id comes after all others; rows of one id never remove from each other.
+    A row of null id comes after all others; rows of one id never remove from each other.  Ids that
+    are no whole numbers are numbered in their order first.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        names = docs.select(F.lit("").alias("grp"), F.col(id_col).alias("name")).filter(F.col("name").isNotNull())
+        places = stage(ranked(names.distinct(), "grp", ["name"]).select("name", "pos"), "id-places")
+        numbered = docs.select(F.col(id_col).alias("name"), F.col(text_col).alias("text")).join(places, "name", "left")
+        found = remove_repeats(numbered, "pos", "text", min_bytes, gram, crowd)
+        named = found.join(places, "pos", "left")
+        return named.select(F.col("name").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
     rows = _keyed(docs, id_col, text_col)
     # One number a span: a document's list of structs would take five times the room.
     packed = F.shiftleft("start", LENGTH_BITS).bitwiseOR(F.col("length").cast("long"))
     spans = (
         repeats(docs, id_col, text_col, min_bytes, gram, crowd)
-        .filter(F.col("first_id").isNull() | (F.col("id") > F.col("first_id")))
+        .filter(F.col("id") > F.col("first_id"))
         .groupBy("id", "tag")
         .agg(F.collect_list(packed).alias("spans"))
     )
