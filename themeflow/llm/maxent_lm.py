@@ -5,7 +5,7 @@ times that of the token in its class.  Classes are bins of equal root frequency;
 the bound on the shared table leaves out form one class of their own, smoothed by their counts.
 The class weights are trained by rounds of distributed gradient updates: every task runs
 mini-batches over its documents from the weights of the round before, and the results are averaged
-by tokens, in two levels.  The rounds together read every training document once.
+in two levels, each feature by the tokens that had it.  The rounds together read every training document once.
 
 Counts of all training tokens stay a table.  Only words with at least one token in ``2 ** WORD_BITS``
 (so at most that many words) are shared with all tasks; other words meet their counts in a join.
@@ -176,6 +176,7 @@ def _train_task(weights: np.ndarray, bias: np.ndarray, vocab: Vocabulary, rate:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = weights.copy(), bias.copy()
         squares = np.full(len(w), 1.0, np.float32)
+        touches = np.zeros(len(w), np.float32)
         seen = 0
         salt = None
 
@@ -194,6 +195,7 @@ def _train_task(weights: np.ndarray, bias: np.ndarray, vocab: Vocabulary, rate:
                 first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
                 step = np.add.reduceat(error[order % len(here)], first, axis=0)
                 touched = flat[first]
+                touches[touched] += np.diff(np.append(first, len(flat)))
                 squares[touched] += np.einsum("ij,ij->i", step, step)
                 w[touched] -= rate * step / np.sqrt(squares[touched])[:, None]
                 b = b - rate * error.mean(axis=0) * 0.1
@@ -214,35 +216,42 @@ def _train_task(weights: np.ndarray, bias: np.ndarray, vocab: Vocabulary, rate:
             blocks = range(0, len(w), _BLOCK)
             parts = [w[i : i + _BLOCK].astype(np.float32).tobytes() for i in blocks]
             parts.append(b.astype(np.float32).tobytes())
+            counts = [touches[i : i + _BLOCK].tobytes() for i in blocks] + [np.array([seen], np.float32).tobytes()]
             n = len(parts)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(range(n), pa.int32()),
                     pa.array([salt] * n, pa.int32()),
-                    pa.array([seen] * n, pa.int64()),
+                    pa.array(counts, pa.binary()),
                     pa.array(parts, pa.binary()),
                 ],
-                names=["block", "salt", "seen", "part"],
+                names=["block", "salt", "touches", "part"],
             )
 
     return run
 
 
-_PARTS = "block int, salt int, seen long, part binary"
+_PARTS = "block int, salt int, touches binary, part binary"
 
 
 def _averaged(table: pa.Table) -> pa.Table:
-    seen = np.array(table.column("seen").to_pylist(), np.float64)
-    total = 0.0
-    for n, part in zip(seen, table.column("part")):
-        total = total + n * np.frombuffer(part.as_py(), np.float32).astype(np.float64)
-    mean = (total / seen.sum()).astype(np.float32).tobytes()
+    """Mean of the parts' weights of a block, each row weighted by the tokens that touched it.
+
+    A feature that few parts have seen is not pulled back by those that have not.  Rows that none has
+    seen are the same everywhere.
+    """
+    total = touched = plain = 0.0
+    for counts, part in zip(table.column("touches"), table.column("part")):
+        n = np.frombuffer(counts.as_py(), np.float32).astype(np.float64)
+        w = np.frombuffer(part.as_py(), np.float32).astype(np.float64).reshape(len(n), -1)
+        total, touched, plain = total + n[:, None] * w, touched + n, plain + w
+    mean = np.where(touched[:, None] > 0, total / np.maximum(touched, 1)[:, None], plain / table.num_rows)
     return pa.table(
         {
             "block": pa.array([table.column("block")[0].as_py()], pa.int32()),
             "salt": pa.array([0], pa.int32()),
-            "seen": pa.array([int(seen.sum())], pa.int64()),
-            "part": pa.array([mean], pa.binary()),
+            "touches": pa.array([touched.astype(np.float32).tobytes()], pa.binary()),
+            "part": pa.array([mean.astype(np.float32).tobytes()], pa.binary()),
         }
     )
 
