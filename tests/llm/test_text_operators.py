@@ -104,6 +104,36 @@ def test_quadratic_discriminant(spark):
     assert again == pytest.approx({r.doc_id: r.score for r in rows}, abs=1e-9)
 
 
+def plain_difference(x, classes, pooled, ridge):
+    """Log density differences by determinants and solved systems, without any factor."""
+    n = np.array([len(c) for c in classes])
+    covariances = [np.cov(c.T, bias=True) for c in classes]
+    common = (n[0] * covariances[0] + n[1] * covariances[1]) / n.sum()
+    logs = []
+    for k in (0, 1):
+        shrunk = (1 - pooled) * covariances[k] + pooled * common + ridge * np.diag(np.diag(common) + 1e-6)
+        away = x - classes[k].mean(axis=0)
+        distance = np.einsum("ij,ij->i", away, np.linalg.solve(shrunk, away.T).T)
+        logs.append(np.log(n[k] / n.sum()) - 0.5 * np.linalg.slogdet(shrunk)[1] - 0.5 * distance)
+    return np.clip(logs[1] - logs[0], -quality_qda.CLIP, quality_qda.CLIP)
+
+
+def test_discriminant_against_plain_densities(spark):
+    docs, labels, _ = labelled(spark)
+    found, model = quality_qda.score(docs, labels)
+    rows = sorted(quality_qda.features(docs, "doc_id", "text").collect(), key=lambda r: r.doc_id)
+    x = np.array([[r[f] for f in quality_qda.FEATURES] for r in rows])
+    of = {r.doc_id: r.quality for r in labels.collect()}
+    known = [i for i, r in enumerate(rows) if r.doc_id in of and zlib.crc32(str(r.doc_id).encode()) % 5]
+    classes = [x[[i for i in known if of[rows[i].doc_id] == k]] for k in (0, 1)]
+    plain = [plain_difference(x, classes, a, b) for a in quality_qda.POOLED for b in quality_qda.RIDGE]
+    best = min(plain, key=lambda d: np.abs(d - model.difference(x)).max())
+    assert np.abs(best - model.difference(x)).max() < 1e-4
+    want = 1 / (1 + np.exp(-(model.slope * best + model.offset)))
+    got = {r.doc_id: r.score for r in found.collect()}
+    assert [got[r.doc_id] for r in rows] == pytest.approx(list(want), abs=1e-4)
+
+
 def test_discriminant_of_odd_inputs(spark):
     docs = documents(spark, ODD, score="clash")
     none = spark.createDataFrame([], "doc_id long, quality int")

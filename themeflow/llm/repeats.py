@@ -349,8 +349,20 @@ def maximal_intervals(common: np.ndarray, left: np.ndarray, least: int) -> list[
     return out
 
 
-def _repeats_of(table: pa.Table, min_bytes: int) -> pa.Table:
-    """Maximal repeats among the representatives of a task, one row per class and place in it."""
+def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union of spans as sorted maximal runs."""
+    order = np.argsort(starts, kind="stable")
+    starts, ends = starts[order], np.maximum.accumulate(ends[order])
+    new = np.flatnonzero(np.concatenate([[True], starts[1:] > ends[:-1]])) if len(starts) else np.zeros(0, np.int64)
+    return starts[new], ends[np.append(new[1:], len(starts)) - 1] if len(new) else ends
+
+
+def _repeats_of(table: pa.Table, min_bytes: int, merge: bool) -> pa.Table:
+    """Maximal repeats among the representatives of a task, one row per class and place in it.
+
+    With ``merge`` only what they cover: of each class the runs that a document before its first one has
+    too, and, where a class has later occurrences, its whole string.
+    """
     table = table.take(pa.array(np.argsort(table.column("m").to_numpy(), kind="stable")))
     m, c, ids = (table.column(k).to_numpy() for k in ("m", "c", "id"))
     sizes, several = table.column("size").to_numpy().astype(np.int64), table.column("role").to_numpy() == 2
@@ -368,17 +380,30 @@ def _repeats_of(table: pa.Table, min_bytes: int) -> pa.Table:
     counts = spans[:, 1] - spans[:, 0]
     starts = np.cumsum(counts) - counts
     rows = np.repeat(spans[:, 0], counts) + (np.arange(counts.sum()) - np.repeat(starts, counts))
-    group, who = np.repeat(np.arange(len(spans)), counts), item[rows]
-    least = np.minimum.reduceat(ids[who], starts) if len(spans) else np.zeros(0, np.int64)
-    names = [xxhash.xxh64_intdigest(texts[item[a]][offset[a] : offset[a] + n]) for a, _, n in found]
+    group, who, at = np.repeat(np.arange(len(spans)), counts), item[rows], offset[rows]
+    size, least = spans[:, 2][group], np.minimum.reduceat(ids[who], starts)[group] if len(spans) else np.zeros(0, np.int64)
+    if merge:
+        # Strings are shorter than the room between two classes, so runs stay within theirs.
+        room = 1 << LENGTH_BITS
+        before = least < ids[who]
+        begin, end = _merged(who[before] * room + at[before], who[before] * room + at[before] + size[before])
+        again = np.flatnonzero(several)
+        who = np.concatenate([begin // room, again])
+        at = np.concatenate([begin % room, np.zeros(len(again), np.int64)])
+        size = np.concatenate([end - begin, length[again]])
+        least = np.concatenate([ids[begin // room] - 1, ids[again]])
+        names = np.zeros(len(who), np.int64)
+    else:
+        digests = [xxhash.xxh64_intdigest(texts[item[a]][offset[a] : offset[a] + n]) for a, _, n in found]
+        names = np.array(digests, np.uint64).view(np.int64)[group]
     return pa.table(
         {
-            "repeat": pa.array(np.array(names, np.uint64).view(np.int64)[group], pa.int64()),
+            "repeat": pa.array(names, pa.int64()),
             "m": pa.array(m[who], pa.int64()),
             "c": pa.array(c[who], pa.int64()),
-            "offset": pa.array(offset[rows].astype(np.int32), pa.int32()),
-            "length": pa.array(spans[:, 2][group].astype(np.int32), pa.int32()),
-            "first_id": pa.array(least[group], pa.int64()),
+            "offset": pa.array(at.astype(np.int32), pa.int32()),
+            "length": pa.array(size.astype(np.int32), pa.int32()),
+            "first_id": pa.array(least, pa.int64()),
         }
     )
 
@@ -439,7 +464,11 @@ def repeats(
     ones, and their union over a document is exactly the bytes of windows that a smaller document
     has too.  A hash with more than ``crowd`` classes gives its windows instead of maximal strings.
     """
-    rows = _keyed(docs, id_col, text_col)
+    return _occurrences(_keyed(docs, id_col, text_col), min_bytes, gram, crowd, merge=False)
+
+
+def _occurrences(rows: DataFrame, min_bytes: int, gram: int, crowd: int, merge: bool) -> DataFrame:
+    """What ``repeats`` returns; with ``merge`` the covered runs of each occurrence (``id`` above ``first_id``)."""
     total = rows.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET_BYTES))
     packed = rows.mapInArrow(
@@ -454,7 +483,7 @@ def repeats(
     intervals = (
         few.withColumn("task", F.pmod(F.xxhash64("m"), F.lit(tasks)))
         .groupBy("task")
-        .applyInArrow(lambda t: _repeats_of(t, min_bytes), _INTERVALS)
+        .applyInArrow(lambda t: _repeats_of(t, min_bytes, merge), _INTERVALS)
     )
     if not crowded.isEmpty():
         intervals = intervals.unionByName(_by_window(chosen.join(crowded, "m", "left_semi"), min_bytes))
@@ -491,14 +520,8 @@ def _by_window(chosen: DataFrame, min_bytes: int) -> DataFrame:
 
 def removed_runs(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """Union of the spans as sorted maximal runs."""
-    if not len(starts):
-        return []
-    order = np.argsort(starts, kind="stable")
-    starts, ends = starts[order], np.maximum.accumulate(ends[order])
-    cut = np.flatnonzero(starts[1:] > ends[:-1]) + 1
-    first = np.concatenate([[0], cut])
-    last = np.concatenate([cut - 1, [len(starts) - 1]])
-    return list(zip(starts[first].tolist(), ends[last].tolist()))
+    first, last = _merged(starts, ends)
+    return list(zip(first.tolist(), last.tolist()))
 
 
 def remove_repeats(
@@ -527,7 +550,7 @@ def remove_repeats(
     # One number a span: a document's list of structs would take five times the room.
     packed = F.shiftleft("start", LENGTH_BITS).bitwiseOR(F.col("length").cast("long"))
     spans = (
-        repeats(docs, id_col, text_col, min_bytes, gram, crowd)
+        _occurrences(rows, min_bytes, gram, crowd, merge=True)
         .filter(F.col("id") > F.col("first_id"))
         .groupBy("id", "tag")
         .agg(F.collect_list(packed).alias("spans"))
