@@ -236,3 +236,28 @@ def test_themes_whose_calls_fail_keep_their_wording(make_posts):
     assert names == {"tag:A": "A", "kw:etf": "Etf discussion cluster"}
     with pytest.raises(ValueError):
         cluster.label_all_texts(found, posts, labeler, drafts_per_call=1)
+
+
+@pytest.mark.parametrize("tracked, candidates", [(cluster.TRACKED, cluster.CANDIDATES), (200, 20), (16, 8)])
+def test_summaries_give_the_same_keywords(make_posts, tracked, candidates):
+    """With room for all words, with too little for some groups, and with far too little for any."""
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(1500)]
+    weights = [1 / (i + 1) for i in range(1500)]
+    rows = [{"id": f"a{i}", "cashtags": ["A"], "text": " ".join(rng.choices(words, weights, k=60)), "minutes_ago": i} for i in range(60)]
+    rows += [{"id": f"b{i}", "cashtags": ["B"], "text": " ".join(rng.sample(words, 20)), "minutes_ago": i} for i in range(50)]
+    rows += [{"id": f"c{i}", "cashtags": ["C"], "text": "same four words only" if i else ""} for i in range(3)]
+    rows += [{"id": "d", "cashtags": ["D"], "text": ""}]
+    posts = make_posts(*rows)
+    keys = cluster.group_keys(posts).select("key").distinct()
+    found = cluster.top_keywords_of_large(posts, keys, 8, tracked, candidates)
+    assert sorted(found.collect()) == sorted(cluster.top_keywords(posts, 8).collect())
+
+
+def test_a_summary_leaves_one_row_per_group_and_task(make_posts):
+    posts = make_posts(*random_posts(1, 40)).repartition(3)
+    rows = cluster._keyword_rows(posts, None)
+    from pyspark.sql import functions as F
+
+    text = rows.groupBy("key").agg(F.expr("approx_top_k_accumulate(item, 100)").alias("s"))._jdf.queryExecution().executedPlan().toString()
+    assert "partial_approx_top_k_accumulate" in text and "hashpartitioning(key" in text

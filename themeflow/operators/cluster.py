@@ -88,13 +88,8 @@ def _ranked_items(rows: DataFrame, limit: int) -> DataFrame:
     return ranked.select("key", "rank", "item", "n")
 
 
-def top_keywords(
-    posts: DataFrame, limit: int = MAX_KEYWORDS, kept: DataFrame | None = None
-) -> DataFrame:
-    """``key, rank, item, n`` from a second pass over the texts.
-
-    With ``kept`` (a small table of keys, broadcast) words of other groups are never counted.
-    """
+def _keyword_rows(posts: DataFrame, kept: DataFrame | None) -> DataFrame:
+    """``key, post_order, position, item`` of each keyword; of the groups in ``kept`` only."""
     split = posts.select("id", "created_at", "cashtags", keyword_tokens("text").alias("tokens"))
     # Apart from the explode: columns selected next to it are evaluated once per exploded row.
     tokens = split.select(
@@ -105,7 +100,57 @@ def top_keywords(
     # The outer form, because the inner one makes Spark filter on ``size(tokens) > 0`` at the
     # scan, which splits every text a second time.
     rows = tokens.select("key", "post_order", F.posexplode_outer("tokens").alias("position", "item"))
-    return _ranked_items(rows.filter(F.col("item").isNotNull()), min(limit, KEYWORD_LIMIT))
+    return rows.filter(F.col("item").isNotNull())
+
+
+def top_keywords(
+    posts: DataFrame, limit: int = MAX_KEYWORDS, kept: DataFrame | None = None
+) -> DataFrame:
+    """``key, rank, item, n`` from a second pass over the texts.
+
+    With ``kept`` (a small table of keys, broadcast) words of other groups are never counted.
+    """
+    return _ranked_items(_keyword_rows(posts, kept), min(limit, KEYWORD_LIMIT))
+
+
+#: Words that a summary tracks per group, and candidates that are counted again.
+TRACKED, CANDIDATES = 12_000, 64
+
+
+def top_keywords_of_large(
+    posts: DataFrame, large: DataFrame, limit: int = MAX_KEYWORDS, tracked: int = TRACKED, candidates: int = CANDIDATES
+) -> DataFrame:
+    """``top_keywords`` of the groups in ``large`` (column ``key``: few groups of many posts), by summaries.
+
+    One pass keeps a summary of frequent items per group and task, of at most ``tracked`` words however
+    many the group has; summaries merge.  A second pass counts the candidates exactly.  A word that is
+    no candidate occurs at most as often as the last candidate's estimate or, where fewer were found,
+    twice the summary's error, so a ranking whose last count is above that is proven.  Groups
+    without proof are counted in full, so the result is that of ``top_keywords`` always.  Worth
+    its second pass where groups have far more distinct words than ``tracked``.
+    """
+    limit = min(limit, KEYWORD_LIMIT)
+    if candidates < limit or tracked < candidates:
+        raise ValueError("a summary tracks its candidates, of which there are as many as ranks")
+    rows = _keyword_rows(posts, large)
+    summary = rows.groupBy("key").agg(
+        F.expr(f"approx_top_k_accumulate(item, {tracked})").alias("state"), F.count("*").alias("total")
+    )
+    listed = summary.select("key", "total", F.expr(f"approx_top_k_estimate(state, {candidates})").alias("found"))
+    # The error is at most 3.5 / size of the total; the summary's size is tracked / 0.75 or more.
+    error = F.col("total") * (2 * 3.5 * 0.75 / tracked)
+    last = F.when(F.size("found") >= candidates, F.array_min(F.transform("found", lambda x: x["count"]))).otherwise(0)
+    listed = stage(listed.select("key", F.col("found.item").alias("items"), F.greatest(error, last).alias("unlisted")), "frequent-words")
+    pairs = listed.select("key", F.explode("items").alias("item"))  # candidates per group
+    exact = stage(_ranked_items(rows.join(F.broadcast(pairs), ["key", "item"], "left_semi"), limit), "frequent-counts")
+    ranks = exact.groupBy("key").agg(F.count("*").alias("ranks"), F.min("n").alias("least"))
+    shown = F.when(F.col("ranks") == limit, F.col("least") > F.col("unlisted")).otherwise(F.col("unlisted") < 1)
+    judged = stage(listed.join(ranks, "key", "left").select("key", F.coalesce(shown, F.lit(False)).alias("proven")), "proven-words")
+    done = exact.join(F.broadcast(judged.filter("proven").select("key")), "key", "left_semi")
+    open_keys = judged.filter(~F.col("proven")).select("key")
+    if open_keys.isEmpty():
+        return done
+    return done.unionByName(_ranked_items(_keyword_rows(posts, open_keys), limit))
 
 
 def top_cashtags(assigned: DataFrame, limit: int = MAX_CASHTAGS) -> DataFrame:

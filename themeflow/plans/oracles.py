@@ -726,3 +726,4 @@ ORACLES["stream_bounded_dedup"] = f"WITH {POSTS} SELECT id, platform, {iso('crea
 ORACLES["news_by_position"] = f"""WITH {NEWS}
     SELECT lang AS query, id, page_id AS position FROM news
     QUALIFY row_number() OVER (PARTITION BY lang ORDER BY page_id, id) <= 7"""
+ORACLES["top_keywords_summarised"] = ORACLES["top_keywords"]

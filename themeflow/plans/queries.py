@@ -606,6 +606,15 @@ def top_keywords(spark, sf_dir):
     return cluster.top_keywords(fixtures.posts(spark, sf_dir))
 
 
+@query
+def top_keywords_summarised(spark, sf_dir):
+    """Large groups by summaries of frequent words, the others by full counts."""
+    posts = fixtures.posts(spark, sf_dir)
+    sizes = stage(cluster.group_keys(posts).groupBy("key").agg(F.count("*").alias("n")), "group-sizes")
+    large, small = (sizes.filter(c).select("key") for c in ("n >= 40", "n < 40"))
+    return cluster.top_keywords_of_large(posts, large).unionByName(cluster.top_keywords(posts, kept=small))
+
+
 @query
 def top_cashtags(spark, sf_dir):
     return cluster.top_cashtags(cluster.assign(fixtures.posts(spark, sf_dir)))
