@@ -37,6 +37,7 @@ _RARE, _START, _FIRST = 0, 1, 2  # ids of rare words, of what stands before a te
 _TOKENS = 8192
 _BLOCK = 512
 _FLUSH = 400_000
+_ROW = np.uint16 if BUCKET_BITS <= 16 else np.int64
 
 
 def fold(id_col: Column) -> Column:
@@ -146,9 +147,10 @@ def feature_rows(ids: np.ndarray, at: np.ndarray, bits: int = BUCKET_BITS) -> np
 
 
 def _log_chances(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    logits = weights[rows[0]] + bias
+    # ``take`` with clipped places copies whole rows, three times as fast as an index.
+    logits = weights.take(rows[0], axis=0, mode="clip") + bias
     for row in rows[1:]:
-        logits += weights[row]
+        logits += weights.take(row, axis=0, mode="clip")
     logits -= logits.max(axis=1, keepdims=True)
     return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
@@ -189,11 +191,11 @@ def _train_task(weights: np.ndarray, bias: np.ndarray, vocab: Vocabulary, rate:
                 rows = feature_rows(ids, here)
                 error = np.exp(_log_chances(w, b, rows))
                 error[np.arange(len(here)), classes[here]] -= 1.0
-                flat = rows.ravel()
-                order = np.argsort(flat, kind="stable")
+                flat = rows.ravel().astype(_ROW)
+                order = np.argsort(flat, kind="stable")  # a radix sort of numbers this short
                 flat = flat[order]
                 first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-                step = np.add.reduceat(error[order % len(here)], first, axis=0)
+                step = np.add.reduceat(error.take(order % len(here), axis=0, mode="clip"), first, axis=0)
                 touched = flat[first]
                 touches[touched] += np.diff(np.append(first, len(flat)))
                 squares[touched] += np.einsum("ij,ij->i", step, step)
