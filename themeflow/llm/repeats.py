@@ -266,9 +266,6 @@ def _fold_bucket(table: pa.Table) -> pa.Table:
 
 # Step 2: suffix arrays of the stretches that share a hash.
 
-_SYMBOLS = 7  # per key of the sort: nine bits each, 0 for what is beyond the end
-
-
 def suffix_order(
     group: np.ndarray, data: np.ndarray, first: np.ndarray, size: np.ndarray, length: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -277,37 +274,27 @@ def suffix_order(
     ``data`` holds the strings one after another, ``first`` and ``length`` say where.  Returns the
     string and the offset of each suffix in order, the length of its common prefix with the one
     before (0 at the first of a group), and the byte to its left (-1 at the start of a string).
+    Strings are UTF-8, so they lack the byte 255 and leave 0 for what is beyond their end.
     """
     item = np.repeat(np.arange(len(first)), size)
     offset = np.arange(len(item)) - np.repeat(np.cumsum(size) - size, size)
-    rest = length[item] - offset
-    at = first[item] + offset
-    longest = int(rest.max()) if len(rest) else 0
-    padded = np.concatenate([data, np.zeros(longest + _SYMBOLS, np.uint8)])
-    keys = []
-    for begin in range(0, longest, _SYMBOLS):
-        key = np.zeros(len(item), np.uint64)
-        for k in range(begin, begin + _SYMBOLS):
-            symbol = np.where(k < rest, padded[at + k].astype(np.uint64) + _U(1), _U(0))
-            key = (key << _U(9)) | symbol
-        keys.append(key)
-    order = np.lexsort([*keys[::-1], group[item]])
-    item, offset, rest = item[order], offset[order], rest[order]
+    if not len(item):
+        return item, offset, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rest, at = length[item] - offset, first[item] + offset
+    longest = int(rest.max())
+    padded = np.concatenate([data + np.uint8(1), np.zeros(longest, np.uint8)])
+    rows = np.empty((len(item), 8 + longest), np.uint8)
+    rows[:, :8] = np.unique(group, return_inverse=True)[1][item].astype(">u8")[:, None].view(np.uint8)
+    rows[:, 8:] = np.lib.stride_tricks.sliding_window_view(padded, longest)[at]
+    rows[:, 8:][np.arange(longest) >= rest[:, None]] = 0
+    order = np.argsort(rows.view(f"S{8 + longest}").ravel(), kind="stable")
+    rows, item, offset, rest = rows[order], item[order], offset[order], rest[order]
+    differ = rows[1:] != rows[:-1]
+    place = differ.argmax(axis=1)
+    equal = np.where(differ[np.arange(len(place)), place], place - 8, longest)
     common = np.zeros(len(item), np.int64)
-    if len(item) > 1:
-        same = group[item][1:] == group[item][:-1]
-        open_ = same.copy()
-        for key in keys:
-            key = key[order]
-            different = key[1:] ^ key[:-1]
-            equal = np.full(len(different), _SYMBOLS)
-            for k in range(_SYMBOLS):
-                shift = _U(9 * (_SYMBOLS - 1 - k))
-                equal = np.where((different >> shift > 0) & (equal == _SYMBOLS), k, equal)
-            common[1:] += np.where(open_, equal, 0)
-            open_ &= equal == _SYMBOLS
-        common[1:] = np.minimum(common[1:], np.minimum(rest[1:], rest[:-1]))
-    left = np.where(offset > 0, padded[np.maximum(first[item] + offset - 1, 0)].astype(np.int64), -1)
+    common[1:] = np.clip(np.minimum(equal, np.minimum(rest[1:], rest[:-1])), 0, None)
+    left = np.where(offset > 0, data[np.maximum(first[item] + offset - 1, 0)].astype(np.int64), -1)
     return item, offset, common, left
 
 
@@ -475,18 +462,19 @@ def _occurrences(rows: DataFrame, min_bytes: int, gram: int, crowd: int, merge:
         _scan(buckets, min_bytes, gram, FLUSH), "bucket int, settled boolean, blob binary"
     )
     found = stage(packed.groupBy("bucket").applyInArrow(_fold_bucket, _FOUND), "stretches")
-    chosen = stage(_with_bytes(rows, found.filter(F.col("role") > 0), min_bytes), "stretch-bytes")
+    chosen = found.filter(F.col("role") > 0)
     by_hash = chosen.groupBy("m").agg(F.count("*").alias("n"))
     crowded = stage(by_hash.filter(F.col("n") > crowd).select("m"), "crowded-hashes")
-    few = chosen.join(crowded, "m", "left_anti")
     tasks = max(1, -(-chosen.count() // TASK_STRETCHES))
     intervals = (
-        few.withColumn("task", F.pmod(F.xxhash64("m"), F.lit(tasks)))
+        _with_bytes(rows, chosen.join(crowded, "m", "left_anti"), min_bytes)
+        .withColumn("task", F.pmod(F.xxhash64("m"), F.lit(tasks)))
         .groupBy("task")
         .applyInArrow(lambda t: _repeats_of(t, min_bytes, merge), _INTERVALS)
     )
     if not crowded.isEmpty():
-        intervals = intervals.unionByName(_by_window(chosen.join(crowded, "m", "left_semi"), min_bytes))
+        fetched = _with_bytes(rows, chosen.join(crowded, "m", "left_semi"), min_bytes)
+        intervals = intervals.unionByName(_by_window(stage(fetched, "crowded-bytes"), min_bytes))
     # A class stands in several intervals and has many occurrences; adaptive execution splits a hot one.
     return found.select("m", "c", "id", "tag", "start").join(intervals, ["m", "c"]).select(
         "repeat", "id", "tag", (F.col("start") + F.col("offset")).alias("start"), "length", "first_id"
