@@ -281,6 +281,16 @@ def test_language_model_uses_contexts(spark):
     assert sum(r.score for r in rows) / total > sum(r.base_score for r in rows) / total + 0.1
 
 
+@pytest.mark.parametrize("n, rows", [(1, 1), (50, 60), (400, 7), (300, 100)])
+def test_sums_by_row(n, rows):
+    dice = np.random.default_rng(n)
+    values, keys = dice.normal(size=(n, 4)), np.sort(dice.integers(0, rows, 5 * n))
+    places = dice.integers(0, n, 5 * n)
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    want = [values[places[keys == k]].sum(axis=0) for k in np.unique(keys)]
+    assert np.allclose(maxent_lm._row_sums(values, places, first), want)
+
+
 def test_the_distribution_adds_up():
     vocab = maxent_lm.Vocabulary({b"x": 3, b"y": 4}, np.array([1, 1, 0, 2, 3]), np.array([0, 0, 4, 10, 6]), 25, 5, 5, 2)
     dice = np.random.default_rng(1)

@@ -172,6 +172,19 @@ def _encoded(texts: Iterator[str | None], ids: dict[bytes, int]) -> tuple[np.nda
     return np.array(out, np.int64), at, words
 
 
+def _row_sums(values: np.ndarray, places: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the rows ``places`` of ``values`` between the marks ``first``; most sums have one or two rows."""
+    size = np.diff(np.append(first, len(places)))
+    out = np.empty((len(first), values.shape[1]), values.dtype)
+    one, two, more = first[size == 1], first[size == 2], size > 2
+    take = lambda at: values.take(places[at], axis=0, mode="clip")
+    out[size == 1] = take(one)
+    out[size == 2] = take(two) + take(two + 1)
+    if more.any():
+        out[more] = np.add.reduceat(take(np.repeat(more, size)), np.cumsum(size[more]) - size[more], axis=0)
+    return out
+
+
 def _train_task(weights: np.ndarray, bias: np.ndarray, vocab: Vocabulary, rate: float):
     """Weights after one pass over a partition's documents, in blocks, with the tokens seen."""
 
@@ -195,7 +208,7 @@ def _train_task(weights: np.ndarray, bias: np.ndarray, vocab: Vocabulary, rate:
                 order = np.argsort(flat, kind="stable")  # a radix sort of numbers this short
                 flat = flat[order]
                 first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-                step = np.add.reduceat(error.take(order % len(here), axis=0, mode="clip"), first, axis=0)
+                step = _row_sums(error, order % len(here), first)
                 touched = flat[first]
                 touches[touched] += np.diff(np.append(first, len(flat)))
                 squares[touched] += np.einsum("ij,ij->i", step, step)
