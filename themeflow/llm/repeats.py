@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from themeflow.llm.manifest import ranked
+from themeflow.llm.text import RESULT_BYTES
 from themeflow.operators.staging import stage
 
 MIN_BYTES = 50
@@ -473,7 +474,7 @@ def _occurrences(rows: DataFrame, min_bytes: int, gram: int, crowd: int, merge:
         .applyInArrow(lambda t: _repeats_of(t, min_bytes, merge), _INTERVALS)
     )
     if not crowded.isEmpty():
-        fetched = _with_bytes(rows, chosen.join(crowded, "m", "left_semi"), min_bytes)
+        fetched = _with_bytes(rows, chosen.join(crowded, "m", "left_semi"), min_bytes, RESULT_BYTES)
         intervals = intervals.unionByName(_by_window(stage(fetched, "crowded-bytes"), min_bytes))
     # A class stands in several intervals and has many occurrences; adaptive execution splits a hot one.
     return found.select("m", "c", "id", "tag", "start").join(intervals, ["m", "c"]).select(
@@ -481,10 +482,15 @@ def _occurrences(rows: DataFrame, min_bytes: int, gram: int, crowd: int, merge:
     )
 
 
-def _with_bytes(rows: DataFrame, wanted: DataFrame, min_bytes: int) -> DataFrame:
+def _with_bytes(rows: DataFrame, wanted: DataFrame, min_bytes: int, broadcast_bytes: int = 0) -> DataFrame:
+    """``wanted`` stretches with their bytes; texts stay in place if the lists have at most ``broadcast_bytes``."""
     lists = wanted.groupBy("id", "tag").agg(
         F.collect_list(F.struct("m", "c", "start", "size", "role")).alias("wanted")
     )
+    if broadcast_bytes:
+        lists = stage(lists, "wanted-stretches")
+        if lists.agg(F.coalesce(F.sum(F.size("wanted") * 64 + 64), F.lit(0))).first()[0] <= broadcast_bytes:
+            lists = F.broadcast(lists)
     joined = rows.join(lists, (rows["__id"] == lists["id"]) & (rows["__tag"] == lists["tag"]))
     return joined.select("__id", "__text", "wanted").mapInArrow(_fetched(min_bytes), _BYTES)
 
