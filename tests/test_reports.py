@@ -2,7 +2,7 @@ from datetime import timedelta
 
 
 from themeflow.operators import reports, store
-from themeflow.plans import runs
+from themeflow.plans import queries, runs
 from tests.conftest import NOW
 
 
@@ -38,3 +38,16 @@ def test_ingest_summary(spark, make_posts):
     row = reports.ingest_summary(results, store.stats(make_posts({"id": "1"}))).first()
     assert (row.duration_seconds, row.error_count, row.first_errors) == (1.3, 4, ["a", "b", "c"])
     assert (row.total_posts, row.twitter, row.unprocessed) == (1, 1, 1)
+
+
+def test_the_summary_takes_its_durations_from_the_posts(spark, tmp_path):
+    # Posts 0, 4 and 8 are tweets, post 1 is a submission; post 11 comes without an author as well.
+    documents = [(n, f"text {n}", "en", "web", 6) for n in (0, 1, 4, 8, 11)]
+    events = [(n, n, "view", NOW + timedelta(seconds=1.26 * n), 1.0) for n in (0, 1, 4, 8, 11)]
+    spark.createDataFrame(documents, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, ts timestamp, value double").write.parquet(f"{tmp_path}/events.parquet")
+    rows = {r.source: r for r in queries.QUERIES["ingest_summary"](spark, str(tmp_path)).collect()}
+    assert {k: r.duration_seconds for k, r in rows.items()} == {
+        "twitter": 10.1, "reddit": 0.0, "news": None, "podcast": 0.0, "letters": None
+    }
+    assert (rows["podcast"].first_errors, rows["letters"].posts_stored) == ("1 rows without author_id", 0)

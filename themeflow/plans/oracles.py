@@ -556,10 +556,12 @@ ORACLES: dict[str, str] = {
             lines + unreadable AS landed, unreadable, unnamed + undated AS dropped
         FROM sources, broken""",
     "ingest_summary": f"""WITH {REPORT},
-        broken AS (SELECT platform, count(*) AS n FROM posts WHERE doc_id % 11 = 0 GROUP BY 1),
+        spans AS (SELECT platform AS source, min(created_at) AS started_at, max(created_at) AS completed_at FROM incoming GROUP BY 1),
+        broken AS (SELECT platform, count(*) AS n, min(created_at) AS low, max(created_at) AS high
+            FROM posts WHERE doc_id % 11 = 0 GROUP BY 1),
         names(source) AS (VALUES ('twitter'), ('reddit'), ('news'), ('podcast'), ('letters'))
         SELECT source, true AS success,
-            90.3::DOUBLE AS duration_seconds,
+            round((epoch_us(greatest(completed_at, high)) - epoch_us(least(started_at, low))) / 1000000, 1) AS duration_seconds,
             coalesce(posts_stored, 0) AS posts_stored, coalesce(duplicates_skipped, 0) AS duplicates_skipped,
             CASE WHEN b.n > 0 THEN 1 ELSE 0 END::BIGINT AS error_count,
             coalesce(CAST(b.n AS VARCHAR) || ' rows without author_id', '') AS first_errors,
@@ -569,7 +571,7 @@ ORACLES: dict[str, str] = {
             (SELECT count(*) FROM posts WHERE platform = 'news') AS news,
             (SELECT count(*) FROM posts WHERE platform = 'podcast') AS podcast,
             (SELECT count(*) FROM posts WHERE NOT processed) AS unprocessed
-        FROM names LEFT JOIN report USING (source) LEFT JOIN broken b ON b.platform = source""",
+        FROM names LEFT JOIN report USING (source) LEFT JOIN spans USING (source) LEFT JOIN broken b ON b.platform = source""",
     "post_by_id": f"""WITH {POSTS} SELECT id, platform, author_id, sha1(text) AS text_sha1,
         {iso('created_at')} AS created_at, likes FROM posts WHERE id = 'doc_7'""",
     "unprocessed_topk": f"""WITH {POSTS}, newest AS (
