@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from themeflow.operators import staging, store
+from themeflow.operators import id_index, staging, store
 from themeflow.operators.id_index import IdIndex
 
 
@@ -53,6 +53,18 @@ def test_filters_rule_out_nearly_all_absent_ids(spark, index):
     assert index.candidates(ids_of(spark, range(430))).select("id").distinct().count() == 430
 
 
+def test_filters_stay_where_they_are(spark, index, monkeypatch):
+    # The words of a filter aren't copied for each id that is asked; ids come in lists of bounded length.
+    monkeypatch.setattr(id_index, "IDS_PER_LIST", 4)
+    asked = ids_of(spark, [*range(390, 600), None])
+    found = index.candidates(asked)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    generated = [line.split("Generate", 1)[1] for line in plan.splitlines() if "Generate" in line]
+    assert generated and not any("words" in line for line in generated)
+    assert {r.id for r in found.collect()} >= {f"post-{n}" for n in range(390, 430)}
+    assert names(index.known(asked)) == sorted(f"post-{n}" for n in range(390, 430))
+
+
 def test_wrong_candidates_are_compared_exactly(spark, tmp_path):
     tight = IdIndex(str(tmp_path / "ids"), ids_per_bucket=64, bits_per_id=1, probes=1)
     tight.add(ids_of(spark, range(300)), 0)

@@ -26,6 +26,8 @@ _FILTERS = T.StructType(
     [T.StructField("bucket", T.LongType()), T.StructField("buckets", T.LongType()),
      T.StructField("words", T.ArrayType(T.LongType())), T.StructField("segment", T.LongType())]
 )
+#: Ids asked of one bucket that go into one list, about.
+IDS_PER_LIST = 10_000
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
@@ -47,9 +49,9 @@ def _bucket(buckets: Column) -> Column:
     return F.pmod(F.xxhash64("id"), buckets)
 
 
-def _bits(size: Column, probes: int) -> Column:
+def _bits(size: Column, probes: int, name: Column | str = "id") -> Column:
     """Positions of an id in a filter of ``size`` bits: a start and a step from two hashes."""
-    first, step = F.xxhash64("id", F.lit(1)), F.xxhash64("id", F.lit(2))
+    first, step = F.xxhash64(name, F.lit(1)), F.xxhash64(name, F.lit(2))
     return F.transform(
         F.sequence(F.lit(0), F.lit(probes - 1)),
         lambda i: F.pmod(F.pmod(first, size) + i * F.pmod(step, size), size),
@@ -104,8 +106,8 @@ class IdIndex:
     def candidates(self, ids: DataFrame, before: int | None = None) -> DataFrame | None:
         """``segment``, ``bucket`` and ``id`` wherever a filter says that the id may be stored.
 
-        Asked ids meet their bucket's filter as one list per bucket, whose length follows the number
-        of ids asked and not that of ids stored.
+        Asked ids meet their bucket's filter in lists of bounded length, and each list is tested where
+        the filter lies: a filter is joined once per list and never copied for each id.
         """
         filters = self.filters(ids.sparkSession, before)
         if filters is None:
@@ -113,19 +115,27 @@ class IdIndex:
         sizes = [r["buckets"] for r in filters.select("buckets").distinct().collect()]  # powers of two, so few
         if not sizes:
             return None
-        asked = ids.select("id").filter(F.col("id").isNotNull()).distinct()
-        placed = reduce(
-            DataFrame.unionByName,
-            [asked.select("id", F.lit(n).cast("long").alias("buckets"), _bucket(F.lit(n)).alias("bucket")) for n in sizes],
+        asked = stage(ids.select("id").filter(F.col("id").isNotNull()).distinct(), "asked-ids")
+        n_asked = asked.count()
+
+        def placed(n: int) -> DataFrame:
+            part = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(-(-n_asked // (n * IDS_PER_LIST)) or 1))
+            return asked.select("id", F.lit(n).cast("long").alias("buckets"), _bucket(F.lit(n)).alias("bucket"), part.alias("part"))
+
+        lists = reduce(DataFrame.unionByName, map(placed, sizes)).groupBy("buckets", "bucket", "part").agg(
+            F.collect_list("id").alias("ids")
         )
-        lists = placed.groupBy("buckets", "bucket").agg(F.collect_list("id").alias("ids"))
-        met = lists.join(filters, ["buckets", "bucket"]).select("segment", "bucket", "words", F.explode("ids").alias("id"))
         size = F.size("words").cast("long") * 64
-        is_set = F.forall(
-            _bits(size, self.probes),
-            lambda bit: F.getbit(F.get("words", F.floor(bit / 64).cast("int")), (bit % 64).cast("int")) == 1,
-        )
-        return met.filter(is_set).select("segment", "bucket", "id")
+
+        def is_set(name: Column) -> Column:
+            return F.forall(
+                _bits(size, self.probes, name),
+                lambda bit: F.getbit(F.get("words", F.floor(bit / 64).cast("int")), (bit % 64).cast("int")) == 1,
+            )
+
+        met = lists.join(filters, ["buckets", "bucket"]).select("segment", "bucket", F.filter("ids", is_set).alias("ids"))
+        # The outer form, because the inner one makes Spark test every id a second time for its size filter.
+        return met.select("segment", "bucket", F.explode_outer("ids").alias("id")).filter(F.col("id").isNotNull())
 
     def read(self, spark: SparkSession, buckets: list[tuple[int, int]] | None = None) -> DataFrame:
         """Stored ids, of the given (segment, bucket) only; both are folders, so others aren't read."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from themeflow.operators import store
@@ -15,13 +16,14 @@ def write_batch(batch: DataFrame, batch_id: int, path: str, arrival: str, index:
 
     Only buckets of the index that may hold an id of the batch are read, never the store.  A batch
     that is run again after a failure replaces its own folder and segment and does not look at them,
-    so the outcome is the same.
+    so the outcome is the same.  Rows are ranked by their numbers, without the texts; those that win are written.
     """
     with staged_within(batch.sparkSession):
-        batch = stage(batch, "stream-batch")
+        batch = stage(batch.withColumn("__row", F.monotonically_increasing_id()), "stream-batch")
         known = index.known(batch, before=batch_id)
-        fresh = stage(store.new_posts(batch, index, arrival, known=known), "stream-fresh")
-        index.add(fresh, batch_id)
+        firsts = stage(store.new_posts(batch, index, arrival, known=known).select("id", "__row"), "stream-firsts")
+        index.add(firsts, batch_id)
+        fresh = batch.join(firsts.select("__row"), "__row", "left_semi").drop("__row")
         fresh.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
