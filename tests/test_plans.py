@@ -103,3 +103,23 @@ def test_limits_beyond_the_direct_one_cut_each_group_in_parts(spark):
     split, found = firsts(1000)
     assert found == expected and len(found) == 2200
     assert re.search(r"Exchange hashpartitioning\(_salt.*, g", plan(split))
+
+
+def test_high_limits_rank_in_ranges(spark):
+    # A group that holds nearly all rows is numbered in several ranges; ranks are those of a plain window.
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 50 == 0, F.lit("b")).when(F.col("id") % 97 != 0, F.lit("a")).alias("g"),
+        F.floor((F.col("id") * 7919) % 1000).alias("o"), F.col("id").cast("string").alias("id"), F.lit("text").alias("text"),
+    )
+    order = [F.desc("o"), F.col("id")]
+    for limit in (25, 400, 10_000):
+        plain = ranking.first_per_group(rows, ["g"], order, limit, "id", "rank", direct_limit=10_000)
+        found = ranking.first_per_group(rows, ["g"], order, limit, "id", "rank", direct_limit=10)
+        assert found.columns == plain.columns and found.schema["rank"].dataType == plain.schema["rank"].dataType
+        expected = sorted(map(tuple, plain.collect()), key=repr)
+        assert sorted(map(tuple, found.collect()), key=repr) == expected
+        unranked = ranking.first_per_group(rows, ["g"], order, limit, "id", direct_limit=10)
+        assert sorted(map(tuple, unranked.collect()), key=repr) == [x[:-1] for x in expected]
+        # No task numbers the rows of a whole group.
+        for df in (found, unranked):
+            assert "row_number" not in plan(df)

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from themeflow.operators.staging import stage
+
 # Up to this rank Spark cuts each task's rows before the shuffle by itself
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 DIRECT_LIMIT = 1000
-SALTS = 256
 
 
 def first_per_group(
@@ -20,18 +21,50 @@ def first_per_group(
 ) -> DataFrame:
     """The first ``limit`` rows of each group in ``order``, with their ``rank`` if it is named.
 
-    A higher limit than Spark cuts by itself is applied twice: to each group split by a hash of
-    ``spread_by``, then to what is left of the whole group.  A group with a third of all rows is
-    sorted in parts either way.
+    For a higher limit than Spark cuts by itself the rows are staged and numbered in ranges of
+    ``order``, so a group with a third of all rows never meets in one task; ``spread_by`` parts rows
+    that are equal in ``order``.
     """
+    if limit > direct_limit:
+        return _first_of_many(df, group, order, limit, spread_by, rank)
     name = rank or "_rank"
+    window = Window.partitionBy(*group).orderBy(*order)
+    found = df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= limit)
+    return found.withColumn(rank, F.col(rank).cast("long")) if rank else found.drop(name)
 
-    def cut(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return rows.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= limit)
 
-    if limit > direct_limit:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)))
-        df = cut(salted, ["_salt", *group]).drop(name, "_salt")
-    found = cut(df, group)
-    return found.withColumn(rank, F.col(rank).cast("long")) if rank else found.drop(name)
+def _first_of_many(
+    df: DataFrame, group: Sequence[str], order: Sequence[Column | str], limit: int, spread_by: str, rank: str | None
+) -> DataFrame:
+    """``first_per_group`` for high limits: rows are read once, staged, and ranked by their numbers.
+
+    Only group and order columns are dealt into ranges and numbered there; the sizes of a group's
+    ranges before it are added.  Where no group exceeds the limit and no rank is asked for, the staged
+    rows are the result.
+    """
+    rows = stage(df.withColumn("__row", F.monotonically_increasing_id()), "rows-to-rank")
+    if rank is None and rows.groupBy(*group).count().filter(F.col("count") > limit).isEmpty():
+        return rows.drop("__row")
+    by = [*group, *order, spread_by]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    numbered = stage(
+        dealt.select(
+            "__row", *group, F.spark_partition_id().alias("_salt"), F.monotonically_increasing_id().alias("__at"),
+        ),
+        "numbered-rows",
+    )
+    # Each group is counted in its parts, the ranges; only their sizes meet by group.
+    ranges = numbered.groupBy("_salt", *group).agg(F.count("*").alias("__n"), F.min("__at").alias("__low"))
+    earlier = Window.partitionBy(*group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__low") + 1
+    ranges = ranges.select(
+        F.col("_salt").alias("__salt_of"), *[F.col(c).alias(f"__{c}_of") for c in group], shift.alias("__shift")
+    )
+    same = F.col("_salt") == F.col("__salt_of")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}_of"))
+    name = rank or "__rank"
+    places = numbered.join(ranges, same).select("__row", (F.col("__at") + F.col("__shift")).alias(name))
+    found = rows.join(places.filter(F.col(name) <= limit), "__row").drop("__row")
+    return found if rank else found.drop(name)
