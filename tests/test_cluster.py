@@ -261,3 +261,22 @@ def test_a_summary_leaves_one_row_per_group_and_task(make_posts):
 
     text = rows.groupBy("key").agg(F.expr("approx_top_k_accumulate(item, 100)").alias("s"))._jdf.queryExecution().executedPlan().toString()
     assert "partial_approx_top_k_accumulate" in text and "hashpartitioning(key" in text
+
+
+def test_only_the_largest_groups_are_summarised(make_posts, monkeypatch):
+    # Beyond some groups Spark sorts every word for their summaries, so the others are counted in full at once.
+    rows = [{"id": f"{k}-{i}", "cashtags": [k], "text": f"alpha beta{i % 3} gamma{i}"} for n, k in enumerate("ABCDE") for i in range(3 + n)]
+    posts = make_posts(*rows)
+    keys = cluster.group_keys(posts).select("key").distinct()
+    staged = {}
+
+    def stage(df, name, keep=cluster.stage):
+        staged[name] = keep(df, name)
+        return staged[name]
+
+    monkeypatch.setattr(cluster, "stage", stage)
+    expected = sorted(cluster.top_keywords(posts, 2).collect())
+    for summarised, per_tracked, chosen in ((2, 0, ["tag:D", "tag:E"]), (9, 1, ["tag:D", "tag:E"]), (9, 0, [f"tag:{k}" for k in "ABCDE"])):
+        found = cluster.top_keywords_of_large(posts, keys, 2, 18, 4, summarised=summarised, words_per_tracked=per_tracked)
+        assert sorted(r.key for r in staged["summarised-groups"].collect()) == chosen
+        assert sorted(found.collect()) == expected

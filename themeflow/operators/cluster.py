@@ -88,21 +88,29 @@ def _ranked_items(rows: DataFrame, limit: int) -> DataFrame:
     return ranked.select("key", "rank", "item", "n")
 
 
-def _keyword_rows(posts: DataFrame, kept: DataFrame | None) -> DataFrame:
-    """``key, post_order, position, item`` of each keyword; of the groups in ``kept`` only."""
+def _keyword_tokens(posts: DataFrame, kept: DataFrame | None) -> DataFrame:
+    """``key, post_order, tokens`` of each post; of the groups in ``kept`` only."""
     split = posts.select("id", "created_at", "cashtags", keyword_tokens("text").alias("tokens"))
     # Apart from the explode: columns selected next to it are evaluated once per exploded row.
     tokens = split.select(
         group_key(F.col("tokens")).alias("key"), post_order().alias("post_order"), "tokens"
     )
-    if kept is not None:
-        tokens = tokens.join(F.broadcast(kept), "key", "left_semi")
+    return tokens if kept is None else tokens.join(F.broadcast(kept), "key", "left_semi")
+
+
+def _word_rows(tokens: DataFrame) -> DataFrame:
+    """``key, post_order, position, item`` of each word in ``tokens``."""
     # The outer form, because the inner one makes Spark filter on ``size(tokens) > 0`` at the
     # scan, which splits every text a second time.
     rows = tokens.select("key", "post_order", F.posexplode_outer("tokens").alias("position", "item"))
     return rows.filter(F.col("item").isNotNull())
 
 
+def _keyword_rows(posts: DataFrame, kept: DataFrame | None) -> DataFrame:
+    """``key, post_order, position, item`` of each keyword; of the groups in ``kept`` only."""
+    return _word_rows(_keyword_tokens(posts, kept))
+
+
 def top_keywords(
     posts: DataFrame, limit: int = MAX_KEYWORDS, kept: DataFrame | None = None
 ) -> DataFrame:
@@ -115,10 +123,14 @@ def top_keywords(
 
 #: Words that a summary tracks per group, and candidates that are counted again.
 TRACKED, CANDIDATES = 12_000, 64
+#: Groups that are summarised: few enough that a task keeps all their summaries (beyond 128 groups Spark
+#: sorts and spills every word instead), each of many times the words that a summary tracks.
+SUMMARISED, WORDS_PER_TRACKED = 100, 20
 
 
 def top_keywords_of_large(
-    posts: DataFrame, large: DataFrame, limit: int = MAX_KEYWORDS, tracked: int = TRACKED, candidates: int = CANDIDATES
+    posts: DataFrame, large: DataFrame, limit: int = MAX_KEYWORDS, tracked: int = TRACKED, candidates: int = CANDIDATES,
+    summarised: int = SUMMARISED, words_per_tracked: int = WORDS_PER_TRACKED,
 ) -> DataFrame:
     """``top_keywords`` of the groups in ``large`` (column ``key``: few groups of many posts), by summaries.
 
@@ -126,13 +138,18 @@ def top_keywords_of_large(
     many the group has; summaries merge.  A second pass counts the candidates exactly.  A word that is
     no candidate occurs at most as often as the last candidate's estimate or, where fewer were found,
     twice the summary's error, so a ranking whose last count is above that is proven.  Groups
-    without proof are counted in full, so the result is that of ``top_keywords`` always.  Worth
-    its second pass where groups have far more distinct words than ``tracked``.
+    without proof are counted in full, so the result is that of ``top_keywords`` always.  So are, at once,
+    groups of too few words to gain by a summary, and all but the ``summarised`` largest.  Texts are
+    split once: the words of the groups are staged for the passes.
     """
     limit = min(limit, KEYWORD_LIMIT)
     if candidates < limit or tracked < candidates:
         raise ValueError("a summary tracks its candidates, of which there are as many as ranks")
-    rows = _keyword_rows(posts, large)
+    tokens = stage(_keyword_tokens(posts, large), "group-words")
+    words = stage(tokens.groupBy("key").agg(F.sum(F.size("tokens").cast("long")).alias("words")), "group-sizes")
+    worth = words.filter(F.col("words") >= tracked * words_per_tracked)
+    worth = stage(worth.orderBy(F.desc("words"), "key").limit(summarised).select("key"), "summarised-groups")
+    rows = _word_rows(tokens.join(F.broadcast(worth), "key", "left_semi"))
     summary = rows.groupBy("key").agg(
         F.expr(f"approx_top_k_accumulate(item, {tracked})").alias("state"), F.count("*").alias("total")
     )
@@ -146,11 +163,10 @@ def top_keywords_of_large(
     ranks = exact.groupBy("key").agg(F.count("*").alias("ranks"), F.min("n").alias("least"))
     shown = F.when(F.col("ranks") == limit, F.col("least") > F.col("unlisted")).otherwise(F.col("unlisted") < 1)
     judged = stage(listed.join(ranks, "key", "left").select("key", F.coalesce(shown, F.lit(False)).alias("proven")), "proven-words")
-    done = exact.join(F.broadcast(judged.filter("proven").select("key")), "key", "left_semi")
-    open_keys = judged.filter(~F.col("proven")).select("key")
-    if open_keys.isEmpty():
-        return done
-    return done.unionByName(_ranked_items(_keyword_rows(posts, open_keys), limit))
+    proven = judged.filter("proven").select("key")
+    done = exact.join(F.broadcast(proven), "key", "left_semi")
+    others = tokens.join(F.broadcast(proven), "key", "left_anti")
+    return done.unionByName(_ranked_items(_word_rows(others), limit))
 
 
 def top_cashtags(assigned: DataFrame, limit: int = MAX_CASHTAGS) -> DataFrame:
