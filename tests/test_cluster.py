@@ -280,3 +280,20 @@ def test_only_the_largest_groups_are_summarised(make_posts, monkeypatch):
         found = cluster.top_keywords_of_large(posts, keys, 2, 18, 4, summarised=summarised, words_per_tracked=per_tracked)
         assert sorted(r.key for r in staged["summarised-groups"].collect()) == chosen
         assert sorted(found.collect()) == expected
+
+
+def test_a_task_holds_the_texts_of_one_call(make_posts, monkeypatch):
+    # A data frame per chunk cost more than the texts: chunks are read one after the other from a sorted task.
+    posts = make_posts(*[{"id": str(i), "cashtags": ["A"], "text": f"one{i}"} for i in range(40)])
+    plans = []
+
+    def stage(df, name, keep=cluster.stage):
+        if name == "drafts":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(cluster, "stage", stage)
+    labeler = lambda texts, keywords, cashtags: {"name": "n", "description": str(len(texts)), "keywords": []}
+    merger = lambda drafts, keywords, cashtags: {"name": "n", "description": str(sum(int(d["description"]) for d in drafts)), "keywords": []}
+    assert cluster.label_all_texts(clusters(posts), posts, labeler, merger, 3, 4, 2).first().description == "40"
+    assert plans and all("MapInArrow" in p and "CoGroups" not in p for p in plans)

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -428,9 +429,58 @@ def by_description(labeler: Labeler) -> Merger:
     )
 
 
-def _calls(rows: list, size: int) -> Iterator[list]:
-    """``rows`` in lists of ``size`` at most."""
-    return (rows[i : i + size] for i in range(0, len(rows), size))
+def _called(
+    rows: DataFrame, words: DataFrame, order: list[str], call: Callable[..., tuple], size: int, parallelism: int
+) -> DataFrame:
+    """Drafts by ``call(rows, keywords, cashtags)`` of at most ``size`` rows of a chunk, in ``order``.
+
+    ``words`` has the words of each ``key, chunk`` of ``rows``.  They stand before the chunk's rows in a sorted
+    task, which reads one row after the other and holds the rows of one call only.
+    """
+    names = [c for c in rows.columns if c not in ("key", "chunk")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, theme, some, made = None, None, [], []
+
+        def finish() -> None:
+            if some and theme:
+                try:
+                    made.append((*at, *call(some, *theme)))
+                except Exception:
+                    pass
+            some.clear()
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("key", "chunk", "_words", *names)]
+            for key, chunk, found, *values in zip(*columns):
+                if (key, chunk) != at:
+                    finish()
+                    at, theme = (key, chunk), None
+                if found is not None:
+                    theme = theme or (list(found["keywords"]), list(found["cashtags"]))
+                    continue
+                some.append(dict(zip(names, values)))
+                if len(some) == size:
+                    finish()
+            if made:
+                yield _batch(made)
+                made.clear()
+        finish()
+        if made:
+            yield _batch(made)
+
+    # An explicit count is kept: small shuffles are merged into one task otherwise.
+    dealt = rows.unionByName(words, allowMissingColumns=True).repartition(parallelism, "key", "chunk")
+    in_order = dealt.sortWithinPartitions(
+        "key", "chunk", F.col("_words").isNull(), *[F.asc_nulls_last(name) for name in order]
+    )
+    return stage(in_order.mapInArrow(run, _DRAFT), "drafts")
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    """``rows`` of drafts as Arrow."""
+    kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=_DRAFT.names)
 
 
 def label_all_texts(
@@ -451,51 +501,24 @@ def label_all_texts(
         raise ValueError("a call takes a text at least, a merge two drafts")
     merger = merger or by_description(labeler)
     chunks = F.ceil(F.col("n_posts") / texts_per_call)
-    themes = clusters.select("key", "keywords", "cashtags", chunks.alias("chunks"))
+    themes = clusters.select("key", F.struct("keywords", "cashtags").alias("_words"), chunks.alias("chunks"))
     texts = posts.select(group_key().alias("key"), "id", post_order().alias("post_order"), "text").join(themes, "key")
     # The theme's words travel once per chunk, not with each text.
     dealt = texts.select("key", F.pmod(F.xxhash64("id"), "chunks").alias("chunk"), "post_order", "text")
     words = themes.select(
-        F.col("key").alias("theme"), "keywords", "cashtags",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("part"),
+        "key", "_words", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")
     )
 
-    def draft(key: tuple, rows: pd.DataFrame, theme: pd.DataFrame) -> pd.DataFrame:
-        made = []
-        if len(rows) and len(theme):
-            keywords, cashtags = list(theme["keywords"][0]), list(theme["cashtags"][0])
-            for some in _calls(rows.sort_values("post_order", kind="stable")["text"].tolist(), texts_per_call):
-                try:
-                    found = labeler(some, keywords, cashtags)
-                    made.append((key[0], key[1], found["name"], found["description"], list(found["keywords"]), len(some)))
-                except Exception:
-                    continue
-        return pd.DataFrame(made, columns=_DRAFT.names)
-
-    def merge(key: tuple, rows: pd.DataFrame, theme: pd.DataFrame) -> pd.DataFrame:
-        made = []
-        if len(rows) and len(theme):
-            keywords, cashtags = list(theme["keywords"][0]), list(theme["cashtags"][0])
-            drafts = rows.sort_values(["chunk", "name", "description"], kind="stable")[_DRAFT.names[2:]].to_dict("records")
-            for some in _calls(drafts, drafts_per_call):
-                texts = sum(d["texts"] for d in some)
-                if len(some) == 1:
-                    made.append((key[0], key[1], *(some[0][c] for c in _DRAFT.names[2:])))
-                    continue
-                try:
-                    found = merger([d | {"keywords": list(d["keywords"])} for d in some], keywords, cashtags)
-                    made.append((key[0], key[1], found["name"], found["description"], list(found["keywords"]), texts))
-                except Exception:
-                    continue
-        return pd.DataFrame(made, columns=_DRAFT.names)
+    def draft(some: list[dict], keywords: list[str], cashtags: list[str]) -> tuple:
+        found = labeler([row["text"] for row in some], keywords, cashtags)
+        return found["name"], found["description"], list(found["keywords"]), len(some)
 
-    def cogrouped(rows: DataFrame, theme: DataFrame, make) -> DataFrame:
-        # An explicit count is kept: small shuffles are merged into one task otherwise.
-        left = rows.repartition(parallelism, "key", "chunk").groupBy("key", "chunk")
-        right = theme.repartition(parallelism, "theme", "part").groupBy("theme", "part")
-        return stage(left.cogroup(right).applyInPandas(make, _DRAFT), "drafts")
+    def merge(some: list[dict], keywords: list[str], cashtags: list[str]) -> tuple:
+        parts = [{name: row[name] for name in _DRAFT.names[2:]} for row in some]
+        found = parts[0] if len(parts) == 1 else merger(parts, keywords, cashtags)
+        return found["name"], found["description"], list(found["keywords"]), sum(d["texts"] for d in parts)
 
-    drafts = cogrouped(dealt, words, draft)
+    drafts = _called(dealt, words, ["post_order"], draft, texts_per_call, parallelism)
     while not drafts.groupBy("key").count().filter("count > 1").isEmpty():
         # At least two drafts meet wherever a theme has several, so the levels are few.
         sizes = drafts.groupBy("key").agg(F.count("*").alias("n")).select(
@@ -503,9 +526,8 @@ def label_all_texts(
         )
         place = F.pmod(F.xxhash64("chunk", "name", "description"), "groups")
         grouped = drafts.join(sizes, "key").withColumn("chunk", place).drop("groups")
-        of_group = grouped.select(F.col("key").alias("theme"), F.col("chunk").alias("part")).distinct()
-        named = themes.select(F.col("key").alias("theme"), "keywords", "cashtags")
-        drafts = cogrouped(grouped, of_group.join(named, "theme"), merge)
+        of_group = grouped.select("key", "chunk").distinct().join(themes.select("key", "_words"), "key")
+        drafts = _called(grouped, of_group, ["name", "description"], merge, drafts_per_call, parallelism)
     last = drafts.select(
         "key", F.col("name").alias("_name"), F.col("description").alias("_description"), F.col("keywords").alias("_keywords")
     )
