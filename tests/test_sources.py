@@ -2,8 +2,10 @@ import hashlib
 import json
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from themeflow.operators import search
-from themeflow.plans import runs
+from themeflow.plans import fixtures, queries, runs
 from themeflow.sources import forum, landed, news, podcast, tables, tweets
 from tests.conftest import NOW
 
@@ -203,3 +205,37 @@ def test_base_and_extension_columns(spark, tmp_path):
     wide = tables.unify([forum.normalise(rows, NOW)])
     assert tables.base_posts(wide).first().id == "reddit_k7"
     assert tables.extension(wide, "reddit").first().subreddit == "farming"
+
+
+def small_tables(spark, path, n):
+    """``n`` documents of four sources and their events."""
+    rows = spark.range(n)
+    rows.select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 4).alias("source"), F.lit("en").alias("lang"),
+        F.lit(9).alias("n_chars"), F.concat(F.lit("a <b>& word"), "id").alias("text"),
+    ).write.parquet(f"{path}/documents.parquet")
+    rows.select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), (F.col("id") % 7).alias("user_id"),
+        F.lit("view").alias("event_type"), F.lit(1.5).alias("value"),
+    ).write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+def test_a_landed_file_holds_a_page_of_its_own_feed(spark, tmp_path, monkeypatch):
+    # 100 documents of each of two feeds; pages of document numbers over all feeds gave 20 files for each.
+    monkeypatch.setattr(fixtures, "FEED_PAGE", 20)
+    fixtures.land_feeds(spark, small_tables(spark, tmp_path, 400), f"{tmp_path}/feeds")
+    files = {form: list((tmp_path / "feeds" / form).glob("*/*/*.txt")) for form in ("rss", "atom")}
+    for form, tag in (("rss", "<item>"), ("atom", "<entry>")):
+        sizes = [f.read_text().count(tag) for f in files[form]]
+        assert sum(sizes) == 200 and max(sizes) <= 20 and len(sizes) <= 2 * 6
+    entries = landed.read_feeds(spark, f"{tmp_path}/feeds/rss")
+    first = search.first_entries(entries, 3).select("feed_url", F.regexp_extract("link", "[0-9]+$", 0).cast("int").alias("doc"))
+    assert sorted(r.doc for r in first.collect()) == [0, 2, 4, 6, 8, 10]
+
+
+def test_equal_chunks_of_an_episode_count_once(spark):
+    schema = "content array<struct<value: string>>, summary string, description string"
+    rows = [([("<p>a  b</p>",), ("c",)], "a b", "a b"), ([("",)], None, "x"), (None, "x", "x"), (None, None, None), ([(None,)], "<p>", "y")]
+    found = spark.createDataFrame(rows, schema).select(podcast.transcript_text().alias("t"))
+    assert [r.t for r in found.collect()] == ["a b\n\nc", "x", "x", "", "y"]

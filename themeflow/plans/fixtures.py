@@ -224,6 +224,19 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 FEED_PAGE = 500
 
 
+def _page_width(rows: DataFrame) -> int:
+    """How many document numbers a page spans, so that a file of the fullest feed holds ``FEED_PAGE`` documents.
+
+    Pages of so many numbers over all feeds would be a file for a few documents of each, and the files,
+    each created, committed and listed by itself, would take longer than the texts.
+    """
+    feeds = rows.groupBy("source", F.col("doc_id") % 2).agg(
+        F.count("*").alias("n"), (F.max("doc_id") - F.min("doc_id") + 1).alias("span")
+    )
+    widths = feeds.agg(F.min(F.floor(F.col("span") * FEED_PAGE / F.col("n")))).first()[0]
+    return max(1, widths or FEED_PAGE)
+
+
 def _escaped(value: Column) -> Column:
     """Text of an XML element; signs that XML can't hold become blanks."""
     value = F.regexp_replace(value, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\uFFFE\uFFFF]", " ")
@@ -234,7 +247,11 @@ def _escaped(value: Column) -> Column:
 
 def _element(name: str, value: Column) -> Column:
     """``<name>value</name>``, nothing for null."""
-    return F.coalesce(F.concat(F.lit(f"<{name}>"), _escaped(value), F.lit(f"</{name}>")), F.lit(""))
+    return _wrapped(name, _escaped(value))
+
+
+def _wrapped(name: str, escaped: Column) -> Column:
+    return F.coalesce(F.concat(F.lit(f"<{name}>"), escaped, F.lit(f"</{name}>")), F.lit(""))
 
 
 def _link(rel: str, kind: str, value: Column, tag: str, attribute: str) -> Column:
@@ -251,25 +268,28 @@ def land_feeds(spark: SparkSession, sf_dir: str, path: str) -> None:
     """
     kind, doc = F.col("event_type"), F.col("doc_id")
     rows = documents_with_events(spark, sf_dir)
+    width = _page_width(rows)
+    # Escaped once per document, for both elements that hold it.
+    rows = rows.withColumn("body", _escaped(tagged_text()))
     day, instant = F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     page = F.when(kind != "error", F.concat(F.lit("https://pod.example.com/"), doc))
     sound = F.when(kind == "view", F.concat(F.lit("https://cdn.example.com/"), doc, F.lit(".mp3")))
     script = F.concat(F.lit("https://cdn.example.com/"), doc, F.lit(".vtt"))
     name = F.when(kind == "view", F.concat(F.lit("guid-"), doc))
     title = F.when(kind != "click", F.concat(F.lit(" Episode "), doc, F.lit(" ")))
-    html = F.concat(F.lit("<p>"), tagged_text(), F.lit("</p>"))
+    html = F.concat(F.lit("&lt;p&gt;"), "body", F.lit("&lt;/p&gt;"))
     rss = F.concat(
         F.lit("<item>"), _element("guid", name), _element("title", title), _element("link", page),
         _element("pubDate", F.when(kind == "view", F.concat(day, F.lit(" GMT"))).when(kind == "click", F.concat(day, F.lit(" +0200")))),
-        _element("dc:date", F.when(kind == "purchase", instant)), _element("content:encoded", html),
-        _element("description", tagged_text()), _link("", "audio/mpeg", sound, "enclosure", "url"),
+        _element("dc:date", F.when(kind == "purchase", instant)), _wrapped("content:encoded", html),
+        _wrapped("description", F.col("body")), _link("", "audio/mpeg", sound, "enclosure", "url"),
         _link("", "text/vtt", script, "podcast:transcript", "url"), F.lit("</item>"),
     )
     atom = F.concat(
         F.lit("<entry>"), _element("id", name), _element("title", title), _link("alternate", "text/html", page, "link", "href"),
         _link("enclosure", "audio/mpeg", sound, "link", "href"), _link("transcript", "text/vtt", script, "link", "href"),
         _element("published", F.when(kind == "view", instant)), _element("updated", F.when(kind == "click", instant)),
-        _element("content", html), F.lit("</entry>"),
+        _wrapped("content", html), F.lit("</entry>"),
     )
     show = F.concat(F.lit("Show & "), "source")
     spaces = "".join(f' xmlns:{x}="https://example.com/{x}"' for x in ("dc", "content", "podcast"))
@@ -280,7 +300,7 @@ def land_feeds(spark: SparkSession, sf_dir: str, path: str) -> None:
     for form, (parity, entry, head, tail) in forms.items():
         feed = F.concat(F.lit("https://feeds.example.com/"), "source", F.lit(f"/{form}"))
         mine = rows.filter(doc % 2 == parity).select(
-            F.coalesce(feed, F.lit("none")).alias("feed_url"), F.floor(doc / FEED_PAGE).alias("page"), "doc_id",
+            F.coalesce(feed, F.lit("none")).alias("feed_url"), F.floor(doc / width).alias("page"), "doc_id",
             show.alias("show"), entry.alias("line"),
         )
         ends = mine.groupBy("feed_url", "page").agg(F.min("show").alias("show"))

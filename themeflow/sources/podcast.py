@@ -26,7 +26,8 @@ def transcript_text() -> Column:
         F.coalesce(F.col("content.value"), none), F.array("summary", "description")
     )
     present = F.filter(chunks, lambda chunk: chunk.isNotNull() & (chunk != ""))
-    plain = F.filter(F.transform(present, markup_to_text), lambda text: text != "")
+    # A summary is often the description itself; equal chunks are cleaned once.
+    plain = F.filter(F.transform(F.array_distinct(present), markup_to_text), lambda text: text != "")
     return F.array_join(F.array_distinct(plain), "\n\n")
 
 
