@@ -297,3 +297,10 @@ def test_a_task_holds_the_texts_of_one_call(make_posts, monkeypatch):
     merger = lambda drafts, keywords, cashtags: {"name": "n", "description": str(sum(int(d["description"]) for d in drafts)), "keywords": []}
     assert cluster.label_all_texts(clusters(posts), posts, labeler, merger, 3, 4, 2).first().description == "40"
     assert plans and all("MapInArrow" in p and "CoGroups" not in p for p in plans)
+
+
+def test_ids_of_themes_need_no_words(make_posts):
+    posts = make_posts(*random_posts(3, 60))
+    assigned = cluster.assign(posts)
+    found = cluster.cluster(posts, assigned)
+    assert sorted(cluster.theme_profiles(assigned).select("id", "key").collect()) == sorted(found.select("id", "key").collect())

@@ -239,3 +239,11 @@ def test_equal_chunks_of_an_episode_count_once(spark):
     rows = [([("<p>a  b</p>",), ("c",)], "a b", "a b"), ([("",)], None, "x"), (None, "x", "x"), (None, None, None), ([(None,)], "<p>", "y")]
     found = spark.createDataFrame(rows, schema).select(podcast.transcript_text().alias("t"))
     assert [r.t for r in found.collect()] == ["a b\n\nc", "x", "x", "", "y"]
+
+
+def test_scores_of_themes_count_no_words(spark, tmp_path, monkeypatch):
+    sf_dir = small_tables(spark, tmp_path, 40)
+    expected = queries.QUERIES["narrative_overall"](spark, sf_dir).count()
+    monkeypatch.setattr(queries.cluster, "top_keywords", None)
+    for name in ("velocity", "saturation", "narrative_scores", "narrative_sentiment"):
+        assert queries.QUERIES[name](spark, sf_dir).count() == expected > 0

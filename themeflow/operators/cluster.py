@@ -259,6 +259,22 @@ def _small_keys(profiles: DataFrame) -> DataFrame | None:
     return profiles.select("key") if size <= BROADCAST_BYTES else None
 
 
+def theme_profiles(
+    assigned: DataFrame, min_size: int = MIN_CLUSTER_SIZE, recent: Column | None = None
+) -> DataFrame:
+    """Profiles of the groups that are large enough to be themes, with their ids.
+
+    Ids follow the members, so what asks for members only (scores) needs no words of the texts.
+    """
+    return (
+        group_profiles(assigned, recent)
+        .filter(F.col("n_posts") >= min_size)
+        .withColumn("members_digest", members_digest(F.col("n_posts")))
+        .withColumn("id", theme_id(F.col("members_digest")))
+        .drop(*LIMBS)
+    )
+
+
 def cluster(
     posts: DataFrame, assigned: DataFrame, min_size: int = MIN_CLUSTER_SIZE,
     max_keywords: int = MAX_KEYWORDS, now: Column | datetime | None = None,
@@ -271,14 +287,7 @@ def cluster(
     tags and authors are then counted for those groups only, unless their keys are too many to
     broadcast.
     """
-    profiles = stage(
-        group_profiles(assigned, recent)
-        .filter(F.col("n_posts") >= min_size)
-        .withColumn("members_digest", members_digest(F.col("n_posts")))
-        .withColumn("id", theme_id(F.col("members_digest")))
-        .drop(*LIMBS),
-        "profiles",
-    )
+    profiles = stage(theme_profiles(assigned, min_size, recent), "profiles")
     kept = _small_keys(profiles)
     narrow = assigned if kept is None else assigned.join(F.broadcast(kept), "key", "left_semi")
     keywords = _as_list(top_keywords(posts, max_keywords, kept), "keywords")
