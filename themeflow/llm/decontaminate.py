@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from themeflow.llm.text import Shield, let, lower_ascii, row_key, with_results
 from themeflow.operators.staging import stage
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` by what it holds: Java takes ten times as long to leave characters out.
+WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 #: The same words before A to Z are lower-cased.
-CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+CASED_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 WINDOW = 10
 #: The set is broadcast up to this many bytes of windows and items; above, it is shuffled.
 BROADCAST_BYTES = 32 << 20
