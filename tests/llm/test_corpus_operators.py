@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -17,6 +18,7 @@ from themeflow.llm import decontaminate, line_dedup, packing, repeats, simhash
 from themeflow.llm.components import components
 from themeflow.llm.oracles import ORACLES
 from themeflow.llm.queries import QUERIES
+from themeflow.operators.staging import SHUFFLE_CLEANUP
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -309,6 +311,54 @@ def test_removed_bytes(spark, monkeypatch, crowd, pieces):
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName(): f.length() for f in map(files.apply, range(files.size())) if f.getName().startswith("shuffle_")}
+
+
+def test_repeats_leave_no_shuffles_of_their_steps(spark):
+    """Stretches and intervals are staged; the shuffles behind them don't lie beside those of the last step."""
+    passages = prose(5, 30, 150, 200)
+    docs = documents(spark, passages + passages)
+    before, setting = shuffle_files(spark), spark.conf.get(SHUFFLE_CLEANUP)
+    found = repeats.remove_repeats(docs)
+    left = sum(n for name, n in shuffle_files(spark).items() if name not in before)
+    assert left < 5_000  # counts
+    assert spark.conf.get(SHUFFLE_CLEANUP) == setting
+    assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.n_removed == r.n_bytes for r in found.collect()) == [False] * 30 + [True] * 30
+
+
+def test_representatives_of_many_units_and_arrays(spark, monkeypatch):
+    for name, size in (("UNIT", 7), ("FETCHED", 5), ("ARRAY_STRETCHES", 3)):
+        monkeypatch.setattr(repeats, name, size)
+    dice = random.Random(3)
+    parts = ["".join(dice.choices("abé ", k=dice.randrange(5, 60))) for _ in range(12)]
+    rows = [(dice.randrange(20), "".join(dice.choices(parts, k=dice.randrange(0, 9)))) for _ in range(25)]
+    found = repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = [(False, r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha1(r.kept).hexdigest()) for r in found]
+    assert sorted(got) == plain_removed(rows, 50)
+
+
+def test_texts_of_one_id_and_tag(spark):
+    """Their lists are one; pieces beyond a shorter text don't shift those packed after them."""
+    long, short = prose(8, 1, 60, 61)[0], "brief"
+    schema = "__id long, __text binary, wanted array<struct<m: long, k: long, start: long>>"
+    wanted = [(5, 7 | 1 << 48 | 1 << 56, at) for at in (0, 100)]
+    rows = spark.createDataFrame([(1, short.encode(), wanted), (1, long.encode(), wanted)], schema).coalesce(1)
+    found = rows.mapInArrow(repeats._fetched(50, 1, False, 100), repeats._UNITS).collect()
+    parts = [repeats._unpacked(r.blob, repeats._CHOSEN, r.n) for r in found]
+    assert [(r.unit, r.n) for r in found] == [(0, 2)]
+    assert parts[0][1].tobytes().decode() == long[:50] + long[100:150]
+
+
+def test_texts_are_shuffled_compressed(spark):
+    texts = prose(6, 20, 300, 400)
+    squeezed = repeats._squeezed(repeats._keyed(documents(spark, texts + ["", None]), "doc_id", "text")).collect()
+    assert sorted(zstandard.ZstdDecompressor().decompress(r["__text"]).decode() for r in squeezed) == sorted([*texts, ""])
+    assert sum(len(r["__text"]) for r in squeezed) < 0.7 * sum(map(len, texts))
+
+
 @pytest.mark.parametrize("flush", [repeats.FLUSH, 40])
 def test_groups_have_all_their_occurrences(spark, monkeypatch, flush):
     """Every repeated window has a named group with exactly the window's places, in exact copies too."""

@@ -7,7 +7,8 @@ windows have equal hashes wherever they stand, so all that could repeat a window
 
 1. Stretches travel as hashes.  Equal ones form a class; one of each class that something could
    repeat represents it, all its occurrences are kept in a long table.
-2. The representatives fetch their bytes.  Their suffixes are sorted by bucket hash, and a stack scan
+2. The representatives fetch their bytes and travel in compressed units, as the texts do to meet their
+   lists.  Their suffixes are sorted by bucket hash, and a stack scan
    over the common prefixes of neighbours walks the interval tree.  An interval whose occurrences have
    different bytes to the left is a maximal repeat; so is the whole string of a class of several
    occurrences.  Each interval is expanded to all occurrences of its classes by the long table.
@@ -42,9 +43,12 @@ PIECE = 1 << 18
 BUCKET_BYTES = 12 << 20
 #: Stretches that a task holds before it folds and sends them.
 FLUSH = 1 << 18
-#: Classes per task of the suffix arrays; a hash with more than ``CROWD`` is settled by windows.
-TASK_STRETCHES = 10_000
+#: Classes per suffix array; a hash with more than ``CROWD`` is settled by windows.
+ARRAY_STRETCHES = 10_000
 CROWD = 5_000
+#: Representatives that travel to one task, and those that a task holds before it packs and sends them.
+UNIT = 1 << 16
+FETCHED = 1 << 17
 NO_ID = (1 << 63) - 1
 #: Bits of a packed span for its length; strings within a stretch are far shorter.
 LENGTH_BITS = 20
@@ -130,25 +134,29 @@ def _piece(data: bytes, at: int, min_bytes: int, gram: int, longest: int):
 _ENTRY = [("m", "<u8"), ("c", "<u8"), ("id", "<i8"), ("tag", "<i4"), ("s", "<i8"), ("r", "u1"), ("d", "u1")]
 
 
-def _packed(columns: dict[str, np.ndarray]) -> bytes:
-    """The columns, each sorted by the first, byte planes apart, compressed."""
+def _packed(columns: dict[str, np.ndarray], kinds: list[tuple[str, str]] = _ENTRY, rest: bytes = b"") -> bytes:
+    """The columns, each sorted by the first, byte planes apart, and ``rest``, compressed."""
     planes = []
-    for name, kind in _ENTRY:
+    for name, kind in kinds:
         values = np.ascontiguousarray(columns[name].astype(kind))
         planes.append(values.view(np.uint8).reshape(len(values), -1).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([*planes, rest]))
 
 
-def _unpacked(blob: bytes) -> dict[str, np.ndarray]:
+def _unpacked(
+    blob: bytes, kinds: list[tuple[str, str]] = _ENTRY, n: int | None = None
+) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The ``n`` values (all, if not given) of each column, and the bytes after them."""
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-    n = len(raw) // sum(np.dtype(k).itemsize for _, k in _ENTRY)
+    if n is None:
+        n = len(raw) // sum(np.dtype(k).itemsize for _, k in kinds)
     out, at = {}, 0
-    for name, kind in _ENTRY:
+    for name, kind in kinds:
         width = np.dtype(kind).itemsize
         plane = raw[at : at + n * width].reshape(width, n)
         out[name] = np.ascontiguousarray(plane.T).view(kind).reshape(n)
         at += n * width
-    return out
+    return out, raw[at:]
 
 
 def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
@@ -238,8 +246,8 @@ def _fold_bucket(table: pa.Table) -> pa.Table:
     A hash matters if its stretches stand in two documents; those that left early are known by their mark.
     """
     blobs = list(zip(table.column("settled").to_pylist(), table.column("blob").to_pylist()))
-    done = _joined([_unpacked(b) for settled, b in blobs if settled])
-    e, _ = _folded(_joined([_unpacked(b) for settled, b in blobs if not settled]))
+    done = _joined([_unpacked(b)[0] for settled, b in blobs if settled])
+    e, _ = _folded(_joined([_unpacked(b)[0] for settled, b in blobs if not settled]))
     role = np.zeros(len(e["m"]), np.int32)
     if len(role):
         new_m = np.concatenate([[True], e["m"][1:] != e["m"][:-1]])
@@ -345,19 +353,53 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[new], ends[np.append(new[1:], len(starts)) - 1] if len(new) else ends
 
 
-def _repeats_of(table: pa.Table, min_bytes: int, merge: bool) -> pa.Table:
-    """Maximal repeats among the representatives of a task, one row per class and place in it.
+#: A representative on its way to its suffix array, before its bytes; ``k`` holds content hash, size and role.
+_CHOSEN = [("m", "<u8"), ("k", "<u8"), ("id", "<i8")]
+_SIZE_AT, _ROLE_AT = 48, 56
+_HASH = (1 << _SIZE_AT) - 1
+
+
+def _alone(data: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of ``length`` bytes from ``first`` on, one after another, and where each starts."""
+    begin = np.cumsum(length) - length
+    return data[np.repeat(first - begin, length) + np.arange(length.sum())], begin
+
+
+def _repeats_of(table: pa.Table, min_bytes: int, merge: bool, most: int) -> pa.Table:
+    """``_repeats_among`` the representatives of a unit, hashes of some ``most`` classes at a time."""
+    parts = [
+        _unpacked(blob, _CHOSEN, n)
+        for n, blob in zip(table.column("n").to_pylist(), table.column("blob").to_pylist())
+    ]
+    m, k, ids = (np.concatenate([e[name] for e, _ in parts]) for name, _ in _CHOSEN)
+    data = np.concatenate([rest for _, rest in parts])
+    sizes = ((k >> _U(_SIZE_AT)) & _U(255)).astype(np.int64)
+    length = sizes + min_bytes - 1
+    first = np.cumsum(length) - length
+    order = np.argsort(m, kind="stable")
+    m, k, ids, sizes, length, first = (x[order] for x in (m, k, ids, sizes, length, first))
+    starts = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
+    after = np.searchsorted(starts, np.arange(0, len(m), most))
+    cuts = np.unique(starts[after[after < len(starts)]])
+    found = []
+    for begin, end in zip(cuts, [*cuts[1:], len(m)]):
+        one = slice(begin, end)
+        found.append(_repeats_among(m[one], k[one], ids[one], data, first[one], sizes[one], length[one], min_bytes, merge))
+    return pa.concat_tables(found)
+
+
+def _repeats_among(
+    m: np.ndarray, k: np.ndarray, ids: np.ndarray, data: np.ndarray, first: np.ndarray, sizes: np.ndarray,
+    length: np.ndarray, min_bytes: int, merge: bool,
+) -> pa.Table:
+    """Maximal repeats among the representatives of one suffix array, one row per class and place in it.
 
     With ``merge`` only what they cover: of each class the runs that a document before its first one has
     too, and, where a class has later occurrences, its whole string.
     """
-    table = table.take(pa.array(np.argsort(table.column("m").to_numpy(), kind="stable")))
-    m, c, ids = (table.column(k).to_numpy() for k in ("m", "c", "id"))
-    sizes, several = table.column("size").to_numpy().astype(np.int64), table.column("role").to_numpy() == 2
-    texts = table.column("bytes").to_pylist()
-    length = np.array([len(t) for t in texts], np.int64)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    item, offset, common, left = suffix_order(m, data, np.cumsum(length) - length, sizes, length)
+    c, several = k & _U(_HASH), k >> _U(_ROLE_AT) == 2
+    data, first = _alone(data, first, length)
+    item, offset, common, left = suffix_order(m, data, first, sizes, length)
     found = maximal_intervals(common, left, min_bytes)
     # The whole string of a class of several occurrences, unless a longer class begins with it: then an
     # interval of this length is there already.
@@ -382,13 +424,14 @@ def _repeats_of(table: pa.Table, min_bytes: int, merge: bool) -> pa.Table:
         least = np.concatenate([ids[begin // room] - 1, ids[again]])
         names = np.zeros(len(who), np.int64)
     else:
-        digests = [xxhash.xxh64_intdigest(texts[item[a]][offset[a] : offset[a] + n]) for a, _, n in found]
+        at_byte = [(first[item[a]] + offset[a], n) for a, _, n in found]
+        digests = [xxhash.xxh64_intdigest(data[i : i + n].tobytes()) for i, n in at_byte]
         names = np.array(digests, np.uint64).view(np.int64)[group]
     return pa.table(
         {
             "repeat": pa.array(names, pa.int64()),
-            "m": pa.array(m[who], pa.int64()),
-            "c": pa.array(c[who], pa.int64()),
+            "m": pa.array(m[who].view(np.int64), pa.int64()),
+            "c": pa.array(c[who].view(np.int64), pa.int64()),
             "offset": pa.array(at.astype(np.int32), pa.int32()),
             "length": pa.array(size.astype(np.int32), pa.int32()),
             "first_id": pa.array(least, pa.int64()),
@@ -396,35 +439,77 @@ def _repeats_of(table: pa.Table, min_bytes: int, merge: bool) -> pa.Table:
     )
 
 
-def _fetched(min_bytes: int):
-    """The bytes of the representatives asked for of each document."""
+def _squeezed(rows: DataFrame) -> DataFrame:
+    """``rows`` with each text compressed: a shuffle's own codec leaves half as much again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressor = zstandard.ZstdCompressor(level=1)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_OUT):
+                batch = whole.slice(at, ROWS_OUT)
+                texts = pa.array([compressor.compress(t.as_py()) for t in batch.column("__text")], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("__id"), batch.column("__tag"), texts], names=["__id", "__tag", "__text"]
+                )
+
+    plain = rows.select("__id", "__tag", F.col("__text").cast("binary").alias("__text"))
+    return plain.mapInArrow(run, "__id long not null, __tag int not null, __text binary not null")
 
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    names = ["m", "c", "id", "size", "role", "bytes"]
 
-    def made(rows: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
+def _fetched(min_bytes: int, units: int, squeezed: bool, most: int):
+    """The bytes of the representatives asked for of each document, packed by unit, or in rows if there are no units."""
+
+    def sent(parts: list, texts: list[bytes]) -> pa.RecordBatch:
+        m, k, ids = (np.concatenate(x) for x in zip(*parts))
+        if not units:
+            columns = [pa.array(x, pa.int64()) for x in (m, k, ids)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.binary())], names=["m", "k", "id", "bytes"])
+        home = (m.view(np.uint64) >> _U(20)) % _U(units)
+        order = np.argsort(home, kind="stable")
+        home, m, k, ids = home[order], m[order], k[order], ids[order]
+        texts = [texts[i] for i in order.tolist()]
+        cuts = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]])).tolist()
+        ends = [*cuts[1:], len(home)]
+        blobs = [
+            _packed({"m": m[a:b], "k": k[a:b], "id": ids[a:b]}, _CHOSEN, b"".join(texts[a:b]))
+            for a, b in zip(cuts, ends)
+        ]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(home[cuts].astype(np.int32), pa.int32()),
+                pa.array([b - a for a, b in zip(cuts, ends)], pa.int32()),
+                pa.array(blobs, pa.binary()),
+            ],
+            names=["unit", "n", "blob"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = zstandard.ZstdDecompressor().decompress if squeezed else bytes
+        parts, texts = [], []
         for batch in batches:
-            rows: list[list] = [[], [], [], [], [], []]
-            for values in zip(*(batch.column(k) for k in ("__id", "__text", "wanted"))):
-                id_, text, wanted = (v.as_py() for v in values)
-                data = text.encode("utf-8", "surrogatepass")
-                for w in wanted:
-                    piece = data[w["start"] : w["start"] + w["size"] + min_bytes - 1]
-                    for column, value in zip(rows, (w["m"], w["c"], id_, w["size"], w["role"], piece)):
-                        column.append(value)
-                if len(rows[0]) >= 8 * ROWS_OUT:
-                    yield made(rows)
-                    rows = [[], [], [], [], [], []]
-            if rows[0]:
-                yield made(rows)
+            lists = batch.column("wanted")
+            offsets = lists.offsets.to_numpy()
+            m, k, start = (lists.values.field(x).to_numpy(zero_copy_only=False) for x in ("m", "k", "start"))
+            end = start + ((k >> _SIZE_AT) & 255) + min_bytes - 1
+            for i, (id_, text) in enumerate(zip(batch.column("__id"), batch.column("__text"))):
+                data = opened(text.as_py())
+                # Texts of one id and tag share a list, and the shorter one lacks places of the longer.
+                own = offsets[i] + np.flatnonzero(end[offsets[i] : offsets[i + 1]] <= len(data))
+                if not len(own):
+                    continue
+                texts += [data[a:b] for a, b in zip(start[own].tolist(), end[own].tolist())]
+                parts.append((m[own], k[own], np.full(len(own), id_.as_py())))
+                if len(texts) >= most:
+                    yield sent(parts, texts)
+                    parts, texts = [], []
+        if parts:
+            yield sent(parts, texts)
 
     return run
 
 
-_BYTES = "m long, c long, id long, size int, role int, bytes binary"
+_BYTES = "m long, k long, id long, bytes binary"
+_UNITS = "unit int, n int, blob binary"
 _INTERVALS = "repeat long, m long, c long, offset int, length int, first_id long"
 
 
@@ -452,53 +537,64 @@ def repeats(
     ones, and their union over a document is exactly the bytes of windows that a smaller document
     has too.  A hash with more than ``crowd`` classes gives its windows instead of maximal strings.
     """
-    return _occurrences(_keyed(docs, id_col, text_col), min_bytes, gram, crowd, merge=False)
+    rows = _keyed(docs, id_col, text_col)
+    return _occurrences(rows, _squeezed(rows), min_bytes, gram, crowd, merge=False)
 
 
-def _occurrences(rows: DataFrame, min_bytes: int, gram: int, crowd: int, merge: bool) -> DataFrame:
+def _occurrences(
+    rows: DataFrame, squeezed: DataFrame, min_bytes: int, gram: int, crowd: int, merge: bool
+) -> DataFrame:
     """What ``repeats`` returns; with ``merge`` the covered runs of each occurrence (``id`` above ``first_id``)."""
     total = rows.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0))).first()[0]
     buckets = max(1, -(-total // BUCKET_BYTES))
     packed = rows.mapInArrow(
         _scan(buckets, min_bytes, gram, FLUSH), "bucket int, settled boolean, blob binary"
     )
-    found = stage(packed.groupBy("bucket").applyInArrow(_fold_bucket, _FOUND), "stretches")
+    found = stage(packed.groupBy("bucket").applyInArrow(_fold_bucket, _FOUND), "stretches", "zstd", release=True)
     chosen = found.filter(F.col("role") > 0)
     by_hash = chosen.groupBy("m").agg(F.count("*").alias("n"))
-    crowded = stage(by_hash.filter(F.col("n") > crowd).select("m"), "crowded-hashes")
-    tasks = max(1, -(-chosen.count() // TASK_STRETCHES))
+    crowded = stage(by_hash.filter(F.col("n") > crowd).select("m"), "crowded-hashes", release=True)
+    units, most = max(1, -(-chosen.count() // UNIT)), ARRAY_STRETCHES
+    wanted = _with_lists(squeezed, _lists(chosen.join(crowded, "m", "left_anti")))
     intervals = (
-        _with_bytes(rows, chosen.join(crowded, "m", "left_anti"), min_bytes)
-        .withColumn("task", F.pmod(F.xxhash64("m"), F.lit(tasks)))
-        .groupBy("task")
-        .applyInArrow(lambda t: _repeats_of(t, min_bytes, merge), _INTERVALS)
+        wanted.mapInArrow(_fetched(min_bytes, units, True, FETCHED), _UNITS)
+        .groupBy("unit")
+        .applyInArrow(lambda t: _repeats_of(t, min_bytes, merge, most), _INTERVALS)
     )
     if not crowded.isEmpty():
-        fetched = _with_bytes(rows, chosen.join(crowded, "m", "left_semi"), min_bytes, RESULT_BYTES)
-        intervals = intervals.unionByName(_by_window(stage(fetched, "crowded-bytes"), min_bytes))
+        lists = stage(_lists(chosen.join(crowded, "m", "left_semi")), "wanted-stretches", release=True)
+        few = lists.agg(F.coalesce(F.sum(F.size("wanted") * 64 + 64), F.lit(0))).first()[0] <= RESULT_BYTES
+        # Texts stay in place if the lists are few.
+        plain = rows.withColumn("__text", F.col("__text").cast("binary"))
+        wanted = _with_lists(plain, F.broadcast(lists)) if few else _with_lists(squeezed, lists)
+        fetched = wanted.mapInArrow(_fetched(min_bytes, 0, not few, 8 * ROWS_OUT), _BYTES)
+        intervals = intervals.unionByName(_by_window(stage(fetched, "crowded-bytes", release=True), min_bytes))
+    # What brought the representatives together is gone before occurrences are shuffled.
+    intervals = stage(intervals, "intervals", "zstd", release=True)
     # A class stands in several intervals and has many occurrences; adaptive execution splits a hot one.
     return found.select("m", "c", "id", "tag", "start").join(intervals, ["m", "c"]).select(
         "repeat", "id", "tag", (F.col("start") + F.col("offset")).alias("start"), "length", "first_id"
     )
 
 
-def _with_bytes(rows: DataFrame, wanted: DataFrame, min_bytes: int, broadcast_bytes: int = 0) -> DataFrame:
-    """``wanted`` stretches with their bytes; texts stay in place if the lists have at most ``broadcast_bytes``."""
-    lists = wanted.groupBy("id", "tag").agg(
-        F.collect_list(F.struct("m", "c", "start", "size", "role")).alias("wanted")
-    )
-    if broadcast_bytes:
-        lists = stage(lists, "wanted-stretches")
-        if lists.agg(F.coalesce(F.sum(F.size("wanted") * 64 + 64), F.lit(0))).first()[0] <= broadcast_bytes:
-            lists = F.broadcast(lists)
+def _lists(chosen: DataFrame) -> DataFrame:
+    """The stretches of ``chosen`` in a list per document."""
+    k = F.col("c").bitwiseOR(F.shiftleft(F.col("size").cast("long"), _SIZE_AT))
+    k = k.bitwiseOR(F.shiftleft(F.col("role").cast("long"), _ROLE_AT)).alias("k")
+    return chosen.groupBy("id", "tag").agg(F.collect_list(F.struct("m", k, "start")).alias("wanted"))
+
+
+def _with_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
     joined = rows.join(lists, (rows["__id"] == lists["id"]) & (rows["__tag"] == lists["tag"]))
-    return joined.select("__id", "__text", "wanted").mapInArrow(_fetched(min_bytes), _BYTES)
+    return joined.select("__id", "__text", "wanted")
 
 
 def _by_window(chosen: DataFrame, min_bytes: int) -> DataFrame:
     """Windows of crowded classes that two of them, or two occurrences of one, have."""
+    size = F.shiftright("k", _SIZE_AT).bitwiseAND(F.lit(255)).cast("int")
     windows = chosen.select(
-        "m", "c", "id", "role", "bytes", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("offset")
+        "m", F.col("k").bitwiseAND(F.lit(_HASH)).alias("c"), "id", F.shiftright("k", _ROLE_AT).alias("role"), "bytes",
+        F.explode(F.sequence(F.lit(0), size - 1)).alias("offset"),
     ).withColumn("w", F.substring(F.col("bytes"), F.col("offset") + 1, F.lit(min_bytes)))
     windows = windows.select(
         "m", "c", "id", "role", "offset", F.xxhash64("w").alias("w1"), F.xxhash64(F.lit(1), "w").alias("w2")
@@ -541,16 +637,17 @@ def remove_repeats(
         named = found.join(places, "pos", "left")
         return named.select(F.col("name").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
     rows = _keyed(docs, id_col, text_col)
+    squeezed = _squeezed(rows)
     # One number a span: a document's list of structs would take five times the room.
     packed = F.shiftleft("start", LENGTH_BITS).bitwiseOR(F.col("length").cast("long"))
     spans = (
-        _occurrences(rows, min_bytes, gram, crowd, merge=True)
+        _occurrences(rows, squeezed, min_bytes, gram, crowd, merge=True)
         .filter(F.col("id") > F.col("first_id"))
         .groupBy("id", "tag")
         .agg(F.collect_list(packed).alias("spans"))
     )
-    joined = rows.join(
-        spans, (rows["__id"] == spans["id"]) & (rows["__tag"] == spans["tag"]), "left"
+    joined = squeezed.join(
+        spans, (squeezed["__id"] == spans["id"]) & (squeezed["__tag"] == spans["tag"]), "left"
     ).select("__id", "__text", "spans")
     kind = docs.schema[id_col].dataType.simpleString()
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -563,12 +660,13 @@ def remove_repeats(
         )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             lists = batch.column("spans")
             flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             for i, (id_, text) in enumerate(zip(batch.column("__id"), batch.column("__text"))):
-                id_, data = id_.as_py(), text.as_py().encode("utf-8", "surrogatepass")
+                id_, data = id_.as_py(), opened(text.as_py())
                 own = flat[offsets[i] : offsets[i + 1]]
                 begins = own >> LENGTH_BITS
                 runs = removed_runs(begins, begins + (own & ((1 << LENGTH_BITS) - 1)))

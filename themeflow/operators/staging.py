@@ -6,7 +6,7 @@ import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_ROOTS: dict[str, tempfile.TemporaryDirectory] = {}
 _STAGED: dict[str, list[str]] = {}
 _SCOPE = threading.local()
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -73,11 +74,27 @@ def remove_staged(spark: SparkSession) -> int:
     return _remove(spark, _STAGED.pop(spark.sparkContext.applicationId, []))
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of each query run inside go when it ends, not when the driver next collects garbage."""
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+def stage(df: DataFrame, name: str, compression: str | None = None, release: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, with the session's codec unless one is named.
 
-    Cuts the lineage, survives lost executors, and later jobs read only the columns they use.
+    Cuts the lineage, survives lost executors, and later jobs read only the columns they use.  With
+    ``release`` the shuffles behind it are deleted as soon as it is written.
     """
     path = staging_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_removed(df.sparkSession) if release else nullcontext():
+        df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
