@@ -1,6 +1,7 @@
 """Counts that jobs collect themselves, and the report of a run made of them."""
 
 from datetime import timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from themeflow import schemas
 from themeflow.operators.id_index import IdIndex
 from themeflow.operators.observed import Watch, keep
+from themeflow.operators.staging import staging_root
 from themeflow.plans import runs
 from tests.conftest import NOW
 
@@ -62,3 +64,38 @@ def test_a_run_that_finds_nothing(spark):
     assert (row.posts_stored, row.landed, row.errors, row.success) == (0, 0, [], True)
     nothing = runs.run_ingest(landed, runs.IngestConfig(), NOW, None, lambda posts: None)
     assert nothing.count() == 0
+
+
+def submission(id, title="title", subreddit="x"):
+    row = {"id": id, "title": title, "subreddit": subreddit, "author": "a", "score": 9, "num_comments": 2, "created_utc": NOW.timestamp()}
+    return tuple(row.get(name) for name in schemas.SUBMISSION.fieldNames())
+
+
+def test_a_run_keeps_one_copy_of_its_texts(spark):
+    landed = {
+        "twitter": pages(spark, tweet("1"), tweet("1"), tweet("reddit_7"), tweet("2")),
+        "reddit": spark.createDataFrame([submission("7"), submission("8"), submission("8"), submission("9")], schemas.SUBMISSION),
+    }
+    config = runs.IngestConfig(
+        twitter_queries=["q"], twitter_max_results=10**9, reddit_subreddits=["x"], reddit_sort="new", reddit_max_results=10**9,
+    )
+    folder = Path(staging_root(spark), "themeflow")
+    before, left, plans, written = set(folder.glob("*")), set(), [], []
+
+    def write(posts):
+        left.update(path.name.rpartition("-")[0] for path in set(folder.glob("*")) - before)
+        plans.append(posts._jdf.queryExecution().executedPlan().toString())
+        written.extend((r.id, r.platform) for r in posts.collect())
+
+    stored = spark.createDataFrame([("2",)], "id string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        report = runs.run_ingest(landed, config, NOW, stored, write).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Of an id in two sources the first one's post is stored.
+    assert sorted(written) == [("1", "twitter"), ("reddit_7", "twitter"), ("reddit_8", "reddit"), ("reddit_9", "reddit")]
+    assert [(r.source, r.posts_stored, r.duplicates_skipped, r.rejected) for r in report] == [("twitter", 2, 2, 0), ("reddit", 2, 2, 0)]
+    # Rows staged for the caps are gone, and texts aren't shuffled to find those that are stored.
+    assert {"incoming-twitter", "incoming-reddit"} <= left and not {"rows-to-rank", "numbered-rows"} & left
+    assert "Exchange hashpartitioning" not in plans[0] and "SortMergeJoin" not in plans[0]

@@ -87,3 +87,19 @@ def test_feed_cap_counts_entries_before_they_are_filtered(spark):
     entries = spark.createDataFrame([("f", i) for i in range(5)], "feed_url string, position long")
     assert sorted(r.position for r in search.first_entries(entries, 2).collect()) == [0, 1]
     assert search.first_entries(entries, 0).count() == 1
+
+
+def test_high_caps_of_a_forum_need_no_rank(spark):
+    posts = submissions(spark, [(f"{i:04}", "btc" if i % 9 else "eth", "t", "b", (i * 37) % 2500, i % 50, 1) for i in range(2500)])
+
+    def found(cap, ranked):
+        return search.search_subreddits(posts, None, (), "new", max_results=cap, min_upvotes=3, ranked=ranked)
+
+    for cap in (400, 600, 1100, 3000):
+        expected = found(cap, True)
+        ids = found(cap, False)
+        assert ("listing_rank" in ids.columns) == (cap == 400)
+        assert sorted(ids.drop("listing_rank").collect()) == sorted(expected.drop("listing_rank").collect())
+    # Where no cap is exceeded, staged rows are the result.
+    plan = ids._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan

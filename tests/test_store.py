@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from themeflow import schemas
@@ -145,3 +146,30 @@ def test_newest_unprocessed_posts_read_the_newest_days(spark, make_posts, tmp_pa
     assert [r.id for r in store.unprocessed_newest(stored, days, 2, marks=marks).collect()] == ["d1-1", "d2-0"]
     assert store.unprocessed_newest(stored, [], 5).count() == 0
     assert tables.stored_days(spark, str(tmp_path / "nothing")) == []
+
+
+def test_numbers_of_posts_are_sent_as_bits(spark):
+    numbers = [0, 1, 63, 64, 65, 127, 128, 1 << 33, (1 << 33) + 5, (3 << 59) + (7 << 33) + 63]
+    batch = spark.createDataFrame([(n, f"text {n}") for n in numbers], "arrival long, text string")
+    chosen = numbers[::2]
+    arrivals = spark.createDataFrame([(n,) for n in chosen], "arrival long")
+    for most in (store.BROADCAST_BYTES, 0):
+        found = store.of_arrivals(batch, arrivals, "arrival", most)
+        assert found.columns == batch.columns
+        assert sorted((r.arrival, r.text) for r in found.collect()) == [(n, f"text {n}") for n in sorted(chosen)]
+    assert store.of_arrivals(batch, arrivals.limit(0), "arrival").count() == 0
+
+
+def test_platforms_written_apart_are_all_written(spark, make_posts, tmp_path):
+    path = str(tmp_path / "posts")
+    platforms = ["twitter", "news", "news", "letters", None]
+    posts = make_posts(*[{"id": str(i), "text": f"text {i}", "minutes_ago": 900 * i} for i in range(5)])
+    named = F.element_at(F.lit(platforms[:4]), F.col("id").cast("int") + 1)
+    posts = posts.withColumn("platform", F.when(F.col("id") != "4", named))
+    for mode in ("append", "overwrite", "append"):
+        tables.write_posts(posts, path, mode, "zstd", ("twitter", "reddit", "news"))
+    found = spark.read.parquet(path).collect()
+    expected = [(str(i), f"text {i}", name) for i, name in enumerate(platforms) for _ in range(2)]
+    assert sorted((r.id, r.text, r.platform) for r in found) == expected
+    with pytest.raises(ValueError):
+        tables.write_posts(posts, path, "error", apart=("twitter",))

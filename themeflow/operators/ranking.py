@@ -17,15 +17,18 @@ DIRECT_LIMIT = 1000
 
 def first_per_group(
     df: DataFrame, group: Sequence[str], order: Sequence[Column | str], limit: int,
-    spread_by: str, rank: str | None = None, direct_limit: int = DIRECT_LIMIT,
+    spread_by: str, rank: str | None = None, direct_limit: int = DIRECT_LIMIT, staged: bool = False,
 ) -> DataFrame:
     """The first ``limit`` rows of each group in ``order``, with their ``rank`` if it is named.
 
     For a higher limit than Spark cuts by itself the rows are staged and numbered in ranges of
     ``order``, so a group with a third of all rows never meets in one task; ``spread_by`` parts rows
-    that are equal in ``order``.
+    that are equal in ``order``.  ``staged`` says that ``df`` reads staged rows: they aren't staged again
+    where no group exceeds the limit and no rank is asked for.
     """
     if limit > direct_limit:
+        if staged and rank is None and _none_exceeds(df, group, limit):
+            return df
         return _first_of_many(df, group, order, limit, spread_by, rank)
     name = rank or "_rank"
     window = Window.partitionBy(*group).orderBy(*order)
@@ -33,6 +36,10 @@ def first_per_group(
     return found.withColumn(rank, F.col(rank).cast("long")) if rank else found.drop(name)
 
 
+def _none_exceeds(df: DataFrame, group: Sequence[str], limit: int) -> bool:
+    return df.groupBy(*group).count().filter(F.col("count") > limit).isEmpty()
+
+
 def _first_of_many(
     df: DataFrame, group: Sequence[str], order: Sequence[Column | str], limit: int, spread_by: str, rank: str | None
 ) -> DataFrame:
@@ -42,8 +49,9 @@ def _first_of_many(
     ranges before it are added.  Where no group exceeds the limit and no rank is asked for, the staged
     rows are the result.
     """
-    rows = stage(df.withColumn("__row", F.monotonically_increasing_id()), "rows-to-rank")
-    if rank is None and rows.groupBy(*group).count().filter(F.col("count") > limit).isEmpty():
+    numbered_rows = df.withColumn("__row", F.monotonically_increasing_id())
+    rows = stage(numbered_rows, "rows-to-rank", compression="zstd", release=True)
+    if rank is None and _none_exceeds(rows, group, limit):
         return rows.drop("__row")
     by = [*group, *order, spread_by]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -53,6 +61,7 @@ def _first_of_many(
             "__row", *group, F.spark_partition_id().alias("_salt"), F.monotonically_increasing_id().alias("__at"),
         ),
         "numbered-rows",
+        release=True,
     )
     # Each group is counted in its parts, the ranges; only their sizes meet by group.
     ranges = numbered.groupBy("_salt", *group).agg(F.count("*").alias("__n"), F.min("__at").alias("__low"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from themeflow.functions.core import hours_before, instant
 from themeflow.functions.text import contains_any
-from themeflow.operators.ranking import first_per_group
+from themeflow.operators.ranking import DIRECT_LIMIT, first_per_group
 
 # --- fixed values: names of the engagement thresholds and of the listing periods ----------
 THRESHOLD_COLUMNS = {"likes": "likes", "retweets": "reposts", "replies": "replies"}
@@ -42,43 +42,51 @@ def capped_search(
     return first_per_group(engagement_filter(posts, thresholds), [query], [arrival], max_results, "id")
 
 
+def _listing_order(sort: str) -> list[Column]:
+    if sort == "new":
+        return [F.desc("created_at"), F.col("id")]
+    if sort == "top":
+        return [F.desc("score"), F.col("id")]
+    if sort in ("hot", "rising"):
+        return [F.col("rank"), F.col("id")]
+    raise ValueError(f"invalid sort {sort!r}: use hot, new, top or rising")
+
+
 def listing(
     submissions: DataFrame, sort: str = "hot", as_of: Column | datetime | None = None,
-    time_filter: str | None = None, limit: int = 100,
+    time_filter: str | None = None, limit: int = 100, rank: str | None = "listing_rank",
 ) -> DataFrame:
-    """First ``limit`` submissions per subreddit with their ``listing_rank``.
+    """First ``limit`` submissions per subreddit with their ``listing_rank``, unless it isn't asked for.
 
     ``hot`` and ``rising`` are rankings of the forum itself and need its landed ``rank``.
     """
-    if sort == "new":
-        order = [F.desc("created_at"), F.col("id")]
-    elif sort == "top":
+    order = _listing_order(sort)
+    if sort == "top":
         hours = PERIOD_HOURS[time_filter or "day"]
         if hours is not None:
             if as_of is None:
                 raise ValueError("sort 'top' with a period needs as_of")
             submissions = submissions.filter(F.col("created_at") >= hours_before(as_of, hours))
-        order = [F.desc("score"), F.col("id")]
-    elif sort in ("hot", "rising"):
-        order = [F.col("rank"), F.col("id")]
-    else:
-        raise ValueError(f"invalid sort {sort!r}: use hot, new, top or rising")
-    return first_per_group(submissions, ["subreddit"], order, limit, "id", "listing_rank")
+    return first_per_group(submissions, ["subreddit"], order, limit, "id", rank)
 
 
 def search_subreddits(
     submissions: DataFrame, subreddits: Sequence[str] | None = None, keywords: Sequence[str] = (),
     sort: str = "hot", time_filter: str | None = None, max_results: int = 100,
     min_upvotes: int = 0, min_comments: int = 0, hours_back: int | None = None,
-    as_of: Column | datetime | None = None,
+    as_of: Column | datetime | None = None, ranked: bool = True,
 ) -> DataFrame:
     """Listing of twice the cap, then time, keywords and engagement, then the cap.
 
-    All subreddits run in one job.  Both rankings use one partitioning by subreddit.
+    All subreddits run in one job.  Both rankings use one partitioning by subreddit.  Not ``ranked``,
+    the result has no ``listing_rank`` where the listing is staged: both caps follow the order of the
+    listing, and no text is shuffled for them where no subreddit exceeds them.
     """
     if subreddits is not None:
         submissions = submissions.filter(F.col("subreddit").isin(*subreddits))
-    found = listing(submissions, sort, as_of, time_filter, max_results * 2)
+    staged = max_results * 2 > DIRECT_LIMIT
+    rank = "listing_rank" if ranked or not staged else None
+    found = listing(submissions, sort, as_of, time_filter, max_results * 2, rank)
     if hours_back:
         if as_of is None:
             raise ValueError("hours_back needs as_of")
@@ -89,7 +97,9 @@ def search_subreddits(
         & (F.col("score") >= min_upvotes)
         & (F.col("num_comments") >= min_comments)
     )
-    return first_per_group(found, ["subreddit"], ["listing_rank"], max_results, "id")
+    order = [rank] if rank else _listing_order(sort)
+    # Counting by subreddit reads texts for keywords only; what has one is staged instead.
+    return first_per_group(found, ["subreddit"], order, max_results, "id", staged=rank is None and not keywords)
 
 
 def news_window(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,3 +98,14 @@ def stage(df: DataFrame, name: str, compression: str | None = None, release: boo
     with shuffles_removed(df.sparkSession) if release else nullcontext():
         df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_alone(
+    spark: SparkSession, name: str, make: Callable[[], DataFrame], compression: str | None = None
+) -> DataFrame:
+    """The table that ``make`` returns, staged; what making it stages or shuffles goes when it is written."""
+    path = staging_path(spark, name)
+    with staged_within(spark), shuffles_removed(spark):
+        made = make()
+        made.write.parquet(path, compression=compression)
+    return spark.read.schema(made.schema).parquet(path)

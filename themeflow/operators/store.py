@@ -35,6 +35,8 @@ def first_of_batch(incoming: DataFrame, arrival: str) -> DataFrame:
 
 #: The ids of a batch are broadcast to the store up to this many bytes.
 BROADCAST_BYTES = 64 << 20
+#: What a word of ``of_arrivals`` takes when it is broadcast.
+WORD_BYTES = 64
 
 
 def known_ids(
@@ -46,7 +48,7 @@ def known_ids(
     them.  Of a plain table, the ids of a small batch go to the store, which stays where it is; a batch of more than
     ``broadcast_bytes`` of ids meets the stored ids in a shuffle.
     """
-    ids = stage(incoming.select("id").filter(F.col("id").isNotNull()).distinct(), "batch-ids")
+    ids = stage(incoming.select("id").filter(F.col("id").isNotNull()).distinct(), "batch-ids", release=True)
     if isinstance(stored, IdIndex):
         return stored.known(ids)
     size = ids.agg(F.coalesce(F.sum(F.octet_length("id") + 32), F.lit(0))).first()[0]
@@ -68,6 +70,28 @@ def new_posts(
     return firsts.join(known, "id", "left_anti")
 
 
+def of_arrivals(
+    batch: DataFrame, arrivals: DataFrame, arrival: str, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Rows of ``batch`` whose whole number ``arrival`` is in ``arrivals``.
+
+    Numbers are packed as bits, 64 of them to a word.  Words of up to ``broadcast_bytes`` go to the rows, which stay
+    where they are; beyond it rows and numbers meet in a shuffle.
+    """
+    number = F.col(arrival)
+    bit = (number % 64).cast("int")
+    words = stage(
+        arrivals.groupBy(F.shiftright(arrival, 6).alias("_word")).agg(
+            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("_bits")
+        ),
+        "arrival-words", release=True,
+    )
+    if words.count() * WORD_BYTES > broadcast_bytes:
+        return batch.join(arrivals, arrival, "left_semi")
+    found = batch.join(F.broadcast(words), F.shiftright(arrival, 6) == F.col("_word"))
+    return found.filter(F.call_function("getbit", "_bits", bit) == 1).select(*batch.columns)
+
+
 def load_report(
     incoming: DataFrame, stored: DataFrame | IdIndex | None, arrival: str, source: str = "platform",
     configured: Sequence[str] = (), known: DataFrame | None = None,

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from themeflow.operators import cluster, lifecycle, scoring, search, sentiment,
 from themeflow.operators.id_index import IdIndex
 from themeflow.operators.observed import Watch
 from themeflow.operators.sentiment import DEFAULT_LEXICON, Lexicon, LexiconTable
-from themeflow.operators.staging import stage
+from themeflow.operators.staging import stage, stage_alone
 from themeflow.schemas import REQUIRED_POST_COLUMNS
 from themeflow.sources import forum, news, podcast, tables, tweets
 
@@ -83,7 +84,7 @@ def ingest_forum(
     found = search.search_subreddits(
         dated, config.reddit_subreddits, config.reddit_keywords,
         config.reddit_sort, max_results=config.reddit_max_results,
-        min_upvotes=config.reddit_min_upvotes, hours_back=config.hours_back, as_of=as_of,
+        min_upvotes=config.reddit_min_upvotes, hours_back=config.hours_back, as_of=as_of, ranked=False,
     )
     return forum.normalise(found, as_of)
 
@@ -172,6 +173,10 @@ def load(
     return fresh, report
 
 
+#: Of a post's arrival number, those below the number of its source: tasks up to 2^26, 2^33 rows in each.
+ARRIVAL_BITS = 59
+
+
 def run_ingest(
     landed: dict[str, DataFrame], config: IngestConfig, as_of: Column | datetime,
     stored: DataFrame | IdIndex | None, write: Callable[[DataFrame], None],
@@ -187,34 +192,38 @@ def run_ingest(
     spark = next(iter(landed.values())).sparkSession
     started, watch = clock(), Watch()
     sources = [name for name in config.enabled_sources() if name in landed]
-    posts = ingest(landed, config, as_of, watch)
-    if posts is not None:
-        numbered = posts.withColumn("arrival", F.monotonically_increasing_id())
-        complete = store.is_complete()
-        counted = {}
-        for name in sources:
-            mine = F.col("platform") == name
-            counted |= {f"{name}:arrived": mine, f"{name}:rejected": mine & ~complete}
-            counted |= {f"{name}:{c}": mine & F.col(c).isNull() for c in REQUIRED_POST_COLUMNS}
-        batch = stage(watch.seen(numbered, "batch", counted), "incoming")
+    counted = {"rejected": ~store.is_complete()} | {c: F.col(c).isNull() for c in REQUIRED_POST_COLUMNS}
+
+    def arrived(at: int, name: str) -> DataFrame:
+        # Sources arrive one after the other; a task's number and a row's in it take the lower bits.
+        number = F.monotonically_increasing_id() + F.lit(at << ARRIVAL_BITS).cast("long")
+        posts = INGESTERS[name](_watched(landed[name], name, watch), config, as_of, watch)
+        return watch.seen(posts.withColumn("arrival", number), f"{name}-batch", counted)
+
+    if sources:
+        # Each source is staged by itself, so that the disk holds what one of them shuffles and stages for its caps.
+        batch = tables.unify(
+            stage_alone(spark, f"incoming-{name}", partial(arrived, at, name), "zstd") for at, name in enumerate(sources)
+        )
         # Ids are ranked and counted without the texts; the rows that win are written.
         firsts = store.new_posts(batch.select(*REQUIRED_POST_COLUMNS, "arrival"), stored, "arrival")
         of_source = {name: F.col("platform") == name for name in sources}
-        firsts = stage(watch.seen(firsts.select("arrival", "platform"), "stored", of_source), "first-posts")
-        write(batch.join(firsts, "arrival", "left_semi").drop("arrival"))
+        firsts = watch.seen(firsts.select("arrival", "platform"), "stored", of_source)
+        firsts = stage(firsts, "first-posts", release=True)
+        write(store.of_arrivals(batch, firsts.select("arrival"), "arrival").drop("arrival"))
     completed = clock()
     rows = []
     for name in sources:
         before, dropped = watch.counts(f"{name}-landed"), watch.counts(name)
-        seen = {c: watch.counts("batch")[f"{name}:{c}"] for c in ("arrived", "rejected", *REQUIRED_POST_COLUMNS)}
+        seen = watch.counts(f"{name}-batch")
         kept = watch.counts("stored")[name]
         errors = [f"{before['unreadable']} unreadable lines"] if before["unreadable"] else []
         errors += [f"{n} records without {why}" for why, n in dropped.items() if why != "rows" and n]
         errors += [f"{seen[c]} rows without {c}" for c in REQUIRED_POST_COLUMNS if seen[c]]
         lost = sum(n for why, n in dropped.items() if why != "rows")
         rows.append(
-            (name, kept, seen["arrived"] - seen["rejected"] - kept, seen["rejected"], errors,
-             seen["rejected"] == 0 or seen["rejected"] < seen["arrived"], started, completed,
+            (name, kept, seen["rows"] - seen["rejected"] - kept, seen["rejected"], errors,
+             seen["rejected"] == 0 or seen["rejected"] < seen["rows"], started, completed,
              before["rows"], before["unreadable"], lost)
         )
     return spark.createDataFrame(rows, RUN_REPORT)
